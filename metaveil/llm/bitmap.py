@@ -15,9 +15,9 @@ def slot(*columns: str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def bitmap(ids: DataFrame, *columns: str):
-    """A broadcast array of booleans, True at the slots of ids; at most 1024 rows of 8192 numbers come to the driver."""
-    slots = ids.select(slot(*columns).alias("slot")).distinct()
+def bitmap(ids: DataFrame, at: Column):
+    """A broadcast of packed bits, set at the slots (at) of ids; at most 1024 rows of 8192 numbers come to the driver."""
+    slots = ids.select(at.cast("int").alias("slot")).distinct()
     parts = slots.groupBy(F.shiftright("slot", 13).alias("part")).agg(F.collect_list(F.col("slot").bitwiseAND(F.lit(8191)).cast("smallint")).alias("bits"))
     found = np.zeros((1 << BITS - 13, 8192), np.bool_)
     for row in parts.toLocalIterator():
@@ -26,4 +26,4 @@ def bitmap(ids: DataFrame, *columns: str):
 
 
 def holds(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)
+    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)

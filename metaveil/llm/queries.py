@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metaveil.llm import decontaminate, exact_dedup, main_text, mixing, pii, quality, simhash, substring_dedup, token_planes
+from metaveil.llm import decontaminate, exact_dedup, line_dedup, main_text, mixing, pii, quality, simhash, substring_dedup, token_planes
 from metaveil.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_main_text": op4_main_text,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,

@@ -218,7 +218,7 @@ def factor(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reference = materialise(reference.join(shared, "anchor").select("anchor", "one", "two", "owner", "variants"), "reference")
     met = seen.join(reference, ["anchor", "one", "two"]).where("doc > owner OR variants > 1")
     met = materialise(met.select("doc", "mark", "first", "last", (F.col("doc") > F.col("owner")).alias("copied")), "met")
-    bits = bitmap(met, "doc")
+    bits = bitmap(met, slot("doc"))
     texts = _sources(docs).withColumn("slot", slot("doc")).mapInArrow(_pick(bits), TEXTS)
     texts = materialise(texts, "texts")
     once = texts.dropDuplicates(["doc", "mark"])
