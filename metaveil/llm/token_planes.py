@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,12 @@ class Encoder:
 
     A space followed by anything but white space always starts a new pre-token of this kind of tokenizer, so the text
     between two such spaces can be encoded by itself; so can letters and the stop, comma or single line feed after them.
-    Texts with other runs of spaces, or with a very long word, are encoded whole. The memory is bounded by cache_words.
+    Texts with other runs of spaces, or with a very long word, are encoded whole. Words are remembered in two generations of at
+    most cache_words each: when the younger is full it becomes the older, and words of the older that come again move to the
+    younger, so that frequent words stay and memory is bounded.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000, longest: int = 128):
+    def __init__(self, path: str, cache_words: int = 150_000, longest: int = 128):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,14 +71,18 @@ class Encoder:
         self.cache_words, self.longest = cache_words, longest
         self.heads: dict[str, bytes] = {}  # without a space before them
         self.words: dict[str, bytes] = {}  # with one
+        self.older: dict[str, bytes] = {}
         self.marks = dict(zip(("", ".", ",", "\n"), self.whole(["", ".", ",", "\n"])))
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), 1000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
 
-    def learn(self, new: set[str]) -> None:
-        """Put words, and the words that they are made of, into the memory."""
-        made, words, heads = {}, set(), set()
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of words. They are remembered, but for pairs of words on two lines: those are made of words that are."""
+        out, made, words, heads = {}, {}, set(), set()
         for w in new:
             m = PLAIN.fullmatch(w)
             if m and (m[2] or m[3]) and m[1].isalpha() and (m[4] is None or m[4].isalpha()):
@@ -84,19 +91,31 @@ class Encoder:
                 heads.add(m[4] or "")
             else:
                 words.add(w)
-        words, heads = list(words.difference(self.words)), list(heads.difference(self.heads))
-        self.words.update(zip(words, self.whole([" " + w for w in words])))
-        self.heads.update(zip(heads, self.whole(heads)))
+        fresh = []
+        for w in words:
+            ids = self.words.get(w) or self.older.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                out[w] = ids
+        fresh_heads = list(heads.difference(self.heads))
+        out.update(zip(fresh, self.whole([" " + w for w in fresh])))
+        self.heads.update(zip(fresh_heads, self.whole(fresh_heads)))
+        self.words.update(out)
         for w, (word, mark, line, head, end) in made.items():
-            self.words[w] = self.words[word] + self.marks[mark]
+            ids = out[word] + self.marks[mark]
             if line:
-                self.words[w] += self.marks[line] + self.heads[head] + self.marks[end]
+                ids += self.marks[line] + self.heads[head] + self.marks[end]
+            else:
+                self.words[w] = ids
+            out[w] = ids
+        return out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         head, *words = text.split(" ")
         if len(self.words) > self.cache_words:
-            self.words = {}
+            self.words, self.older = {}, self.words
         if len(self.heads) > self.cache_words // 8:
             self.heads = {}
         known = list(map(self.words.get, words))
@@ -105,9 +124,9 @@ class Encoder:
             unknown = {words[i] for i in new}
             if "" in unknown or any(len(w) > self.longest or w[0].isspace() for w in unknown):
                 return self.whole([text])[0]
-            self.learn(unknown)
+            learned = self.learn(unknown)
             for i in new:
-                known[i] = self.words[words[i]]
+                known[i] = learned[words[i]]
         if head not in self.heads:
             if len(head) > self.longest:
                 return self.whole([text])[0]
@@ -115,6 +134,12 @@ class Encoder:
         return self.heads[head] + b"".join(known)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: it keeps what it has learned from one task to the next."""
+    return Encoder(path)
+
+
 def to_planes(ids: np.ndarray, kind: str, level: int = 3) -> list[bytes]:
     """Compressed planes of unsigned 32-bit ids, lowest bit or byte first, up to the highest one used."""
     bits = int(ids.max(initial=0)).bit_length()
@@ -146,7 +171,7 @@ def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int):
     """Batches of a shard's (doc_id, text), in order, to block rows. Holds one block and one text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         shard, schema = TaskContext.get().partitionId(), to_arrow_schema(BLOCKS)
         end = array("I", [end_id]).tobytes()
         buffer, pieces = bytearray(), []  # pieces: [doc_no, doc_id, ids in this block]
