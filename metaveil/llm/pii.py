@@ -156,6 +156,10 @@ def bootstrap(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) ->
     return sure.where((F.col("confidence") >= CONFIDENCE) & shaped).select("kind", "value")
 
 
+def _is_kind(k: int):
+    return lambda s: s["kind"] == k  # a second parameter would be taken for the index
+
+
 def _joined(spans: str) -> F.Column:
     """kind:start:end, comma-joined, by kind as listed and start."""
     name = F.array(*[F.lit(k) for k in KINDS])
@@ -171,7 +175,7 @@ def find(docs: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataF
     new = bootstrap(seen, support, rounds)
     more = seen.where("kind < 0").drop("kind").join(new, "value")
     more = more.groupBy("row").agg(F.collect_set(F.struct("kind", F.col("start"), F.col("end"))).alias("more"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     none = F.array().cast(_spans_type())
     return found.join(more, "row", "left").select(
         "doc_id",
