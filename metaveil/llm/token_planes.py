@@ -21,7 +21,6 @@ doc_id are documents of their own in the order of their texts, an empty table gi
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -49,8 +48,69 @@ PIECES = struct(shard="int", doc_no="bigint", doc_id="bigint", first="bigint", n
 IDS = struct(start="bigint", ids="array<bigint>")
 
 
-#: A word of letters, perhaps with a stop or comma, perhaps followed by a line feed and another such word: its pre-tokens.
-PLAIN = re.compile(r"([^\W\d_]+)([.,]?)(?:(\n)([^\W\d_]+)([.,]?))?")
+#: Letters from here on are left to the tokenizer, whose tables of letters may be older or younger than Python's.
+PLAIN_END = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it is printable, else the next from U+0100 on."""
+    letters, other = {}, 0x100
+    for byte in range(256):
+        if 0x21 <= byte <= 0x7E or 0xA1 <= byte <= 0xAC or byte >= 0xAE:
+            letters[byte] = chr(byte)
+        else:
+            letters[byte], other = chr(other), other + 1
+    return letters
+
+
+class _Unsplit(Exception):
+    """The text can't be encoded word by word."""
+
+
+class Words(dict):
+    """The ids of words with a space (or nothing) before them, made when they are first asked for."""
+
+    def __init__(self, tokenizer, space: str, most: int, longest: int):
+        self.encode, self.tokenize = tokenizer.encode_batch_fast, tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.space, self.first, self.most, self.longest = space, space.translate(self.letters), most, longest
+        self.older: dict[str, bytes] = {}
+        self.heads = self
+        self.marks = {mark: self.whole(mark) for mark in ".,\n"}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.made(word)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def made(self, word: str) -> bytes:
+        if not word or len(word) > self.longest or word[0].isspace():
+            raise _Unsplit
+        if word.isalpha():
+            if word.isascii():
+                return array("I", [t.id for t in self.tokenize(self.first + word)]).tobytes()
+            if max(word) < PLAIN_END:
+                return array("I", [t.id for t in self.tokenize(self.first + word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        elif word[-1] in ".," and word[:-1].isalpha():
+            return self[word[:-1]] + self.marks[word[-1]]
+        else:
+            line, feed, head = word.partition("\n")
+            if feed and self.plain(line) and self.plain(head):
+                return self[line] + self.marks[feed] + self.heads[head]
+        return self.whole(self.space + word)
+
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Letters, perhaps with a stop or comma."""
+        return word.isalpha() or word[-1:] in (".", ",") and word[:-1].isalpha()
 
 
 class Encoder:
@@ -58,80 +118,27 @@ class Encoder:
 
     A space followed by anything but white space always starts a new pre-token of this kind of tokenizer, so the text
     between two such spaces can be encoded by itself; so can letters and the stop, comma or single line feed after them.
-    Texts with other runs of spaces, or with a very long word, are encoded whole. Words are remembered in two generations of at
-    most cache_words each: when the younger is full it becomes the older, and words of the older that come again move to the
-    younger, so that frequent words stay and memory is bounded.
+    Words of letters go to the tokenizer's model at once, others to the whole tokenizer. Texts with other runs of spaces, or
+    with a very long word, are encoded whole. Words are remembered in two generations of at most cache_words each: when the
+    younger is full it becomes the older, and words of the older that come again move to the younger, so that frequent words
+    stay and memory is bounded.
     """
 
     def __init__(self, path: str, cache_words: int = 150_000, longest: int = 128):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache_words, self.longest = cache_words, longest
-        self.heads: dict[str, bytes] = {}  # without a space before them
-        self.words: dict[str, bytes] = {}  # with one
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(("", ".", ",", "\n"), self.whole(["", ".", ",", "\n"])))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 1000):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
-        return out
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of words. They are remembered, but for pairs of words on two lines: those are made of words that are."""
-        out, made, words, heads = {}, {}, set(), set()
-        for w in new:
-            m = PLAIN.fullmatch(w)
-            if m and (m[2] or m[3]) and m[1].isalpha() and (m[4] is None or m[4].isalpha()):
-                made[w] = m.groups()
-                words.add(m[1])
-                heads.add(m[4] or "")
-            else:
-                words.add(w)
-        fresh = []
-        for w in words:
-            ids = self.words.get(w) or self.older.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                out[w] = ids
-        fresh_heads = list(heads.difference(self.heads))
-        out.update(zip(fresh, self.whole([" " + w for w in fresh])))
-        self.heads.update(zip(fresh_heads, self.whole(fresh_heads)))
-        self.words.update(out)
-        for w, (word, mark, line, head, end) in made.items():
-            ids = out[word] + self.marks[mark]
-            if line:
-                ids += self.marks[line] + self.heads[head] + self.marks[end]
-            else:
-                self.words[w] = ids
-            out[w] = ids
-        return out
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.words = Words(tokenizer, " ", cache_words, longest)
+        self.words.heads = self.heads = Words(tokenizer, "", cache_words // 8, longest)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         head, *words = text.split(" ")
-        if len(self.words) > self.cache_words:
-            self.words, self.older = {}, self.words
-        if len(self.heads) > self.cache_words // 8:
-            self.heads = {}
-        known = list(map(self.words.get, words))
-        new = [i for i, ids in enumerate(known) if ids is None]
-        if new:
-            unknown = {words[i] for i in new}
-            if "" in unknown or any(len(w) > self.longest or w[0].isspace() for w in unknown):
-                return self.whole([text])[0]
-            learned = self.learn(unknown)
-            for i in new:
-                known[i] = learned[words[i]]
-        if head not in self.heads:
-            if len(head) > self.longest:
-                return self.whole([text])[0]
-            self.heads[head] = self.whole([head])[0]
-        return self.heads[head] + b"".join(known)
+        try:
+            return (self.heads[head] if head else b"") + b"".join(map(self.words.__getitem__, words))
+        except _Unsplit:
+            return self.words.whole(text)
 
 
 @lru_cache(maxsize=1)
