@@ -82,6 +82,14 @@ class Words(dict):
         return array("I", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        if not word or len(word) > self.longest or word[0].isspace():
+            raise _Unsplit
+        if not word.isalpha():  # made of words that are remembered, if it is plain
+            if word[-1] in self.marks and word[:-1].isalpha():
+                return self[word[:-1]] + self.marks[word[-1]]
+            line, feed, head = word.partition("\n")
+            if feed and self.plain(line) and self.plain(head):
+                return self[line] + self.marks[feed] + self.heads[head]
         ids = self.older.get(word)
         if ids is None:
             ids = self.made(word)
@@ -92,20 +100,11 @@ class Words(dict):
         return ids
 
     def made(self, word: str) -> bytes:
-        if not word or len(word) > self.longest or word[0].isspace():
-            raise _Unsplit
-        if word.isalpha():
-            if word.isascii():
-                return array("I", [t.id for t in self.tokenize(self.first + word)]).tobytes()
-            if max(word) < PLAIN_END:
-                return array("I", [t.id for t in self.tokenize(self.first + word.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        elif word[-1] in ".," and word[:-1].isalpha():
-            return self[word[:-1]] + self.marks[word[-1]]
-        else:
-            line, feed, head = word.partition("\n")
-            if feed and self.plain(line) and self.plain(head):
-                return self[line] + self.marks[feed] + self.heads[head]
-        return self.whole(self.space + word)
+        if not word.isalpha() or max(word) >= PLAIN_END:
+            return self.whole(self.space + word)
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(self.first + word)]).tobytes()
 
     @staticmethod
     def plain(word: str) -> bool:
@@ -124,7 +123,7 @@ class Encoder:
     stay and memory is bounded.
     """
 
-    def __init__(self, path: str, cache_words: int = 150_000, longest: int = 128):
+    def __init__(self, path: str, cache_words: int = 600_000, longest: int = 128):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -283,13 +282,15 @@ def crc32_join(crc_a: int, crc_b: int, bytes_b: int) -> int:
 def _join_crcs(parts):
     import pandas as pd
 
-    def one(pieces) -> int:
+    def one(pieces) -> int | None:
+        if pieces is None:
+            return None
         crc = int(pieces[0]["crc"])
         for p in pieces[1:]:
             crc = crc32_join(crc, int(p["crc"]), 4 * int(p["n_ids"]))
         return crc
 
-    return pd.Series([one(p) for p in parts], dtype="int64")
+    return pd.Series([one(p) for p in parts], dtype="Int64")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -307,7 +308,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         "doc_id",
         (F.col("base") + F.col("first")).alias("start"),
         "n_tokens",
-        _join_crcs("parts").alias("ids_crc32"),
+        F.coalesce(_join_crcs(F.when(F.size("parts") > 1, F.col("parts"))), F.col("parts")[0]["crc"]).alias("ids_crc32"),
         "shard",
         F.size("parts").alias("blocks"),
     )
