@@ -39,6 +39,7 @@ from metaveil.llm.common import scratch, small_batches, struct, with_columns
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
+CACHE_WORDS = 600_000
 
 BLOCKS = struct(
     shard="int", block="int", first="bigint", n_ids="int", width="int", kind="string", planes="array<binary>",
@@ -123,7 +124,7 @@ class Encoder:
     stay and memory is bounded.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000, longest: int = 128):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, longest: int = 128):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -141,9 +142,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, cache_words: int) -> Encoder:
     """A worker's encoder: it keeps what it has learned from one task to the next."""
-    return Encoder(path)
+    return Encoder(path, cache_words)
 
 
 def to_planes(ids: np.ndarray, kind: str, level: int = 3) -> list[bytes]:
@@ -173,11 +174,11 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(octets).view("<u4").reshape(-1)
 
 
-def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int):
+def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int, cache_words: int):
     """Batches of a shard's (doc_id, text), in order, to block rows. Holds one block and one text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, cache_words)
         shard, schema = TaskContext.get().partitionId(), to_arrow_schema(BLOCKS)
         end = array("I", [end_id]).tobytes()
         buffer, pieces = bytearray(), []  # pieces: [doc_no, doc_id, ids in this block]
@@ -211,12 +212,16 @@ def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block_ids: int = BLOCK_IDS, end_id: int = END_ID) -> None:
-    """Encode docs (doc_id, text) and write blocks and index under path. tokenizer: a file of the tokenizers library."""
+def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block_ids: int = BLOCK_IDS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> None:
+    """Encode docs (doc_id, text) and write blocks and index under path.
+
+    tokenizer: a file of the tokenizers library; cache_words: words that a worker remembers, in each of two generations (some
+    250 bytes each).
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = with_columns(docs, doc_id="bigint", text="string").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_write_shard(tokenizer, kind, block_ids, end_id), BLOCKS).write.parquet(f"{path}/blocks")
+    rows.mapInArrow(_write_shard(tokenizer, kind, block_ids, end_id, cache_words), BLOCKS).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     index = blocks.join(F.broadcast(_bases(blocks)), "shard").select("shard", "block", (F.col("base") + F.col("first")).alias("start"), "n_ids")
     index.write.parquet(f"{path}/index")
