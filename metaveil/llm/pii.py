@@ -2,15 +2,19 @@
 
 Base: e-mail addresses, IP addresses, card and phone numbers by their patterns, leftmost and without overlap within a kind.
 
-Bootstrapping: the base entities are the seeds. Every seed, and every other token that looks like an identifier, stands in
-lexical contexts (the word before it, the two words before it, the words on both sides); these are the patterns. Patterns and
-the distinct values in them form a bipartite graph, which Spark scores in turns:
+Bootstrapping: the base entities are the seeds. Every seed, every other token that looks like an identifier, and every run of
+neighbouring groups of digits (also masked with x or *, or with an area code in brackets) stands in lexical contexts (the word
+before it, the two words before it, the words on both sides); these are the patterns. A run that is longer than a number of its
+kind can be gives its longest stretches that are not. Candidates that begin at one place are readings of one thing: they count
+once in the size of a pattern, with the surest of them. Patterns and the distinct values in them form a bipartite graph, which
+Spark scores in turns:
 
 * a pattern's score for a kind is the mean confidence of its distinct values in that kind, if SUPPORT distinct seeds back it;
 * a value's confidence in a kind is 1 - product(1 - score) over its patterns that score at least PATTERN_SCORE; seeds keep 1.
 
 After ROUNDS turns, tokens of a kind's shape whose value is at least CONFIDENCE sure become spans of that kind, unless they
-overlap a base span. Base spans always stay; the counts are of base spans.
+overlap a base span; of those of a kind that overlap each other, the leftmost and longest. Base spans always stay; the counts
+are of base spans.
 
 Defined cases: a null text is empty; an empty text has no spans; rows that repeat a doc_id each get their row; spans count in
 code points, ends exclusive; an empty table gives no rows; other columns are ignored.
@@ -18,7 +22,9 @@ code points, ends exclusive; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,16 +47,22 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 #: A token with a digit or an at-sign, without quotes, brackets and stops around it.
 TOKEN = re.compile(r"[^\s\"'()<>\[\]{},;]+")
+#: Groups of digits, each perhaps with x, *, stops, hyphens or slashes in it, between single spaces; groups may be bracketed.
+_GROUP = r"(?>[0-9xX*]+(?:[./-][0-9xX*]+)*)(?![./-]?\w|@)"
+RUN = re.compile(rf"(?<![^\s\"'(<\[{{,;:=|])\+?(?:\({_GROUP}\)[ -]?)?{_GROUP}(?:(?: [-/] | ?\({_GROUP}\)[ -]?| ){_GROUP})*")
+PIECE = re.compile("[^ ]+")
+#: Fewest characters of a run, and most for a phone and a card number (as in SHAPES). Longer values are known by their hashes.
+RUN_LEAST, RUN_MOST, LONG = 7, (22, 26), 64
 #: The shape that a discovered value of each kind must have.
 SHAPES = {
     "email": r"^[^@]+@[^@]+$",
     "ip": r"^[0-9A-Fa-f]{1,4}([.:][0-9A-Fa-f]{0,4}){3,7}$",
     "card": r"^[0-9][0-9 .*xX-]{10,24}[0-9]$",
-    "phone": r"^[+0-9][0-9 ./-]{5,20}[0-9]$",
+    "phone": r"^[+(0-9][0-9 ()./-]{5,20}[0-9]$",
 }
 
 _SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_SEEN = T.StructType([*_SPAN.fields, T.StructField("value", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
+_SEEN = T.StructType([*_SPAN.fields, T.StructField("value", T.StringType()), T.StructField("slot", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
 FOUND = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("base", T.ArrayType(_SPAN)), T.StructField("seen", T.ArrayType(_SEEN))]
 )
@@ -105,20 +117,75 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [f"1 {near}", f"2 {' '.join(left) or '^'}", f"3 {near} _ {right[0] if right else '$'}"]
 
 
-def seen_values(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """Seeds (with their kinds) and other identifier-like tokens (kind -1), with their contexts."""
-    out = [(k, a, b, text[a:b].lower(), contexts(text, a, b)) for k, a, b in base]
-    if "@" not in text and not DIGIT.search(text):
-        return out
-    taken, at = sorted((a, b) for _, a, b in base), 0
+def stretches(text: str, pieces: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The longest stretches of neighbouring pieces that are no longer than a phone or a card number can be."""
+    found = set()
+    for most in RUN_MOST:
+        end = last = 0
+        for first, (a, _) in enumerate(pieces):
+            end = max(end, first)
+            while end < len(pieces) and pieces[end][1] - a <= most:
+                end += 1
+            if end <= max(first, last):
+                continue
+            last, whole = end, text[a : pieces[end - 1][1]]
+            start, value = a + len(whole) - len(whole.lstrip(" /*xX-")), whole.strip(" /*xX-")
+            if len(value) >= RUN_LEAST and (" " in value or "(" in value) and value.count("(") == value.count(")"):
+                found.add((start, start + len(value)))
+    yield from sorted(found)
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of identifier-like tokens and of runs of groups of digits, outside of base spans."""
+    starts, ends = [], []  # of the base spans, joined where they overlap
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_right(ends, a)
+        return at == len(starts) or starts[at] >= b
+
     for m in TOKEN.finditer(text):
         a, b = m.start(), m.start() + len(m[0].rstrip(".:!?|=\\"))
-        if b - a < 5 or b - a > 64 or not ("@" in m[0] or DIGIT.search(m[0])):
-            continue
-        while at < len(taken) and taken[at][1] <= a:
-            at += 1
-        if at == len(taken) or min(s for s, _ in taken[at:at + 4]) >= b:
-            out.append((-1, a, b, text[a:b].lower(), contexts(text, a, b)))
+        if b - a >= 5 and ("@" in m[0] or DIGIT.search(m[0])) and free(a, b):
+            yield a, b
+    for m in RUN.finditer(text):
+        pieces: list[tuple[int, int]] = []
+        for piece in PIECE.finditer(text, *m.span()):
+            if free(*piece.span()):
+                pieces.append(piece.span())
+            else:
+                yield from stretches(text, pieces)
+                pieces = []
+        yield from stretches(text, pieces)
+
+
+def key(value: str) -> str:
+    """The value in small letters; of a long one a hash, which has the shape of an address if the value has."""
+    if len(value) <= LONG:
+        return value.lower()
+    mark = "@" if re.match(SHAPES["email"], value) else " "
+    return f"long{mark}{hashlib.blake2b(value.lower().encode(errors='surrogatepass'), digest_size=16).hexdigest()}"
+
+
+def seen_values(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str | None, list[str]]]:
+    """Seeds (with their kinds) and candidates (kind -1), with their contexts: kind, start, end, value, slot, patterns.
+
+    slot: the value of the longest candidate that begins there, if that is another one.
+    """
+    out = [(k, a, b, text[a:b].lower(), None, contexts(text, a, b)) for k, a, b in base]
+    if "@" not in text and not DIGIT.search(text):
+        return out
+    places, longest = list(candidates(text, base)), {}
+    for a, b in places:
+        longest[a] = max(b, longest.get(a, b))
+    for a, b in places:
+        slot = None if b == longest[a] else key(text[a : longest[a]])
+        out.append((-1, a, b, key(text[a:b]), slot, contexts(text, a, b)))
     return out
 
 
@@ -129,27 +196,30 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             spans = base_spans(text or "")
             base.append([dict(kind=k, start=a, end=b) for k, a, b in spans])
-            seen.append([dict(kind=k, start=a, end=b, value=v, patterns=p) for k, a, b, v, p in seen_values(text or "", spans)])
+            seen.append([dict(kind=k, start=a, end=b, value=v, slot=s, patterns=p) for k, a, b, v, s, p in seen_values(text or "", spans)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, schema.field(1).type), pa.array(seen, schema.field(2).type)], schema=schema)
 
 
 def bootstrap(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """kind, value: values that are no seeds, of which good patterns are sure. seen: kind (-1: none), value, patterns."""
-    edges = materialise(seen.select("kind", "value", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
+    """kind, value: values that are no seeds, of which good patterns are sure. seen: kind (-1: none), value, slot, patterns."""
+    slot = F.coalesce("slot", "value").alias("slot")
+    edges = materialise(seen.select("kind", "value", slot, F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("size"))
+    sizes = edges.groupBy("pattern").agg(F.countDistinct("slot").alias("size"))
     backed = materialise(seeds.where(F.col("seeds") >= support).join(sizes, "pattern"), "pii-patterns")
-    rest = edges.where("kind < 0").select("value", "pattern")
+    rest = edges.where("kind < 0").select("value", "slot", "pattern")
+    places = rest.select("value", "pattern").distinct()
     sure = None
     for _ in range(rounds):
         gained = backed.select("pattern", "kind", F.lit(0.0).alias("gain"))
         if sure is not None:
-            gained = rest.join(sure, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("gain"))
+            best = rest.join(sure, "value").groupBy("pattern", "kind", "slot").agg(F.max("confidence").alias("confidence"))
+            gained = best.groupBy("pattern", "kind").agg(F.sum("confidence").alias("gain"))
         score = (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("size")
         scored = backed.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", score.alias("score"))
         good = scored.where(F.col("score") >= PATTERN_SCORE)
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-        sure = materialise(rest.join(good, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("confidence")), "pii-sure")
+        sure = materialise(places.join(good, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("confidence")), "pii-sure")
     shaped = F.lit(False)
     for k, kind in enumerate(KINDS):
         shaped = shaped | ((F.col("kind") == k) & F.col("value").rlike(SHAPES[kind]))
@@ -166,6 +236,18 @@ def _joined(spans: str) -> F.Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _apart(spans: str) -> F.Column:
+    """Of (kind, start, -end), as spans: the leftmost and longest of each kind, without overlap."""
+
+    def add(kept: F.Column, s: F.Column) -> F.Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        again = (last["kind"] == s["kind"]) & (last["end"] > s["start"])
+        span = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end"))
+        return F.when(again, kept).otherwise(F.concat(kept, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_spans_type()), add)
+
+
 def find(docs: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -174,7 +256,8 @@ def find(docs: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataF
     seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     new = bootstrap(seen, support, rounds)
     more = seen.where("kind < 0").drop("kind").join(new, "value")
-    more = more.groupBy("row").agg(F.collect_set(F.struct("kind", F.col("start"), F.col("end"))).alias("more"))
+    more = more.groupBy("row").agg(F.collect_set(F.struct("kind", F.col("start"), (-F.col("end")).alias("back"))).alias("more"))
+    more = more.select("row", _apart("more").alias("more"))
     counts = [F.size(F.filter("base", _is_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     none = F.array().cast(_spans_type())
     return found.join(more, "row", "left").select(

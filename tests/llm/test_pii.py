@@ -33,6 +33,33 @@ def test_good_patterns_find_unseen_values(spark):
     assert found[100].spans == "" and found[0].n_phone == 1
 
 
+def test_numbers_in_groups_are_found(spark):
+    rows = [(i, f"some words office phone: +1 (456) 555-2{i:03d} end") for i in range(30)]
+    cards = [f"4111 1111 1111 {n:04d}" for n in range(300) if pii.luhn(f"411111111111{n:04d}")]
+    rows += [(200 + i, f"some words charge card: {card} end") for i, card in enumerate(cards)]
+    rows += [(i, f"some words write to: a{i}@b.example end") for i in range(60, 80)]
+    long = f"{'müller.' * 12}@firma"
+    new = {
+        90: ("office phone: ", "555 0199 12", "phone"), 91: ("office phone: ", "(089) 555 0199", "phone"), 92: ("office phone: ", "(089)555-0199", "phone"),
+        93: ("office phone: ", "089555 0199", "phone"), 94: ("charge card: ", "4111 xxxx xxxx 1111", "card"), 95: ("charge card: ", "4111-xxxx-xxxx-1111", "card"),
+        96: ("write to: ", long, "email"),
+    }
+    rows += [(i, f"some words {before}{value} end") for i, (before, value, _) in new.items()]
+    found = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    for i, (before, value, kind) in new.items():
+        start = len("some words " + before)
+        assert found[i] == f"{kind}:{start}:{start + len(value)}"
+
+
+def test_runs_of_groups():
+    def runs(text):
+        return [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text)) if " " in text[a:b] or "(" in text[a:b]]
+
+    assert runs("555 0199. 12 or 12th 555 0199 12th, a1 555 (0199)") == ["555 0199"] * 2
+    assert runs("call 555 0199 12 10.0.0.1 089 - 555 01") == ["555 0199 12", "089 - 555 01"]
+    assert sorted(runs("n " + "1234 " * 6)) == ["1234 1234 1234 1234"] * 3 + ["1234 1234 1234 1234 1234"] * 2
+
+
 def test_odd_rows(spark):
     assert pii.find(documents(spark)).count() == len(odd_texts())
     assert pii.find(frame(spark, [])).count() == 0
