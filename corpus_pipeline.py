@@ -30,7 +30,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in files, and what is read back of each document. The workers keep few words: they hold the other stages too."""
-    return token_planes.encode_and_read(docs, cache_words=150_000)
+    return token_planes.encode_and_read(docs, cache_words=150_000, special=True)
 
 
 STAGES = [

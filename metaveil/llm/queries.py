@@ -9,7 +9,7 @@ from metaveil.llm.common import table
 
 
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_planes.encode_and_read(table(spark, sf_dir, "documents"))
+    return token_planes.encode_and_read(table(spark, sf_dir, "documents"), special=True)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

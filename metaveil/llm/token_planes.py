@@ -122,18 +122,25 @@ class Encoder:
     with a very long word, are encoded whole. Words are remembered in two generations of at most cache_words each: when the
     younger is full it becomes the older, and words of the older that come again move to the younger, so that frequent words
     stay and memory is bounded.
+
+    special: a special token of the file that stands in a text gets its own id, as the library gives it, and such texts are
+    encoded whole; else its letters are encoded like any others.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS, longest: int = 128):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, longest: int = 128, special: bool = False):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not special
+        added = tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if special or not t.special]
         self.words = Words(tokenizer, " ", cache_words, longest)
         self.words.heads = self.heads = Words(tokenizer, "", cache_words // 8, longest)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(token in text for token in self.added):
+            return self.words.whole(text)
         head, *words = text.split(" ")
         try:
             return (self.heads[head] if head else b"") + b"".join(map(self.words.__getitem__, words))
@@ -142,9 +149,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str, cache_words: int) -> Encoder:
+def encoder_of(path: str, cache_words: int, special: bool) -> Encoder:
     """A worker's encoder: it keeps what it has learned from one task to the next."""
-    return Encoder(path, cache_words)
+    return Encoder(path, cache_words, special=special)
 
 
 def to_planes(ids: np.ndarray, kind: str, level: int = 3) -> list[bytes]:
@@ -174,11 +181,11 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(octets).view("<u4").reshape(-1)
 
 
-def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int, cache_words: int):
+def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int, cache_words: int, special: bool):
     """Batches of a shard's (doc_id, text), in order, to block rows. Holds one block and one text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer, cache_words)
+        encoder = encoder_of(tokenizer, cache_words, special)
         shard, schema = TaskContext.get().partitionId(), to_arrow_schema(BLOCKS)
         end = array("I", [end_id]).tobytes()
         buffer, pieces = bytearray(), []  # pieces: [doc_no, doc_id, ids in this block]
@@ -212,16 +219,16 @@ def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int, cache_w
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block_ids: int = BLOCK_IDS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", block_ids: int = BLOCK_IDS, end_id: int = END_ID, cache_words: int = CACHE_WORDS, special: bool = False) -> None:
     """Encode docs (doc_id, text) and write blocks and index under path.
 
     tokenizer: a file of the tokenizers library; cache_words: words that a worker remembers, in each of two generations (some
-    250 bytes each).
+    250 bytes each); special: see Encoder.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = with_columns(docs, doc_id="bigint", text="string").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_write_shard(tokenizer, kind, block_ids, end_id, cache_words), BLOCKS).write.parquet(f"{path}/blocks")
+    rows.mapInArrow(_write_shard(tokenizer, kind, block_ids, end_id, cache_words, special), BLOCKS).write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     index = blocks.join(F.broadcast(_bases(blocks)), "shard").select("shard", "block", (F.col("base") + F.col("first")).alias("start"), "n_ids")
     index.write.parquet(f"{path}/index")

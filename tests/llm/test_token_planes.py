@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from metaveil.llm import token_planes
+import corpus_pipeline
+from metaveil.llm import queries, token_planes
 from tests.llm.cases import SF, documents, frame, odd_texts
 
 
@@ -49,6 +50,20 @@ def test_files_hold_every_id(spark, tmp_path, kind, block):
     assert [found[k] for k in range(100, 600)] == ids[100:600]
 
 
+def test_queries_give_special_tokens_their_ids(spark, tmp_path):
+    library = Tokenizer.from_file(token_planes.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n <|endoftext|>y  z", "a<|endoftext|>.\n b", "a <|endoftext b"]
+    encoder = token_planes.Encoder(token_planes.default_tokenizer(), special=True)
+    want = [[*library.encode(text, add_special_tokens=False).ids, 0] for text in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    assert [array("I", encoder.encode(text)).tolist() + [0] for text in texts] == want
+    docs = frame(spark, list(enumerate(texts)))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    for got in queries.op1_token_planes(spark, f"file://{tmp_path}"), corpus_pipeline.token_output(spark, docs, ""):
+        crcs = [r.ids_crc32 for r in got.orderBy("doc_id").collect()]
+        assert crcs == [zlib.crc32(array("I", ids).tobytes()) for ids in want]
+
+
 def test_empty_table(spark):
     assert token_planes.encode_and_read(frame(spark, [])).count() == 0
 
