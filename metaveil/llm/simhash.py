@@ -36,6 +36,7 @@ SHARD_SIZE = 2048
 GROUPS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 PRINTS = struct(doc_id="bigint", fp="bigint")
+HASHED_PRINTS = struct(doc_id="bigint", fp="bigint", text_hash="bigint")
 LINKS = struct(a="bigint", b="bigint")
 
 
@@ -64,16 +65,19 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(PRINTS)
     for batch in batches:
         found = [fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], schema=schema)
+        schema = to_arrow_schema(HASHED_PRINTS if batch.num_columns > 2 else PRINTS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *batch.columns[2:]], schema=schema)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and if hashed, text_hash."""
     small_batches(docs.sparkSession)
-    return with_columns(docs, doc_id="bigint", text="string").mapInArrow(_fingerprints, PRINTS)
+    rows = with_columns(docs, doc_id="bigint", text="string")
+    if hashed:
+        return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_fingerprints, HASHED_PRINTS)
+    return rows.mapInArrow(_fingerprints, PRINTS)
 
 
 class BKTree:
@@ -193,22 +197,31 @@ def link(fps: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) ->
     return sharded.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_link_shards(radius), LINKS)
 
 
-def classify(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable over links)."""
-    prints = materialise(fingerprints(docs), "prints")
+def _roots(prints: DataFrame, radius: int, shard_size: int) -> DataFrame:
+    """fp, first (its smallest doc_id), root (the same in all of a component), one row for each fingerprint of prints."""
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(link(firsts.select("fp"), radius, shard_size))
     named = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "classes")
+    return materialise(named, "classes")
+
+
+def classify(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable over links)."""
+    prints = materialise(fingerprints(docs), "prints")
+    named = _roots(prints, radius, shard_size)
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = materialise(named.join(ids, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns. Rows without a doc_id stay."""
-    own = F.col("doc_id") == F.col("component_id")
-    kept = classify(docs, radius, shard_size).where(own).select(F.struct("doc_id").alias("__kept")).distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    joined = docs.join(kept, docs["doc_id"] == F.col("__kept.doc_id")).withColumn("__turn", turn).where("__turn = 1")
-    return joined.drop("__kept", "__turn").union(docs.where(docs["doc_id"].isNull()))
+    """One row of each group, with all its columns: the one with the smallest doc_id, then by its text's hash. Rows without a doc_id stay."""
+    prints = materialise(fingerprints(docs, hashed=True), "prints")
+    order = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    firsts = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    named = firsts.join(_roots(prints, radius, shard_size), "fp")
+    kept = named.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept").where("__kept IS NOT NULL")
+    id_, text_hash = docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"].cast("string"))
+    turn = F.row_number().over(Window.partitionBy("__kept.doc_id", "__kept.text_hash").orderBy("text"))
+    joined = docs.join(kept, (id_ == F.col("__kept.doc_id")) & (text_hash == F.col("__kept.text_hash")))
+    return joined.withColumn("__turn", turn).where("__turn = 1").drop("__kept", "__turn").union(docs.where(docs["doc_id"].isNull()))

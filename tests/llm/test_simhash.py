@@ -80,3 +80,10 @@ def test_empty_tables(spark):
     assert simhash.classify(frame(spark, [])).count() == 0
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
     assert simhash.keep_one(documents(spark).where("doc_id = 4")).count() == 1
+
+
+def test_keep_one_chooses_rows(spark):
+    a, b = (" ".join(words(200, seed)) for seed in (71, 72))
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, b), (7, None), (8, "")]
+    got = simhash.keep_one(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, a), (5, b), (None, b), (7, None)], key=str)
