@@ -1,10 +1,10 @@
-"""Passages that a document with a smaller doc_id has too, by relative Lempel-Ziv parsing.
+"""Passages that a document with a smaller doc_id has too, by joins of anchored blocks and windows, in place of a relative Lempel-Ziv parse.
 
 Every document is cut into blocks at places that its own words choose (the smallest hash among the ANCHOR-word runs of each
 WINDOW-word window), so that equal passages are cut alike wherever they stand. The distinct blocks, each with the smallest
-doc_id that has it, are the reference, indexed by their anchors over all documents. A document is then factored from left to
-right: a block that an earlier document has is copied whole, and neighbouring copies join to one long factor. At the factor
-boundaries, where blocks share their anchor with others but not all their words, the windows in them are compared one by one.
+doc_id that has it, are the reference, indexed by their anchors over all documents. In place of a greedy parse, blocks are joined
+by hash with their earliest owners, and where blocks share their anchor with others but not all their words, the windows in them
+are joined by hash one by one. No factors are built.
 As a block holds only windows with one anchor, and equal windows have equal anchors, that finds every window of WINDOW words
 which also starts in a document with a smaller doc_id, and no other. Words, blocks and windows are compared by 128-bit hashes.
 
