@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows an Arrow batch may hold: texts can be long, so a batch must stay small.
-BATCH_ROWS = 500
+#: Bytes an Arrow batch may hold: texts can be long, so a batch must stay small. One row may be larger.
+BATCH_BYTES = 2 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: What the contracts call white space, as a Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,14 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the bytes of Arrow batches for this session, unless it has a bound of its own."""
+    if spark.conf.get(BATCH_CONF) == "67108864b":  # as Spark has it
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where it is unset and all tasks run on this machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -1,156 +1,255 @@
 """Lines that are nearly the same as an earlier line, by an exact set-similarity join.
 
 A line is the set of its words; of two lines whose Jaccard similarity is at least 0.8 the later one (by doc_id, then line
-number) goes, whether or not the earlier one stays. Equal sets meet by a 128-bit hash and need no join; their first line stands
-for them in what follows:
+number) goes, whether or not the earlier one stays. Lines of the same words in the same order are copies: they meet by a
+128-bit hash and need no join. For all others:
 
-* its words are ordered by rarity: all words of all lines are counted in a table of fixed size by hash, which is broadcast;
+* words are ordered by rarity: all words of all lines are counted in a table of fixed size by hash, which is broadcast;
 * only a prefix of the rarest words (n - ceil(0.8 n) + 1 of n) can be all that similar lines share, so lines meet by the words
   of their prefixes, shuffled by word; frequent words are split into parts, and every two parts meet in a task of their own;
-* there, the length filter, the positional filter and a filter on 64-bit signatures drop what can't reach 0.8;
-* each line gets its KEEP earliest candidates in each meeting; a join with both word sets verifies them exactly. Lines that no
-  verified candidate removes and that have more get all of their candidates in a second turn, without a limit.
+* there, copies become one, and the length filter, the positional filter and a filter on 64-bit signatures drop what can't
+  reach 0.8;
+* each line keeps its few earliest candidates in each meeting; the word sets of candidates are read from the texts, and a join
+  with both sets verifies them exactly. Lines that no verified candidate removes and that had more candidates meet again by
+  themselves, with GROW times as many, until no such line is left.
 
-Defined cases: null and empty texts have one empty line; lines without words always stay; lines of rows with one doc_id are
-ordered by the rows' texts; a null doc_id comes first; an empty table gives no rows; other columns are ignored. A text may have
-up to 4 million lines.
+Texts are read and tokenised again in each pass (see words.py), for their sets would be larger than they are.
+
+Defined cases: null and empty texts have one empty line; lines without words always stay; rows with one doc_id are ordered by
+the MD5 of their text, a null text first; a null doc_id comes first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from metaveil.llm.bitmap import BITS, bitmap, holds
+from metaveil.llm.bitmap import Bitmap, bitmap
 from metaveil.llm.common import materialise, small_batches, struct, with_columns
-from metaveil.llm.substring_dedup import _Hashes, _mix
+from metaveil.llm.words import Tokens, mix
 
-LINE_BITS = 22
 RARITY_BITS = 18
-KEEP, PART_ROWS = 4, 20_000
-#: Shortest set that a different one can be similar to.
-LEAST = 4
-SLOTS = (1 << BITS) - 1
+KEEP, GROW, PART_ROWS = 2, 16, 20_000
+#: Most words and most copied lines that are known by name in a broadcast. Any other word has at most 1 / MOST of all rows.
+MOST = 1 << 18
+#: Copies from which on a line is known by name.
+COPIES = 64
+#: Meetings of up to so many lines are taken together.
+SMALL = 256
 
 LINES = struct(key="bigint", one="bigint", two="bigint")
-COUNTS = struct(bucket="int", n="bigint")
-PREFIXES = struct(word="bigint", part="int", key="bigint", n="int", at="int", bits="bigint")
+COUNTS = struct(word="bigint", n="bigint")
+PREFIXES = struct(meeting="bigint", shape="bigint", key="bigint", line="bigint", bits="bigint")
 CANDIDATES = struct(later="bigint", earlier="bigint", more="boolean")
 SETS = struct(key="bigint", words="array<bigint>")
 
 
-def _place_slot(key: Column) -> Column:
-    return (F.shiftright(key, LINE_BITS) * 31 + key.bitwiseAND(F.lit((1 << LINE_BITS) - 1))).bitwiseAND(F.lit(SLOTS))
+def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """place, doc_id, text: place orders documents; and how many bits a line's number takes."""
+    rows = with_columns(docs, doc_id="bigint", text="string")
+    n, ids, low, high, longest = rows.agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    bits = max(1, (longest or 0).bit_length())
+    if n >> (62 - bits):
+        raise ValueError("documents and their lines can't be numbered in 62 bits")
+    if n and n == ids and high - low < 1 << (62 - bits):
+        return rows.select((F.col("doc_id") - low).alias("place"), "doc_id", "text"), bits
+    ordered = rows.withColumn("digest", F.md5("text")).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    at = F.monotonically_increasing_id()
+    ordered = materialise(ordered.select(F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "doc_id", "text"), "placed")
+    offset, offsets = 0, []
+    for part, size in sorted(ordered.groupBy("part").count().collect()):  # one row for each partition
+        offsets.append((part, offset))
+        offset += size
+    offsets = rows.sparkSession.createDataFrame(offsets, "part bigint, offset bigint")
+    return ordered.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("at")).alias("place"), "doc_id", "text"), bits
+
+
+class Lines:
+    """The lines with words of batches of (place, text)."""
+
+    def __init__(self, bits: int):
+        self.bits, self.tokens = bits, Tokens()
+
+    def groups(self, batch: pa.RecordBatch, among: Bitmap | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """keys of lines, the number of words of each, and the words' hashes, in order; of all lines, or of those whose keys are among."""
+        places = batch.column(0).to_numpy()
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        first = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+        joined = b"\n".join(texts)
+        keys = np.repeat((places << self.bits) - first[:-1], np.diff(first)) + np.arange(first[-1])
+        if among is not None:
+            chosen = np.flatnonzero(among.holds(keys))
+            lines = joined.split(b"\n")
+            joined, keys = b"\n".join([lines[i] for i in chosen.tolist()]), keys[chosen]
+        held, before, after = [], 0, 0
+        for at, starts, _, hashes in self.tokens.chunks(joined):
+            ends = np.flatnonzero(np.frombuffer(joined, np.uint8, self.tokens.read, at) == 10)
+            before, after = after, after + len(ends)
+            held.append((before + np.searchsorted(ends, starts), hashes))
+            if len(ends):  # lines that went on into this chunk end in it
+                line, hashes = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(line, after))
+                held = [(line[cut:], hashes[cut:])]
+                if cut:
+                    yield self._counted(keys, line[:cut], hashes[:cut])
+        if held:
+            line, hashes = (np.concatenate(x) for x in zip(*held))
+            if len(line):
+                yield self._counted(keys, line, hashes)
 
+    @staticmethod
+    def _counted(keys: np.ndarray, line: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        return keys[line[starts]], np.diff(np.append(starts, len(line))), hashes
 
-def _place_slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys >> LINE_BITS) * 31 + (keys & ((1 << LINE_BITS) - 1))) & SLOTS
+    def named(self, counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each line as a sequence of words."""
+        starts = np.cumsum(counts) - counts
+        at = np.arange(len(hashes)) - np.repeat(starts, counts)
+        one, two = (np.add.reduceat(h * p, starts) for h, p in zip((hashes, hashes ^ (hashes >> np.uint64(29))), self.tokens.factors(at)))
+        return mix(one + counts.astype(np.uint64)).view(np.int64), mix(two ^ counts.astype(np.uint64)).view(np.int64)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """place, doc_id, text: place orders documents."""
-    rows = with_columns(docs, doc_id="bigint", text="string")
-    n, ids, low, high = rows.agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    if n and n == ids and high - low < 1 << 40:
-        return rows.select((F.col("doc_id") - low).alias("place"), "doc_id", "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text"), "placed")
-
-
-class _Sets:
-    """The distinct words of every line of a batch of documents, as flat arrays."""
-
-    def __init__(self):
-        self.hashes = _Hashes()
-
-    def load(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """keys of the lines with words, number of words of each, and their hashes, ordered within each line."""
-        words, counts, keys = [], [], []
-        for place, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            for number, line in enumerate((text or b"").split(b"\n")):
-                found = line.split()
-                if found:
-                    words += found
-                    counts.append(len(found))
-                    if number >> LINE_BITS:
-                        raise ValueError("a text has more lines than there are line numbers")
-                    keys.append(place << LINE_BITS | number)
-        values = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        line = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((values, line))
-        values, line = values[order], line[order]
-        new = np.ones(len(values), bool)
-        new[1:] = (values[1:] != values[:-1]) | (line[1:] != line[:-1])
-        values, line = values[new], line[new]
-        return np.array(keys, np.int64), np.bincount(line, minlength=len(counts)), values
-
-
-def _ids(counts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.cumsum(counts) - counts
-    out = []
-    for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-        sums = np.add.reduceat(_mix(values ^ np.uint64(salt)), starts) if len(values) else np.zeros(0, np.uint64)
-        out.append(_mix(sums + counts.astype(np.uint64)))
-    return out[0].view(np.int64), out[1].view(np.int64)
-
-
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets, schema = _Sets(), to_arrow_schema(LINES)
-    for batch in batches:
-        keys, counts, values = sets.load(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, _ids(counts, values))], schema=schema)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets, total = _Sets(), np.zeros(1 << RARITY_BITS, np.int64)
-    for batch in batches:
-        values = sets.load(batch)[2]
-        total += np.bincount((values >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], schema=to_arrow_schema(COUNTS))
-
-
-def _rarity(placed: DataFrame):
-    """How often the words of each bucket stand in lines: 2 ** RARITY_BITS numbers, broadcast."""
-    counts = placed.select("place", "text").mapInArrow(_count_words, COUNTS).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << RARITY_BITS, np.int64)
-    total[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    return placed.sparkSession.sparkContext.broadcast(total)
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _line_rows(bits: int):
+    """key and name of each line; at the end the counts of words (-1, bucket, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, schema, total = Lines(bits), to_arrow_schema(LINES), np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for keys, counts, hashes in lines.groups(batch):
+                total += np.bincount(_buckets(hashes), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, lines.named(counts, hashes))], schema=schema)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), -1)), pa.array(found), pa.array(total[found])], schema=schema)
+
+    return run
 
 
-def _prefix_rows(rarity, repeated, deferred: bool, part_rows: int):
-    """The prefixes of lines whose set certainly stands once, or (deferred) of the others."""
+class _Order:
+    """What tasks know of words and lines: how rare the buckets of words are, frequent words, and lines with many copies."""
+
+    def __init__(self, total: np.ndarray, copied: tuple[np.ndarray, ...], part_rows: int):
+        self.rank = np.empty(len(total), np.uint64)
+        self.rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+        self.often, self.copied, self.part_rows = total, copied, part_rows
+        self.words = self.rows = None
+
+    def parts(self, words: np.ndarray) -> np.ndarray:
+        """Into how many parts the rows of each word are split."""
+        often = self.often[_buckets(words)]
+        if self.words is not None and len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            often = np.where(self.words[at] == words, self.rows[at], 1)
+        elif self.words is not None:
+            often = np.ones_like(often)
+        return -(-often // self.part_rows)
+
+    def needless(self, keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which lines are later copies of a line with many."""
+        ones, twos, firsts = self.copied
+        if not len(ones):
+            return np.zeros(len(one), bool)
+        at = np.minimum(np.searchsorted(ones, one), len(ones) - 1)
+        return (ones[at] == one) & (twos[at] == two) & (firsts[at] != keys)
+
+
+class _Prefixes:
+    """Prefixes of the lines of a group."""
+
+    def __init__(self, order: _Order, bits: int):
+        self.order, self.lines = order, Lines(bits)
+
+    def of(self, batch: pa.RecordBatch, among: Bitmap | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        """word, line (index into the others), place in the line's order; key, number of distinct words, name and signature of lines."""
+        order = self.order
+        for keys, counts, hashes in self.lines.groups(batch, among):
+            one, two = self.lines.named(counts, hashes)
+            needed = ~order.needless(keys, one, two)
+            hashes, keys, one, counts = hashes[np.repeat(needed, counts)], keys[needed], one[needed], counts[needed]
+            if not len(keys):
+                continue
+            n, line, hashes = _distinct(counts, hashes, order.rank)
+            starts = np.cumsum(n) - n
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (hashes >> np.uint64(7) & np.uint64(63)), starts)
+            at = np.arange(len(hashes)) - starts[line]
+            use = np.flatnonzero((at < (n - (4 * n + 4) // 5 + 1)[line]) & (order.often[_buckets(hashes)] > 1))
+            yield hashes[use], line[use], at[use], keys, n, one, bits
+
+
+def _distinct(counts: np.ndarray, hashes: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many distinct words each line has, and the words' lines and hashes, rarest first."""
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    if rank is None or len(counts) >> 22:
+        key = hashes
+        order = np.lexsort((hashes, line)) if rank is None else np.lexsort((hashes, rank[_buckets(hashes)], line))
+    else:
+        key = line << np.uint64(42) | rank[_buckets(hashes)] << np.uint64(24) | (hashes & np.uint64(0xFFFFFF))
+        order = np.argsort(key, kind="stable")
+        near = key[order]
+        if ((near[1:] == near[:-1]) & (hashes[order[1:]] != hashes[order[:-1]])).any():
+            order = np.lexsort((hashes, key))
+    hashes, line = hashes[order], line[order].astype(np.int64)
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))
+    hashes, line = hashes[new], line[new]
+    return np.bincount(line, minlength=len(counts)), line, hashes
+
+
+def _frequent_rows(order, bits: int):
+    """How often words of crowded buckets stand in prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, schema = _Sets(), to_arrow_schema(PREFIXES)
+        prefixes = _Prefixes(order.value, bits)
         for batch in batches:
-            keys, counts, values = sets.load(batch)
-            one, _ = _ids(counts, values)
-            chosen = (holds(repeated.value, one & SLOTS) == deferred) & (counts >= LEAST)
-            values, keys, counts = values[np.repeat(chosen, counts)], keys[chosen], counts[chosen]
-            line = np.repeat(np.arange(len(counts)), counts)
-            starts = np.cumsum(counts) - counts
-            signature = np.uint64(1) << (_mix(values) & np.uint64(63))
-            signature = np.bitwise_or.reduceat(signature, starts) if len(values) else signature
-            often = rarity.value[(values >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-            order = np.lexsort((values, often, line))
-            values, often = values[order], often[order]
-            at = np.arange(len(values)) - np.repeat(starts, counts)
-            prefix = counts - (4 * counts + 4) // 5 + 1
-            use = (at < np.repeat(prefix, counts)) & (often > 1)
-            parts = -(-often[use] // part_rows)
-            row = np.repeat(np.flatnonzero(use), parts)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-            own = (_mix(keys.view(np.uint64))[line[row]] % np.repeat(parts, parts).astype(np.uint64)).astype(np.int64)
-            part = np.minimum(own, other) * 65536 + np.maximum(own, other)
-            columns = [values[row].view(np.int64), part.astype(np.int32), keys[line[row]], counts[line[row]].astype(np.int32), at[row].astype(np.int32)]
-            columns.append(signature[line[row]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+            for words, *_ in prefixes.of(batch):
+                words, n = np.unique(words[order.value.often[_buckets(words)] > order.value.part_rows], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], schema=to_arrow_schema(COUNTS))
+
+    return run
+
+
+def _open_words(order, bits: int, lines: Bitmap):
+    """The words in the prefixes of some lines, and perhaps of a few more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes = _Prefixes(order.value, bits)
+        for batch in batches:
+            for words, *_ in prefixes.of(batch, lines):
+                words, n = np.unique(words, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], schema=to_arrow_schema(COUNTS))
+
+    return run
+
+
+def _prefix_rows(order, bits: int, only: Bitmap | None):
+    """A row for each word of a line's prefix and meeting of that word; of all words, or of those that only holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes, schema = _Prefixes(order.value, bits), to_arrow_schema(PREFIXES)
+        for batch in batches:
+            for words, line, at, keys, n, one, signature in prefixes.of(batch):
+                if only is not None:
+                    use = only.holds(words)
+                    words, line, at = words[use], line[use], at[use]
+                parts = order.value.parts(words)
+                meeting = words
+                if (parts > 1).any():
+                    row = np.repeat(np.arange(len(words)), parts)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    words, line, at, parts = words[row], line[row], at[row], parts[row]
+                    own = (mix(one.view(np.uint64))[line] % parts.astype(np.uint64)).astype(np.int64)
+                    both = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+                    meeting = np.where(parts > 1, mix(words + (both + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), words)
+                columns = [meeting.view(np.int64), n[line] << 32 | at, keys[line], one[line], signature[line].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return run
 
@@ -160,21 +259,25 @@ def _similar(key, n, at, bits, i, j) -> np.ndarray:
     both = n[i] + n[j]
     need = (4 * both + 8) // 9
     ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (key[i] != key[j])
-    ok &= 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= need
+    ok &= np.minimum(n[i] - at[i], n[j] - at[j]) >= need
     return ok & (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * need)
 
 
 class _Meeting:
-    """Collects pairs (later, earlier) and keeps the earliest few of each later line."""
+    """Collects pairs (later, earlier) and keeps the earliest few of each later line; only of the lines that are asked about."""
 
-    def __init__(self, keep: int | None):
-        self.keep, self.pairs, self.size = keep, [], 0
+    def __init__(self, keep: int, asked: Bitmap | None):
+        self.keep, self.asked, self.pairs, self.size = keep, asked, [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            self.pairs.append(np.stack([np.maximum(a, b), np.minimum(a, b), np.zeros_like(a)]))
-            self.size += len(a)
-            if self.keep and self.size > 500_000:
+        later, earlier = np.maximum(a, b), np.minimum(a, b)
+        if self.asked is not None:
+            use = self.asked.holds(later)
+            later, earlier = later[use], earlier[use]
+        if len(later):
+            self.pairs.append(np.stack([later, earlier, np.zeros_like(later)]))
+            self.size += len(later)
+            if self.size > 500_000:
                 self.pairs = [self.kept()]
                 self.size = self.pairs[0].shape[1]
 
@@ -183,135 +286,152 @@ class _Meeting:
             return np.zeros((3, 0), np.int64)
         found = np.concatenate(self.pairs, axis=1)
         found = found[:, np.lexsort((-found[2], found[1], found[0]))]
-        new = np.ones(found.shape[1], bool)
-        new[1:] = (found[:2, 1:] != found[:2, :-1]).any(0)
-        found = found[:, new]
-        if self.keep:
-            first = np.ones(found.shape[1], bool)
-            first[1:] = found[0, 1:] != found[0, :-1]
-            group = np.cumsum(first) - 1
-            rank = np.arange(found.shape[1]) - np.flatnonzero(first)[group]
-            size = np.bincount(group)
-            found[2] |= size[group] > self.keep
-            more = np.zeros(len(size), np.int64)
-            np.maximum.at(more, group, found[2])
-            found[2] = more[group]
-            found = found[:, rank < self.keep]
-        return found
-
-
-def _candidates(keep: int | None, only):
-    """Rows ordered by word, part and size to candidate pairs. Holds one part of a word at a time, and a few thousand rows more."""
+        found = found[:, np.append(True, (found[:2, 1:] != found[:2, :-1]).any(0))]
+        first = np.append(True, found[0, 1:] != found[0, :-1])
+        group = np.cumsum(first) - 1
+        rank = np.arange(found.shape[1]) - np.flatnonzero(first)[group]
+        more = np.bincount(group) > self.keep
+        np.logical_or.at(more, group, found[2] > 0)
+        found[2] = more[group]
+        return found[:, rank < self.keep]
+
+
+def _candidates(keep: int, asked: Bitmap | None):
+    """Rows ordered by meeting, size, name and key to candidate pairs. Holds one meeting at a time, and a few thousand rows more."""
+
+    def met(meeting: np.ndarray, shape: np.ndarray, key: np.ndarray, one: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        new = np.append(True, (meeting[1:] != meeting[:-1]) | (shape[1:] != shape[:-1]) | (one[1:] != one[:-1]))
+        meeting, shape, key, bits = (c[new] for c in (meeting, shape, key, bits))  # copies are one, by their first line
+        n, at, bits = shape >> 32, shape & 0xFFFFFFFF, bits.view(np.uint64)
+        starts = np.flatnonzero(np.append(True, meeting[1:] != meeting[:-1]))
+        sizes = np.diff(np.append(starts, len(meeting)))
+        found = _Meeting(keep, asked)
+        i, step = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes)), 1
+        while len(i):  # rows against the row that is step rows on, as long as that isn't too long
+            i = i[i + step < len(meeting)]
+            i = i[(meeting[i] == meeting[i + step]) & (5 * n[i] >= 4 * n[i + step])]
+            ok = i[_similar(key, n, at, bits, i, i + step)]
+            found.add(key[ok], key[ok + step])
+            step += 1
+        for k in np.flatnonzero(sizes > SMALL):
+            a, end = starts[k], starts[k] + sizes[k]
+            while a < end:  # rows a to b against all from a on that aren't too long
+                b = min(end, a + 128)
+                top = a + np.searchsorted(n[a:end], n[b - 1] * 5 // 4, "right")
+                i, j = np.meshgrid(np.arange(a, b), np.arange(a, top), indexing="ij")
+                i, j = i[j > i], j[j > i]
+                ok = _similar(key, n, at, bits, i, j)
+                found.add(key[i[ok]], key[j[ok]])
+                a = b
+        return found.kept()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(CANDIDATES)
-
-        def meet(columns: list[np.ndarray]) -> pa.RecordBatch:
-            word, part, key, n, at, bits = columns
-            meeting = _Meeting(keep)
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (part[1:] != part[:-1])
-            starts = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            sizes = np.diff(np.append(starts, len(word)))
-            small = (sizes <= 12)[group]
-            for step in range(1, 12):
-                i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(word) > step else np.zeros(0, np.int64)
-                i = i[_similar(key, n, at, bits, i, i + step)]
-                meeting.add(key[i], key[i + step])
-            for k in np.flatnonzero(sizes > 12):
-                a, end = starts[k], starts[k] + sizes[k]
-                while a < end:  # rows a to b against all from a on that aren't too long
-                    b = min(end, a + 128)
-                    top = a + np.searchsorted(n[a:end], n[b - 1] * 5 // 4, "right")
-                    i, j = np.meshgrid(np.arange(a, b), np.arange(a, top), indexing="ij")
-                    i, j = i[j > i], j[j > i]
-                    ok = _similar(key, n, at, bits, i, j)
-                    meeting.add(key[i[ok]], key[j[ok]])
-                    a = b
-            later, earlier, more = meeting.kept()
-            if only is not None:
-                use = holds(only.value, _place_slots(later))
-                later, earlier, more = later[use], earlier[use], more[use]
+        schema, held, rows = to_arrow_schema(CANDIDATES), [], 0
+
+        def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+            later, earlier, more = met(*columns)
             return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more.astype(bool))], schema=schema)
 
-        held: list[list[np.ndarray]] = []
-        rows = 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in range(6)])
+            held.append([batch.column(k).to_numpy() for k in range(5)])
             rows += batch.num_rows
-            if rows > 50_000:
+            if rows > 100_000:
                 columns = [np.concatenate(c) for c in zip(*held)]
-                last = columns[0][-1], columns[1][-1]
-                cut = int(np.searchsorted(columns[0], last[0])) if (np.diff(columns[0]) >= 0).all() else 0
-                cut += int(np.searchsorted(columns[1][cut:], last[1]))
+                cut = int(np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))[-1])
                 if cut:
-                    yield meet([c[:cut] for c in columns])
+                    yield pairs([c[:cut] for c in columns])
                 held, rows = [[c[cut:] for c in columns]], rows - cut
         if rows:
-            yield meet([np.concatenate(c) for c in zip(*held)])
+            yield pairs([np.concatenate(c) for c in zip(*held)])
 
     return run
 
 
-def _set_rows(bits):
+def _set_rows(bits: int, among: Bitmap):
+    """The distinct words of lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, schema = _Sets(), to_arrow_schema(SETS)
+        lines, schema = Lines(bits), to_arrow_schema(SETS)
         for batch in batches:
-            keys, counts, values = sets.load(batch)
-            use = holds(bits.value, _place_slots(keys))
-            values, counts = values[np.repeat(use, counts)].view(np.int64), counts[use]
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(values)).cast(schema.field(1).type)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[use]), lists], schema=schema)
+            for keys, counts, hashes in lines.groups(batch, among):
+                n, _, hashes = _distinct(counts, hashes, None)
+                offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64))).cast(schema.field(1).type)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), lists], schema=schema)
 
     return run
 
 
-def _turn(texts: DataFrame, firsts: DataFrame, rarity, repeated, keep: int | None, part_rows: int, only=None) -> tuple[DataFrame, DataFrame]:
-    """Verified keys of lines to remove, and candidates."""
-    plain = texts.mapInArrow(_prefix_rows(rarity, repeated, False, part_rows), PREFIXES)
-    others = texts.mapInArrow(_prefix_rows(rarity, repeated, True, part_rows), PREFIXES).join(firsts, "key", "left_semi").select(*PREFIXES.names)
-    met = plain.union(others).repartition("word", "part").sortWithinPartitions("word", "part", "n")
-    candidates = met.mapInArrow(_candidates(keep, only), CANDIDATES)
-    pairs = candidates.groupBy("later", "earlier").agg(F.max("more").alias("more"))
-    pairs = materialise(pairs, "candidates")
+def _order(lines: DataFrame, groups: DataFrame, texts: DataFrame, bits: int, part_rows: int, exact: bool | None):
+    """The broadcast order of words. exact: count the words of prefixes one by one; done where buckets say little."""
+    counts = lines.where("key < 0").groupBy("one").agg(F.sum("two").alias("n")).toArrow()
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    total[counts.column("one").to_numpy()] = counts.column("n").to_numpy()
+    copied = groups.where(F.col("n") >= COPIES).orderBy(F.desc("n")).limit(MOST).select("one", "two", "key").toArrow()
+    by_name = np.argsort(copied.column("one").to_numpy(), kind="stable")
+    order = _Order(total, tuple(copied.column(k).to_numpy()[by_name] for k in range(3)), part_rows)
+    context = lines.sparkSession.sparkContext
+    if exact or exact is None and total.sum() >> RARITY_BITS > part_rows // 8:
+        found = texts.mapInArrow(_frequent_rows(context.broadcast(order), bits), COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
+        found = found.where(F.col("n") > part_rows).orderBy(F.desc("n")).limit(MOST).toArrow()
+        words = found.column("word").to_numpy().view(np.uint64)
+        by_word = np.argsort(words)
+        order.words, order.rows = words[by_word], found.column("n").to_numpy()[by_word]
+    return context.broadcast(order)
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
+    """Keys of the lines that a candidate really is similar to."""
     needed = pairs.select(F.col("later").alias("key")).union(pairs.select("earlier"))
-    sets = texts.mapInArrow(_set_rows(bitmap(needed, _place_slot(F.col("key")))), SETS)
-    sets = materialise(sets.join(needed.distinct(), "key", "left_semi"), "sets")
+    sets = materialise(texts.mapInArrow(_set_rows(bits, bitmap(needed, "key")), SETS), "sets")
     left = sets.select(F.col("key").alias("later"), F.col("words").alias("a"))
     right = sets.select(F.col("key").alias("earlier"), F.col("words").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     verified = pairs.join(left, "later").join(right, "earlier").where(5 * shared >= 4 * (F.size("a") + F.size("b") - shared))
-    return materialise(verified.select(F.col("later").alias("key")).distinct(), "similar"), pairs
-
-
-def find(docs: DataFrame, keep: int = KEEP, part_rows: int = PART_ROWS) -> DataFrame:
+    return materialise(verified.select(F.col("later").alias("key")).distinct(), "similar")
+
+
+def _join(texts: DataFrame, order, bits: int, keep: int) -> DataFrame:
+    """Keys of the first lines of their kind that an earlier line of another kind removes."""
+    similar, asked, only = None, None, None
+    while True:
+        rows: Callable = _prefix_rows(order, bits, only)
+        meetings = texts.mapInArrow(rows, PREFIXES).repartition("meeting").sortWithinPartitions("meeting", "shape", "line", "key")
+        found = meetings.mapInArrow(_candidates(keep, asked), CANDIDATES).groupBy("later", "earlier").agg(F.max("more").alias("more"))
+        pairs = materialise(found, "candidates")
+        verified = _verified(texts, pairs, bits)
+        similar = verified if similar is None else similar.union(verified)
+        left = materialise(pairs.where("more").select(F.col("later").alias("key")).distinct().join(similar, "key", "left_anti"), "open")
+        n = left.count()
+        if not n:
+            return similar.distinct()
+        asked = bitmap(left, "key", n)
+        words = texts.mapInArrow(_open_words(order, bits, asked), COUNTS)
+        only = bitmap(materialise(words.select("word").distinct(), "open-words"), "word")
+        keep *= GROW
+
+
+def find(docs: DataFrame, keep: int = KEEP, part_rows: int = PART_ROWS, exact: bool | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, n_similar, removed for each row of docs (doc_id, text).
 
-    removed: the numbers of the lines that go, from 0, comma-joined; n_similar: how many of them go without an equal set.
+    removed: the numbers of the lines that go, from 0, comma-joined; n_similar: how many of them are no copy of an earlier line.
     """
     small_batches(docs.sparkSession)
-    placed = _placed(docs)
+    placed, bits = _placed(docs)
     texts = placed.select("place", "text")
-    lines = materialise(texts.mapInArrow(_line_rows, LINES), "lines")
-    groups = lines.groupBy("one", "two").agg(F.min("key").alias("key"), F.count("*").alias("n"))
-    groups = materialise(groups, "line-sets")
-    firsts = groups.select("key")
-    rarity = _rarity(placed)
-    repeated = bitmap(groups.where("n > 1"), F.col("one").bitwiseAND(F.lit(SLOTS)))
-    similar, pairs = _turn(texts, firsts, rarity, repeated, keep, part_rows)
-    open_ones = materialise(pairs.where("more").select(F.col("later").alias("key")).distinct().join(similar, "key", "left_anti"), "open")
-    if open_ones.count():
-        again, _ = _turn(texts, firsts, rarity, repeated, None, part_rows, bitmap(open_ones, _place_slot(F.col("key"))))
-        similar = similar.union(again).distinct()
-    stays = firsts.join(similar, "key", "left_anti")
+    read = materialise(texts.mapInArrow(_line_rows(bits), LINES), "lines")
+    lines = read.where("key >= 0")
+    groups = materialise(lines.groupBy("one", "two").agg(F.min("key").alias("key"), F.count("*").alias("n")), "line-kinds")
+    similar = _join(texts, _order(read, groups, texts, bits, part_rows, exact), bits, keep)
+    stays = groups.select("key").join(similar, "key", "left_anti")
     gone = lines.select("key").join(stays, "key", "left_anti").join(similar.withColumn("near", F.lit(1)), "key", "left")
-    number = F.col("key").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
-    by_doc = gone.groupBy(F.shiftright("key", LINE_BITS).alias("place")).agg(
+    number = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    by_doc = gone.groupBy(F.shiftright("key", bits).alias("place")).agg(
         F.count("*").alias("n_removed"), F.count("near").alias("n_similar"), F.array_join(F.array_sort(F.collect_list(number)), ",").alias("removed")
     )
-    counted = placed.select("place", "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint").alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    counted = placed.select("place", "doc_id", n_lines.alias("n_lines"))
     zero = F.lit(0).cast("bigint")
     return counted.join(by_doc, "place", "left").select(
         "doc_id", "n_lines", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_similar", zero).alias("n_similar"), F.coalesce("removed", F.lit("")).alias("removed")

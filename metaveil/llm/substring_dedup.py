@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from metaveil.llm.bitmap import bitmap, holds, slot
+from metaveil.llm.bitmap import bitmap
 from metaveil.llm.common import materialise, small_batches, struct, with_columns
 
 WINDOW, ANCHOR = 50, 10
@@ -147,12 +147,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(bits):
-    """The texts of documents that the bitmap holds: doc, text, slot to doc, mark, text."""
+    """The texts of documents that the bitmap holds: doc, text to doc, mark, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(TEXTS)
         for batch in batches:
-            batch = batch.filter(pa.array(holds(bits.value, batch.column(2).to_numpy())))
+            batch = batch.filter(pa.array(bits.holds(batch.column(0).to_numpy())))
             if batch.num_rows:
                 texts = [b" ".join(_words(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
                 marks = [_mark(hashlib.sha256(t).hexdigest()) for t in texts]
@@ -218,8 +218,8 @@ def factor(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reference = materialise(reference.join(shared, "anchor").select("anchor", "one", "two", "owner", "variants"), "reference")
     met = seen.join(reference, ["anchor", "one", "two"]).where("doc > owner OR variants > 1")
     met = materialise(met.select("doc", "mark", "first", "last", (F.col("doc") > F.col("owner")).alias("copied")), "met")
-    bits = bitmap(met, slot("doc"))
-    texts = _sources(docs).withColumn("slot", slot("doc")).mapInArrow(_pick(bits), TEXTS)
+    bits = bitmap(met, "doc")
+    texts = _sources(docs).mapInArrow(_pick(bits), TEXTS)
     texts = materialise(texts, "texts")
     once = texts.dropDuplicates(["doc", "mark"])
     ranges = met.where("NOT copied").groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
