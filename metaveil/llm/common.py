@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 #: Bytes an Arrow batch may hold: texts can be long, so a batch must stay small. One row may be larger.
 BATCH_BYTES = 2 << 20
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: What the contracts call white space, as a Java and Python character class.
@@ -47,13 +48,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back. Lost executors lose nothing of it."""
+    """Cut the lineage: write df as a table in the shared folder and read it back. Lost executors lose nothing of it.
+
+    Once the table is written, the files of its shuffles go: nothing else can need them.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_CONF)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table of materialise that nothing reads any more; at the latest, it goes when the driver ends."""
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def with_columns(df: DataFrame, **casts: str) -> DataFrame:
     """The named columns, cast; a missing one is an error, others are left out, so that extra columns can't clash."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in casts.items()])

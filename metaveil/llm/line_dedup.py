@@ -7,10 +7,10 @@ number) goes, whether or not the earlier one stays. Lines of the same words in t
 * words are ordered by rarity: all words of all lines are counted in a table of fixed size by hash, which is broadcast;
 * only a prefix of the rarest words (n - ceil(0.8 n) + 1 of n) can be all that similar lines share, so lines meet by the words
   of their prefixes, shuffled by word; frequent words are split into parts, and every two parts meet in a task of their own;
-* there, copies become one, and the length filter, the positional filter and a filter on 64-bit signatures drop what can't
+* there, copies become one, and the length filter, the positional filter and a filter on 128-bit signatures drop what can't
   reach 0.8;
-* each line keeps its few earliest candidates in each meeting; the word sets of candidates are read from the texts, and a join
-  with both sets verifies them exactly. Lines that no verified candidate removes and that had more candidates meet again by
+* each line keeps its earliest candidates (KEEP) in each meeting; the word sets of candidates are read from the texts, and a
+  join with both sets verifies them exactly. Lines that no verified candidate removes and that had more candidates meet again by
   themselves, with GROW times as many, until no such line is left.
 
 Texts are read and tokenised again in each pass (see words.py), for their sets would be larger than they are.
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from metaveil.llm.bitmap import Bitmap, bitmap
-from metaveil.llm.common import materialise, small_batches, struct, with_columns
+from metaveil.llm.common import dropped, materialise, small_batches, struct, with_columns
 from metaveil.llm.words import Tokens, mix
 
 RARITY_BITS = 18
-KEEP, GROW, PART_ROWS = 2, 16, 20_000
+KEEP, GROW, PART_ROWS = 128, 16, 20_000
 #: Most words and most copied lines that are known by name in a broadcast. Any other word has at most 1 / MOST of all rows.
 MOST = 1 << 18
 #: Copies from which on a line is known by name.
@@ -44,7 +44,7 @@ SMALL = 256
 
 LINES = struct(key="bigint", one="bigint", two="bigint")
 COUNTS = struct(word="bigint", n="bigint")
-PREFIXES = struct(meeting="bigint", shape="bigint", key="bigint", line="bigint", bits="bigint")
+PREFIXES = struct(meeting="bigint", shape="bigint", key="bigint", line="bigint", bits="bigint", more_bits="bigint")
 CANDIDATES = struct(later="bigint", earlier="bigint", more="boolean")
 SETS = struct(key="bigint", words="array<bigint>")
 
@@ -179,7 +179,9 @@ class _Prefixes:
                 continue
             n, line, hashes = _distinct(counts, hashes, order.rank)
             starts = np.cumsum(n) - n
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (hashes >> np.uint64(7) & np.uint64(63)), starts)
+            one_bit = np.uint64(1) << (hashes >> np.uint64(7) & np.uint64(63))
+            half = (hashes >> np.uint64(13) & np.uint64(1)).astype(bool)
+            bits = [np.bitwise_or.reduceat(np.where(half == side, one_bit, np.uint64(0)), starts) for side in (False, True)]
             at = np.arange(len(hashes)) - starts[line]
             use = np.flatnonzero((at < (n - (4 * n + 4) // 5 + 1)[line]) & (order.often[_buckets(hashes)] > 1))
             yield hashes[use], line[use], at[use], keys, n, one, bits
@@ -248,7 +250,7 @@ def _prefix_rows(order, bits: int, only: Bitmap | None):
                     own = (mix(one.view(np.uint64))[line] % parts.astype(np.uint64)).astype(np.int64)
                     both = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
                     meeting = np.where(parts > 1, mix(words + (both + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), words)
-                columns = [meeting.view(np.int64), n[line] << 32 | at, keys[line], one[line], signature[line].view(np.int64)]
+                columns = [meeting.view(np.int64), n[line] << 32 | at, keys[line], one[line], *(bits[line].view(np.int64) for bits in signature)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return run
@@ -260,7 +262,8 @@ def _similar(key, n, at, bits, i, j) -> np.ndarray:
     need = (4 * both + 8) // 9
     ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (key[i] != key[j])
     ok &= np.minimum(n[i] - at[i], n[j] - at[j]) >= need
-    return ok & (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * need)
+    apart = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
+    return ok & (apart <= both - 2 * need)
 
 
 class _Meeting:
@@ -299,10 +302,10 @@ class _Meeting:
 def _candidates(keep: int, asked: Bitmap | None):
     """Rows ordered by meeting, size, name and key to candidate pairs. Holds one meeting at a time, and a few thousand rows more."""
 
-    def met(meeting: np.ndarray, shape: np.ndarray, key: np.ndarray, one: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def met(meeting: np.ndarray, shape: np.ndarray, key: np.ndarray, one: np.ndarray, *bits: np.ndarray) -> np.ndarray:
         new = np.append(True, (meeting[1:] != meeting[:-1]) | (shape[1:] != shape[:-1]) | (one[1:] != one[:-1]))
-        meeting, shape, key, bits = (c[new] for c in (meeting, shape, key, bits))  # copies are one, by their first line
-        n, at, bits = shape >> 32, shape & 0xFFFFFFFF, bits.view(np.uint64)
+        meeting, shape, key, *bits = (c[new] for c in (meeting, shape, key, *bits))  # copies are one, by their first line
+        n, at, bits = shape >> 32, shape & 0xFFFFFFFF, [b.view(np.uint64) for b in bits]
         starts = np.flatnonzero(np.append(True, meeting[1:] != meeting[:-1]))
         sizes = np.diff(np.append(starts, len(meeting)))
         found = _Meeting(keep, asked)
@@ -333,7 +336,7 @@ def _candidates(keep: int, asked: Bitmap | None):
             return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more.astype(bool))], schema=schema)
 
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in range(5)])
+            held.append([batch.column(k).to_numpy() for k in range(6)])
             rows += batch.num_rows
             if rows > 100_000:
                 columns = [np.concatenate(c) for c in zip(*held)]
@@ -381,14 +384,22 @@ def _order(lines: DataFrame, groups: DataFrame, texts: DataFrame, bits: int, par
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
-    """Keys of the lines that a candidate really is similar to."""
+    """Keys of the lines that a candidate really is similar to. The candidate met most often is tried first, the others where it fails."""
     needed = pairs.select(F.col("later").alias("key")).union(pairs.select("earlier"))
     sets = materialise(texts.mapInArrow(_set_rows(bits, bitmap(needed, "key")), SETS), "sets")
     left = sets.select(F.col("key").alias("later"), F.col("words").alias("a"))
     right = sets.select(F.col("key").alias("earlier"), F.col("words").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
-    verified = pairs.join(left, "later").join(right, "earlier").where(5 * shared >= 4 * (F.size("a") + F.size("b") - shared))
-    return materialise(verified.select(F.col("later").alias("key")).distinct(), "similar")
+
+    def similar(some: DataFrame) -> DataFrame:
+        same = some.join(left, "later").join(right, "earlier").where(5 * shared >= 4 * (F.size("a") + F.size("b") - shared))
+        return materialise(same.select(F.col("later").alias("key")).distinct(), "similar")
+
+    first = similar(pairs.groupBy("later").agg(F.max_by("earlier", F.struct("met", -F.col("earlier"))).alias("earlier")))
+    rest = pairs.select("later", "earlier").join(first.withColumnRenamed("key", "later"), "later", "left_anti")
+    found = first.union(similar(rest))
+    dropped(sets)
+    return found
 
 
 def _join(texts: DataFrame, order, bits: int, keep: int) -> DataFrame:
@@ -397,11 +408,12 @@ def _join(texts: DataFrame, order, bits: int, keep: int) -> DataFrame:
     while True:
         rows: Callable = _prefix_rows(order, bits, only)
         meetings = texts.mapInArrow(rows, PREFIXES).repartition("meeting").sortWithinPartitions("meeting", "shape", "line", "key")
-        found = meetings.mapInArrow(_candidates(keep, asked), CANDIDATES).groupBy("later", "earlier").agg(F.max("more").alias("more"))
-        pairs = materialise(found, "candidates")
+        found = meetings.mapInArrow(_candidates(keep, asked), CANDIDATES)
+        pairs = materialise(found.groupBy("later", "earlier").agg(F.count("*").alias("met"), F.max("more").alias("more")), "candidates")
         verified = _verified(texts, pairs, bits)
         similar = verified if similar is None else similar.union(verified)
         left = materialise(pairs.where("more").select(F.col("later").alias("key")).distinct().join(similar, "key", "left_anti"), "open")
+        dropped(pairs)
         n = left.count()
         if not n:
             return similar.distinct()
