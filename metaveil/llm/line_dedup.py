@@ -7,9 +7,9 @@ number) goes, whether or not the earlier one stays. Lines of the same words in t
 * words are ordered by rarity: all words of all lines are counted in a table of fixed size by hash, which is broadcast;
 * only a prefix of the rarest words (n - ceil(0.8 n) + 1 of n) can be all that similar lines share, so lines meet by the words
   of their prefixes, shuffled by word; frequent words are split into parts, and every two parts meet in a task of their own;
-* there, copies become one, and the length filter, the positional filter and a filter on 128-bit signatures drop what can't
+* there, copies become one, and the length filter, the positional filter and a filter on signatures of 128 or 256 bits drop what can't
   reach 0.8;
-* each line keeps its earliest candidates (KEEP) in each meeting; the word sets of candidates are read from the texts, and a
+* each line keeps the nearest candidates (KEEP, by signature) in each meeting; the word sets of candidates are read from the texts, and a
   join with both sets verifies them exactly. Lines that no verified candidate removes and that had more candidates meet again by
   themselves, with GROW times as many, until no such line is left.
 
@@ -34,7 +34,10 @@ from metaveil.llm.common import dropped, materialise, small_batches, struct, wit
 from metaveil.llm.words import Tokens, mix
 
 RARITY_BITS = 18
-KEEP, GROW, PART_ROWS = 128, 16, 20_000
+KEEP, DOUBTFUL, GROW, PART_ROWS = 2, 128, 16, 20_000
+#: Lines of more words have signatures of 256 bits, others of 128; and lines that they are trusted for.
+LONG, SURE = 96, 192
+PART_BUCKETS = 1024
 #: Most words and most copied lines that are known by name in a broadcast. Any other word has at most 1 / MOST of all rows.
 MOST = 1 << 18
 #: Copies from which on a line is known by name.
@@ -42,22 +45,26 @@ COPIES = 64
 #: Meetings of up to so many lines are taken together.
 SMALL = 256
 
-LINES = struct(key="bigint", one="bigint", two="bigint")
+#: A row for each line; for each document (key -2 - place; one: how many lines); for each thousand buckets (key -1; one: which).
+LINES = struct(key="bigint", one="bigint", two="bigint", counts="binary")
+SUMS = struct(part="bigint", counts="binary")
 COUNTS = struct(word="bigint", n="bigint")
-PREFIXES = struct(meeting="bigint", shape="bigint", key="bigint", line="bigint", bits="bigint", more_bits="bigint")
-CANDIDATES = struct(later="bigint", earlier="bigint", more="boolean")
+PREFIXES = struct(meeting="bigint", shape="bigint", key="bigint", line="bigint", bits="bigint", bits2="bigint", bits3="bigint", bits4="bigint")
+CANDIDATES = struct(later="bigint", earlier="bigint", apart="int", more="boolean")
 SETS = struct(key="bigint", words="array<bigint>")
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
     """place, doc_id, text: place orders documents; and how many bits a line's number takes."""
     rows = with_columns(docs, doc_id="bigint", text="string")
-    n, ids, low, high, longest = rows.agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
-    bits = max(1, (longest or 0).bit_length())
+    n, ids, low, high = rows.agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    bits = 31  # no text has more lines
+    if n and n == ids and high - low < 1 << 31:
+        return rows.select((F.col("doc_id") - low).alias("place"), "doc_id", "text"), bits
+    if n >> 31:
+        bits = max(1, (rows.agg(F.max(F.octet_length("text"))).first()[0] or 0).bit_length())
     if n >> (62 - bits):
         raise ValueError("documents and their lines can't be numbered in 62 bits")
-    if n and n == ids and high - low < 1 << (62 - bits):
-        return rows.select((F.col("doc_id") - low).alias("place"), "doc_id", "text"), bits
     ordered = rows.withColumn("digest", F.md5("text")).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     at = F.monotonically_increasing_id()
     ordered = materialise(ordered.select(F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "doc_id", "text"), "placed")
@@ -120,20 +127,37 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def _line_rows(bits: int):
-    """key and name of each line; at the end the counts of words (-1, bucket, n)."""
+    """key and name of each line, the number of lines of each text, and at the end the counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, schema, total = Lines(bits), to_arrow_schema(LINES), np.zeros(1 << RARITY_BITS, np.int64)
+
+        def rows(keys: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(one), pa.array(two), pa.nulls(len(keys), pa.binary())], schema=schema)
+
         for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            n_lines = np.array([(t or b"").count(b"\n") + 1 for t in texts], np.int64)
+            yield rows(-2 - batch.column(0).to_numpy(), n_lines, n_lines)
             for keys, counts, hashes in lines.groups(batch):
                 total += np.bincount(_buckets(hashes), minlength=len(total))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, lines.named(counts, hashes))], schema=schema)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), -1)), pa.array(found), pa.array(total[found])], schema=schema)
+                yield rows(keys, *lines.named(counts, hashes))
+        parts = range(len(total) // PART_BUCKETS)
+        sums = [total[k * PART_BUCKETS : (k + 1) * PART_BUCKETS].tobytes() for k in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(parts), pa.int64()), pa.array(parts, pa.int64()), pa.array(parts, pa.int64()), pa.array(sums, pa.binary())], schema=schema)
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, counts: the sums of each part's counts."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], schema=to_arrow_schema(SUMS))
+
+
 class _Order:
     """What tasks know of words and lines: how rare the buckets of words are, frequent words, and lines with many copies."""
 
@@ -168,20 +192,22 @@ class _Prefixes:
     def __init__(self, order: _Order, bits: int):
         self.order, self.lines = order, Lines(bits)
 
-    def of(self, batch: pa.RecordBatch, among: Bitmap | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    def of(self, batch: pa.RecordBatch, among: Bitmap | None = None, only: Bitmap | None = None) -> Iterator[tuple[np.ndarray, ...]]:
         """word, line (index into the others), place in the line's order; key, number of distinct words, name and signature of lines."""
         order = self.order
         for keys, counts, hashes in self.lines.groups(batch, among):
             one, two = self.lines.named(counts, hashes)
             needed = ~order.needless(keys, one, two)
+            if only is not None:  # lines without any of these words
+                needed &= np.logical_or.reduceat(only.holds(hashes), np.cumsum(counts) - counts)
             hashes, keys, one, counts = hashes[np.repeat(needed, counts)], keys[needed], one[needed], counts[needed]
             if not len(keys):
                 continue
             n, line, hashes = _distinct(counts, hashes, order.rank)
             starts = np.cumsum(n) - n
-            one_bit = np.uint64(1) << (hashes >> np.uint64(7) & np.uint64(63))
-            half = (hashes >> np.uint64(13) & np.uint64(1)).astype(bool)
-            bits = [np.bitwise_or.reduceat(np.where(half == side, one_bit, np.uint64(0)), starts) for side in (False, True)]
+            bit = np.uint64(1) << (hashes >> np.uint64(7) & np.uint64(63))
+            word = (hashes >> np.uint64(13)).astype(np.int64) & np.where(n > LONG, 3, 1)[line]
+            bits = [np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)]
             at = np.arange(len(hashes)) - starts[line]
             use = np.flatnonzero((at < (n - (4 * n + 4) // 5 + 1)[line]) & (order.often[_buckets(hashes)] > 1))
             yield hashes[use], line[use], at[use], keys, n, one, bits
@@ -237,7 +263,7 @@ def _prefix_rows(order, bits: int, only: Bitmap | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes, schema = _Prefixes(order.value, bits), to_arrow_schema(PREFIXES)
         for batch in batches:
-            for words, line, at, keys, n, one, signature in prefixes.of(batch):
+            for words, line, at, keys, n, one, signature in prefixes.of(batch, only=only):
                 if only is not None:
                     use = only.holds(words)
                     words, line, at = words[use], line[use], at[use]
@@ -256,47 +282,59 @@ def _prefix_rows(order, bits: int, only: Bitmap | None):
     return run
 
 
-def _similar(key, n, at, bits, i, j) -> np.ndarray:
-    """Which of the pairs (i, j) of rows with one word may reach the similarity."""
+def _apart(n, bits, i, j) -> np.ndarray:
+    """At least how many words each pair (i, j) has apart, by signatures; that of a long line is folded where the other is short."""
+    same = (n[i] > LONG) == (n[j] > LONG)
+    plain = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int32) for b in bits)
+    folded = sum(np.bitwise_count((bits[k][i] | bits[k + 2][i]) ^ (bits[k][j] | bits[k + 2][j])).astype(np.int32) for k in (0, 1)) if not same.all() else plain
+    return np.where(same, plain, folded)
+
+
+def _similar(key, n, at, bits, i, j) -> tuple[np.ndarray, ...]:
+    """Those of the pairs (i, j) of rows with one word that may reach the similarity, how far they are apart at least, and if that is little."""
     both = n[i] + n[j]
     need = (4 * both + 8) // 9
     ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (key[i] != key[j])
     ok &= np.minimum(n[i] - at[i], n[j] - at[j]) >= need
-    apart = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits)
-    return ok & (apart <= both - 2 * need)
+    i, j, most = i[ok], j[ok], (both - 2 * need)[ok]
+    apart = _apart(n, bits, i, j)
+    ok = apart <= most
+    i, j, apart, most = i[ok], j[ok], apart[ok], most[ok]
+    return i, j, apart, (4 * apart <= most) & (np.maximum(n[i], n[j]) <= SURE)  # signatures of longer lines say little
 
 
 class _Meeting:
-    """Collects pairs (later, earlier) and keeps the earliest few of each later line; only of the lines that are asked about."""
+    """Collects pairs (later, earlier) and keeps the nearest few of each later line, more of them if none is really near; only of the lines that are asked about."""
 
     def __init__(self, keep: int, asked: Bitmap | None):
         self.keep, self.asked, self.pairs, self.size = keep, asked, [], 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray, near: np.ndarray) -> None:
         later, earlier = np.maximum(a, b), np.minimum(a, b)
         if self.asked is not None:
             use = self.asked.holds(later)
-            later, earlier = later[use], earlier[use]
+            later, earlier, apart, near = later[use], earlier[use], apart[use], near[use]
         if len(later):
-            self.pairs.append(np.stack([later, earlier, np.zeros_like(later)]))
+            self.pairs.append(np.stack([later, earlier, apart, np.zeros_like(later), near]))
             self.size += len(later)
             if self.size > 500_000:
                 self.pairs = [self.kept()]
                 self.size = self.pairs[0].shape[1]
 
     def kept(self) -> np.ndarray:
+        """later, earlier, apart, more, near."""
         if not self.pairs:
-            return np.zeros((3, 0), np.int64)
+            return np.zeros((5, 0), np.int64)
         found = np.concatenate(self.pairs, axis=1)
-        found = found[:, np.lexsort((-found[2], found[1], found[0]))]
+        found = found[:, np.lexsort((-found[3], found[1], found[2], found[0]))]
         found = found[:, np.append(True, (found[:2, 1:] != found[:2, :-1]).any(0))]
         first = np.append(True, found[0, 1:] != found[0, :-1])
         group = np.cumsum(first) - 1
         rank = np.arange(found.shape[1]) - np.flatnonzero(first)[group]
-        more = np.bincount(group) > self.keep
-        np.logical_or.at(more, group, found[2] > 0)
-        found[2] = more[group]
-        return found[:, rank < self.keep]
+        near, more = np.logical_or.reduceat(found[4:2:-1] > 0, np.flatnonzero(first), axis=1)
+        most = np.where(near, self.keep, DOUBTFUL * self.keep)
+        found[3] = (more | (np.bincount(group) > most))[group]
+        return found[:, rank < most[group]]
 
 
 def _candidates(keep: int, asked: Bitmap | None):
@@ -313,8 +351,8 @@ def _candidates(keep: int, asked: Bitmap | None):
         while len(i):  # rows against the row that is step rows on, as long as that isn't too long
             i = i[i + step < len(meeting)]
             i = i[(meeting[i] == meeting[i + step]) & (5 * n[i] >= 4 * n[i + step])]
-            ok = i[_similar(key, n, at, bits, i, i + step)]
-            found.add(key[ok], key[ok + step])
+            a, b, apart, near = _similar(key, n, at, bits, i, i + step)
+            found.add(key[a], key[b], apart, near)
             step += 1
         for k in np.flatnonzero(sizes > SMALL):
             a, end = starts[k], starts[k] + sizes[k]
@@ -322,9 +360,8 @@ def _candidates(keep: int, asked: Bitmap | None):
                 b = min(end, a + 128)
                 top = a + np.searchsorted(n[a:end], n[b - 1] * 5 // 4, "right")
                 i, j = np.meshgrid(np.arange(a, b), np.arange(a, top), indexing="ij")
-                i, j = i[j > i], j[j > i]
-                ok = _similar(key, n, at, bits, i, j)
-                found.add(key[i[ok]], key[j[ok]])
+                i, j, apart, near = _similar(key, n, at, bits, i[j > i], j[j > i])
+                found.add(key[i], key[j], apart, near)
                 a = b
         return found.kept()
 
@@ -332,11 +369,11 @@ def _candidates(keep: int, asked: Bitmap | None):
         schema, held, rows = to_arrow_schema(CANDIDATES), [], 0
 
         def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-            later, earlier, more = met(*columns)
-            return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more.astype(bool))], schema=schema)
+            later, earlier, apart, more, _ = met(*columns)
+            return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(apart.astype(np.int32)), pa.array(more.astype(bool))], schema=schema)
 
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in range(6)])
+            held.append([batch.column(k).to_numpy() for k in range(8)])
             rows += batch.num_rows
             if rows > 100_000:
                 columns = [np.concatenate(c) for c in zip(*held)]
@@ -367,9 +404,11 @@ def _set_rows(bits: int, among: Bitmap):
 
 def _order(lines: DataFrame, groups: DataFrame, texts: DataFrame, bits: int, part_rows: int, exact: bool | None):
     """The broadcast order of words. exact: count the words of prefixes one by one; done where buckets say little."""
-    counts = lines.where("key < 0").groupBy("one").agg(F.sum("two").alias("n")).toArrow()
-    total = np.zeros(1 << RARITY_BITS, np.int64)
-    total[counts.column("one").to_numpy()] = counts.column("n").to_numpy()
+    counts = lines.where("key = -1").select(F.col("one").alias("part"), "counts").repartition("part").mapInArrow(_summed, SUMS).collect()
+    total = np.zeros((1 << RARITY_BITS - 10, PART_BUCKETS), np.int64)
+    for part, sums in counts:  # 256 rows
+        total[part] = np.frombuffer(sums, np.int64)
+    total = total.reshape(-1)
     copied = groups.where(F.col("n") >= COPIES).orderBy(F.desc("n")).limit(MOST).select("one", "two", "key").toArrow()
     by_name = np.argsort(copied.column("one").to_numpy(), kind="stable")
     order = _Order(total, tuple(copied.column(k).to_numpy()[by_name] for k in range(3)), part_rows)
@@ -384,7 +423,7 @@ def _order(lines: DataFrame, groups: DataFrame, texts: DataFrame, bits: int, par
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
-    """Keys of the lines that a candidate really is similar to. The candidate met most often is tried first, the others where it fails."""
+    """Keys of the lines that a candidate really is similar to. The nearest candidate is tried first, the others where it fails."""
     needed = pairs.select(F.col("later").alias("key")).union(pairs.select("earlier"))
     sets = materialise(texts.mapInArrow(_set_rows(bits, bitmap(needed, "key")), SETS), "sets")
     left = sets.select(F.col("key").alias("later"), F.col("words").alias("a"))
@@ -395,7 +434,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
         same = some.join(left, "later").join(right, "earlier").where(5 * shared >= 4 * (F.size("a") + F.size("b") - shared))
         return materialise(same.select(F.col("later").alias("key")).distinct(), "similar")
 
-    first = similar(pairs.groupBy("later").agg(F.max_by("earlier", F.struct("met", -F.col("earlier"))).alias("earlier")))
+    first = similar(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")))
     rest = pairs.select("later", "earlier").join(first.withColumnRenamed("key", "later"), "later", "left_anti")
     found = first.union(similar(rest))
     dropped(sets)
@@ -409,7 +448,7 @@ def _join(texts: DataFrame, order, bits: int, keep: int) -> DataFrame:
         rows: Callable = _prefix_rows(order, bits, only)
         meetings = texts.mapInArrow(rows, PREFIXES).repartition("meeting").sortWithinPartitions("meeting", "shape", "line", "key")
         found = meetings.mapInArrow(_candidates(keep, asked), CANDIDATES)
-        pairs = materialise(found.groupBy("later", "earlier").agg(F.count("*").alias("met"), F.max("more").alias("more")), "candidates")
+        pairs = materialise(found.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "candidates")
         verified = _verified(texts, pairs, bits)
         similar = verified if similar is None else similar.union(verified)
         left = materialise(pairs.where("more").select(F.col("later").alias("key")).distinct().join(similar, "key", "left_anti"), "open")
@@ -435,16 +474,12 @@ def find(docs: DataFrame, keep: int = KEEP, part_rows: int = PART_ROWS, exact: b
     lines = read.where("key >= 0")
     groups = materialise(lines.groupBy("one", "two").agg(F.min("key").alias("key"), F.count("*").alias("n")), "line-kinds")
     similar = _join(texts, _order(read, groups, texts, bits, part_rows, exact), bits, keep)
-    stays = groups.select("key").join(similar, "key", "left_anti")
-    gone = lines.select("key").join(stays, "key", "left_anti").join(similar.withColumn("near", F.lit(1)), "key", "left")
-    number = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    by_doc = gone.groupBy(F.shiftright("key", bits).alias("place")).agg(
-        F.count("*").alias("n_removed"), F.count("near").alias("n_similar"), F.array_join(F.array_sort(F.collect_list(number)), ",").alias("removed")
-    )
-    text = F.coalesce("text", F.lit(""))
-    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
-    counted = placed.select("place", "doc_id", n_lines.alias("n_lines"))
-    zero = F.lit(0).cast("bigint")
-    return counted.join(by_doc, "place", "left").select(
-        "doc_id", "n_lines", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_similar", zero).alias("n_similar"), F.coalesce("removed", F.lit("")).alias("removed")
+    copied = groups.where("n > 1").select("one", "two", F.col("key").alias("first"))
+    copies = lines.join(copied, ["one", "two"]).where("key <> first").select("key", F.lit(None).cast("int").alias("near"))
+    gone = copies.union(similar.select("key", F.lit(1)))
+    place, number = F.shiftright("key", bits).alias("place"), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("number")
+    counted = read.where("key < -1").select((-2 - F.col("key")).alias("place"), F.lit(None).cast("bigint").alias("number"), F.lit(None).cast("int").alias("near"), F.col("one").alias("n_lines"))
+    by_doc = counted.union(gone.select(place, number, "near", F.lit(0).cast("bigint"))).groupBy("place").agg(
+        F.max("n_lines").alias("n_lines"), F.count("number").alias("n_removed"), F.count("near").alias("n_similar"), F.array_join(F.array_sort(F.collect_list("number")), ",").alias("removed")
     )
+    return placed.select("place", "doc_id").join(by_doc, "place").select("doc_id", "n_lines", "n_removed", "n_similar", "removed")

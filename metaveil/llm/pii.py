@@ -9,12 +9,14 @@ kind can be gives its longest stretches that are not. Candidates that begin at o
 once in the size of a pattern, with the surest of them. Patterns and the distinct values in them form a bipartite graph, which
 Spark scores in turns:
 
-* a pattern's score for a kind is the mean confidence of its distinct values in that kind, if SUPPORT distinct seeds back it;
-* a value's confidence in a kind is 1 - product(1 - score) over its patterns that score at least PATTERN_SCORE; seeds keep 1.
+* a pattern's score for a kind is the sum of its distinct values' confidence in that kind, over the same sum and what speaks
+  against it: each value's doubt, to a quarter where the value has the kind's shape; it needs SUPPORT distinct values that are
+  at least CONFIDENCE sure;
+* a value's confidence in a kind whose shape it has is 1 - product(1 - score) over its patterns that score at least
+  PATTERN_SCORE; seeds keep 1. Values found in one turn back further patterns in the next.
 
-After ROUNDS turns, tokens of a kind's shape whose value is at least CONFIDENCE sure become spans of that kind, unless they
-overlap a base span; of those of a kind that overlap each other, the leftmost and longest. Base spans always stay; the counts
-are of base spans.
+After ROUNDS turns, tokens whose value is at least CONFIDENCE sure become spans of that kind, unless they overlap a base span;
+of those of a kind that overlap each other, the leftmost and longest. Base spans always stay; the counts are of base spans.
 
 Defined cases: a null text is empty; an empty text has no spans; rows that repeat a doc_id each get their row; spans count in
 code points, ends exclusive; an empty table gives no rows; other columns are ignored.
@@ -37,6 +39,8 @@ from metaveil.llm.common import materialise, small_batches, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, PATTERN_SCORE, CONFIDENCE, ROUNDS = 5, 0.8, 0.9, 3
+#: What a value that has a kind's shape, but isn't known to be of that kind, takes from a pattern's score; any other value takes 1.
+UNKNOWN = 0.25
 
 #: Fixed patterns of the contract. No number may start within the digits that a longer one has just tried in vain.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -202,28 +206,40 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bootstrap(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """kind, value: values that are no seeds, of which good patterns are sure. seen: kind (-1: none), value, slot, patterns."""
+    kinds = range(len(KINDS))
+    sure = [f"sure{k}" for k in kinds]
     slot = F.coalesce("slot", "value").alias("slot")
-    edges = materialise(seen.select("kind", "value", slot, F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("slot").alias("size"))
-    backed = materialise(seeds.where(F.col("seeds") >= support).join(sizes, "pattern"), "pii-patterns")
-    rest = edges.where("kind < 0").select("value", "slot", "pattern")
-    places = rest.select("value", "pattern").distinct()
-    sure = None
+    fits = [F.col("value").rlike(SHAPES[kind]).alias(f"fits{k}") for k, kind in enumerate(KINDS)]
+    edges = seen.select("kind", "value", slot, F.explode("patterns").alias("pattern")).distinct()
+    edges = materialise(edges.select("*", *fits), "pii-edges")
+    places = edges.where("kind < 0").select("value", "pattern", *[f"fits{k}" for k in kinds]).distinct()
+    known = None
     for _ in range(rounds):
-        gained = backed.select("pattern", "kind", F.lit(0.0).alias("gain"))
-        if sure is not None:
-            best = rest.join(sure, "value").groupBy("pattern", "kind", "slot").agg(F.max("confidence").alias("confidence"))
-            gained = best.groupBy("pattern", "kind").agg(F.sum("confidence").alias("gain"))
-        score = (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("size")
-        scored = backed.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", score.alias("score"))
-        good = scored.where(F.col("score") >= PATTERN_SCORE)
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
-        sure = materialise(places.join(good, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("confidence")), "pii-sure")
-    shaped = F.lit(False)
-    for k, kind in enumerate(KINDS):
-        shaped = shaped | ((F.col("kind") == k) & F.col("value").rlike(SHAPES[kind]))
-    return sure.where((F.col("confidence") >= CONFIDENCE) & shaped).select("kind", "value")
+        own = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in kinds]
+        if known is None:
+            rated = edges.select("pattern", "slot", *[f"fits{k}" for k in kinds], *[c.alias(s) for c, s in zip(own, sure)])
+        else:
+            found = known.select(F.col("value").alias("known"), *[F.col(s).alias(f"found{k}") for k, s in enumerate(sure)])
+            gained = [F.greatest(c, F.when(F.col("kind") < 0, F.coalesce(f"found{k}", F.lit(0.0))).otherwise(0.0)) for k, c in enumerate(own)]
+            joined = edges.join(found, F.col("value") == F.col("known"), "left")
+            rated = joined.select("pattern", "slot", *[f"fits{k}" for k in kinds], *[c.alias(s) for c, s in zip(gained, sure)])
+        slots = rated.groupBy("pattern", "slot").agg(*[F.max(s).alias(s) for s in sure], *[F.max(f"fits{k}").alias(f"fits{k}") for k in kinds])
+        sums = []
+        for k, s in enumerate(sure):
+            against = (1 - F.col(s)) * F.when(F.col(f"fits{k}"), UNKNOWN).otherwise(1.0)
+            backed = F.count(F.when(F.col(s) >= CONFIDENCE, 1)) >= support
+            sums.append(F.when(backed, F.sum(s) / F.sum(F.col(s) + against)).alias(f"score{k}"))
+        scored = slots.groupBy("pattern").agg(*sums)
+        good = [F.when(F.col(f"score{k}") >= PATTERN_SCORE, F.col(f"score{k}")).alias(f"score{k}") for k in kinds]
+        good = scored.select("pattern", *good).where(F.coalesce(*[f"score{k}" for k in kinds]).isNotNull())
+        met = places.join(materialise(good, "pii-patterns"), "pattern")
+        sums = []
+        for k, s in enumerate(sure):
+            doubt = F.exp(F.sum(F.log(F.greatest(1 - F.coalesce(F.when(F.col(f"fits{k}"), F.col(f"score{k}")), F.lit(0.0)), F.lit(1e-9)))))
+            sums.append((1 - doubt).alias(s))
+        known = materialise(met.groupBy("value").agg(*sums), "pii-sure")
+    shown = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(s).alias("sure")) for k, s in enumerate(sure)])).alias("k")
+    return known.select("value", shown).where(F.col("k.sure") >= CONFIDENCE).select("k.kind", "value")
 
 
 def _is_kind(k: int):

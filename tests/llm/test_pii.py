@@ -1,7 +1,9 @@
+import hashlib
+import random
 import re
 
 from metaveil.llm import pii
-from tests.llm.cases import documents, frame, odd_texts
+from tests.llm.cases import documents, frame, odd_texts, words
 
 TEXT = "mail a.b@c.de, x@y and 1.2.3.4 or 1.2.3.400 card 4111 1111 1111 1111 not 4111 1111 1111 1112 call +1 (456) 555-2186. a@b.c_d@e.f @ @@"
 
@@ -51,6 +53,87 @@ def test_numbers_in_groups_are_found(spark):
         assert found[i] == f"{kind}:{start}:{start + len(value)}"
 
 
+def brute_bootstrap(seen, rounds=pii.ROUNDS):
+    """seen: (kind, value, slot, patterns). The graph in dictionaries."""
+    fits = lambda k, v: re.search(pii.SHAPES[pii.KINDS[k]], v) is not None
+    edges = {(kind, value, slot or value, p) for kind, value, slot, patterns in seen for p in patterns}
+    known = {}
+    for _ in range(rounds):
+        good = {}
+        for p in {e[3] for e in edges}:
+            for k in range(4):
+                slots = {}
+                for kind, value, slot, q in edges:
+                    if q == p:
+                        sure = 1.0 if kind == k else known.get((value, k), 0.0) if kind < 0 else 0.0
+                        old = slots.get(slot, (0.0, False))
+                        slots[slot] = (max(old[0], sure), old[1] or fits(k, value))
+                total = sum(c for c, _ in slots.values())
+                against = sum((1 - c) * (pii.UNKNOWN if f else 1) for c, f in slots.values())
+                if sum(c >= pii.CONFIDENCE for c, _ in slots.values()) >= pii.SUPPORT and total / (total + against) >= pii.PATTERN_SCORE:
+                    good[p, k] = total / (total + against)
+        known = {}
+        for value, p in {(e[1], e[3]) for e in edges if e[0] < 0}:
+            for k in range(4):
+                if (p, k) in good and fits(k, value):
+                    known[value, k] = 1 - (1 - known.get((value, k), 0.0)) * max(1 - good[p, k], 1e-9)
+    return sorted((k, v) for (v, k), c in known.items() if c >= pii.CONFIDENCE)
+
+
+def test_rounds_against_brute_force(spark):
+    rng = random.Random(3)
+    seen = []
+    for i in range(300):
+        kind = rng.choice([-1, -1, 3, 2])
+        value = f"+49 555 {i % 120:05d}" if rng.random() < 0.8 else f"item{i}x"
+        seen.append((kind if value[0] == "+" else -1, value, None if rng.random() < 0.9 else value + " 12", [f"1 w{rng.randrange(12)}", f"2 v{rng.randrange(20)}"]))
+    frame_ = spark.createDataFrame(seen, "kind int, value string, slot string, patterns array<string>")
+    assert sorted(tuple(r) for r in pii.bootstrap(frame_).collect()) == brute_bootstrap(seen)
+
+
+def test_values_found_back_further_patterns(spark):
+    rows = [(i, f"some words office phone: +1 (456) 555-2{i:03d} end") for i in range(30)]
+    rows += [(100 + i, f"some words office phone: 555-0{i:03d}-12 end") for i in range(8)]  # found in the first turn
+    rows += [(200 + i, f"please ring this line: 555-0{i:03d}-12 now") for i in range(8)]  # back another context
+    rows += [(300, "please ring this line: 555-7777-13 now")]  # which then finds this
+    found = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    assert found[100] == "phone:25:36" and found[300] == "phone:23:34"
+    assert pii.find(frame(spark, rows), rounds=1).where("doc_id = 300").first().spans == ""
+
+
+def test_recall_and_precision_of_planted_values(spark):
+    rng = random.Random(5)
+    contexts = ["office phone:", "call me at", "mobile number", "reach us on tel", "hotline is"]
+    noise = ["order number", "see page", "version", "part no", "in the year"]
+    rows, planted = [], {}
+    for i in range(600):
+        before, after = " ".join(words(rng.randrange(3, 20), i)), " ".join(words(rng.randrange(3, 20), 9000 + i))
+        context, digits = rng.choice(contexts), f"{rng.randrange(10**7, 10**8)}"
+        if i % 5:
+            value = f"+49 {digits[:3]} {digits[3:]}"
+        else:  # what the base can't see
+            value = rng.choice([f"{digits[:4]}-{digits[4:]}", f"({digits[:3]}) {digits[3:]}", f"0{digits[:3]} {digits[3:]}"])
+            planted[i] = f"phone:{len(before) + 1 + len(context) + 1}:{len(before) + 1 + len(context) + 1 + len(value)}"
+        rows.append((i, f"{before} {context} {value} {after}"))
+    for i in range(600, 900):
+        rows.append((i, f"{' '.join(words(8, i))} {rng.choice(noise)} {rng.randrange(10**6, 10**8)} {' '.join(words(8, 7000 + i))}"))
+    found = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    recall = sum(found[i] == span for i, span in planted.items()) / len(planted)
+    wrong = sum(found[i] != "" for i in range(600, 900))
+    print("recall of planted values", recall, "wrong", wrong)
+    assert recall >= 0.9 and wrong <= 15
+
+
+def test_counts_and_digest_against_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate([TEXT, TEXT[::-1], TEXT * 3, "", None, TEXT.replace(" ", "")])]
+    got = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
+    for i, t in rows:
+        spans = sorted(slow(t or ""))
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(s[0] == k for s in spans) for k in range(4)]
+        text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_runs_of_groups():
     def runs(text):
         return [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text)) if " " in text[a:b] or "(" in text[a:b]]
