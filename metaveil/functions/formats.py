@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaveil.functions.bytes import number
+
 MIB = 1024 * 1024
 #: Id, largest size in MiB, extensions.
 FORMATS = (
@@ -13,10 +15,10 @@ FORMATS = (
     ("mkv", 100, "mkv webm"), ("avi", 100, "avi"), ("psd", 50, "psd"), ("rtf", 100, "rtf"), ("wav", 100, "wav"), ("mp4", 100, "mp4 mov m4a"),
     ("pdf", 100, "pdf"), ("zip", 100, "zip"), ("mp3", 100, "mp3"), ("eml", 100, "eml"), ("docx", 100, "docx"),
 )
-#: Major or compatible brands of the HEIF family, and header sizes of bitmaps.
-HEIC_BRANDS = "heic heix heim heis hevc hevx hevm hevs mif1 msf1 heif heia heio".split()
+#: Major or compatible brands of the HEIF family, header sizes of bitmaps, and headers one of which a mail has.
+HEIC_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "hevm", "hevs", "mif1", "msf1", "heif", "avif", "avis")
 BMP_HEADERS = (12, 40, 52, 56, 108, 124)
-MAIL_HEADERS = "from to subject date received return-path mime-version message-id"
+MAIL_HEADERS = ("from", "to", "subject", "received", "return-path", "mime-version", "date")
 
 
 def starts(content: Column, *hexes: str) -> Column:
@@ -44,6 +46,23 @@ def first_match(rules: dict[str, Column]) -> Column:
     return found
 
 
+def brands(content: Column) -> Column:
+    """The major and compatible brands of an ISO base media file; none if its first box doesn't fit."""
+    size = number(content, 0, 4)
+    fits = (F.length(content) >= 16) & at(content, 4, "ftyp") & (size >= 16) & (size <= F.length(content))
+    # a header of brands alone is short; more than 250 of them are of no use
+    places = F.sequence(F.lit(12), F.least(size - 4, F.lit(1024)).cast("int"), F.lit(4))
+    all_ = F.transform(places, lambda p: F.decode(F.substring(content, F.when(p == 12, 8).otherwise(p) + 1, F.lit(4)), "ISO-8859-1"))
+    return F.when(fits, all_).otherwise(F.array().cast("array<string>"))
+
+
+def _icon(content: Column) -> Column:
+    """A directory of 1 to 64 images, the first of which lies within the file."""
+    count, size, place = number(content, 4, 2, "little"), number(content, 14, 4, "little"), number(content, 18, 4, "little")
+    directory = 6 + 16 * count
+    return starts(content, "00000100", "00000200") & (F.length(content) >= 22) & count.between(1, 64) & (directory <= F.length(content)) & (size > 0) & (place >= directory) & (place + size <= F.length(content))
+
+
 def detect(content: Column) -> Column:
     """The format id, or null: the first rule that holds."""
     head, long_head = latin(content, 1024), latin(content, 2048)
@@ -52,11 +71,11 @@ def detect(content: Column) -> Column:
     brand = F.decode(F.substring(content, 9, 4), "ISO-8859-1")
     dib = F.hex(F.substring(content, 15, 4)).isin([b.to_bytes(4, "little").hex().upper() for b in BMP_HEADERS])
     ftyp = at(content, 4, "ftyp") & (size >= 12)
-    mail_lines = F.regexp_count(long_head, F.lit(r"(?m)^[!-9;-~]+:"))
-    known = long_head.rlike(rf"(?im)^({MAIL_HEADERS.replace(' ', '|')}):")
-    sync = F.conv(F.hex(F.substring(content, 1, 3)), 16, 10).cast("bigint")
+    mail_lines = F.regexp_count(long_head, F.lit(r"(?m)^[!-9;-~]+:[ \t]"))
+    known = long_head.rlike(rf"(?im)^({'|'.join(MAIL_HEADERS)}):")
+    sync = number(content, 0, 3)
     audio = (
-        (size >= 3)
+        (size >= 4)
         & (F.shiftright(sync, 13) == 0x7FF)
         & (F.shiftright(sync, 11).bitwiseAND(F.lit(3)) != 1)
         & (F.shiftright(sync, 9).bitwiseAND(F.lit(3)) != 0)
@@ -71,9 +90,9 @@ def detect(content: Column) -> Column:
         "gif": at(content, 0, "GIF87a") | at(content, 0, "GIF89a"),
         "bmp": at(content, 0, "BM") & (size >= 18) & dib,
         "avif": ftyp & brand.isin("avif", "avis"),
-        "heic": ftyp & brand.isin(HEIC_BRANDS),
-        "ico": starts(content, "00000100", "00000200") & (size >= 22) & F.hex(F.substring(content, 6, 1)).isin("00") & (F.hex(F.substring(content, 5, 1)) != "00"),
-        "svg": plain & (head.rlike(r"(?i)^\s*<svg[\s>]") | head.rlike(r"(?is)^\s*(<\?xml|<!--|<!DOCTYPE).*<svg[\s>]")),
+        "heic": ftyp & F.arrays_overlap(brands(content), F.array(*map(F.lit, HEIC_BRANDS))),
+        "ico": _icon(content),
+        "svg": plain & (head.rlike(r"(?i)<svg[\s>]") | (head.rlike(r"(?i)^\s*<\?xml") & F.contains(F.lower(head), F.lit("<svg")))),
         "flac": at(content, 0, "fLaC"),
         "ogg": at(content, 0, "OggS"),
         "mkv": starts(content, "1A45DFA3"),
@@ -84,7 +103,7 @@ def detect(content: Column) -> Column:
         "mp4": ftyp,
         "pdf": at(content, 0, "%PDF-"),
         "zip": starts(content, "504B03", "504B05", "504B07"),
-        "mp3": at(content, 0, "ID3") | audio,
+        "mp3": (size >= 4) & at(content, 0, "ID3") | audio,
         "eml": plain_mail & (mail_lines >= 3) & known,
         # a compound file: an old or encrypted office document, told apart by its stream names later
         "docx": starts(content, "D0CF11E0A1B11AE1"),
@@ -102,3 +121,14 @@ def gate(format_id: Column, length: Column) -> Column:
     """ok, too-large or unsupported-format."""
     unknown = F.when(length > 50 * MIB, "too-large").otherwise("unsupported-format")
     return F.when(length == 0, "unsupported-format").when(length > 100 * MIB, "too-large").when(format_id.isNull(), unknown).when(length > size_limit(format_id), "too-large").otherwise("ok")
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """id, priority, max_bytes, extensions of every format: the table that lookups join."""
+    rows = [(name, k, mib * MIB, extensions.split()) for k, (name, mib, extensions) in enumerate(FORMATS)]
+    return spark.createDataFrame(rows, "id string, priority int, max_bytes bigint, extensions array<string>")
+
+
+def accepted_extensions(spark: SparkSession) -> DataFrame:
+    """extension, id: what a file may be called."""
+    return registry(spark).select(F.explode("extensions").alias("extension"), "id")

@@ -28,12 +28,19 @@ def extension(path: Column) -> Column:
 
 
 def gates(entries: DataFrame) -> DataFrame:
-    """file_id, reason: the first reason to refuse an archive (null: none). Traversal and duplicates come first, by entry, then totals."""
+    """file_id, reason: the first reason to refuse an archive (null: none). entries: file_id, file_length, entry_pos, path, size.
+
+    Traversal and duplicates come first, by entry, then too many entries, too many bytes, and bytes against the archive's own.
+    """
     own = Window.partitionBy("file_id", F.lower("path_in")).orderBy("entry_pos")
     marked = entries.withColumn("path_in", canonical(F.col("path"))).withColumn("again", F.row_number().over(own) > 1)
     problem = F.when(F.col("path_in").isNull(), "path-traversal").when(F.col("again"), "duplicate-path")
     total = marked.groupBy("file_id").agg(
-        F.min_by(problem, F.when(problem.isNotNull(), F.col("entry_pos"))).alias("by_entry"), F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("packed").alias("packed")
+        F.min_by(problem, F.when(problem.isNotNull(), F.col("entry_pos"))).alias("by_entry"), F.count("*").alias("n"), F.sum("size").alias("size"), F.max("file_length").alias("length")
+    )
+    limits = (
+        F.when(F.col("n") > MOST_ENTRIES, "too-many-entries")
+        .when(F.col("size") > MOST_BYTES, "too-large")
+        .when((F.col("length") > 0) & (F.col("size") / F.col("length") > MOST_RATIO), "zip-bomb")
     )
-    reason = F.coalesce("by_entry", F.when(F.col("n") > MOST_ENTRIES, "too-many-entries").when((F.col("size") > MOST_BYTES) | (F.col("size") > MOST_RATIO * F.greatest("packed", F.lit(1))), "zip-bomb"))
-    return total.select("file_id", reason.alias("reason"))
+    return total.select("file_id", F.coalesce("by_entry", limits).alias("reason"))

@@ -10,8 +10,8 @@ SAMPLES = {
     "d.svg": (b"<?xml version='1.0'?>\n<svg width='1'></svg>", "svg", "ok"),
     "e.eml": (b"From: a@b.c\r\nTo: d@e.f\r\nSubject: x\r\n\r\nbody", "eml", "ok"),
     "f.txt": (b"plain text", None, "unsupported-format"),
-    "h.mp3": (bytes.fromhex("FFFB9000"), "mp3", "ok"),
-    "i.ico": (bytes.fromhex("000001000100") + bytes(16), "ico", "ok"),
+    "h.mp3": (bytes.fromhex("FFFB900000"), "mp3", "ok"),
+    "i.ico": (bytes.fromhex("000001000100") + bytes(8) + b"\1\0\0\0\x16\0\0\0x", "ico", "ok"),
 }
 
 
@@ -43,9 +43,9 @@ def test_active_images_are_refused(spark):
 
 
 def test_archive_gates(spark):
-    entries = [(1, 0, "a/b.txt", 5, 5), (2, 0, "ok", 1, 1), (2, 1, "../up", 1, 1), (3, 0, "A//x", 1, 1), (3, 1, "a/./X", 1, 1), (4, 0, "big", 900, 1), (5, 0, "C:\\x", 1, 1)]
-    rows = spark.createDataFrame(entries, "file_id int, entry_pos int, path string, size long, packed long")
-    assert dict(archive.gates(rows).collect()) == {1: None, 2: "path-traversal", 3: "duplicate-path", 4: "zip-bomb", 5: "path-traversal"}
+    entries = [(1, 0, "a/b.txt", 5, 5), (2, 0, "ok", 1, 1), (2, 1, "../up", 1, 1), (3, 0, "A//x", 1, 1), (3, 1, "a/./X", 1, 1), (4, 0, "big", 900, 1), (5, 0, "C:\\x", 1, 1), (6, 0, "x", 251 << 20, 251 << 20)]
+    rows = spark.createDataFrame(entries, "file_id int, entry_pos int, path string, size long, file_length long")
+    assert dict(archive.gates(rows).collect()) == {1: None, 2: "path-traversal", 3: "duplicate-path", 4: "zip-bomb", 5: "path-traversal", 6: "too-large"}
 
 
 def test_leaks(spark):
