@@ -10,8 +10,8 @@ number) goes, whether or not the earlier one stays. Lines of the same words in t
 * there, copies become one, and the length filter, the positional filter and a filter on signatures of 128 or 256 bits drop what can't
   reach 0.8;
 * each line keeps the nearest candidates (KEEP, by signature) in each meeting; the word sets of candidates are read from the texts, and a
-  join with both sets verifies them exactly. Lines that no verified candidate removes and that had more candidates meet again by
-  themselves, with GROW times as many, until no such line is left.
+  join with both sets verifies them exactly. Lines that no verified candidate removes and that had more candidates are joined
+  by their prefixes with all lines, without a limit.
 
 Texts are read and tokenised again in each pass (see words.py), for their sets would be larger than they are.
 
@@ -21,7 +21,7 @@ the MD5 of their text, a null text first; a null doc_id comes first; an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from metaveil.llm.common import dropped, materialise, small_batches, struct, wit
 from metaveil.llm.words import Tokens, mix
 
 RARITY_BITS = 18
-KEEP, DOUBTFUL, GROW, PART_ROWS = 2, 128, 16, 20_000
+KEEP, DOUBTFUL, PART_ROWS = 4, 1024, 20_000
 #: Lines of more words have signatures of 256 bits, others of 128; and lines that they are trusted for.
 LONG, SURE = 96, 192
 PART_BUCKETS = 1024
@@ -42,6 +42,8 @@ PART_BUCKETS = 1024
 MOST = 1 << 18
 #: Copies from which on a line is known by name.
 COPIES = 64
+#: Whether the sets a and b of distinct words reach the similarity.
+SAME = "9 * size(array_intersect(a, b)) >= 4 * (size(a) + size(b))"
 #: Meetings of up to so many lines are taken together.
 SMALL = 256
 
@@ -52,6 +54,7 @@ COUNTS = struct(word="bigint", n="bigint")
 PREFIXES = struct(meeting="bigint", shape="bigint", key="bigint", line="bigint", bits="bigint", bits2="bigint", bits3="bigint", bits4="bigint")
 CANDIDATES = struct(later="bigint", earlier="bigint", apart="int", more="boolean")
 SETS = struct(key="bigint", words="array<bigint>")
+WORD_SETS = struct(word="bigint", key="bigint", words="array<bigint>")
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -192,10 +195,10 @@ class _Prefixes:
     def __init__(self, order: _Order, bits: int):
         self.order, self.lines = order, Lines(bits)
 
-    def of(self, batch: pa.RecordBatch, among: Bitmap | None = None, only: Bitmap | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-        """word, line (index into the others), place in the line's order; key, number of distinct words, name and signature of lines."""
+    def of(self, batch: pa.RecordBatch, only: Bitmap | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        """word, line (index into the others), place in the line's order; key, number of distinct words, name, signature and words of lines."""
         order = self.order
-        for keys, counts, hashes in self.lines.groups(batch, among):
+        for keys, counts, hashes in self.lines.groups(batch):
             one, two = self.lines.named(counts, hashes)
             needed = ~order.needless(keys, one, two)
             if only is not None:  # lines without any of these words
@@ -210,7 +213,7 @@ class _Prefixes:
             bits = [np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)]
             at = np.arange(len(hashes)) - starts[line]
             use = np.flatnonzero((at < (n - (4 * n + 4) // 5 + 1)[line]) & (order.often[_buckets(hashes)] > 1))
-            yield hashes[use], line[use], at[use], keys, n, one, bits
+            yield hashes[use], line[use], at[use], keys, n, one, bits, hashes
 
 
 def _distinct(counts: np.ndarray, hashes: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,29 +247,53 @@ def _frequent_rows(order, bits: int):
     return run
 
 
-def _open_words(order, bits: int, lines: Bitmap):
-    """The words in the prefixes of some lines, and perhaps of a few more."""
+def _word_sets(keys: np.ndarray, n: np.ndarray, hashes: np.ndarray, words: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+    """A row for each word (of that line), with the line's whole set."""
+    schema = to_arrow_schema(WORD_SETS)
+    starts = np.cumsum(n) - n
+    sizes = n[line]
+    offsets = np.append(0, np.cumsum(sizes))
+    flat = hashes[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts[line], sizes)]
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64))).cast(schema.field(2).type)
+    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(keys[line]), lists], schema=schema)
+
+
+def _open_sets(order):
+    """Rows (key, words) to a row for each word of the prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            counts = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(keys):
+                continue
+            n, line, hashes = _distinct(counts, batch.column(1).flatten().to_numpy().view(np.uint64), order.value.rank)
+            use = np.flatnonzero(np.arange(len(hashes)) - (np.cumsum(n) - n)[line] < (n - (4 * n + 4) // 5 + 1)[line])
+            yield _word_sets(keys, n, hashes, hashes[use], line[use])
+
+    return run
+
+
+def _met_sets(order, bits: int, only: Bitmap):
+    """The lines with one of some words in their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = _Prefixes(order.value, bits)
         for batch in batches:
-            for words, *_ in prefixes.of(batch, lines):
-                words, n = np.unique(words, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], schema=to_arrow_schema(COUNTS))
+            for words, line, _, keys, n, _, _, hashes in prefixes.of(batch, only):
+                use = only.holds(words)
+                yield _word_sets(keys, n, hashes, words[use], line[use])
 
     return run
 
 
-def _prefix_rows(order, bits: int, only: Bitmap | None):
-    """A row for each word of a line's prefix and meeting of that word; of all words, or of those that only holds."""
+def _prefix_rows(order, bits: int):
+    """A row for each word of a line's prefix and meeting of that word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes, schema = _Prefixes(order.value, bits), to_arrow_schema(PREFIXES)
         for batch in batches:
-            for words, line, at, keys, n, one, signature in prefixes.of(batch, only=only):
-                if only is not None:
-                    use = only.holds(words)
-                    words, line, at = words[use], line[use], at[use]
+            for words, line, at, keys, n, one, signature, _ in prefixes.of(batch):
                 parts = order.value.parts(words)
                 meeting = words
                 if (parts > 1).any():
@@ -304,16 +331,13 @@ def _similar(key, n, at, bits, i, j) -> tuple[np.ndarray, ...]:
 
 
 class _Meeting:
-    """Collects pairs (later, earlier) and keeps the nearest few of each later line, more of them if none is really near; only of the lines that are asked about."""
+    """Collects pairs (later, earlier) and keeps the nearest few of each later line, more of them if none is really near."""
 
-    def __init__(self, keep: int, asked: Bitmap | None):
-        self.keep, self.asked, self.pairs, self.size = keep, asked, [], 0
+    def __init__(self, keep: int, doubtful: int):
+        self.keep, self.doubtful, self.pairs, self.size = keep, doubtful, [], 0
 
     def add(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray, near: np.ndarray) -> None:
         later, earlier = np.maximum(a, b), np.minimum(a, b)
-        if self.asked is not None:
-            use = self.asked.holds(later)
-            later, earlier, apart, near = later[use], earlier[use], apart[use], near[use]
         if len(later):
             self.pairs.append(np.stack([later, earlier, apart, np.zeros_like(later), near]))
             self.size += len(later)
@@ -332,21 +356,28 @@ class _Meeting:
         group = np.cumsum(first) - 1
         rank = np.arange(found.shape[1]) - np.flatnonzero(first)[group]
         near, more = np.logical_or.reduceat(found[4:2:-1] > 0, np.flatnonzero(first), axis=1)
-        most = np.where(near, self.keep, DOUBTFUL * self.keep)
+        most = np.where(near, self.keep, self.doubtful)
         found[3] = (more | (np.bincount(group) > most))[group]
         return found[:, rank < most[group]]
 
 
-def _candidates(keep: int, asked: Bitmap | None):
-    """Rows ordered by meeting, size, name and key to candidate pairs. Holds one meeting at a time, and a few thousand rows more."""
+def _candidates(keep: int, doubtful: int):
+    """Rows ordered by meeting to candidate pairs. Holds one meeting at a time, and a few thousand rows more."""
 
     def met(meeting: np.ndarray, shape: np.ndarray, key: np.ndarray, one: np.ndarray, *bits: np.ndarray) -> np.ndarray:
-        new = np.append(True, (meeting[1:] != meeting[:-1]) | (shape[1:] != shape[:-1]) | (one[1:] != one[:-1]))
-        meeting, shape, key, *bits = (c[new] for c in (meeting, shape, key, *bits))  # copies are one, by their first line
+        group = np.cumsum(np.append(False, meeting[1:] != meeting[:-1]))
+        if len(group) >> 20 or (shape >> 52).any():
+            order = np.lexsort((one, shape >> 32, group))
+        else:
+            order = np.argsort(group << 44 | shape >> 32 << 24 | one & 0xFFFFFF, kind="stable")
+        meeting, shape, key, one, *bits = (c[order] for c in (meeting, shape, key, one, *bits))
+        new = np.flatnonzero(np.append(True, (meeting[1:] != meeting[:-1]) | (shape[1:] != shape[:-1]) | (one[1:] != one[:-1])))
+        key = np.minimum.reduceat(key, new)  # copies are one, by their first line
+        meeting, shape, *bits = (c[new] for c in (meeting, shape, *bits))
         n, at, bits = shape >> 32, shape & 0xFFFFFFFF, [b.view(np.uint64) for b in bits]
         starts = np.flatnonzero(np.append(True, meeting[1:] != meeting[:-1]))
         sizes = np.diff(np.append(starts, len(meeting)))
-        found = _Meeting(keep, asked)
+        found = _Meeting(keep, doubtful)
         i, step = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes)), 1
         while len(i):  # rows against the row that is step rows on, as long as that isn't too long
             i = i[i + step < len(meeting)]
@@ -422,47 +453,39 @@ def _order(lines: DataFrame, groups: DataFrame, texts: DataFrame, bits: int, par
     return context.broadcast(order)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
-    """Keys of the lines that a candidate really is similar to. The nearest candidate is tried first, the others where it fails."""
+def _join(texts: DataFrame, order, bits: int, keep: int, doubtful: int) -> DataFrame:
+    """Keys of the first lines of their kind that an earlier line of another kind removes."""
+    meetings = texts.mapInArrow(_prefix_rows(order, bits), PREFIXES).repartition("meeting").sortWithinPartitions("meeting")
+    found = meetings.mapInArrow(_candidates(keep, doubtful), CANDIDATES)
+    pairs = materialise(found.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "candidates")
     needed = pairs.select(F.col("later").alias("key")).union(pairs.select("earlier"))
     sets = materialise(texts.mapInArrow(_set_rows(bits, bitmap(needed, "key")), SETS), "sets")
     left = sets.select(F.col("key").alias("later"), F.col("words").alias("a"))
     right = sets.select(F.col("key").alias("earlier"), F.col("words").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
 
     def similar(some: DataFrame) -> DataFrame:
-        same = some.join(left, "later").join(right, "earlier").where(5 * shared >= 4 * (F.size("a") + F.size("b") - shared))
+        same = some.join(left, "later").join(right, "earlier").where(SAME)
         return materialise(same.select(F.col("later").alias("key")).distinct(), "similar")
 
+    # the nearest candidate is tried first, the others where it fails
     first = similar(pairs.groupBy("later").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")))
     rest = pairs.select("later", "earlier").join(first.withColumnRenamed("key", "later"), "later", "left_anti")
-    found = first.union(similar(rest))
+    verified = first.union(similar(rest))
+    open_ones = pairs.where("more").select(F.col("later").alias("key")).distinct().join(verified, "key", "left_anti")
+    open_ones = materialise(sets.join(open_ones, "key", "left_semi"), "open")
+    dropped(pairs)
     dropped(sets)
-    return found
+    if open_ones.isEmpty():
+        return verified
+    asked = materialise(open_ones.mapInArrow(_open_sets(order), WORD_SETS), "open-words")
+    met = texts.mapInArrow(_met_sets(order, bits, bitmap(asked.select("word").distinct(), "word")), WORD_SETS)
+    asked = asked.select("word", F.col("key").alias("later"), F.col("words").alias("a"))
+    met = met.select("word", F.col("key").alias("earlier"), F.col("words").alias("b"))
+    again = asked.join(met, "word").where("earlier < later AND 5 * size(a) >= 4 * size(b) AND 5 * size(b) >= 4 * size(a)").where(SAME)
+    return verified.union(materialise(again.select(F.col("later").alias("key")).distinct(), "similar"))
 
 
-def _join(texts: DataFrame, order, bits: int, keep: int) -> DataFrame:
-    """Keys of the first lines of their kind that an earlier line of another kind removes."""
-    similar, asked, only = None, None, None
-    while True:
-        rows: Callable = _prefix_rows(order, bits, only)
-        meetings = texts.mapInArrow(rows, PREFIXES).repartition("meeting").sortWithinPartitions("meeting", "shape", "line", "key")
-        found = meetings.mapInArrow(_candidates(keep, asked), CANDIDATES)
-        pairs = materialise(found.groupBy("later", "earlier").agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "candidates")
-        verified = _verified(texts, pairs, bits)
-        similar = verified if similar is None else similar.union(verified)
-        left = materialise(pairs.where("more").select(F.col("later").alias("key")).distinct().join(similar, "key", "left_anti"), "open")
-        dropped(pairs)
-        n = left.count()
-        if not n:
-            return similar.distinct()
-        asked = bitmap(left, "key", n)
-        words = texts.mapInArrow(_open_words(order, bits, asked), COUNTS)
-        only = bitmap(materialise(words.select("word").distinct(), "open-words"), "word")
-        keep *= GROW
-
-
-def find(docs: DataFrame, keep: int = KEEP, part_rows: int = PART_ROWS, exact: bool | None = None) -> DataFrame:
+def find(docs: DataFrame, keep: int = KEEP, doubtful: int = KEEP * DOUBTFUL, part_rows: int = PART_ROWS, exact: bool | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, n_similar, removed for each row of docs (doc_id, text).
 
     removed: the numbers of the lines that go, from 0, comma-joined; n_similar: how many of them are no copy of an earlier line.
@@ -473,7 +496,7 @@ def find(docs: DataFrame, keep: int = KEEP, part_rows: int = PART_ROWS, exact: b
     read = materialise(texts.mapInArrow(_line_rows(bits), LINES), "lines")
     lines = read.where("key >= 0")
     groups = materialise(lines.groupBy("one", "two").agg(F.min("key").alias("key"), F.count("*").alias("n")), "line-kinds")
-    similar = _join(texts, _order(read, groups, texts, bits, part_rows, exact), bits, keep)
+    similar = _join(texts, _order(read, groups, texts, bits, part_rows, exact), bits, keep, doubtful)
     copied = groups.where("n > 1").select("one", "two", F.col("key").alias("first"))
     copies = lines.join(copied, ["one", "two"]).where("key <> first").select("key", F.lit(None).cast("int").alias("near"))
     gone = copies.union(similar.select("key", F.lit(1)))
