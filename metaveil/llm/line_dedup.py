@@ -34,7 +34,7 @@ from metaveil.llm.common import dropped, materialise, small_batches, struct, wit
 from metaveil.llm.words import Tokens, mix
 
 RARITY_BITS = 18
-KEEP, DOUBTFUL, PART_ROWS = 4, 1024, 20_000
+KEEP, DOUBTFUL, PART_ROWS = 2, 64, 20_000
 #: Lines of more words have signatures of 256 bits, others of 128; and lines that they are trusted for.
 LONG, SURE = 96, 192
 PART_BUCKETS = 1024
