@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaveil.operators import findings, packages
+from metaveil.operators import documents, findings, packages
 from metaveil.sources.archives import entries, rebuilt
 
 #: Ten kinds of package: paths of their entries, and contents other than the page.
@@ -83,6 +83,65 @@ def archive_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.leaks(values, packages.latin_corpus(entries(_archives(spark, sf_dir))))
 
 
+#: Documents with everything to tell: kind, path and content, as SQL that both engines run over pages.
+DOCUMENTS = (
+    ("office", "[Content_Types].xml", "'<Types><Override PartName=\"/docProps/core.xml\" ContentType=\"x\"/> <Override PartName=\"/word/document.xml\" ContentType=\"y\"/></Types>'"),
+    ("office", "_rels/.rels", "'<Relationships><Relationship Id=\"1\" Target=\"docProps/core.xml\"/><Relationship Id=\"2\" Target=\"word/document.xml\"/></Relationships>'"),
+    ("office", "docProps/core.xml", "'<cp:coreProperties><dc:creator>' || page_id || ' &amp; Co</dc:creator><x:title> A title </x:title><cp:revision></cp:revision></cp:coreProperties>'"),
+    ("office", "docProps/app.xml", "'<Properties><Company>Firm ' || page_id % 3 || '</Company><Pages>7</Pages></Properties>'"),
+    ("office", "docProps/custom.xml", "'<Properties><property fmtid=\"1\" name=\"Client\"><vt:lpwstr>' || url || '</vt:lpwstr></property></Properties>'"),
+    ("office", "word/document.xml", "'<w:p w:rsidR=\"00A1\" w:rsidP=\"00A2\"><w:ins w:author=\"Ann\" w:date=\"2024-01-01\"/><w:ins w:author=\"Bob\"/><w:ins w:author=\"Ann\"/>text</w:p>'"),
+    ("office", "word/comments.xml", "'<w:comment w:author=\"Cy\" w:initials=\"C\">note</w:comment><w:comment w:author=\"Anonymous\"/>'"),
+    ("odf", "mimetype", "'application/vnd.oasis.opendocument.text'"),
+    ("odf", "meta.xml", "'<office:meta><dc:creator>' || page_id || '</dc:creator><meta:keyword>k1</meta:keyword><meta:keyword>k2</meta:keyword><meta:user-defined meta:name=\"Case\">' || url || '</meta:user-defined><meta:document-statistic a=\"1\"/></office:meta>'"),
+    ("odf", "settings.xml", "'<s><config:config-item config:name=\"PrinterName\" t=\"s\">Laser 5</config:config-item></s>'"),
+    ("odf", "content.xml", "'<office:annotation><dc:creator>Dee</dc:creator><dc:date>2024-05-05</dc:date>note</office:annotation>'"),
+    ("odf", "Thumbnails/thumbnail.png", "'x'"),
+    ("odf", "META-INF/manifest.xml", "'<m><manifest:file-entry manifest:full-path=\"Thumbnails/thumbnail.png\" a=\"b\"/> <manifest:file-entry manifest:full-path=\"content.xml\"/></m>'"),
+    ("book", "mimetype", "'application/epub+zip'"),
+    ("book", "META-INF/container.xml", "'<rootfile full-path=\"OPS/package.opf\"/>'"),
+    ("book", "OPS/package.opf", "'<metadata><dc:title>T</dc:title> <meta name=\"calibre:rating\" content=\"' || page_id || '\"/> <meta property=\"dcterms:modified\">2024-02-02</meta><dc:contributor opf:role=\"bkp\">tool [1.0]</dc:contributor></metadata>'"),
+)
+TOLD = {"office": documents.office_findings, "odf": lambda rows: documents.odf_findings(rows).drop("format"), "book": documents.book_findings}
+COPIED = {"office": documents.office_copies, "odf": documents.odf_copies, "book": documents.book_copies}
+MARKERS = {"office": ("docProps/", "w:rsid", '"Ann"'), "odf": ("Thumbnails/", "Laser", "Dee"), "book": ("calibre", "bkp")}
+
+
+def _documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    own = [(path, sql) for k, path, sql in DOCUMENTS if k == kind]
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("entry_pos"), F.lit(path).alias("path"), F.expr(sql).cast("binary").alias("content")) for n, (path, sql) in enumerate(own)])).alias("p")
+    rows = pages.select(F.col("page_id").alias("file_id"), parts).select("file_id", "p.*")
+    return entries(rebuilt(rows.withColumn("is_folder", F.lit(False)).withColumn("stored", F.col("path") == "mimetype")))
+
+
+def _told(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return findings.explode(TOLD[kind](_documents(spark, sf_dir, kind))).select("file_id", "pos", "category", "field", "label", "value", "severity")
+
+    query.__name__ = f"{kind}_findings"
+    return query
+
+
+def _checked(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _documents(spark, sf_dir, kind)
+        after = entries(COPIED[kind](before))
+        return documents.verified(TOLD[kind](before), TOLD[kind](after), after, MARKERS[kind])
+
+    query.__name__ = f"{kind}_clean_verify"
+    return query
+
+
+def _copied(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = entries(COPIED[kind](_documents(spark, sf_dir, kind)))
+        return rows.select("file_id", "path", F.sha2("content", 256).alias("sha256"))
+
+    query.__name__ = f"{kind}_copies"
+    return query
+
+
 #: What is put into pages, by page_id modulo their number, for the gates of documents.
 PDF_MARKS = ("", "/Encrypt 5 0 R", "/Encrypted", "/ByteRange [0 1]", "/SubFilter /adbe.pkcs7.detached", "/SigFlags 3", "/SigFlags 4", "/Type /Sig ", "/XFA 1", "/Collection", "/EmbeddedFiles", "/Type/EmbeddedFile ", "/XFA /Encrypt")
 CFB_NAMES = ("EncryptedPackage", "WordDocument", "Workbook", "PowerPoint Document", "Other", "EncryptionInfo")
@@ -102,7 +161,7 @@ def compound_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (package_routes, archive_contents, archive_containers, archive_copies, package_authors, archive_gated, entry_formats, archive_leaks, pdf_gate, compound_kinds)
+    for f in (package_routes, archive_contents, archive_containers, archive_copies, package_authors, archive_gated, entry_formats, archive_leaks, pdf_gate, compound_kinds, *(make(kind) for kind in TOLD for make in (_told, _checked, _copied)))
 }
 
 
@@ -138,3 +197,39 @@ ORACLE = {
     "pdf_gate": f"WITH t AS (SELECT page_id, '%PDF-1.7 ' || list_extract([{_MARKS}], CAST(page_id % {len(PDF_MARKS)} + 1 AS INT)) || ' ' || html AS t FROM pages) SELECT page_id, CASE {_PDF} END AS reason FROM t",
     "compound_kinds": f"SELECT page_id, ['encrypted', 'legacy-office', 'legacy-office', 'legacy-office', 'unknown', 'encrypted'][CAST(page_id % {len(CFB_NAMES)} + 1 AS INT)] AS kind FROM pages",
 }
+#: category, field, label, value (SQL), severity of each finding, and what a copy's changed parts hold (None: they are gone).
+EXPECTED = {
+    "office": (
+        ("office-author", "core:dc:creator", "Document author", "page_id || ' & Co'", "high"), ("office-custom", "core:dc:title", "Document title", "'A title'", "medium"),
+        ("office-app", "app:Company", "Company", "'Firm ' || page_id % 3", "high"), ("office-custom", "app:Pages", "Pages", "'7'", "low"),
+        ("office-custom", "custom:Client", 'Property "Client"', "url", "medium"), ("office-comment-authors", "docx:commentAuthor", "Comment author", "'Cy'", "high"),
+        ("office-revisions", "docx:revisionAuthor", "Revision author (tracked changes)", "'Ann, Bob'", "high"), ("office-revisions", "docx:rsid", "Edit session IDs (rsid)", "'2'", "medium"),
+    ),
+    "odf": (
+        ("author", "ODF:dc:creator", "Document author", "CAST(page_id AS VARCHAR)", "high"), ("other", "ODF:meta:keyword", "Keyword", "'k1'", "medium"), ("other", "ODF:meta:keyword", "Keyword", "'k2'", "medium"),
+        ("other", "ODF:user:Case", 'Property "Case"', "url", "medium"), ("other", "ODF:statistics", "Document statistics", "'Present'", "low"),
+        ("thumbnails", "ODF:thumbnail", "Document preview thumbnail", "'Present'", "medium"), ("device", "ODF:printer", "Printer name", "'Laser 5'", "high"),
+        ("author", "ODF:annotationAuthor", "Annotation author", "'Dee'", "high"),
+    ),
+    "book": (
+        ("software", "EPUB:calibre:rating", "Calibre field (rating)", "CAST(page_id AS VARCHAR)", "medium"), ("dates", "EPUB:modified", "Last modified date", "'2024-02-02'", "medium"),
+        ("software", "EPUB:producer", "Producing tool", "'tool [1.0]'", "medium"),
+    ),
+}
+CHANGED = {
+    "[Content_Types].xml": "'<Types><Override PartName=\"/word/document.xml\" ContentType=\"y\"/></Types>'",
+    "_rels/.rels": "'<Relationships><Relationship Id=\"2\" Target=\"word/document.xml\"/></Relationships>'",
+    "docProps/core.xml": None, "docProps/app.xml": None, "docProps/custom.xml": None, "Thumbnails/thumbnail.png": None,
+    "word/document.xml": "'<w:p><w:ins w:author=\"Anonymous\"/><w:ins w:author=\"Anonymous\"/><w:ins w:author=\"Anonymous\"/>text</w:p>'",
+    "word/comments.xml": "'<w:comment w:author=\"Anonymous\">note</w:comment><w:comment w:author=\"Anonymous\"/>'",
+    "meta.xml": _literal(documents.EMPTY_META).replace("\n", "' || chr(10) || '"), "settings.xml": "'<s></s>'", "content.xml": "'<office:annotation><dc:creator>Anonymous</dc:creator>note</office:annotation>'",
+    "META-INF/manifest.xml": "'<m><manifest:file-entry manifest:full-path=\"content.xml\"/></m>'", "OPS/package.opf": "'<metadata><dc:title>T</dc:title></metadata>'",
+}
+for _kind, _rows in EXPECTED.items():
+    ORACLE[f"{_kind}_findings"] = " UNION ALL ".join(
+        f"SELECT page_id AS file_id, CAST({k} AS INTEGER) AS pos, '{c}' AS category, '{f}' AS field, '{n}' AS label, {v} AS value, '{s}' AS severity FROM pages" for k, (c, f, n, v, s) in enumerate(_rows)
+    )
+    ORACLE[f"{_kind}_clean_verify"] = f"SELECT page_id AS file_id, CAST({len(_rows)} AS BIGINT) AS found_before, CAST(0 AS BIGINT) AS remaining, true AS passed FROM pages"
+    ORACLE[f"{_kind}_copies"] = " UNION ALL ".join(
+        f"SELECT page_id AS file_id, '{path}' AS path, sha256({CHANGED.get(path, sql)}) AS sha256 FROM pages" for kind, path, sql in DOCUMENTS if kind == _kind and CHANGED.get(path, sql) is not None
+    )
