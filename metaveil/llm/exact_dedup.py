@@ -6,7 +6,8 @@
 3. Global: the at most SALTS winners of each text meet; the smallest doc_id wins.
 
 The text itself is part of every grouping key, so full contents are compared at every step, not only digests. Each row
-then finds its group by digest, a second hash and its own salt, which again spreads a hot group over SALTS keys.
+then finds its group by digest, a second hash and its own salt, which again spreads a hot group over SALTS keys; rows that
+repeat both id and text, which no salt can part, are counted first and told again after that.
 
 Defined cases: a null text counts as empty; texts that differ only in their runs of white space are equal; of equal texts
 the smallest doc_id stays; a null doc_id loses to any other and stays only where its group has no other; rows that repeat
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from metaveil.llm.common import SPACE, with_columns
 
 SALTS = 16
+#: Rows that are told again at once.
+RUN = 10_000
 
 
 def classify(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -42,8 +45,11 @@ def classify(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         F.min("first").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts")
     )
     spread = groups.select("text_sha256", "check", F.explode("salts").alias("salt"), "keep_id", "group_size")
+    # rows alike in id and text have one salt: they go through the join as one
+    counted = rows.drop("text").groupBy("text_sha256", "check", "salt", "doc_id").agg(F.count("*").alias("copies"))
     return (
-        rows.drop("text")
-        .join(spread, ["text_sha256", "check", "salt"])
+        counted.join(spread, ["text_sha256", "check", "salt"])
+        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN))))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("copies") - F.col("turn") * RUN))))
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )

@@ -25,3 +25,9 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert exact_dedup.classify(frame(spark, [])).count() == 0
+
+
+def test_rows_alike_in_id_and_text(spark):
+    rows = [(7, "same text")] * 25_000 + [(None, "same text")] * 300 + [(None, "other")] * 3
+    got = exact_dedup.classify(frame(spark, rows)).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 7, 25_300, True, 25_000), (None, 7, 25_300, False, 300), (None, None, 3, True, 3)], key=str)
