@@ -75,6 +75,14 @@ def with_columns(df: DataFrame, **casts: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in casts.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like that which no column of df has, in small or capital letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 TYPES = {
     "int": T.IntegerType(),
     "bigint": T.LongType(),

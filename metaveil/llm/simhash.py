@@ -12,7 +12,8 @@ have no size bound; the shuffle brings the queries to the shard's tree instead.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer than four words are one shingle;
 equal fingerprints are linked; a null doc_id stays null and never names a component unless its component has no other;
-repeated rows each get their row; an empty table gives no rows; other columns are ignored.
+repeated rows each get their row; an empty table gives no rows; other columns are ignored. keep_one keeps one row of each group,
+rows without a doc_id and repeated rows included.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from metaveil.llm.common import materialise, small_batches, struct, with_columns
+from metaveil.llm.common import materialise, small_batches, struct, unused, with_columns
 from metaveil.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -209,19 +210,27 @@ def classify(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable over links)."""
     prints = materialise(fingerprints(docs), "prints")
     named = _roots(prints, radius, shard_size)
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialise(named.join(ids, "root").select("fp", "component_id"), "classes")
+    classes = materialise(_spread(named, "first", "component_id").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _spread(named: DataFrame, value: str, least: str, parts: int = 64) -> DataFrame:
+    """named with the least value of each root: found in parts first, then together, and dealt back to the parts, so that no component is one task's."""
+    parted = named.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int"))
+    whole = parted.groupBy("root", "part").agg(F.min(value).alias(least)).groupBy("root").agg(F.min(least).alias(least), F.collect_list("part").alias("parts"))
+    return parted.join(whole.select("root", F.explode("parts").alias("part"), least), ["root", "part"])
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """One row of each group, with all its columns: the one with the smallest doc_id, then by its text's hash. Rows without a doc_id stay."""
+    """One row of each group, with all its columns: the one with the smallest doc_id, then by its text's hash; rows without a doc_id come last."""
     prints = materialise(fingerprints(docs, hashed=True), "prints")
-    order = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     firsts = prints.groupBy("fp").agg(F.min(order).alias("least"))
     named = firsts.join(_roots(prints, radius, shard_size), "fp")
-    kept = named.groupBy("root").agg(F.min("least").alias("__kept")).select("__kept").where("__kept IS NOT NULL")
+    mine, turn = unused(docs, "kept"), unused(docs, "turn")
+    parted = named.groupBy("root", F.pmod(F.xxhash64("fp"), F.lit(64)).alias("part")).agg(F.min("least").alias("least"))
+    kept = parted.groupBy("root").agg(F.min("least").alias(mine)).select(mine)
     id_, text_hash = docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"].cast("string"))
-    turn = F.row_number().over(Window.partitionBy("__kept.doc_id", "__kept.text_hash").orderBy("text"))
-    joined = docs.join(kept, (id_ == F.col("__kept.doc_id")) & (text_hash == F.col("__kept.text_hash")))
-    return joined.withColumn("__turn", turn).where("__turn = 1").drop("__kept", "__turn").union(docs.where(docs["doc_id"].isNull()))
+    joined = docs.join(kept, id_.eqNullSafe(F.col(f"{mine}.doc_id")) & (text_hash == F.col(f"{mine}.text_hash")))
+    first = F.row_number().over(Window.partitionBy(f"{mine}.doc_id", f"{mine}.text_hash").orderBy("text"))
+    return joined.withColumn(turn, first).where(F.col(turn) == 1).drop(mine, turn)

@@ -45,7 +45,7 @@ def test_fingerprints_and_components(spark):
         got = simhash.classify(docs, shard_size=shard_size).collect()
         assert sorted((tuple(r) for r in got), key=str) == want
     kept = sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect())
-    assert kept == sorted([str(i) for i in {r[2] for r in want if r[2] is not None}] + ["None"] * 2)
+    assert kept == sorted([str(i) for i in {r[2] for r in want if r[2] is not None}] + ["None"] * (len({r[1] for r in want if r[2] is None})))
     assert simhash.keep_one(docs).columns == docs.columns
 
 
@@ -86,4 +86,11 @@ def test_keep_one_chooses_rows(spark):
     a, b = (" ".join(words(200, seed)) for seed in (71, 72))
     rows = [(3, a), (5, a), (5, b), (5, b), (None, b), (7, None), (8, "")]
     got = simhash.keep_one(frame(spark, rows)).select("doc_id", "text").collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(3, a), (5, b), (None, b), (7, None)], key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(3, a), (5, b), (7, None)], key=str)
+
+
+def test_keep_one_without_ids_and_with_clashing_names(spark):
+    a, b = (" ".join(words(200, seed)) for seed in (81, 82))
+    rows = frame(spark, [(None, a), (None, a + " x"), (None, b), (4, b)]).withColumnsRenamed({"fp": "kept", "salt": "turn"})
+    got = simhash.keep_one(rows)
+    assert got.columns == rows.columns and sorted((r.doc_id is None, r.text[:20]) for r in got.collect()) == sorted([(True, a[:20]), (False, b[:20])])
