@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metaveil.llm.common import SPACE, materialise
+from metaveil.llm.common import SPACE, materialise, unused
 
 BLOCK_ROWS = 1024
 PARTS, TURNS = 64, 6
@@ -182,11 +182,12 @@ def realise(docs: DataFrame, target: Target | None = None) -> DataFrame:
     """The rows of docs (with doc_id, text and source), all their columns, as often as the mixture has them. Texts aren't shuffled."""
     counted = materialise(_counted(docs), "counted")
     sources = materialise(cuts(counted, materialise(plan(counted, target or Target()), "planned")), "cuts")
-    named = sources.select(F.struct("key", "full", "last").alias("__mix"))
+    mix, copy = unused(docs, "mix"), unused(docs, "copy")
+    named = sources.select(F.struct("key", "full", "last").alias(mix))
     few = sources.count() <= BROADCAST_SOURCES
     check = F.xxhash64(docs["text"].cast("string"))
-    turn = F.shiftrightunsigned(F.xxhash64(docs["doc_id"].cast("bigint"), check, F.col("__mix.full")), 1)
-    joined = docs.join(F.broadcast(named) if few else named, _key(docs["source"]) == F.col("__mix.key"))
-    passes = F.col("__mix.full") + (turn <= F.col("__mix.last")).cast("int")
+    turn = F.shiftrightunsigned(F.xxhash64(docs["doc_id"].cast("bigint"), check, F.col(f"{mix}.full")), 1)
+    joined = docs.join(F.broadcast(named) if few else named, _key(docs["source"]) == F.col(f"{mix}.key"))
+    passes = F.col(f"{mix}.full") + (turn <= F.col(f"{mix}.last")).cast("int")
     copies = F.when(passes > 0, F.sequence(F.lit(1), passes)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("__copy", F.explode(copies)).drop("__mix", "__copy")
+    return joined.withColumn(copy, F.explode(copies)).drop(mix, copy)

@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     if not chosen:
         return Network().fit([], [])
     few = spark.createDataFrame(chosen, marked.schema)
-    texts = with_columns(docs, doc_id="bigint", text="string").join(F.broadcast(few), "doc_id").select("quality", "text", "doc_id")
+    texts = with_columns(docs, doc_id="bigint", text="string").join(F.broadcast(few), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text", "doc_id")  # a repeated doc_id gives one text
     rows = texts.mapInArrow(_spread(TRAIN_BYTES), struct(quality="int", data="binary")).collect()
     rows.sort(key=lambda r: (r["quality"], bytes(r["data"])))
     rows = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))[: 4 * sample]]
