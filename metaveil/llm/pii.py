@@ -10,7 +10,7 @@ once in the size of a pattern, with the surest of them. Patterns and the distinc
 Spark scores in turns:
 
 * a pattern's score for a kind is the sum of its distinct values' confidence in that kind, over the same sum and what speaks
-  against it: each value's doubt, three quarters of it where the value has the kind's shape; it needs SUPPORT distinct values that are
+  against it: each value's doubt, two thirds of it where the value has the kind's shape; it needs SUPPORT distinct values that are
   at least CONFIDENCE sure;
 * a value's confidence in a kind whose shape it has is 1 - product(1 - score) over its patterns that score at least
   PATTERN_SCORE; seeds keep 1. Values found in one turn back further patterns in the next.
@@ -40,7 +40,7 @@ from metaveil.llm.common import materialise, small_batches, with_columns
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, PATTERN_SCORE, CONFIDENCE, ROUNDS = 5, 0.8, 0.9, 3
 #: What a value that has a kind's shape, but isn't known to be of that kind, counts against a pattern; any other value counts 1.
-UNKNOWN = 0.75
+UNKNOWN = 2 / 3
 
 #: Fixed patterns of the contract. No number may start within the digits that a longer one has just tried in vain.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
