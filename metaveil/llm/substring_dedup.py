@@ -1,12 +1,18 @@
-"""Passages that a document with a smaller doc_id has too, by joins of anchored blocks and windows, in place of a relative Lempel-Ziv parse.
+"""Passages that a document with a smaller doc_id has too, by relative Lempel-Ziv parsing against indexed blocks.
 
-Every document is cut into blocks at places that its own words choose (the smallest hash among the ANCHOR-word runs of each
-WINDOW-word window), so that equal passages are cut alike wherever they stand. The distinct blocks, each with the smallest
-doc_id that has it, are the reference, indexed by their anchors over all documents. In place of a greedy parse, blocks are joined
-by hash with their earliest owners, and where blocks share their anchor with others but not all their words, the windows in them
-are joined by hash one by one. No factors are built.
-As a block holds only windows with one anchor, and equal windows have equal anchors, that finds every window of WINDOW words
-which also starts in a document with a smaller doc_id, and no other. Words, blocks and windows are compared by 128-bit hashes.
+The reference is what all documents hold, cut into blocks at places that their own words choose (the smallest hash among the
+ANCHOR-word runs of each WINDOW-word window), so that equal passages are cut alike wherever they stand. A block holds the
+windows with one anchor. The index has each distinct block of all documents once, with the place of its earliest owner.
+
+* Every block of a document is looked up in the index by its anchor and hashes. Blocks that an earlier document has are matches.
+* Where blocks share their anchor with others but not all their words, a copied passage may begin or end within them: these
+  are the boundaries, and the windows there are looked up one by one, each with its earliest owner.
+* A document is then parsed from left to right: matches that go on in the same place of the same source are one factor, as
+  long as it goes; at each word the factor that reaches furthest is taken, and words that no match covers are literals. All
+  factors are at least WINDOW words long; what they cover goes.
+
+As equal windows have equal anchors, that covers every window of WINDOW words which also starts in a document with a smaller
+doc_id, and no other. Words, blocks and windows are compared by 128-bit hashes.
 
 Only hashes are shuffled, about one row for 20 words, and of the texts only those with shared anchors.
 
@@ -174,24 +180,50 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*same, pa.array(one), pa.array(two), pa.array(starts.astype(np.int32))], schema=schema)
 
 
-def _uncovered(n: int, spans: list[dict]) -> np.ndarray:
-    edges = np.zeros(n + 1, np.int64)
-    for s in spans:
-        edges[s["start"]] += 1
-        edges[s["end"]] -= 1
-    return np.flatnonzero(np.cumsum(edges[:n]) == 0)
+def factors(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The greedy parse: (start, end, source, place in the source) from left to right, of matches (start, end, source, place)."""
+    runs: dict[tuple[int, int], list[list[int]]] = {}
+    for start, end, source, place in sorted(matches):
+        own = runs.setdefault((source, place - start), [])
+        if own and start <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], end)  # the copy goes on
+        else:
+            own.append([start, end])
+    copies = sorted((start, end, source, shift) for (source, shift), own in runs.items() for start, end in own)
+    parsed, at, k = [], 0, 0
+    best: tuple[int, int, int] | None = None  # end, source, shift of the copy that reaches furthest from here
+    while k < len(copies) or best and best[0] > at:
+        while k < len(copies) and copies[k][0] <= at:
+            start, end, source, shift = copies[k]
+            best = max(best or (end, source, shift), (end, source, shift))
+            k += 1
+        if best and best[0] > at:
+            parsed.append((at, best[0], best[1], at + best[2]))
+            at = best[0]
+        elif k < len(copies):
+            at = copies[k][0]  # literals up to the next copy
+    return parsed
+
+
+def _literals(n: int, parsed: list[tuple[int, int, int, int]]) -> list[int]:
+    """The words that no factor holds."""
+    at, left = 0, []
+    for start, end, _, _ in [*parsed, (n, n, 0, 0)]:
+        left.extend(range(at, start))
+        at = end
+    return left
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, mark, text, spans to what is kept."""
+    """doc, mark, text, matches to what the parse keeps."""
     schema = to_arrow_schema(KEPT)
     for batch in batches:
         removed, shas = [], []
         for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             words = text.encode().split()
-            kept = _uncovered(len(words), spans)
+            kept = _literals(len(words), factors([(s["start"], s["end"], s["owner"], s["at"]) for s in spans]))
             removed.append(len(words) - len(kept))
-            shas.append(hashlib.sha256(b" ".join([words[i] for i in kept.tolist()])).hexdigest())
+            shas.append(hashlib.sha256(b" ".join([words[i] for i in kept])).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas)], schema=schema)
 
 
@@ -200,7 +232,7 @@ def _sources(docs: DataFrame) -> DataFrame:
 
 
 def factor(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """parsed (one row for each document), texts (doc, mark, text) and spans (doc, mark, start, end) of duplicate words.
+    """parsed (one row for each document), texts (doc, mark, text) and matches (doc, mark, start, end, owner, at) with earlier documents.
 
     A document is known by doc and mark, a hash of its words: rows alike in both are factored once.
     """
@@ -212,12 +244,12 @@ def factor(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "doc", "mark", F.col("b.anchors").alias("anchor"), F.col("b.ones").alias("one"), F.col("b.twos").alias("two"),
         F.col("b.starts").alias("first"), F.col("b.ends").alias("last"),
     )
-    reference = seen.groupBy("anchor", "one", "two").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest"))
+    reference = seen.groupBy("anchor", "one", "two").agg(F.min("doc").alias("owner"), F.min_by("first", "doc").alias("at"), F.max("doc").alias("latest"))
     shared = reference.groupBy("anchor").agg(F.count("*").alias("variants"), F.min("owner").alias("low"), F.max("latest").alias("high"))
     shared = shared.where("low < high").select("anchor", "variants")
-    reference = materialise(reference.join(shared, "anchor").select("anchor", "one", "two", "owner", "variants"), "reference")
+    reference = materialise(reference.join(shared, "anchor").select("anchor", "one", "two", "owner", "at", "variants"), "reference")
     met = seen.join(reference, ["anchor", "one", "two"]).where("doc > owner OR variants > 1")
-    met = materialise(met.select("doc", "mark", "first", "last", (F.col("doc") > F.col("owner")).alias("copied")), "met")
+    met = materialise(met.select("doc", "mark", "first", "last", (F.col("doc") > F.col("owner")).alias("copied"), "owner", "at"), "met")
     bits = bitmap(met, "doc")
     texts = _sources(docs).mapInArrow(_pick(bits), TEXTS)
     texts = materialise(texts, "texts")
@@ -225,17 +257,17 @@ def factor(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ranges = met.where("NOT copied").groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     windows = once.join(ranges, ["doc", "mark"]).select("doc", "mark", "text", "ranges").mapInArrow(_window_rows, WINDOWS)
     windows = materialise(windows, "windows")
-    owners = windows.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).where("owner < latest")
+    owners = windows.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.min_by("start", "doc").alias("at"), F.max("doc").alias("latest")).where("owner < latest")
     owners = owners.drop("latest")
-    partly = windows.join(owners, ["one", "two"]).where("doc > owner").select("doc", "mark", "start", (F.col("start") + WINDOW).alias("end"))
-    whole = met.where("copied").select("doc", "mark", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end"))
+    partly = windows.join(owners, ["one", "two"]).where("doc > owner").select("doc", "mark", "start", (F.col("start") + WINDOW).alias("end"), "owner", "at")
+    whole = met.where("copied").select("doc", "mark", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end"), "owner", "at")
     return parsed, once, whole.union(partly)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs (doc_id, text)."""
     parsed, texts, spans = factor(docs)
-    by_doc = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end", "owner", "at")).alias("spans"))
     cut = texts.join(by_doc, ["doc", "mark"]).select("doc", "mark", "text", "spans").mapInArrow(_cut, KEPT)
     kept = parsed.select("doc", "mark", "n_words", "sha256").join(cut, ["doc", "mark"], "left")
     return kept.select(

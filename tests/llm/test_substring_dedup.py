@@ -56,3 +56,24 @@ def test_smallest():
     values = np.random.default_rng(0).integers(0, 20, 300).astype(np.uint64)
     want = [k + int(values[k : k + 41].argmin()) for k in range(260)]
     assert substring_dedup.smallest(values, 41).tolist() == want
+
+
+def test_greedy_parse():
+    assert substring_dedup.factors([]) == []
+    # a copy that goes on in one source is one factor; the one that reaches furthest is taken, from where the last one ends
+    assert substring_dedup.factors([(0, 50, 7, 100), (30, 90, 7, 130), (10, 60, 3, 0)]) == [(0, 90, 7, 100)]
+    assert substring_dedup.factors([(0, 50, 7, 100), (20, 80, 5, 0), (20, 70, 4, 9), (200, 260, 1, 1)]) == [(0, 50, 7, 100), (50, 80, 5, 30), (200, 260, 1, 1)]
+
+
+def test_factors_cover_what_matches_cover():
+    rng = random.Random(9)
+    for _ in range(200):
+        matches = []
+        for _ in range(rng.randrange(0, 12)):
+            start = rng.randrange(0, 200)
+            matches.append((start, start + rng.randrange(1, 60), rng.randrange(3), rng.randrange(50)))
+        covered = {w for a, b, _, _ in matches for w in range(a, b)}
+        parsed = substring_dedup.factors(matches)
+        assert {w for a, b, _, _ in parsed for w in range(a, b)} == covered
+        assert all(a[1] <= b[0] for a, b in zip(parsed, parsed[1:]))
+        assert set(range(300)) - covered == set(substring_dedup._literals(300, parsed))
