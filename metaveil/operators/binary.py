@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaveil.functions.bytes import cp1252, cstring, number, stripped, utf8
+from metaveil.functions.bytes import cp1252, cstring, little, number, stripped, utf8
 from metaveil.operators.findings import TECHNICAL
 from metaveil.operators.svg import FINDING, let
 from metaveil.sources.pieces import with_pieces
@@ -488,6 +488,25 @@ def _rtf_findings(pieces: Column) -> Column:
     return F.flatten(F.transform(F.filter(pieces, lambda p: p["depth"] == 1), lambda p: let(cp1252(p["head"]), lambda body: _rtf_told(p["kind"], body))))
 
 
+# --- BMP
+
+
+def _bmp(p: Column) -> Column:
+    linked = found("other", "BMP:LinkedProfile", "Linked colour profile path", filled(F.decode(p["head"], "ISO-8859-1")), "high")
+    return F.when(p["kind"] == "linked", linked).when(p["kind"] == "trailing", found("other", "BMP:TrailingData", "Trailing data after pixel data", size_of(p), "medium"))
+
+
+def _bmp_copy(content: Column, pieces: Column) -> Column:
+    """The image alone, with its size; a linked profile becomes the standard one, and its path is zeroed."""
+    body = cut(content, pieces, lambda p: p["kind"] == "body")
+    sized = F.overlay(body, little(F.length(body), 4), F.lit(3))
+    header = number(content, 14, 4, "little")
+    standard = F.overlay(sized, F.lit("BGRs").cast("binary"), F.lit(71))
+    standard = F.when(header >= 124, F.overlay(standard, F.unhex(F.lit("00" * 8)), F.lit(127))).otherwise(standard)
+    blank = overwritten(standard, pieces, lambda p: F.when(p["kind"] == "path", F.array(edit(p["start"], zeros(p["stop"] - p["start"])))))
+    return F.when(F.exists(pieces, lambda p: p["kind"] == "linked"), blank).otherwise(sized)
+
+
 # --- copies
 
 
@@ -554,6 +573,7 @@ FORMATS = {
     "jpeg": Format(_jpeg, lambda c, p: F.when(F.exists(p, lambda x: x["kind"] == "unfinished"), c).otherwise(cut(c, p, _jpeg_kept)), after=_once),
     "mp3": Format(_mp3, lambda c, p: cut(c, p, lambda x: x["kind"] == "audio")),
     "psd": Format(_psd, _psd_copy),
+    "bmp": Format(_bmp, _bmp_copy),
     # the copy is text again: bytes beyond ASCII become UTF-8
     "rtf": Format(None, lambda c, p: F.encode(cp1252(cut(c, p, lambda x: x["kind"] == "text")), "UTF-8"), findings=_rtf_findings),
     "mp4": Format(None, lambda c, p: overwritten(c, p, _mp4_edits), findings=_mp4_findings),

@@ -133,6 +133,11 @@ def _movie(d: Digits, cleaned: bool) -> str:
     return _box(d, "moov", f"{header} || {user}", d.size("url", 32 + 20))
 
 
+def _bitmap(d: Digits, space: str, place: int, size: int) -> list[str]:
+    """A header of one pixel, from its width on."""
+    return [d.little(1), d.little(1), "'01001800'", d.little(0), d.little(0), "repeat('00', 16)", "repeat('00', 16)", d.text(space), "repeat('00', 36)", "repeat('00', 12)", d.little(0), d.little(place), d.little(size), d.little(0)]
+
+
 MP4_START = "'0000001066747970' || '69736F6D00000000'"
 
 SAMPLES = {
@@ -176,6 +181,11 @@ SAMPLES = {
         lambda d: [PSD_START, d.big(14), PSD_PROFILE, d.of("html")],
         (("containers", "PSD:0x404", "IPTC metadata", "'Present'", "high"),),
     ),
+    "bmp": Sample(
+        lambda d: [d.text("BM"), d.little(0), "'00000000'", d.little(147), d.little(124), *_bitmap(d, "KNIL", 124, 9), d.text("/a/prof"), "'0000'", "repeat('11', 4)", d.of("html")],
+        lambda d: [d.text("BM"), d.little(147 + 4), "'00000000'", d.little(147), d.little(124), *_bitmap(d, "BGRs", 0, 0), "repeat('00', 9)", "repeat('11', 4)"],
+        (("other", "BMP:LinkedProfile", "Linked colour profile path", "'/a/prof'", "high"), ("other", "BMP:TrailingData", "Trailing data after pixel data", "strlen(html) || ' bytes'", "medium")),
+    ),
     "rtf": Sample(
         lambda d: [d.text("{\\rtf1 "), d.text("{\\info{\\author "), d.of("url"), d.text("}{\\creatim\\yr2024\\mo3\\dy7}\\edmins12}"), d.text("{\\*\\generator Msftedit 5;}"), d.of("page_id_text"), d.text("}")],
         lambda d: [d.text("{\\rtf1 "), d.of("page_id_text"), d.text("}")],

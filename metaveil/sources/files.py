@@ -9,10 +9,11 @@ from metaveil.functions import formats
 
 
 def read(spark: SparkSession, path: str, pattern: str = "*", largest: int = 100 * formats.MIB) -> DataFrame:
-    """file_id, path, file_name, length, format, status, content. Content of files that are too large is not kept; Spark's reader leaves out empty files."""
+    """file_id, path, file_name, length, format, status, content. Files that are too large are told by their length, without being read; Spark's reader leaves out empty files."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    content = F.when(F.col("length") <= largest, F.col("content"))
-    rows = found.select(F.sha2("path", 256).alias("file_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", content.alias("content"))
+    small = found.where(F.col("length") <= largest).select("path", "length", "content")
+    large = found.where(F.col("length") > largest).select("path", "length", F.lit(None).cast("binary").alias("content"))  # their bytes aren't read
+    rows = small.union(large).select(F.sha2("path", 256).alias("file_id"), "path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "content")
     rows = rows.withColumn("format", formats.detect(F.col("content")))
     return rows.withColumn("status", formats.gate(F.col("format"), F.col("length")))
 

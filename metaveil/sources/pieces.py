@@ -347,8 +347,40 @@ def _rtf(data: bytes) -> list[Piece]:
     return [*found, ("text", 0, at, at, len(data))]
 
 
+#: Header sizes of bitmaps, and names of colour profiles in their headers, as they are stored.
+BMP_HEADERS = {12, 40, 52, 56, 108, 124}
+BMP_LINKED, BMP_EMBEDDED = b"KNIL", b"DEBM"
+
+
+def _bmp(data: bytes) -> list[Piece]:
+    """The image up to the end of its pixels or profile, what trails behind it, and a linked profile's path (depth 1)."""
+
+    def number(at: int, size: int = 4, signed: bool = False) -> int:
+        return int.from_bytes(data[at : at + size], "little", signed=signed)
+
+    header, pixels = number(14), number(10)
+    if len(data) < 54 or data[:2] != b"BM" or header not in BMP_HEADERS or 14 + header > len(data) or pixels > len(data):
+        raise Broken("header")
+    size = number(34) if header >= 40 else 0
+    if not size or not (number(30) if header >= 40 else 0):
+        size = (number(28, 2) * abs(number(18, signed=True)) + 31) // 32 * 4 * abs(number(22, signed=True))
+    end = min(pixels + size, len(data))
+    space = data[70:74] if header >= 108 else b""
+    place = number(126) if header >= 124 else 0
+    if space == BMP_EMBEDDED and place:
+        end = max(end, min(14 + place + number(130), len(data)))
+    found: list[Piece] = [("body", 0, 0, 0, end)]
+    if space == BMP_LINKED:
+        path = 14 + place if place else end
+        stop = data.find(b"\0", path, path + 260) if place else end
+        found.append(("linked", 1, path, path, stop if stop >= 0 else min(path + 260, len(data))))
+        if place and path < pixels:
+            found.append(("path", 1, path, path, min(path + 260, pixels)))
+    return [*found, ("trailing", 1, end, end, len(data))] if end < len(data) else found
+
+
 LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
-    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _riff("webp"), "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf,
+    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _riff("webp"), "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "bmp": _bmp,
 }
 
 
