@@ -395,9 +395,9 @@ def with_pieces(files: DataFrame, format_id: str) -> DataFrame:
         lister, schema = LISTERS[format_id], to_arrow_schema(out)
         for batch in batches:
             found = []
-            for data in batch.column(1).to_pylist():
+            for data in (content or b"" for content in batch.column(1).to_pylist()):
                 try:
-                    pieces = lister(data or b"")
+                    pieces = lister(data)
                 except Broken:
                     found.append(None)
                 else:
