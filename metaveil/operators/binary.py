@@ -158,20 +158,29 @@ COMMENTS = {
 }
 
 
-def _flac(p: Column) -> Column:
-    kind = p["kind"]
+def _commented(p: Column, prefix: str, table: dict) -> Column:
+    """Vendor and entries of a comment block."""
     entry, vendor = utf8(F.substring(p["head"], 1, 512)), stripped(utf8(F.substring(p["head"], 1, 256)))
     at = F.instr(entry, "=")
     name = F.upper(F.substring(entry, F.lit(1), at - 1))
     value = filled(stripped(F.substring(entry, at + 1, F.lit(512))))
+    told = F.when((p["kind"] == "vendor") & (vendor != ""), found("software", f"{prefix}vendor", "Encoder vendor", vendor, "medium"))
+    return told.when((p["kind"] == "comment") & (at > 1), known(table, name, prefix, "Tag", value))
+
+
+def _flac(p: Column) -> Column:
     return (
-        F.when((kind == "vendor") & (vendor != ""), found("software", "FLAC:vendor", "Encoder vendor", vendor, "medium"))
-        .when((kind == "comment") & (at > 1), known(COMMENTS, name, "FLAC:", "Tag", value))
-        .when(kind == "6", found("thumbnails", "FLAC:picture", "Cover art image", "Present", "medium"))
-        .when(kind == "2", found("containers", "FLAC:application", "Application data block", "Present", "medium"))
+        F.when(p["kind"] == "6", found("thumbnails", "FLAC:picture", "Cover art image", "Present", "medium"))
+        .when(p["kind"] == "2", found("containers", "FLAC:application", "Application data block", "Present", "medium"))
+        .otherwise(_commented(p, "FLAC:", COMMENTS))
     )
 
 
+def _ogg(p: Column) -> Column:
+    table = {k: v for k, v in COMMENTS.items() if k != "COPYRIGHT"}
+    return F.when(p["kind"] == "spanning", found("containers", "OGG:comments", "Comment header (spans pages)", "Present", "medium")).otherwise(_commented(p, "OGG:", table))
+
+
 def _flac_copy(content: Column, pieces: Column) -> Column:
     """Kept blocks one by one: only the last of them has the last flag."""
     kept = F.filter(pieces, lambda p: (p["depth"] == 0) & p["kind"].isin(*FLAC_KEPT))
@@ -574,6 +583,7 @@ FORMATS = {
     "mp3": Format(_mp3, lambda c, p: cut(c, p, lambda x: x["kind"] == "audio")),
     "psd": Format(_psd, _psd_copy),
     "bmp": Format(_bmp, _bmp_copy),
+    "ogg": Format(_ogg, lambda c, p: F.lit(None).cast("binary")),  # scanned only: there is no copy
     # the copy is text again: bytes beyond ASCII become UTF-8
     "rtf": Format(None, lambda c, p: F.encode(cp1252(cut(c, p, lambda x: x["kind"] == "text")), "UTF-8"), findings=_rtf_findings),
     "mp4": Format(None, lambda c, p: overwritten(c, p, _mp4_edits), findings=_mp4_findings),

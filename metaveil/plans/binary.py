@@ -48,7 +48,7 @@ Parts = Callable[[Digits], list[str]]
 @dataclass(frozen=True)
 class Sample:
     file: Parts
-    copy: Parts
+    copy: Parts | None  # None: the format is scanned only
     #: category, field, label, value (SQL), severity
     findings: tuple[tuple[str, str, str, str, str], ...]
 
@@ -186,6 +186,14 @@ SAMPLES = {
         lambda d: [d.text("BM"), d.little(147 + 4), "'00000000'", d.little(147), d.little(124), *_bitmap(d, "BGRs", 0, 0), "repeat('00', 9)", "repeat('11', 4)"],
         (("other", "BMP:LinkedProfile", "Linked colour profile path", "'/a/prof'", "high"), ("other", "BMP:TrailingData", "Trailing data after pixel data", "strlen(html) || ' bytes'", "medium")),
     ),
+    "ogg": Sample(
+        lambda d: [
+            d.text("OggS"), "repeat('00', 22)", "'01'", "'13'", d.text("OpusHead"), "repeat('00', 11)",
+            d.text("OggS"), "repeat('00', 22)", "'01'", d.big(d.size("url", 8 + 4 + 3 + 4 + 4 + 8), 1), d.text("OpusTags"), d.little(3), d.text("enc"), d.little(1), d.little(d.size("url", 8)), d.text("contact="), d.of("url"),
+        ],
+        None,
+        (("software", "OGG:vendor", "Encoder vendor", "'enc'", "medium"), ("author", "OGG:CONTACT", "Contact", "url", "high")),
+    ),
     "rtf": Sample(
         lambda d: [d.text("{\\rtf1 "), d.text("{\\info{\\author "), d.of("url"), d.text("}{\\creatim\\yr2024\\mo3\\dy7}\\edmins12}"), d.text("{\\*\\generator Msftedit 5;}"), d.of("page_id_text"), d.text("}")],
         lambda d: [d.text("{\\rtf1 "), d.of("page_id_text"), d.text("}")],
@@ -235,5 +243,6 @@ def _verified_sql(sample: Sample) -> str:
     return f"SELECT page_id AS file_id, 'ok' AS status, sha256(unhex({digits})) AS clean_sha256, CAST({len(sample.findings)} AS BIGINT) AS found_before, CAST(0 AS BIGINT) AS remaining, true AS passed FROM (SELECT *, CAST(page_id AS VARCHAR) AS page_id_text FROM pages)"
 
 
-QUERIES = {f.__name__: f for kind in SAMPLES for f in (_findings(kind), _verified(kind))}
-ORACLE = {name: sql for kind, s in SAMPLES.items() for name, sql in ((f"{kind}_findings", _findings_sql(s)), (f"{kind}_clean_verify", _verified_sql(s)))}
+CLEANED = [kind for kind, sample in SAMPLES.items() if sample.copy]
+QUERIES = {f.__name__: f for f in (*map(_findings, SAMPLES), *map(_verified, CLEANED))}
+ORACLE = {f"{kind}_findings": _findings_sql(s) for kind, s in SAMPLES.items()} | {f"{kind}_clean_verify": _verified_sql(SAMPLES[kind]) for kind in CLEANED}

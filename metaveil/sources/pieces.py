@@ -379,8 +379,36 @@ def _bmp(data: bytes) -> list[Piece]:
     return [*found, ("trailing", 1, end, end, len(data))] if end < len(data) else found
 
 
+def _ogg(data: bytes) -> list[Piece]:
+    """Pages, and what the comment packet of the first four pages holds; spanning, if it goes on behind its page."""
+    found: list[Piece] = []
+    at, told = 0, False
+    while at + 27 <= len(data):
+        laces = data[at + 27 : at + 27 + data[at + 26]]
+        body = at + 27 + data[at + 26]
+        stop = body + sum(laces)
+        if data[at : at + 4] != b"OggS" or stop > len(data):
+            raise Broken("page")
+        found.append(("page", 0, at, body, stop))
+        if not told and sum(p[0] == "page" for p in found) <= 4:
+            start = body
+            for k, lace in enumerate(laces):
+                body += lace
+                if lace == 255 and k + 1 < len(laces):
+                    continue
+                skip = 8 if data[start : start + 8] == b"OpusTags" else 7 if data[start : start + 7] == b"\x03vorbis" else 0
+                if skip and not told:
+                    told = True
+                    found += [("spanning", 1, start, start, body)] if lace == 255 else _comments(data, start + skip, body)
+                start = body
+        at = stop
+    if not found:
+        raise Broken("no page")
+    return found
+
+
 LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
-    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _riff("webp"), "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "bmp": _bmp,
+    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _riff("webp"), "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp,
 }
 
 
