@@ -83,6 +83,32 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A table of keys up to this many rows and bytes is broadcast by lookup.
+LOOKUP_ROWS, LOOKUP_BYTES = 50_000, 8 << 20
+#: A key with more than this part of all rows is spread over several tasks.
+HOT_PART = 10_000
+
+
+def lookup(rows: DataFrame, keyed: DataFrame, key: str, spread: F.Column) -> DataFrame:
+    """rows joined with keyed, which has a row for each key and in n how many rows have it (it should be a written table).
+
+    Null keys meet each other. A keyed table within LOOKUP_ROWS and LOOKUP_BYTES is broadcast. Otherwise both are shuffled,
+    and a key with more than a HOT_PARTth of the rows gets as many salts as it has such parts; fewer than HOT_PART keys can.
+    spread: what the rows of one key are dealt to its salts by.
+    """
+    keyed = keyed.withColumnRenamed(key, "_k")
+    size = keyed.agg(F.count("*"), F.sum(F.coalesce(F.octet_length(F.col("_k").cast("string")), F.lit(0)) + 64), F.sum("n")).first()
+    if size[0] <= LOOKUP_ROWS and (size[1] or 0) <= LOOKUP_BYTES:
+        return rows.join(F.broadcast(keyed.drop("n")), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    part = max(1, size[2] // HOT_PART)
+    salts = F.ceil(F.col("n") / part)
+    hot = keyed.where(F.col("n") > part).select(F.col("_k").alias("_hot"), salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1)))).drop("_hot", "_salts")
+    spread_keys = keyed.withColumn("_of", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("n")
+    return dealt.join(spread_keys, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_salt") == F.col("_of")), "left").drop("_k", "_salt", "_of")
+
+
 TYPES = {
     "int": T.IntegerType(),
     "bigint": T.LongType(),

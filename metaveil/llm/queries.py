@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metaveil.llm import decontaminate, exact_dedup, line_dedup, main_text, mixing, pii, quality, simhash, substring_dedup, token_planes
+from metaveil.llm import (
+    decontaminate, exact_dedup, hard_negatives, line_dedup, main_text, mixing, pii, quality, reputation, simhash, substring_dedup, token_planes, vector_codes,
+)
 from metaveil.llm.common import table
 
 
@@ -48,6 +51,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+#: The rules of the query.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op12_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return reputation.judge(pages, reputation.page_outcomes(pages, table(spark, sf_dir, "labels")), RULES)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    noisy = F.when(F.col("vec_id").cast("bigint") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label")))
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_pii": op2_pii,
@@ -59,8 +81,61 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_url_reputation": op12_url_reputation,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _strength(name: str, level: str) -> str:
+    """SQL of the pages that the prior of a level counts for."""
+    v = "prior * (1 - prior)"
+    return f"""{name} AS (
+            SELECT CASE WHEN c IS NULL OR c = 0 OR a <= b THEN 1000.0 ELSE least(1000.0, greatest(1.0, c / (a - b) - 1)) END AS m
+            FROM (SELECT sum(pow(bad / seen - prior, 2) * seen) AS a, sum({v}) AS b, sum({v} * (seen - 1)) AS c FROM {level} WHERE seen > 0)
+        )"""
+
+
+def _lloyd(rounds: int = 4) -> str:
+    """SQL of plain Lloyd rounds over the parts, all distances in each."""
+    steps = [
+        f"""WITH e AS (
+            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_WHOLE}
+        ),
+        p AS (SELECT r, vec_id, label, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM e, range(4) AS t(part)),
+        first AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT 256),
+        c0 AS (SELECT part, entry, x AS c FROM p JOIN (SELECT r, entry FROM first) USING (r))"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS (
+            SELECT r, part, any_value(vec_id) AS vec_id, any_value(label) AS label, any_value(x) AS x, min([d, entry])[2] AS entry, min([d, entry])[1] AS d
+            FROM (SELECT p.*, entry, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM p JOIN c{k} USING (part))
+            GROUP BY r, part
+        )"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""m{k} AS (
+            SELECT part, entry, list(s ORDER BY i) AS c
+            FROM (SELECT part, entry, i, floor(sum(x[i]) / count(*)) AS s FROM a{k}, (SELECT unnest(range(1, len(v) // 4 + 1)) AS i FROM (SELECT v FROM e LIMIT 1)) GROUP BY ALL)
+            GROUP BY part, entry
+        ),
+        c{k + 1} AS (SELECT part, entry, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (part, entry))"""
+            )
+    final = f"""
+        o AS (
+            SELECT any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(lpad(to_hex(CAST(entry AS BIGINT)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+            FROM a{rounds} GROUP BY r
+        )
+        SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+        FROM o"""
+    return ",\n        ".join(s for s in steps) + "," + final
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -95,4 +170,67 @@ ORACLE: dict[str, str] = {
             sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)
     """,
+    "op12_url_reputation": rf"""
+        WITH u AS (
+            SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+                translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+            FROM pages
+        ),
+        l AS (SELECT doc_id, max(CAST(coalesce(quality = 0 OR toxic = 1, quality = 0, toxic = 1) AS INT)) AS bad FROM labels GROUP BY doc_id),
+        known AS (
+            SELECT host, count(*) AS seen, sum(bad) AS bad FROM u JOIN l ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]+)', 1) AS BIGINT)
+            WHERE bad IS NOT NULL GROUP BY host
+        ),
+        cut AS (SELECT host, string_split(regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g'), '.') AS p FROM (SELECT DISTINCT host FROM u)),
+        sized AS (
+            SELECT host, p, len(p) AS n, CASE WHEN len(p) < 2 OR regexp_full_match(p[-1], '[0-9]*') THEN 0
+                WHEN len(p) > 2 AND length(p[-1]) = 2 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k
+            FROM cut
+        ),
+        h AS (
+            SELECT host, coalesce(seen, 0) AS seen, coalesce(bad, 0) AS bad, CASE k WHEN 0 THEN '' ELSE array_to_string(p[n - k + 1 : n], '.') END AS suffix,
+                CASE k WHEN 0 THEN array_to_string(p, '.') ELSE array_to_string(p[n - k : n], '.') END AS domain
+            FROM sized LEFT JOIN known USING (host)
+        ),
+        s0 AS (SELECT suffix, sum(seen) AS seen, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(seen) + 2) FROM h) AS prior FROM h GROUP BY suffix),
+        {_strength("ms", "s0")},
+        d0 AS (
+            SELECT h.suffix, domain, sum(h.seen) AS seen, sum(h.bad) AS bad, any_value((s0.bad + m * prior) / (s0.seen + m)) AS prior
+            FROM h JOIN s0 USING (suffix), ms GROUP BY h.suffix, domain
+        ),
+        {_strength("md", "d0")},
+        h0 AS (SELECT host, h.seen, h.bad, (d0.bad + m * prior) / (d0.seen + m) AS prior FROM h JOIN d0 USING (suffix, domain), md),
+        {_strength("mh", "h0")},
+        b AS (SELECT host, bad + m * prior AS a, seen - bad + m * (1 - prior) AS b FROM h0, mh),
+        j AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.5 AS bad_host FROM b),
+        r AS (
+            SELECT page_id, host, path, CASE
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+            FROM u
+        )
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR bad_host THEN 'block' ELSE 'allow' END AS verdict
+        FROM r JOIN j USING (host)
+    """,
+    "op11_vector_codes": _lloyd(),
+    "op13_hard_negatives": f"""
+        WITH e AS (
+            SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}
+        ),
+        s AS (
+            SELECT a.k AS ak, a.vec_id AS anchor_id, b.k AS bk, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+            FROM e a JOIN e b ON a.k <> b.k WHERE a.vec_id % 100 = 0
+        ),
+        p AS (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY s DESC, vec_id NULLS LAST) AS place FROM s WHERE same),
+        n AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score,
+                CAST(row_number() OVER (PARTITION BY p.ak, p.bk ORDER BY n.s DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank
+            FROM p JOIN s n ON n.ak = p.ak AND NOT n.same AND 80 * p.s <= 100 * n.s AND n.s <= p.s WHERE place <= 5
+        )
+        SELECT * FROM n WHERE rank <= 5
+    """,
 }
