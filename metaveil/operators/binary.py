@@ -2,7 +2,7 @@
 
 Each format is a Format: what a piece says (a finding or nothing), which pieces a copy keeps (the copy is cut from the content
 at once, neighbours together) or which places it overwrites, and what must hold of a copy besides its having no findings.
-Verification lists the pieces of the copy anew. Nothing is shuffled.
+Verification lists the pieces of the copy anew. Nothing is shuffled or joined: what was found before travels with the copy.
 """
 
 from __future__ import annotations
@@ -28,8 +28,13 @@ def found(category, name, label, value, severity) -> Column:
 
 def listed(table: dict[str, tuple[str, str, str]], key: Column) -> Column:
     """(label, category, severity) of a key, or null."""
-    pairs = [x for k, (a, b, c) in table.items() for x in (F.lit(k), F.struct(F.lit(a).alias("label"), F.lit(b).alias("category"), F.lit(c).alias("severity")))]
-    return F.try_element_at(F.create_map(*pairs), key)
+
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    # one text to parse is much quicker to make than a call for each literal
+    rows = [f"{text(k)}, named_struct('label', {text(a)}, 'category', {text(b)}, 'severity', {text(c)})" for k, (a, b, c) in table.items()]
+    return F.try_element_at(F.expr(f"map({', '.join(rows)})"), key)
 
 
 def known(table: dict[str, tuple[str, str, str]], key: Column, prefix: str, otherwise: str, value: Column) -> Column:
@@ -89,6 +94,8 @@ def _png(p: Column) -> Column:
     return (
         F.when(kind == "iCCP", found("other", "PNG:iCCP", "ICC profile", titled("ICC profile"), "low"))
         .when(kind == "sRGB", found("other", "PNG:sRGB", "sRGB profile", F.coalesce(F.try_element_at(F.array(*map(F.lit, INTENTS)), intent.cast("int") + 1), F.format_string("Mode %d", intent)), "low"))
+        .when((kind == "gAMA") & (p["stop"] - p["body"] >= 8), found("other", "PNG:gAMA", "Gamma", F.format_string("%.1f", number(head, 0, 4) / 100000), "low"))
+        .when(kind == "cHRM", found("other", "PNG:cHRM", "Chromaticity (cHRM)", "Present", "low"))
         .when(kind == "eXIf", found("containers", "PNG:eXIf", "EXIF in PNG (eXIf)", F.format_string("%d bytes", p["stop"] - p["body"] - 4), "high"))
         .when(kind == "tEXt", text_finding("tEXt", titled("Text field"), value))
         .when(kind == "zTXt", text_finding("zTXt", F.concat(titled("Compressed text field"), F.lit(" (compressed)")), "[compressed data]"))
@@ -250,9 +257,21 @@ EXIF = {
     0xA005: ("Interop IFD pointer", "containers", "low"), 0xA420: ("Image unique ID", "device", "medium"), 0xA430: ("Camera owner name", "author", "high"),
     0xA431: ("Camera serial number", "device", "high"), 0xA432: ("Lens specification", "device", "medium"), 0xA433: ("Lens make", "device", "high"),
     0xA434: ("Lens model (Exif)", "device", "medium"), 0xA435: ("Lens serial number", "device", "high"),
+    0x0000: ("GPS version", "geolocation", "low"), 0x0001: ("GPS latitude ref", "geolocation", "high"), 0x0002: ("GPS latitude", "geolocation", "high"),
+    0x0003: ("GPS longitude ref", "geolocation", "high"), 0x0004: ("GPS longitude", "geolocation", "high"), 0x0005: ("GPS altitude ref", "geolocation", "high"),
+    0x0006: ("GPS altitude", "geolocation", "high"), 0x0007: ("GPS timestamp", "geolocation", "high"), 0x0012: ("GPS measure mode", "geolocation", "medium"),
+    0x001D: ("GPS date", "geolocation", "high"),
 }
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    return F.when(b == 0, F.lit(0.0)).otherwise(a / F.when(b != 0, b))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    return F.regexp_replace(_quotient(a, b).cast("string"), r"\.0$", "")
+
+
 def tag_value(p: Column) -> Column:
     """The value of a tag as text: its first 256 characters, a single number, or how many there are."""
     parts = F.split(p["kind"], ":")
@@ -266,10 +285,6 @@ def tag_value(p: Column) -> Column:
         n = unsigned(at, 4)
         return F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n)
 
-    def ratio(a: Column, b: Column) -> Column:
-        text = F.when(b == 0, F.lit(0.0)).otherwise(a / F.when(b != 0, b)).cast("string")
-        return F.regexp_replace(text, r"\.0$", "")
-
     one = (
         F.when(kind == 3, unsigned(0, 2).cast("string"))
         .when(kind == 4, unsigned(0, 4).cast("string"))
@@ -289,18 +304,79 @@ def _begins(p: Column, text: str) -> Column:
     return F.startswith(p["head"], F.lit(text).cast("binary"))
 
 
-def _jpeg(p: Column) -> Column:
-    kind = p["kind"]
-    info = listed({str(k): v for k, v in EXIF.items()}, F.split(kind, ":")[2])
-    tag = F.when(F.startswith(kind, F.lit("tag:")) & info.isNotNull(), found(info["category"], F.concat(F.lit("EXIF:"), info["label"]), info["label"], tag_value(p), info["severity"]))
-    head = F.decode(F.substring(p["head"], 1, 64), "ISO-8859-1")
-    xmp = (kind == "e1") & (p["stop"] - p["body"] > 28) & (F.contains(head, F.lit("http://ns.adobe.com/xap/1.0/")) | F.contains(head, F.lit("<?xpacket")))
-    comment = F.coalesce(filled(utf8(F.substring(p["head"], 1, 500))), F.lit("[binary data]"))
-    return (
-        F.when(xmp, found("containers", "XMP", "XMP metadata", "Present", "medium"))
-        .when((kind == "ed") & _begins(p, "Photoshop"), found("containers", "IPTC", "IPTC metadata", "Present", "medium"))
-        .when(kind == "fe", found("other", "JPEG:Comment", "JPEG comment", comment, "medium"))
-        .otherwise(tag)
+def _tag(p: Column, prefix: str) -> Column:
+    """The finding of a tag that is known; within the directory of places, of any."""
+
+    def told(parts: Column, info: Column) -> Column:
+        label = F.coalesce(info["label"], F.concat(F.lit("GPS tag 0x"), F.lower(F.hex(parts[2].cast("bigint")))))
+        finding = found(F.coalesce(info["category"], F.lit("geolocation")), F.concat(F.lit(prefix), label), label, tag_value(p), F.coalesce(info["severity"], F.lit("medium")))
+        return F.when(info.isNotNull() | (parts[1] == "GPS"), finding)
+
+    return let(F.split(p["kind"], ":"), lambda parts: let(listed({str(k): v for k, v in EXIF.items()}, parts[2]), lambda info: told(parts, info)))
+
+
+def _gps(pieces: Column, tag: str) -> Column:
+    """The last tag of the directory of places whose number, type and count begin so."""
+    return F.try_element_at(F.filter(pieces, lambda p: F.startswith(p["kind"], F.lit(f"tag:GPS:{tag}"))), F.lit(-1))
+
+
+def _whole(p: Column, at: int) -> Column:
+    return F.when(F.endswith(p["kind"], F.lit(":little")), number(p["head"], at, 4, "little")).otherwise(number(p["head"], at, 4))
+
+
+def _place(pieces: Column, prefix: str) -> Column:
+    """What the tags of a place tell together: coordinates, and with these the altitude."""
+
+    def direction(tag: str) -> Column:
+        return F.regexp_replace(F.decode(F.substring(_gps(pieces, f"{tag}:")["head"], 1, 2), "ISO-8859-1"), "(?s)\0.*", "")
+
+    def text(towards: Column, p: Column) -> Column:
+        degrees, minutes, seconds = (_quotient(_whole(p, k), _whole(p, k + 4)) for k in (0, 8, 16))
+        sign = F.when(towards.isin("S", "W"), -1).otherwise(1)
+        rounded = F.floor(sign * (degrees + minutes / 60 + seconds / 3600) * 10_000 + 0.5)
+        return F.when(towards != "", F.regexp_replace((rounded / F.lit(10_000)).cast("decimal(14,4)").cast("string"), r"\.?0+$", ""))
+
+    def decimal(ref: str, value: str) -> Column:
+        return let(direction(ref), lambda d: let(_gps(pieces, f"{value}:5:3:"), lambda p: text(d, p)))
+
+    def told(both: Column, height: Column) -> Column:
+        altitude = found("geolocation", f"{prefix}GPS altitude", "GPS altitude", F.concat(ratio(_whole(height, 0), _whole(height, 4)), F.lit(" m")), "high")
+        return F.array(F.when(both.isNotNull(), found("geolocation", f"{prefix}GPS coordinates", "GPS coordinates", both, "high")), F.when(both.isNotNull() & height.isNotNull(), altitude))
+
+    return let(F.concat(decimal("1", "2"), F.lit(", "), decimal("3", "4")), lambda both: let(_gps(pieces, "6:5:"), lambda height: told(both, height)))
+
+
+def tag_findings(pieces: Column, prefix: str) -> Column:
+    """Tags in their order, and behind those of a place what they tell together."""
+
+    def told(p: Column) -> Column:
+        return F.when(p["kind"] == "gps", _place(pieces, prefix)).otherwise(F.array(_tag(p, prefix)))
+
+    return F.filter(F.flatten(F.transform(F.filter(pieces, lambda p: F.startswith(p["kind"], F.lit("tag:")) | (p["kind"] == "gps")), told)), lambda f: f.isNotNull())
+
+
+def _jpeg_findings(pieces: Column) -> Column:
+    """Tags, then XMP and IPTC once, comments, and images within segments; also of segments behind the scans."""
+
+    def is_xmp(p: Column) -> Column:
+        head = F.decode(F.substring(p["head"], 1, 64), "ISO-8859-1")
+        return (p["kind"] == "e1") & (p["stop"] - p["body"] > 28) & (F.contains(head, F.lit("http://ns.adobe.com/xap/1.0/")) | F.contains(head, F.lit("<?xpacket")))
+
+    def once(test: Found, finding: Column) -> Column:
+        return F.when(F.exists(pieces, test), F.array(finding)).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+    def comment(p: Column) -> Column:
+        return found("other", "JPEG:Comment", "JPEG comment", F.coalesce(filled(utf8(F.substring(p["head"], 1, 500))), F.lit("[binary data]")), "medium")
+
+    def thumbnail(p: Column) -> Column:
+        return found("thumbnails", "EXIF:Thumbnail", "Embedded thumbnail", F.format_string("~%d KB", F.floor((p["stop"] - p["body"]) / 1024 + 0.5)), "medium")
+
+    return F.concat(
+        tag_findings(pieces, "EXIF:"),
+        once(is_xmp, found("containers", "XMP", "XMP metadata", "Present", "medium")),
+        once(lambda p: (p["kind"] == "ed") & _begins(p, "Photoshop"), found("containers", "IPTC", "IPTC metadata", "Present", "medium")),
+        F.transform(F.filter(pieces, lambda p: p["kind"] == "fe"), comment),
+        F.transform(F.filter(pieces, lambda p: p["kind"] == "thumbnail"), thumbnail),
     )
 
 
@@ -309,11 +385,6 @@ def _jpeg_kept(p: Column) -> Column:
     return (p["depth"] == 0) & (~removable | (p["kind"] == "e2") & F.startswith(p["head"], F.lit("ICC_PROFILE\0").cast("binary")))
 
 
-def _once(findings: Column) -> Column:
-    """XMP and IPTC are told once."""
-    return F.filter(findings, lambda f, i: ~f["field"].isin("XMP", "IPTC") | (F.array_position(F.transform(findings, lambda g: g["field"]), f["field"]) == i + 1))
-
-
 # --- MP3
 #: Frames of ID3 tags, their short names of version 2.2, and frames whose value isn't shown.
 FRAMES = {
@@ -455,7 +526,7 @@ def _is_metadata(p: Column) -> Column:
 
 
 def _mp4_edits(p: Column) -> Column:
-    free = F.array(edit(p["start"] + 4, F.lit("free").cast("binary")), edit(p["start"] + 8, zeros(p["stop"] - p["start"] - 8)))
+    free = F.array(edit(p["start"] + 4, F.lit("free").cast("binary")), edit(p["body"], zeros(p["stop"] - p["body"])))
     times = F.array(edit(p["body"] + 4, zeros(F.when(number(p["head"], 0, 1) == 1, 16).otherwise(8))))
     return F.when(_is_metadata(p), free).when(p["kind"].isin("mvhd", "tkhd", "mdhd"), times)
 
@@ -557,32 +628,75 @@ def _riff_copy(kept: tuple[str, ...]) -> Callable[[Column, Column], Column]:
     return copy
 
 
+#: Fixed value: the most pixels of an image.
+MOST_PIXELS = 40_000_000
+
+
+def size_struct(width: Column, height: Column) -> Column:
+    return F.when(width.isNotNull() & height.isNotNull(), F.struct(width.cast("bigint").alias("width"), height.cast("bigint").alias("height")))
+
+
+def _first_head(pieces: Column, test: Found) -> Column:
+    p = F.try_element_at(F.filter(pieces, test), F.lit(1))
+    return F.substring(p["head"], F.lit(1), p["stop"] - p["body"])
+
+
+def _png_size(content: Column, pieces: Column) -> Column:
+    head = _first_head(pieces, lambda p: (p["kind"] == "IHDR") & (p["stop"] - p["body"] >= 12))
+    return size_struct(number(head, 0, 4), number(head, 4, 4))
+
+
+def _jpeg_size(content: Column, pieces: Column) -> Column:
+    head = _first_head(pieces, lambda p: p["kind"].isin("c0", "c2"))
+    return size_struct(number(head, 3, 2), number(head, 1, 2))
+
+
+def _gif_size(content: Column, pieces: Column) -> Column:
+    return size_struct(number(content, 6, 2, "little"), number(content, 8, 2, "little"))
+
+
+def _bmp_size(content: Column, pieces: Column) -> Column:
+    width, height = (number(content, at, 4, "little") for at in (18, 22))
+    return size_struct(*(F.when(n >= 1 << 31, (1 << 32) - n).otherwise(n) for n in (width, height)))
+
+
+def _psd_size(content: Column, pieces: Column) -> Column:
+    width, height = number(content, 18, 4), number(content, 14, 4)
+    return F.when((width > 0) & (height > 0), size_struct(width, height))
+
+
 @dataclass(frozen=True)
 class Format:
     piece: Found | None  # the finding of a piece
     copy: Callable[[Column, Column], Column]
     findings: Callable[[Column], Column] | None = None  # of all pieces, where one by one doesn't do
-    after: Callable[[Column], Column] = field(default=lambda findings: findings)
+    size: Callable[[Column, Column], Column] | None = None  # width and height, from content and pieces
+    sized: bool = False  # a file without width and height is malformed
+    same_size: bool = False  # a copy must have those of the original
+    holds: Callable[[Column, Column], Column] = field(default=lambda content, pieces: F.lit(0))  # what a copy must hold as the original does
 
     def found(self, pieces: Column) -> Column:
-        told = self.findings(pieces) if self.findings else self.after(F.filter(F.transform(pieces, self.piece), lambda f: f.isNotNull()))
+        told = self.findings(pieces) if self.findings else F.filter(F.transform(pieces, self.piece), lambda f: f.isNotNull())
         return F.coalesce(told, F.array().cast(f"array<{FINDING}>"))
 
+    def dimensions(self, content: Column, pieces: Column) -> Column:
+        return self.size(content, pieces) if self.size else F.lit(None).cast("struct<width:bigint,height:bigint>")
+
 
 def _png_copy(content: Column, pieces: Column) -> Column:
     return F.concat(F.substring(content, 1, 8), cut(content, pieces, lambda p: p["kind"].isin(*PNG_KEPT)))
 
 
 FORMATS = {
-    "png": Format(_png, _png_copy),
+    "png": Format(_png, _png_copy, size=_png_size, sized=True),
     "wav": Format(_wav, _riff_copy(WAV_KEPT)),
     "avi": Format(_avi, lambda c, p: overwritten(c, p, _avi_edits)),
     "flac": Format(_flac, _flac_copy),
-    "gif": Format(_gif, _gif_copy),
-    "jpeg": Format(_jpeg, lambda c, p: F.when(F.exists(p, lambda x: x["kind"] == "unfinished"), c).otherwise(cut(c, p, _jpeg_kept)), after=_once),
+    "gif": Format(_gif, _gif_copy, size=_gif_size, sized=True, same_size=True),
+    "jpeg": Format(None, lambda c, p: F.when(F.exists(p, lambda x: x["kind"] == "unfinished"), c).otherwise(cut(c, p, _jpeg_kept)), findings=_jpeg_findings, size=_jpeg_size, sized=True),
     "mp3": Format(_mp3, lambda c, p: cut(c, p, lambda x: x["kind"] == "audio")),
-    "psd": Format(_psd, _psd_copy),
-    "bmp": Format(_bmp, _bmp_copy),
+    "psd": Format(_psd, _psd_copy, size=_psd_size, same_size=True, holds=lambda c, p: F.exists(p, lambda x: x["kind"] == "8BIM:1039")),
+    "bmp": Format(_bmp, _bmp_copy, size=_bmp_size, sized=True, same_size=True),
     "ogg": Format(_ogg, lambda c, p: F.lit(None).cast("binary")),  # scanned only: there is no copy
     # the copy is text again: bytes beyond ASCII become UTF-8
     "rtf": Format(None, lambda c, p: F.encode(cp1252(cut(c, p, lambda x: x["kind"] == "text")), "UTF-8"), findings=_rtf_findings),
@@ -590,33 +704,61 @@ FORMATS = {
 }
 
 
-def scan(files: DataFrame, format_id: str) -> DataFrame:
-    """file_id, content, pieces, status (ok, error), findings of files (file_id, content) of one format."""
-    listed_ = with_pieces(files, format_id)
-    return listed_.select("*", F.when(F.col("pieces").isNull(), "error").otherwise("ok").alias("status"), FORMATS[format_id].found(F.col("pieces")).alias("findings"))
+def of_format(format_id: str | None, make: Callable[[Format], Column]) -> Column:
+    """The column that a format makes; without an id, by the column format of each row."""
+    if format_id:
+        return make(FORMATS[format_id])
+    (name, first), *others = FORMATS.items()
+    chosen = F.when(F.col("format") == name, make(first))
+    for name, other in others:
+        chosen = chosen.when(F.col("format") == name, make(other))
+    return chosen
+
 
+def scan(files: DataFrame, format_id: str | None = None) -> DataFrame:
+    """files (content and others) with pieces, dimensions, reason (malformed, resource-limit or null), status (ok, error) and findings.
 
-def clean(files: DataFrame, format_id: str) -> DataFrame:
-    """file_id, content (the copy, null where there is none), found_before."""
+    Without an id, the format of each row is in its column format; rows of formats without pieces are malformed.
+    """
+    content, pieces = F.col("content"), F.col("pieces")
+    rows = with_pieces(files, format_id).withColumn("dimensions", of_format(format_id, lambda f: f.dimensions(content, pieces)))
+    pixels = F.col("dimensions.width").cast("double") * F.col("dimensions.height")
+    missing = of_format(format_id, lambda f: F.lit(f.sized)) & F.col("dimensions").isNull()
+    reason = F.when(pieces.isNull() | missing, "malformed").when(pixels > MOST_PIXELS, "resource-limit")
+    rows = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("error"))
+    return rows.withColumn("findings", F.coalesce(of_format(format_id, lambda f: f.found(pieces)), F.array().cast(f"array<{FINDING}>")))
+
+
+def clean(files: DataFrame, format_id: str | None = None) -> DataFrame:
+    """files with content (the copy, null where there is none), found_before, and dimensions, holds and raw (values) of the original."""
     scanned = scan(files, format_id)
-    copy = F.when(F.col("status") == "ok", FORMATS[format_id].copy(F.col("content"), F.col("pieces")))
-    return scanned.select("file_id", copy.alias("content"), F.size(personal(F.col("findings"))).cast("bigint").alias("found_before"))
+    content, pieces = F.col("content"), F.col("pieces")
+    copy = F.when(F.col("status") == "ok", of_format(format_id, lambda f: f.copy(content, pieces)))
+    others = [c for c in files.columns if c != "content"]
+    told = personal(F.col("findings"))
+    return scanned.select(
+        *others, copy.alias("content"), F.size(told).cast("bigint").alias("found_before"), "dimensions", "reason",
+        of_format(format_id, lambda f: f.holds(content, pieces).cast("int")).alias("holds"), F.filter(F.transform(told, lambda f: f["value"]), lambda v: v.isNotNull()).alias("raw"),
+    )
 
 
 def personal(findings: Column) -> Column:
     return F.filter(findings, lambda f: ~f["field"].isin(*TECHNICAL))
 
 
-def clean_and_verify(files: DataFrame, format_id: str) -> DataFrame:
-    """file_id, status, clean, found_before, remaining, passed: the copy's pieces are listed anew."""
-    copies = clean(files, format_id)
-    again = with_pieces(copies.where("content IS NOT NULL"), format_id)
-    checked = again.select(
-        F.col("file_id").alias("again_id"),
-        F.col("content").alias("clean"),
-        F.size(personal(FORMATS[format_id].found(F.col("pieces")))).cast("bigint").alias("remaining"),
-        F.col("pieces").isNotNull().alias("whole"),
-    )
-    joined = copies.select("file_id", "found_before").join(checked, F.col("file_id") == F.col("again_id"), "left")
-    passed = F.coalesce((F.col("remaining") == 0) & F.col("whole"), F.lit(False))
-    return joined.select("file_id", F.when(F.col("clean").isNull(), "error").otherwise("ok").alias("status"), "clean", "found_before", "remaining", passed.alias("passed"))
+def clean_and_verify(files: DataFrame, format_id: str | None = None) -> DataFrame:
+    """files without content, with status, reason, clean, found_before, raw, remaining, passed: the copy's pieces are listed anew.
+
+    A copy passes if nothing personal is found in it, its pieces are whole, and it has the size and profile that its format must keep.
+    """
+    content, pieces = F.col("content"), F.col("pieces")
+    again = with_pieces(clean(files, format_id), format_id)
+    remaining = F.when(content.isNotNull(), F.size(personal(of_format(format_id, lambda f: f.found(pieces)))).cast("bigint"))
+    same = of_format(format_id, lambda f: F.coalesce(f.dimensions(content, pieces) == F.col("dimensions"), F.col("dimensions").isNull()) if f.same_size else F.lit(True))
+    held = of_format(format_id, lambda f: f.holds(content, pieces).cast("int")) >= F.col("holds")
+    passed = content.isNotNull() & pieces.isNotNull() & (remaining == 0) & same & held
+    others = [c for c in files.columns if c not in ("content", "reason")]
+    return again.select(
+        *others, F.when(content.isNull(), "error").otherwise("ok").alias("status"), "reason", content.alias("clean"), "found_before", "raw", remaining.alias("remaining"),
+        F.coalesce(passed, F.lit(False)).alias("passed"),
+    )

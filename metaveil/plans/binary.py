@@ -106,6 +106,10 @@ def _exif(d: Digits) -> str:
     return _segment(d, "FFE1", f"{d.text('Exif')} || '0000' || '49492A0008000000' || '0100' || {tag} || '00000000' || {d.of('url')} || '00'", d.size("url", 6 + 26 + 1))
 
 
+def _jpeg_image(d: Digits) -> str:
+    return f"{_segment(d, 'FFDB', "'00' || repeat('01', 64)", 65)} || 'FFC0000B080001000101011100' || 'FFDA0002' || {d.of('html')}"
+
+
 def _id3(d: Digits) -> str:
     n = d.size("url", 11)  # well below 128 * 128
     frame = f"{d.text('TPE1')} || {d.big(d.size('url', 1))} || '0000' || '03' || {d.of('url')}"
@@ -167,8 +171,8 @@ SAMPLES = {
         (("other", "GIF:Comment", "GIF comment", "left(url, 180)", "medium"), ("software", "GIF:App:MGK8BIM0000", "Application extension (MGK8BIM0000)", "'Present'", "medium")),
     ),
     "jpeg": Sample(
-        lambda d: ["'FFD8'", _exif(d), _segment(d, "FFFE", d.of("url"), d.size("url")), _segment(d, "FFDB", "'00' || repeat('01', 64)", 65), "'FFDA0002'", d.of("html"), "'FFD9'"],
-        lambda d: ["'FFD8'", _segment(d, "FFDB", "'00' || repeat('01', 64)", 65), "'FFDA0002'", d.of("html"), "'FFD9'"],
+        lambda d: ["'FFD8'", _exif(d), _segment(d, "FFFE", d.of("url"), d.size("url")), _jpeg_image(d), "'FFD9'"],
+        lambda d: ["'FFD8'", _jpeg_image(d), "'FFD9'"],
         (("author", "EXIF:Artist", "Artist", "url", "high"), ("other", "JPEG:Comment", "JPEG comment", "url", "medium")),
     ),
     "mp3": Sample(

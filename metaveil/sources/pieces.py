@@ -53,7 +53,7 @@ LAYOUTS = {
     "wav": Layout(12, (0, 4), (4, 4, "little"), 8, even=True),
     "avi": Layout(12, (0, 4), (4, 4, "little"), 8, even=True, strict=False),
     "webp": Layout(12, (0, 4), (4, 4, "little"), 8, even=True, strict=False),
-    "mp4": Layout(0, (4, 4), (0, 4, "big"), 8, whole=True),
+    "mp4": Layout(0, (4, 4), (0, 4, "big"), 8, whole=True, strict=False),
 }
 
 
@@ -64,6 +64,10 @@ def walk(data: bytes, layout: Layout, first: int | None = None, end: int | None
         size = int.from_bytes(data[at + place : at + place + length], order)
         name = data[at + layout.name[0] : at + sum(layout.name)].decode("latin-1")
         body = at + layout.header
+        if layout.whole and size == 1:  # the size stands behind the name
+            if body + 8 > end:
+                break
+            size, body = int.from_bytes(data[body : body + 8], "big"), body + 8
         if layout.whole and size == 0:  # to the end of the file
             stop = end
         else:
@@ -177,7 +181,7 @@ def _gif(data: bytes) -> list[Piece]:
 
 
 def _jpeg(data: bytes) -> list[Piece]:
-    """Header segments by their marker's hexadecimal digits; from the first scan on, all is one piece."""
+    """Header segments by their marker's hexadecimal digits; from the first scan on, all is one piece (depth 0) and, for the scanner alone, segments (depth 2)."""
     found: list[Piece] = [("soi", 0, 0, 2, 2)]
     at = 2
     while at < len(data) - 1:
@@ -193,7 +197,7 @@ def _jpeg(data: bytes) -> list[Piece]:
         if marker == 0:
             continue
         if marker == 0xDA:
-            return [*found, ("da", 0, start, at, len(data))]
+            return [*found, ("da", 0, start, at, len(data)), *_behind_scans(data, at)]
         if marker == 0xD9:
             return [*found, ("d9", 0, start, at, at)]
         if 0xD0 <= marker <= 0xD8 or marker == 1:
@@ -207,6 +211,32 @@ def _jpeg(data: bytes) -> list[Piece]:
     return [*found, ("unfinished", 0, at, at, len(data))]
 
 
+#: Where coded image data end: a marker that neither is a stuffed byte, nor restarts it, nor fills.
+_CODED_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S)
+
+
+def _behind_scans(data: bytes, at: int) -> Iterator[Piece]:
+    """Segments that follow the coded data of scans, up to the end of the image. at: behind the marker of the first scan."""
+    while at + 2 <= len(data):
+        size = int.from_bytes(data[at : at + 2], "big")
+        coded = _CODED_END.search(data, at + size) if size >= 2 else None
+        while coded and coded[0][1] != 0xDA:
+            start, marker = coded.start(), coded[0][1]
+            if marker == 0xD9:
+                return
+            if marker == 0xD8:
+                coded = _CODED_END.search(data, start + 2)
+                continue
+            stop = start + 2 + int.from_bytes(data[start + 2 : start + 4], "big")
+            if stop < start + 4 or stop > len(data):
+                return
+            yield f"{marker:02x}", 2, start, start + 4, stop
+            coded = re.compile(rb"\xff[^\xd0-\xd7]", re.S).search(data, stop)
+        if not coded:
+            return
+        at = coded.start() + 2
+
+
 #: Bytes of one value of each TIFF type.
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
@@ -223,20 +253,30 @@ def tags(data: bytes, tiff: int, at: int, order: str, folder: str = "IFD0") -> I
         tag, kind, count = number(entry, 2), number(entry + 2, 2), number(entry + 4, 4)
         size = TYPE_SIZES.get(kind, 0) * count
         body = entry + 8 if size <= 4 else tiff + number(entry + 8, 4)
+        if folder == "GPS" and body >= len(data):
+            continue
         yield f"tag:{folder}:{tag}:{kind}:{count}:{order}", 1, entry, min(body, len(data)), min(body + size, len(data))
         inner = {0x8769: "EXIF", 0x8825: "GPS"}.get(tag)
         if inner and kind == 4 and folder == "IFD0":
             yield from tags(data, tiff, tiff + number(entry + 8, 4), order, inner)
+    if folder == "GPS":  # where what the directory tells together stands
+        yield "gps", 1, at, at, at
 
 
 def _jpeg_with_tags(data: bytes) -> list[Piece]:
+    """Segments, the tags of the first APP1 and, of each APP1, the place of an image within it."""
     found = []
     for piece in _jpeg(data):
         found.append(piece)
-        body = piece[3]
-        if piece[0] == "e1" and not any(k == "e1" for k, *_ in found[:-1]) and data[body : body + 4] == b"Exif" and body + 14 <= len(data):
+        kind, _, _, body, stop = piece
+        if kind != "e1":
+            continue
+        if not any(k == "e1" for k, *_ in found[:-1]) and data[body : body + 4] == b"Exif" and body + 14 <= len(data):
             order = "little" if data[body + 6 : body + 8] == b"II" else "big"
             found += tags(data, body + 6, body + 6 + int.from_bytes(data[body + 10 : body + 14], order), order)
+        inner = data.find(b"\xff\xd8", body + 6, stop)
+        if inner >= 0:
+            found.append(("thumbnail", 1, inner, inner, stop))
     return found
 
 
@@ -317,6 +357,9 @@ def _mp4(data: bytes) -> list[Piece]:
                 go(body + (4 if kind == "meta" else 0), stop, depth + 1, metadata)
 
     go(0, len(data), 0, False)
+    top = [p[0] for p in found if p[1] == 0]
+    if not top or top[0] != "ftyp" or "moov" not in top:
+        raise Broken("no movie")
     return found
 
 
@@ -412,24 +455,31 @@ LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
 }
 
 
-def with_pieces(files: DataFrame, format_id: str) -> DataFrame:
-    """files (file_id, content) with the column pieces; null where the bytes are broken. No shuffle."""
+def with_pieces(files: DataFrame, format_id: str | None = None) -> DataFrame:
+    """files (content and others) with the column pieces; null where it is broken (no content is an empty one). No shuffle.
+
+    Without a format, that in the column format counts for each row.
+    """
     spark = files.sparkSession
     if spark.conf.get(BATCH) == "67108864b":  # as Spark has it
         spark.conf.set(BATCH, str(8 << 20))
-    out = T.StructType([*files.select("file_id", "content").schema.fields, T.StructField("pieces", T.ArrayType(PIECE))])
+    out = T.StructType([*files.schema.fields, T.StructField("pieces", T.ArrayType(PIECE))])
+    at, by = files.columns.index("content"), None if format_id else files.columns.index("format")
+
+    def listed(data: bytes, kind: str | None) -> list[dict] | None:
+        if kind not in LISTERS:
+            return None
+        try:
+            pieces = LISTERS[kind](data)
+        except Broken:
+            return None
+        return [dict(kind=k, depth=d, start=s, body=b, stop=e, head=data[b : e if k in WHOLE else min(e, b + HEAD)]) for k, d, s, b, e in pieces]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lister, schema = LISTERS[format_id], to_arrow_schema(out)
+        schema = to_arrow_schema(out)
         for batch in batches:
-            found = []
-            for data in (content or b"" for content in batch.column(1).to_pylist()):
-                try:
-                    pieces = lister(data)
-                except Broken:
-                    found.append(None)
-                else:
-                    found.append([dict(kind=k, depth=d, start=s, body=b, stop=e, head=data[b : e if k in WHOLE else min(e, b + HEAD)]) for k, d, s, b, e in pieces])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, schema.field(2).type)], schema=schema)
-
-    return files.select("file_id", "content").mapInArrow(run, out)
+            kinds = [format_id] * batch.num_rows if by is None else batch.column(by).to_pylist()
+            found = [listed(data.as_py() or b"", kind) for data, kind in zip(batch.column(at), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, schema.field(len(schema) - 1).type)], schema=schema)
+
+    return files.mapInArrow(run, out)

@@ -39,7 +39,7 @@ def test_cleaned_copies_have_no_findings(spark):
 
 
 def test_truncated_jpeg_is_left_as_it_is(spark):
-    data = bytes.fromhex("FFD8FFE1000845786966") + b"ab"
+    data = bytes.fromhex("FFD8FFC00007080001000102FFE1000845786966") + b"ab"
     row = binary.clean_and_verify(spark.createDataFrame([(1, data)], "file_id int, content binary"), "jpeg").first()
     assert row.clean == data
 
