@@ -27,6 +27,11 @@ def extension(path: Column) -> Column:
     return F.when(F.contains(base, F.lit(".")), F.lower(F.element_at(F.split(base, r"\."), -1))).otherwise("")
 
 
+def over_limits(n: Column, size: Column, length: Column) -> Column:
+    """The limit that an archive of n entries and so many bytes unpacked and packed is over, or null."""
+    return F.when(n > MOST_ENTRIES, "too-many-entries").when(size > MOST_BYTES, "too-large").when((length > 0) & (size / length > MOST_RATIO), "zip-bomb")
+
+
 def gates(entries: DataFrame) -> DataFrame:
     """file_id, reason: the first reason to refuse an archive (null: none). entries: file_id, file_length, entry_pos, path, size.
 
@@ -38,9 +43,4 @@ def gates(entries: DataFrame) -> DataFrame:
     total = marked.groupBy("file_id").agg(
         F.min_by(problem, F.when(problem.isNotNull(), F.col("entry_pos"))).alias("by_entry"), F.count("*").alias("n"), F.sum("size").alias("size"), F.max("file_length").alias("length")
     )
-    limits = (
-        F.when(F.col("n") > MOST_ENTRIES, "too-many-entries")
-        .when(F.col("size") > MOST_BYTES, "too-large")
-        .when((F.col("length") > 0) & (F.col("size") / F.col("length") > MOST_RATIO), "zip-bomb")
-    )
-    return total.select("file_id", F.coalesce("by_entry", limits).alias("reason"))
+    return total.select("file_id", F.coalesce("by_entry", over_limits(F.col("n"), F.col("size"), F.col("length"))).alias("reason"))

@@ -715,23 +715,24 @@ def of_format(format_id: str | None, make: Callable[[Format], Column]) -> Column
     return chosen
 
 
-def scan(files: DataFrame, format_id: str | None = None) -> DataFrame:
+def scan(files: DataFrame, format_id: str | None = None, gated: bool = True) -> DataFrame:
     """files (content and others) with pieces, dimensions, reason (malformed, resource-limit or null), status (ok, error) and findings.
 
-    Without an id, the format of each row is in its column format; rows of formats without pieces are malformed.
+    Without an id, the format of each row is in its column format; rows of formats without pieces are malformed. gated: images
+    without a size or with too many pixels are refused; images within other files are not.
     """
     content, pieces = F.col("content"), F.col("pieces")
     rows = with_pieces(files, format_id).withColumn("dimensions", of_format(format_id, lambda f: f.dimensions(content, pieces)))
     pixels = F.col("dimensions.width").cast("double") * F.col("dimensions.height")
     missing = of_format(format_id, lambda f: F.lit(f.sized)) & F.col("dimensions").isNull()
-    reason = F.when(pieces.isNull() | missing, "malformed").when(pixels > MOST_PIXELS, "resource-limit")
+    reason = F.when(pieces.isNull() | (missing & gated), "malformed").when((pixels > MOST_PIXELS) & gated, "resource-limit")
     rows = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("error"))
     return rows.withColumn("findings", F.coalesce(of_format(format_id, lambda f: f.found(pieces)), F.array().cast(f"array<{FINDING}>")))
 
 
-def clean(files: DataFrame, format_id: str | None = None) -> DataFrame:
+def clean(files: DataFrame, format_id: str | None = None, gated: bool = True) -> DataFrame:
     """files with content (the copy, null where there is none), found_before, and dimensions, holds and raw (values) of the original."""
-    scanned = scan(files, format_id)
+    scanned = scan(files, format_id, gated)
     content, pieces = F.col("content"), F.col("pieces")
     copy = F.when(F.col("status") == "ok", of_format(format_id, lambda f: f.copy(content, pieces)))
     others = [c for c in files.columns if c != "content"]
@@ -746,13 +747,13 @@ def personal(findings: Column) -> Column:
     return F.filter(findings, lambda f: ~f["field"].isin(*TECHNICAL))
 
 
-def clean_and_verify(files: DataFrame, format_id: str | None = None) -> DataFrame:
+def clean_and_verify(files: DataFrame, format_id: str | None = None, gated: bool = True) -> DataFrame:
     """files without content, with status, reason, clean, found_before, raw, remaining, passed: the copy's pieces are listed anew.
 
     A copy passes if nothing personal is found in it, its pieces are whole, and it has the size and profile that its format must keep.
     """
     content, pieces = F.col("content"), F.col("pieces")
-    again = with_pieces(clean(files, format_id), format_id)
+    again = with_pieces(clean(files, format_id, gated), format_id)
     remaining = F.when(content.isNotNull(), F.size(personal(of_format(format_id, lambda f: f.found(pieces)))).cast("bigint"))
     same = of_format(format_id, lambda f: F.coalesce(f.dimensions(content, pieces) == F.col("dimensions"), F.col("dimensions").isNull()) if f.same_size else F.lit(True))
     held = of_format(format_id, lambda f: f.holds(content, pieces).cast("int")) >= F.col("holds")

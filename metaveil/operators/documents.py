@@ -1,7 +1,9 @@
 """Office packages, open documents and books: findings, cleaned copies and their verification, over the entries of their archives.
 
 Each file's parts meet in one row (a file is bounded by its archive's limits); what they tell, and what a copy holds instead,
-are column expressions. Rows of entries are those of sources.archives.entries.
+are column expressions. Rows of entries are those of sources.archives.entries, opened (operators.contents) so that images within
+are scanned and cleaned by their own formats. A copy passes if it is read anew and nothing is found in it, none of the values
+found before stands in any of its parts, its images pass, its dates tell nothing, and it has all parts that it must have.
 """
 
 from __future__ import annotations
@@ -10,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaveil.functions.bytes import stripped, utf8
+from metaveil.operators import contents, leaks
 from metaveil.operators.binary import filled, found
-from metaveil.operators.packages import neutral, odf_kind
+from metaveil.operators.packages import limits, neutral, odf_kind, routed
 from metaveil.operators.svg import FINDING
-from metaveil.sources.archives import rebuilt
+from metaveil.sources.archives import entries, rebuilt
+from metaveil.sources.tables import written
 
 #: Elements of the property parts: name, label, category, severity.
 CORE = (
@@ -42,6 +46,22 @@ ANONYMOUS, INITIALS = "Anonymous", "A"
 PROPERTIES = ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml")
 LOST = ("w:initials", "w:date", "w:dateUtc", "w:rsid", "w:rsidR", "w:rsidRPr", "w:rsidP", "w:rsidRDefault", "w:rsidTr", "w:rsidDel", "w:rsidSect")
 TYPES, RELATIONS = "[Content_Types].xml", "_rels/.rels"
+#: What a copy's parts lose, as patterns that take in the white space behind.
+OVERRIDE, RELATION = r'(?i)<Override\s+PartName="/{}"[^>]*/>\s*', r'(?i)<Relationship\b[^>]*\bTarget="[^"]*{}"[^>]*/>\s*'
+CUSTOM_OVERRIDE, CUSTOM_RELATION = r'(?i)<Override\b[^>]*\bPartName="/customXml/[^"]*"[^>]*/>\s*', r'(?i)<Relationship\b[^>]*\bTarget="[^"]*customXml/[^"]*"[^>]*/>\s*'
+SESSIONS = (r"(?is)<w:rsids(\s[^>]*)?>.*?</w:rsids>", r"(?i)<w:rsids(\s[^>]*)?/>")
+PREVIEW_ENTRY = r'(?i)<manifest:file-entry\b[^>]*manifest:full-path="Thumbnails/[^"]*"[^>]*/>\s*'
+PRINTER = r'(?is)<config:config-item\b[^>]*config:name="Printer(?:Name|Setup)"[^>]*>.*?</config:config-item>\s*'
+NOTE_AUTHOR, NOTE_DATE = r"(?is)(<dc:creator(?:\s[^>]*)?>).*?(</dc:creator>)", r"(?is)<dc:date(?:\s[^>]*)?>.*?</dc:date>\s*"
+BOOK_MARKS = (
+    r'(?i)\s*<meta\b[^>]*name="calibre:[^"]*"[^>]*/?>(?:</meta>)?', r'(?is)\s*<meta\b[^>]*property="dcterms:modified"[^>]*>.*?</meta>',
+    r'(?is)\s*<dc:contributor\b[^>]*opf:role="bkp"[^>]*>.*?</dc:contributor>',
+)
+#: Folders of images, parts that a copy must have, and parts that are searched for values.
+IMAGE_FOLDERS = {"office": "/media/", "odf": r"(?i)(^|/)(Pictures|media)/", "book": ""}
+MAIN_PARTS = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "ppt/presentation.xml"}
+#: The category of images with traces, its field's prefix, and the category and field of dates.
+IMAGE_TRACES = {"office": ("office-embedded-images", "office"), "odf": ("containers", "ODF"), "book": ("containers", "EPUB")}
 
 
 def decoded(text: Column) -> Column:
@@ -50,10 +70,15 @@ def decoded(text: Column) -> Column:
     return text
 
 
-def element(xml: Column, name: str) -> Column:
-    """The text of the first such element, under any prefix; null if it is empty or not there."""
+def _element(xml: Column, name: str) -> Column:
+    """What the first such element holds, under any prefix, as it stands there."""
     local = rf"(?:[A-Za-z_][\w.-]*:)?{name.rpartition(':')[2]}"
-    return filled(decoded(stripped(F.regexp_extract(xml, rf"(?is)<{local}\b[^>]*>(.*?)</{local}\s*>", 1))))
+    return F.regexp_extract(xml, rf"(?is)<{local}\b[^>]*>(.*?)</{local}\s*>", 1)
+
+
+def element(xml: Column, name: str) -> Column:
+    """The text of the first such element; null if it is empty or not there."""
+    return filled(decoded(stripped(_element(xml, name))))
 
 
 def elements(xml: Column, name: str) -> Column:
@@ -75,8 +100,40 @@ def _listed(condition: Column, finding: Column) -> Column:
 
 
 def _named(xml: Column, table: tuple, prefix: str) -> Column:
-    rows = [F.when(element(xml, name).isNotNull(), found(category, f"{prefix}:{name}", label, element(xml, name), severity)) for name, label, category, severity in table]
-    return F.coalesce(F.filter(F.array(*rows), lambda f: f.isNotNull()), F.array().cast(f"array<{FINDING}>"))
+    texts = F.array(*[_element(xml, name) for name, *_ in table])
+    rows = ", ".join(f"named_struct('category', '{category}', 'field', '{prefix}:{name}', 'label', '{label}', 'severity', '{severity}')" for name, label, category, severity in table)
+    told = F.zip_with(texts, F.expr(f"array({rows})"), lambda text, info: found(info["category"], info["field"], info["label"], filled(decoded(stripped(text))), info["severity"]))
+    return F.coalesce(F.filter(told, lambda f: f["value"].isNotNull()), F.array().cast(f"array<{FINDING}>"))
+
+
+def _traces(rows: DataFrame) -> list[Column]:
+    """Of a file's images: how many there are, how many have traces, and the values of these; and whether dates tell something."""
+    times = F.bool_or(~neutral(F.col("at"))).alias("times")
+    if "format" not in rows.columns:  # not opened
+        return [F.lit(0).alias("images"), F.lit(0).alias("traced"), F.lit(None).cast("array<string>").alias("image_values"), times]
+    image = F.col("format").isNotNull()
+    return [F.count_if(image).alias("images"), F.count_if(image & (F.col("found") > 0)).alias("traced"), F.flatten(F.collect_list(F.when(image, F.col("raw")))).alias("image_values"), times]
+
+
+def _image_finding(kind: str) -> Column:
+    category, prefix = IMAGE_TRACES[kind]
+    return _listed(F.col("traced") > 0, found(category, f"{prefix}:embeddedImages", "Embedded images with metadata", F.format_string("%d of %d", "traced", "images"), "medium"))
+
+
+def _time_finding(kind: str) -> Column:
+    category = "office-container" if kind == "office" else "containers"
+    return _listed(F.coalesce("times", F.lit(False)), found(category, f"{IMAGE_TRACES[kind][1]}:zipTimestamps", "ZIP container timestamps", "Present", "low"))
+
+
+def _values(*arrays: Column) -> Column:
+    """All values that must not stand in a copy."""
+    none = F.array().cast("array<string>")
+    all_ = F.concat(*[F.coalesce(a, none) for a in (*arrays, F.col("image_values"))])
+    return F.filter(F.array_distinct(all_), lambda v: F.length(stripped(v)) >= 3)
+
+
+def _found_values(findings: Column) -> Column:
+    return F.transform(findings, lambda f: f["value"])
 
 
 def _part(path: Column | str) -> Column:
@@ -91,10 +148,11 @@ def _parts(pattern: str, but: str = "") -> Column:
 
 
 def office_findings(entries: DataFrame) -> DataFrame:
-    """file_id, findings of office packages: properties first, then comments and revisions."""
+    """file_id, findings, raw (values that a copy must not hold) of office packages: properties first, then comments, revisions and images."""
     rows = entries.where("NOT is_folder").groupBy("file_id").agg(
         _part(PROPERTIES[0]).alias("core"), _part(PROPERTIES[1]).alias("app"), _part(PROPERTIES[2]).alias("custom"), _part("word/comments.xml").alias("comments"),
-        _parts(r"(?i)^word/.*\.xml$", "word/comments.xml").alias("words"), _parts(r"(?i)^xl/comments\d*\.xml$").alias("sheets"), _part("ppt/commentAuthors.xml").alias("slides"),
+        _parts(r"(?i)^word/.*\.xml$", "word/comments.xml").alias("words"), _parts(r"(?i)^xl/comments\d*\.xml$").alias("sheets"), _part("ppt/commentAuthors.xml").alias("slides"), _parts("^ppt/comments/").alias("notes"),
+        *_traces(entries),
     )
     own = F.regexp_extract_all("custom", F.lit(r'(?is)<property\b[^>]*\bname="([^"]*)"[^>]*>(.*?)</property>'), 0)
 
@@ -114,12 +172,22 @@ def office_findings(entries: DataFrame) -> DataFrame:
     def people(names: Column, field: str, label: str, category: str = "office-comment-authors") -> Column:
         return _listed(F.size(names) > 0, found(category, field, label, F.array_join(names, ", "), "high"))
 
+    core, app = _named(F.col("core"), CORE, "core"), _named(F.col("app"), APP, "app")
+    names = F.transform(own, lambda entry: F.regexp_extract(entry, r'(?is)\bname="([^"]*)"', 1))
+    each = lambda parts, name: F.flatten(F.transform(F.coalesce(parts, none_text), lambda x: attributes(x, name)))
+    none_text = F.array().cast("array<string>")
+    comment_parts = F.array(F.coalesce("comments", F.lit("")))
+    raw = _values(
+        _found_values(core), _found_values(app), _found_values(F.coalesce(properties, none)), names, commented, revised, cells, slides, each(comment_parts, "w:initials"),
+        each(comment_parts, "w:date"), each(F.col("words"), "w:date"), each(F.array(F.coalesce("slides", F.lit(""))), "initials"), each(F.col("notes"), "dt"),
+    )
     told = F.concat(
-        _named(F.col("core"), CORE, "core"), _named(F.col("app"), APP, "app"), F.coalesce(properties, none), people(commented, "docx:commentAuthor", "Comment author"),
+        core, app, F.coalesce(properties, none), people(commented, "docx:commentAuthor", "Comment author"),
         people(revised, "docx:revisionAuthor", "Revision author (tracked changes)", "office-revisions"), _listed(sessions > 0, found("office-revisions", "docx:rsid", "Edit session IDs (rsid)", sessions, "medium")),
         people(cells, "xlsx:commentAuthor", "Comment authors"), people(slides, "pptx:commentAuthor", "Comment authors"),
+        _image_finding("office"), _time_finding("office"),
     )
-    return rows.select("file_id", told.alias("findings"))
+    return rows.select("file_id", told.alias("findings"), raw.alias("raw"))
 
 
 def office_copies(entries: DataFrame, remove_custom_xml: bool = False) -> DataFrame:
@@ -128,18 +196,18 @@ def office_copies(entries: DataFrame, remove_custom_xml: bool = False) -> DataFr
     drop = path.isin(*PROPERTIES) | path.rlike(r"(?i)^docProps/thumbnail\.")
     types, relations, others = text, text, text
     for part in PROPERTIES:
-        types = F.regexp_replace(types, rf'(?i)<Override\s+PartName="/{part.replace(".", "[.]")}"[^>]*/>\s*', "")
+        types = F.regexp_replace(types, OVERRIDE.format(part.replace(".", "[.]")), "")
     for target in (*PROPERTIES, "docProps/thumbnail"):
-        relations = F.regexp_replace(relations, rf'(?i)<Relationship\b[^>]*\bTarget="[^"]*{target.replace(".", "[.]")}"[^>]*/>\s*', "")
+        relations = F.regexp_replace(relations, RELATION.format(target.replace(".", "[.]")), "")
     if remove_custom_xml:
         drop = drop | F.startswith(path, F.lit("customXml/"))
-        types = F.regexp_replace(types, r'(?i)<Override\b[^>]*\bPartName="/customXml/[^"]*"[^>]*/>\s*', "")
-        gone = r'(?i)<Relationship\b[^>]*\bTarget="[^"]*customXml/[^"]*"[^>]*/>\s*'
-        relations, others = F.regexp_replace(relations, gone, ""), F.regexp_replace(others, gone, "")
+        types = F.regexp_replace(types, CUSTOM_OVERRIDE, "")
+        relations, others = F.regexp_replace(relations, CUSTOM_RELATION, ""), F.regexp_replace(others, CUSTOM_RELATION, "")
     words = F.regexp_replace(text, r'(?i)(\bw:author=")[^"]*(")', f"$1{ANONYMOUS}$2")
     for name in LOST:
         words = F.regexp_replace(words, rf'(?i)\s+{name}="[^"]*"', "")
-    words = F.regexp_replace(F.regexp_replace(words, r"(?is)<w:rsids(\s[^>]*)?>.*?</w:rsids>", ""), r"(?i)<w:rsids(\s[^>]*)?/>", "")
+    for pattern in SESSIONS:
+        words = F.regexp_replace(words, pattern, "")
     sheets = F.regexp_replace(text, "(?is)<authors>.*?</authors>", f"<authors><author>{ANONYMOUS}</author></authors>")
     sheets = F.regexp_replace(sheets, r'(?i)\bauthorId="[^"]*"', 'authorId="0"')
     slides = F.regexp_replace(F.regexp_replace(text, r'(?i)(\bname=")[^"]*(")', f"$1{ANONYMOUS}$2"), r'(?i)(\binitials=")[^"]*(")', f"$1{INITIALS}$2")
@@ -148,15 +216,14 @@ def office_copies(entries: DataFrame, remove_custom_xml: bool = False) -> DataFr
         .when(path == "ppt/commentAuthors.xml", slides).when(path.rlike("^ppt/comments/"), F.regexp_replace(text, r'(?i)\s+dt="[^"]*"', ""))
     )
     new = new.when(path.rlike(r"(?i)\.rels$"), others) if remove_custom_xml else new
-    kept = entries.where(F.col("status") == "ok").where(~drop)
-    return rebuilt(kept.withColumn("content", F.when(new.isNotNull() & (new != text), new.cast("binary")).otherwise(F.col("content"))).withColumn("stored", path == "mimetype"))
+    return _copied(entries, F.when(new != text, new), drop)
 
 
 def odf_findings(entries: DataFrame) -> DataFrame:
-    """file_id, format, findings of open documents."""
+    """file_id, format, findings, raw of open documents."""
     rows = entries.where("NOT is_folder").groupBy("file_id").agg(
         _part("mimetype").alias("mimetype"), _part("meta.xml").alias("meta"), _part("settings.xml").alias("settings"), _part("content.xml").alias("content"),
-        F.bool_or(F.col("path").rlike("(?i)^Thumbnails/")).alias("preview"), F.bool_or(~neutral(F.col("at"))).alias("times"),
+        F.bool_or(F.col("path").rlike("(?i)^Thumbnails/")).alias("preview"), *_traces(entries),
     )
     rows = rows.na.fill("", ["meta", "settings", "content", "mimetype"])
     named = [F.transform(elements(F.col("meta"), name), _said(name, label, category, severity)) for name, label, category, severity in META]
@@ -174,9 +241,11 @@ def odf_findings(entries: DataFrame) -> DataFrame:
         _listed(printer.isNotNull(), found("device", "ODF:printer", "Printer name", printer, "high")),
         _listed(F.col("settings").rlike('(?i)config:name="PrinterSetup"'), found("device", "ODF:printerSetup", "Printer configuration data", "Present", "medium")),
         _listed(F.size(notes) > 0, found("author", "ODF:annotationAuthor", "Annotation author", F.array_join(notes, ", "), "high")),
-        _listed(F.col("times"), found("containers", "ODF:zipTimestamps", "ZIP container timestamps", "Present", "low")),
+        _image_finding("odf"), _time_finding("odf"),
     )
-    return rows.select("file_id", odf_kind(F.col("mimetype")).alias("format"), told.alias("findings"))
+    users = F.transform(own, lambda entry: F.regexp_extract(entry, 'meta:name="([^"]*)"', 1))
+    raw = _values(_found_values(F.flatten(F.array(*named))), users, _found_values(F.transform(own, custom)), F.array(printer), notes)
+    return rows.select("file_id", odf_kind(F.col("mimetype")).alias("format"), told.alias("findings"), raw.alias("raw"))
 
 
 def _said(name: str, label: str, category: str, severity: str):
@@ -184,9 +253,9 @@ def _said(name: str, label: str, category: str, severity: str):
 
 
 def book_findings(entries: DataFrame) -> DataFrame:
-    """file_id, findings of books: marks of libraries and tools in the package document."""
+    """file_id, findings, raw of books: marks of libraries and tools in the package document."""
     containers = entries.where("path = 'META-INF/container.xml'").select("file_id", filled(F.regexp_extract(utf8(F.col("content")), r'(?i)full-path="([^"]+\.opf)"', 1)).alias("opf"))
-    parts = entries.join(containers, "file_id", "left").groupBy("file_id").agg(_part(F.col("path") == F.col("opf")).alias("opf"), F.bool_or(~neutral(F.col("at"))).alias("times")).na.fill("", ["opf"])
+    parts = entries.join(containers, "file_id", "left").groupBy("file_id").agg(_part(F.col("path") == F.col("opf")).alias("opf"), *_traces(entries)).na.fill("", ["opf"])
 
     def library(entry: Column) -> Column:
         name = F.regexp_extract(entry, '(?i)name="calibre:([^"]*)"', 1)
@@ -199,9 +268,10 @@ def book_findings(entries: DataFrame) -> DataFrame:
         F.transform(F.regexp_extract_all("opf", F.lit(r'(?i)<meta\b[^>]*name="calibre:[^"]*"[^>]*/?>'), 0), library),
         _listed(F.col("opf").rlike(changed), found("dates", "EPUB:modified", "Last modified date", filled(stripped(F.regexp_extract("opf", changed, 1))), "medium")),
         F.transform(tools, lambda t: found("software", "EPUB:producer", "Producing tool", filled(stripped(F.regexp_replace(t, "<[^>]+>", ""))), "medium")),
-        _listed(F.col("times"), found("containers", "EPUB:zipTimestamps", "ZIP container timestamps", "Present", "low")),
+        _image_finding("book"), _time_finding("book"),
     )
-    return parts.select("file_id", told.alias("findings"))
+    marks = F.filter(told, lambda f: ~f["field"].isin("EPUB:embeddedImages", "EPUB:zipTimestamps"))
+    return parts.select("file_id", told.alias("findings"), _values(_found_values(marks)).alias("raw"))
 
 
 #: What stands in place of an open document's description.
@@ -211,19 +281,21 @@ EMPTY_META = (
 
 
 def _copied(entries: DataFrame, new: Column, drop: Column | None = None) -> DataFrame:
-    """file_id, content: archives with the new texts where there are any, without the entries to drop."""
-    kept = entries.where(F.col("status") == "ok")
-    kept = kept if drop is None else kept.where(~drop)
-    return rebuilt(kept.withColumn("content", F.coalesce(new.cast("binary"), "content")).withColumn("stored", F.col("path") == "mimetype"))
+    """file_id, content: archives with the new texts where there are any, else the copies of images, without the entries to drop.
+
+    With the column before (values), copies carry it. A file with an entry that can't be read has no copy (content null).
+    """
+    drop = F.lit(False) if drop is None else drop
+    images = "clean" if "clean" in entries.columns else "content"
+    kept = entries.withColumn("dropped", F.coalesce(drop, F.lit(False))).withColumn("content", F.coalesce(new.cast("binary"), F.col(images), "content"))
+    return rebuilt(kept.withColumn("stored", F.col("path") == "mimetype"), ("before",) if "before" in entries.columns else ())
 
 
 def odf_copies(entries: DataFrame) -> DataFrame:
     """file_id, content: open documents without description, preview and printer, with one name for all who annotated."""
     path, text = F.col("path"), utf8(F.col("content"))
-    manifest = F.regexp_replace(text, r'(?i)<manifest:file-entry\b[^>]*manifest:full-path="Thumbnails/[^"]*"[^>]*/>\s*', "")
-    settings = F.regexp_replace(text, r'(?is)<config:config-item\b[^>]*config:name="Printer(?:Name|Setup)"[^>]*>.*?</config:config-item>\s*', "")
-    content = F.regexp_replace(text, r"(?is)(<dc:creator(?:\s[^>]*)?>).*?(</dc:creator>)", f"$1{ANONYMOUS}$2")
-    content = F.regexp_replace(content, r"(?is)<dc:date(?:\s[^>]*)?>.*?</dc:date>\s*", "")
+    manifest, settings = F.regexp_replace(text, PREVIEW_ENTRY, ""), F.regexp_replace(text, PRINTER, "")
+    content = F.regexp_replace(F.regexp_replace(text, NOTE_AUTHOR, f"$1{ANONYMOUS}$2"), NOTE_DATE, "")
     new = F.when(path == "META-INF/manifest.xml", manifest).when(path == "meta.xml", EMPTY_META).when(path == "settings.xml", settings).when(path == "content.xml", content)
     return _copied(entries, new, path.rlike("(?i)^Thumbnails/"))
 
@@ -232,17 +304,65 @@ def book_copies(entries: DataFrame) -> DataFrame:
     """file_id, content: books without marks of libraries and tools."""
     containers = entries.where("path = 'META-INF/container.xml'").select("file_id", filled(F.regexp_extract(utf8(F.col("content")), r'(?i)full-path="([^"]+\.opf)"', 1)).alias("opf"))
     text = utf8(F.col("content"))
-    for pattern in (r'(?i)\s*<meta\b[^>]*name="calibre:[^"]*"[^>]*/?>(?:</meta>)?', r'(?is)\s*<meta\b[^>]*property="dcterms:modified"[^>]*>.*?</meta>', r'(?is)\s*<dc:contributor\b[^>]*opf:role="bkp"[^>]*>.*?</dc:contributor>'):
+    for pattern in BOOK_MARKS:
         text = F.regexp_replace(text, pattern, "")
     return _copied(entries.join(containers, "file_id", "left"), F.when(F.col("path") == F.col("opf"), text))
 
 
-def verified(before: DataFrame, after: DataFrame, entries_after: DataFrame, markers: tuple[str, ...] = ()) -> DataFrame:
-    """file_id, found_before, remaining, passed of copies: their findings (file_id, findings), dates, and whether markers are gone from their parts."""
-    sizes = before.select("file_id", F.size("findings").cast("bigint").alias("found_before")).join(after.select("file_id", F.size("findings").cast("bigint").alias("remaining")), "file_id", "left")
-    held = F.lit(False)
-    for marker in markers:
-        held = held | F.contains(utf8(F.col("content")), F.lit(marker)) | F.contains(F.col("path"), F.lit(marker))
-    checks = entries_after.groupBy("file_id").agg(F.bool_and(neutral(F.col("at"))).alias("dated"), (~F.bool_or(F.coalesce(held, F.lit(False)))).alias("gone"), F.bool_and(F.col("status") == "ok").alias("whole"))
-    passed = F.coalesce((F.col("remaining") == 0) & F.col("dated") & F.col("gone") & F.col("whole"), F.lit(False))
-    return sizes.join(checks, "file_id", "left").select("file_id", "found_before", "remaining", passed.alias("passed"))
+FINDINGS = {"office": office_findings, "odf": lambda rows: odf_findings(rows).drop("format"), "book": book_findings}
+COPIES = {"office": office_copies, "odf": odf_copies, "book": book_copies}
+
+
+def parts(files: DataFrame, kind: str) -> DataFrame:
+    """A written table of the entries of files (file_id, content and others), with the formats of their images."""
+    return contents.told(files, contents.image_format(F.col("path"), F.col("content"), IMAGE_FOLDERS[kind]))
+
+
+def _sound(kind: str, format_: Column) -> Column:
+    """What else must hold of a copy's parts, of which this is an aggregate."""
+    path, text = F.col("path"), utf8(F.col("content"))
+    has = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    first = F.min_by("path", "entry_pos") == "mimetype"
+    if kind == "book":
+        return first & has((path == "META-INF/container.xml") & text.rlike(r'(?i)full-path="[^"]+\.opf"'))
+    if kind == "odf":
+        odf = has((path == "mimetype") & odf_kind(text).isNotNull())
+        return first & odf & has(path == "content.xml")
+    named = F.lit(False)
+    for part in PROPERTIES:
+        named = named | (path == part) | (path == TYPES) & F.contains(text, F.lit("/" + part)) | (path == RELATIONS) & F.contains(text, F.lit(part))
+    dated = path.rlike(r"(?i)^word/.*\.xml$") & text.rlike(r'(?i)\bw:date="')
+    main = F.max(format_) == F.max(F.coalesce(*[F.when(path == part, F.lit(f)) for f, part in MAIN_PARTS.items()]))
+    return ~has(named) & ~has(dated) & F.coalesce(main, F.lit(False))
+
+
+def verified(before: DataFrame, after: DataFrame, entries_after: DataFrame, kind: str) -> DataFrame:
+    """file_id, found_before, remaining, leaked, passed of copies.
+
+    before, after: file_id, findings of originals (with format) and copies. entries_after: what the copies hold, with passed of
+    their images and leaks (values of the original in a part).
+    """
+    told = before.select("file_id", "format", F.size("findings").cast("bigint").alias("found_before"))
+    rest = after.select("file_id", F.size("findings").cast("bigint").alias("remaining"))
+    rows = entries_after.join(before.select("file_id", F.col("format").alias("_format")), "file_id")
+    whole = F.bool_and((F.col("status") == "ok") & F.coalesce(neutral(F.col("at")), F.lit(False)) & F.coalesce("passed", F.lit(False)))
+    checks = rows.groupBy("file_id").agg((whole & _sound(kind, F.col("_format"))).alias("sound"), F.size(F.array_distinct(F.flatten(F.collect_list("leaks")))).cast("bigint").alias("leaked"))
+    passed = F.coalesce((F.col("remaining") == 0) & (F.col("leaked") == 0) & F.col("sound"), F.lit(False))
+    return told.join(rest, "file_id", "left").join(checks, "file_id", "left").select("file_id", "found_before", "remaining", "leaked", passed.alias("passed"))
+
+
+def clean_and_verify(files: DataFrame, kind: str) -> DataFrame:
+    """file_id, format, reason, content (the copy, or null), found_before, raw, remaining, leaked, passed of files (file_id, content) of a kind.
+
+    Files that are refused (reason) have no copy. What is read of originals and copies is written once each.
+    """
+    before = contents.opened(parts(files.select("file_id", "content"), kind))
+    gate = limits(before).withColumnRenamed("reason", "gate")
+    route = routed(before).join(gate, "file_id", "left").select("file_id", "format", F.coalesce("reason", "gate").alias("reason"))
+    told = written(FINDINGS[kind](before).join(route, "file_id"), "told")
+    allowed = told.where("reason IS NULL").select("file_id", F.col("raw").alias("before"))
+    copies = written(COPIES[kind](before.join(allowed, "file_id")), "copies")
+    read = parts(copies.where("content IS NOT NULL").select("file_id", "content", F.col("before").alias("raw")), kind)
+    after = contents.opened(leaks.search(read).drop("raw"))
+    checked = verified(told, FINDINGS[kind](after), after, kind)
+    return told.select("file_id", "format", "reason", "raw").join(checked, "file_id").join(copies.select("file_id", "content"), "file_id", "left")

@@ -71,11 +71,15 @@ def scan(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "parsed", findings(F.col("parsed")).alias("findings"))
 
 
+def cleaned(parsed: Column) -> Column:
+    """The text of a copy."""
+    kept = F.filter(parsed["headers"], lambda h: ~h["name"].isin(*REMOVED))
+    return F.concat(F.array_join(F.transform(kept, lambda h: h["raw"]), ""), parsed["rest"])
+
+
 def clean_and_verify(files: DataFrame) -> DataFrame:
     """file_id, status, clean, found_before, remaining, passed: the copy is parsed anew."""
-    kept = F.filter("parsed.headers", lambda h: ~h["name"].isin(*REMOVED))
-    copy = F.concat(F.array_join(F.transform(kept, lambda h: h["raw"]), ""), F.col("parsed.rest"))
-    copies = scan(files).select("file_id", copy.alias("clean"), F.size("findings").cast("bigint").alias("found_before"))
+    copies = scan(files).select("file_id", cleaned(F.col("parsed")).alias("clean"), F.size("findings").cast("bigint").alias("found_before"))
     again = copies.select("*", F.explode(F.array(parse(F.col("clean").cast("binary")))).alias("again"))
     remaining = F.when(F.col("clean").isNotNull(), F.size(findings(F.col("again"))).cast("bigint"))
     return again.select(

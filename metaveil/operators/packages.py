@@ -65,7 +65,10 @@ def odf_kind(mimetype: Column) -> Column:
 
 
 def routed(rows: DataFrame) -> DataFrame:
-    """file_id, format, reason of archives given by their entries: what each is by its content, and what refuses it (null: nothing)."""
+    """file_id, format, reason of archives given by their entries: what each is by its content, and what refuses it (null: nothing).
+
+    An entry that can't be read refuses an archive of any kind, and so does a file_id that several archives have.
+    """
     path = F.col("path")
     has = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
     mimetype = F.max(F.when(path == "mimetype", utf8(F.col("content"))))
@@ -78,6 +81,7 @@ def routed(rows: DataFrame) -> DataFrame:
         mimetype.alias("mimetype"), manifest.alias("manifest"),
         has(files_only.rlike("(?i)^(Basic|Scripts)/")).alias("scripts"), has(files_only == "META-INF/encryption.xml").alias("locked"),
         has(F.col("status") == "malformed").alias("malformed"), has(F.col("status") == "encrypted").alias("unreadable"),
+        (F.count("entry_pos") > F.count_distinct("entry_pos")).alias("several"),
     )
     office = formats.first_match({k: F.col(f"part_{k}") for k, _ in OFFICE_PARTS})
     office = F.coalesce(office, formats.first_match({k: F.col(f"in_{k}") for k, _ in OFFICE_FOLDERS}))
@@ -90,14 +94,21 @@ def routed(rows: DataFrame) -> DataFrame:
     )
     reason = (
         F.when(F.col("malformed"), "malformed")
+        .when(F.col("several"), "repeated-id")
+        .when(F.col("unreadable"), "encrypted")
         .when(F.col("format").isin("docx", "xlsx", "pptx"), by_office)
         .when(F.col("format").isin("odt", "ods", "odp", "odg", "odf"), by_document)
         .when(F.col("format") == "epub", F.when(F.col("locked"), "encrypted"))
-        .otherwise(F.when(F.col("unreadable"), "encrypted"))
     )
     return told.withColumn("format", kind).select("file_id", "format", reason.alias("reason"))
 
 
+def limits(rows: DataFrame) -> DataFrame:
+    """file_id, reason: packages of too many or too large parts; their paths don't matter."""
+    total = rows.where("NOT is_folder").groupBy("file_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max("file_length").alias("length"))
+    return total.select("file_id", archive.over_limits(F.col("n"), F.col("size"), F.col("length")).alias("reason"))
+
+
 def container(rows: DataFrame) -> DataFrame:
     """file_id, entries, folders, timestamps, extra_fields, attributes, has_comment, size, packed: what each archive's container tells."""
     return rows.where("status <> 'malformed'").groupBy("file_id").agg(

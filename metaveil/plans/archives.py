@@ -102,22 +102,20 @@ DOCUMENTS = (
     ("book", "META-INF/container.xml", "'<rootfile full-path=\"OPS/package.opf\"/>'"),
     ("book", "OPS/package.opf", "'<metadata><dc:title>T</dc:title> <meta name=\"calibre:rating\" content=\"' || page_id || '\"/> <meta property=\"dcterms:modified\">2024-02-02</meta><dc:contributor opf:role=\"bkp\">tool [1.0]</dc:contributor></metadata>'"),
 )
-TOLD = {"office": documents.office_findings, "odf": lambda rows: documents.odf_findings(rows).drop("format"), "book": documents.book_findings}
-COPIED = {"office": documents.office_copies, "odf": documents.odf_copies, "book": documents.book_copies}
-MARKERS = {"office": ("docProps/", "w:rsid", '"Ann"'), "odf": ("Thumbnails/", "Laser", "Dee"), "book": ("calibre", "bkp")}
+TOLD, COPIED = documents.FINDINGS, documents.COPIES
 
 
-def _documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     own = [(path, sql) for k, path, sql in DOCUMENTS if k == kind]
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("entry_pos"), F.lit(path).alias("path"), F.expr(sql).cast("binary").alias("content")) for n, (path, sql) in enumerate(own)])).alias("p")
     rows = pages.select(F.col("page_id").alias("file_id"), parts).select("file_id", "p.*")
-    return entries(rebuilt(rows.withColumn("is_folder", F.lit(False)).withColumn("stored", F.col("path") == "mimetype")))
+    return rebuilt(rows.withColumn("is_folder", F.lit(False)).withColumn("stored", F.col("path") == "mimetype"))
 
 
 def _told(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return findings.explode(TOLD[kind](_documents(spark, sf_dir, kind))).select("file_id", "pos", "category", "field", "label", "value", "severity")
+        return findings.explode(TOLD[kind](entries(_files(spark, sf_dir, kind)))).select("file_id", "pos", "category", "field", "label", "value", "severity")
 
     query.__name__ = f"{kind}_findings"
     return query
@@ -125,9 +123,7 @@ def _told(kind: str):
 
 def _checked(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _documents(spark, sf_dir, kind)
-        after = entries(COPIED[kind](before))
-        return documents.verified(TOLD[kind](before), TOLD[kind](after), after, MARKERS[kind])
+        return documents.clean_and_verify(_files(spark, sf_dir, kind), kind).select("file_id", "reason", "found_before", "remaining", "leaked", "passed")
 
     query.__name__ = f"{kind}_clean_verify"
     return query
@@ -135,7 +131,7 @@ def _checked(kind: str):
 
 def _copied(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = entries(COPIED[kind](_documents(spark, sf_dir, kind)))
+        rows = entries(COPIED[kind](entries(_files(spark, sf_dir, kind))))
         return rows.select("file_id", "path", F.sha2("content", 256).alias("sha256"))
 
     query.__name__ = f"{kind}_copies"
@@ -229,7 +225,7 @@ for _kind, _rows in EXPECTED.items():
     ORACLE[f"{_kind}_findings"] = " UNION ALL ".join(
         f"SELECT page_id AS file_id, CAST({k} AS INTEGER) AS pos, '{c}' AS category, '{f}' AS field, '{n}' AS label, {v} AS value, '{s}' AS severity FROM pages" for k, (c, f, n, v, s) in enumerate(_rows)
     )
-    ORACLE[f"{_kind}_clean_verify"] = f"SELECT page_id AS file_id, CAST({len(_rows)} AS BIGINT) AS found_before, CAST(0 AS BIGINT) AS remaining, true AS passed FROM pages"
+    ORACLE[f"{_kind}_clean_verify"] = f"SELECT page_id AS file_id, CAST(NULL AS VARCHAR) AS reason, CAST({len(_rows)} AS BIGINT) AS found_before, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS leaked, true AS passed FROM pages"
     ORACLE[f"{_kind}_copies"] = " UNION ALL ".join(
         f"SELECT page_id AS file_id, '{path}' AS path, sha256({CHANGED.get(path, sql)}) AS sha256 FROM pages" for kind, path, sql in DOCUMENTS if kind == _kind and CHANGED.get(path, sql) is not None
     )

@@ -130,7 +130,7 @@ def entry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def values_to_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.split(F.substring(F.coalesce("text", F.lit("")), 1, 200), " ").alias("values"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.split(F.coalesce("text", F.lit("")), " ").alias("values"))
     return relations.flat_values(rows).groupBy("file_id").agg(F.count("*").alias("n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -50,49 +51,67 @@ def _entries(data: bytes) -> Iterator[dict]:
             if small and not info.is_dir():
                 try:
                     row["content"] = archive.read(info)
-                except (RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error, EOFError):
+                except (RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, OSError, EOFError):
                     row["status"] = "encrypted"
             yield row
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """A row for each entry of files (file_id, content); for a file that is no archive, one row whose status is malformed."""
+    """A row for each entry of files (file_id, content and others, which every entry carries); for a file that is no archive, one row whose status is malformed.
+
+    A file_id is that of one archive: groups by it would mix those of two. Copies are refused to such (see rebuilt).
+    """
     spark = files.sparkSession
     if spark.conf.get(BATCH) == "67108864b":  # as Spark has it
         spark.conf.set(BATCH, str(8 << 20))
+    if isinstance(files.schema["file_id"].dataType, T.IntegerType):
+        files = files.withColumn("file_id", F.col("file_id").cast("bigint"))
+    others = [c for c in files.columns if c not in ("file_id", "content")]
+    files = files.select("file_id", "content", *others)
+    own = T.StructType(ENTRIES.fields[1:])
+    out = T.StructType([files.schema["file_id"], *own.fields, *[files.schema[c] for c in others]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(ENTRIES)
+        schema, inner = to_arrow_schema(out), to_arrow_schema(own)
         for batch in batches:
-            for file_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):
+                data = batch.column(1)[i].as_py() or b""
                 try:
-                    rows = list(_entries(data or b""))
+                    rows = list(_entries(data))
                 except (zipfile.BadZipFile, ValueError, NotImplementedError, EOFError):
-                    rows = [dict.fromkeys(ENTRIES.names) | {"status": "malformed"}]
-                yield pa.RecordBatch.from_pylist([r | {"file_id": file_id, "file_length": len(data or b"")} for r in rows], schema=schema)
-
-    return files.select(F.col("file_id").cast("bigint"), "content").mapInArrow(run, ENTRIES)
-
+                    rows = [dict.fromkeys(own.names) | {"status": "malformed"}]
+                told = pa.RecordBatch.from_pylist([r | {"file_length": len(data)} for r in rows], schema=inner)
+                again = pa.array([i] * len(rows), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(again), *told.columns, *[batch.column(k).take(again) for k in range(2, batch.num_columns)]], schema=schema)
 
-REBUILT = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("content", T.BinaryType())])
+    return files.mapInArrow(run, out)
 
 
-def rebuilt(kept: DataFrame) -> DataFrame:
-    """file_id, content: archives of the rows of kept (file_id, entry_pos, path, is_folder, stored, content), all of one date, without comments.
+def rebuilt(kept: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """file_id, content and the carried columns: archives of the rows of kept, all of one date, without comments.
 
-    An archive is at most as large as the gates let through, so it fits one group.
+    kept: file_id, entry_pos, path, is_folder, stored, content; with dropped, rows of which it holds are left out; with status,
+    any row that is not ok leaves the file without a copy (content null), and so do two rows of one place. An archive is at most
+    as large as the gates let through, so it fits one group.
     """
+    for name, value in (("dropped", F.lit(False)), ("status", F.lit("ok"))):
+        if name not in kept.columns:
+            kept = kept.withColumn(name, value)
+    out = T.StructType([kept.schema["file_id"], T.StructField("content", T.BinaryType()), *[kept.schema[c] for c in carried]])
 
     def write(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["entry_pos"])
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            for row in rows:
-                info = zipfile.ZipInfo(row["path"], (1980, 1, 1, 0, 0, 0))
-                info.create_system = 0
-                info.external_attr = 0x10 if row["is_folder"] else 0x20  # of DOS; 0 would be replaced by permissions
-                info.compress_type = zipfile.ZIP_STORED if row["stored"] or row["is_folder"] else zipfile.ZIP_DEFLATED
-                archive.writestr(info, row["content"] or b"")
-        return pa.table({"file_id": [rows[0]["file_id"]], "content": [out.getvalue()]}, schema=to_arrow_schema(REBUILT))
-
-    return kept.select("file_id", "entry_pos", "path", "is_folder", "stored", "content").groupBy("file_id").applyInArrow(write, REBUILT)
+        rows = sorted(group.to_pylist(), key=lambda r: (r["entry_pos"] is not None, r["entry_pos"]))
+        sound = all(r["status"] == "ok" for r in rows) and len({r["entry_pos"] for r in rows}) == len(rows)
+        out_ = io.BytesIO()
+        if sound:
+            with zipfile.ZipFile(out_, "w", zipfile.ZIP_DEFLATED) as archive:
+                for row in (r for r in rows if not r["dropped"]):
+                    info = zipfile.ZipInfo(row["path"], (1980, 1, 1, 0, 0, 0))
+                    info.create_system = 0
+                    info.external_attr = 0x10 if row["is_folder"] else 0x20  # of DOS; 0 would be replaced by permissions
+                    info.compress_type = zipfile.ZIP_STORED if row["stored"] or row["is_folder"] else zipfile.ZIP_DEFLATED
+                    archive.writestr(info, row["content"] or b"")
+        result = {"file_id": [rows[0]["file_id"]], "content": [out_.getvalue() if sound else None], **{c: [rows[0][c]] for c in carried}}
+        return pa.table(result, schema=to_arrow_schema(out))
+
+    return kept.select("file_id", "entry_pos", "path", "is_folder", "stored", "content", "dropped", "status", *carried).groupBy("file_id").applyInArrow(write, out)
