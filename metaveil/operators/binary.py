@@ -687,7 +687,19 @@ def _png_copy(content: Column, pieces: Column) -> Column:
     return F.concat(F.substring(content, 1, 8), cut(content, pieces, lambda p: p["kind"].isin(*PNG_KEPT)))
 
 
+def _tiff(name: str) -> Callable:
+    """From the module for directories of images, which needs what stands here."""
+
+    def made(*columns: Column) -> Column:
+        from metaveil.operators import tiff
+
+        return getattr(tiff, name)(*columns)
+
+    return made
+
+
 FORMATS = {
+    "tiff": Format(None, _tiff("copy"), findings=_tiff("findings"), size=_tiff("size"), sized=True, same_size=True, holds=_tiff("has_profile")),
     "png": Format(_png, _png_copy, size=_png_size, sized=True),
     "wav": Format(_wav, _riff_copy(WAV_KEPT)),
     "avi": Format(_avi, lambda c, p: overwritten(c, p, _avi_edits)),

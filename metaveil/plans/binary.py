@@ -144,7 +144,28 @@ def _bitmap(d: Digits, space: str, place: int, size: int) -> list[str]:
 
 MP4_START = "'0000001066747970' || '69736F6D00000000'"
 
+def _tiff_entry(d: Digits, tag: int, kind: int, count: int | str, value: str) -> str:
+    return f"{d.little(tag, 2)} || {d.little(kind, 2)} || {d.little(count)} || {value}"
+
+
+def _tiff_image(d: Digits, at: int | str) -> list[str]:
+    return [_tiff_entry(d, 256, 3, 1, d.little(1)), _tiff_entry(d, 257, 3, 1, d.little(1)), _tiff_entry(d, 273, 4, 1, d.little(at)), _tiff_entry(d, 278, 3, 1, d.little(1)), _tiff_entry(d, 279, 4, 1, d.little(d.size("html")))]
+
+
+TIFF_START = "'49492A0008000000'"
+
 SAMPLES = {
+    "tiff": Sample(
+        lambda d: [
+            TIFF_START, d.little(9, 2), *_tiff_image(d, d.size("url", 123)), _tiff_entry(d, 315, 2, d.size("url", 1), d.little(122)), _tiff_entry(d, 316, 2, 4, "'6D616300'"),
+            _tiff_entry(d, 700, 1, 4, "'3C782F3E'"), _tiff_entry(d, 65000, 4, 1, d.little(5)), d.little(0), d.of("url"), "'00'", d.of("html"),
+        ],
+        lambda d: [TIFF_START, d.little(5, 2), *_tiff_image(d, 74), d.little(0), d.of("html"), f"(CASE WHEN {d.size('html')} % 2 = 1 THEN '00' ELSE '' END)"],
+        (
+            ("author", "TIFF:Artist", "Artist", "url", "high"), ("device", "TIFF:Host computer", "Host computer", "'mac'", "high"),
+            ("containers", "TIFF:XMP metadata", "XMP metadata", "'Present'", "medium"), ("other", "TIFF:UnknownTags", "Private/unknown TIFF tags", "'1'", "medium"),
+        ),
+    ),
     "png": Sample(
         lambda d: [PNG_START, _chunk(d, "tEXt", f"{d.text('Author')} || '00' || {d.of('url')}", d.size("url", 7)), _chunk(d, "tIME", "'07E80102030405'", 7), _png_image(d), PNG_END],
         lambda d: [PNG_START, _png_image(d), PNG_END],

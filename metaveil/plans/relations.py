@@ -223,7 +223,7 @@ ORACLE = {
         SELECT file_id, start, start + CASE WHEN wide THEN 10 ELSE 1 END AS stop FROM s WHERE wide OR NOT EXISTS (SELECT 1 FROM s AS o WHERE o.file_id = s.file_id AND o.wide AND o.start = s.start // 10 * 10)""",
     "checks_hold": f"WITH {_PIECES} SELECT file_id, bool_and(size < 40) AS passed FROM pieces GROUP BY file_id",
     "entry_states": f"WITH {_PIECES} SELECT file_id, count(*) FILTER (kind <> 'N' AND size % 2 = 0) AS verified, count(*) FILTER (kind <> 'N' AND size % 2 = 1) AS failed, count(*) FILTER (kind = 'N') AS unchanged FROM pieces GROUP BY file_id",
-    "values_to_search": "SELECT file_id, count(*) AS n FROM (SELECT DISTINCT doc_id AS file_id, v FROM (SELECT doc_id, unnest(string_split(left(coalesce(text, ''), 200), ' ')) AS v FROM documents) WHERE length(trim(v)) >= 3) GROUP BY file_id",
+    "values_to_search": "SELECT file_id, count(*) AS n FROM (SELECT DISTINCT doc_id AS file_id, v FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS v FROM documents) WHERE length(trim(v)) >= 3) GROUP BY file_id",
     "leaked_values": "WITH v AS (SELECT DISTINCT page_id AS file_id, html, unnest(regexp_split_to_array(url, '[/.:]+')) AS v FROM pages) SELECT file_id, count(*) AS leaked FROM v WHERE length(v) >= 4 AND contains(html, v) GROUP BY file_id",
     "known_formats": f"WITH {_REGISTRY} SELECT * FROM registry",
     "formats_by_extension": f"WITH {_REGISTRY}, x AS (SELECT id, unnest(string_split(extensions, ' ')) AS extension FROM registry), p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'jpg' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'm4a' WHEN 3 THEN 'txt' ELSE 'tif' END AS extension FROM pages) SELECT page_id, extension, id AS format FROM p LEFT JOIN x USING (extension)",

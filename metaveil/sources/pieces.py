@@ -450,8 +450,60 @@ def _ogg(data: bytes) -> list[Piece]:
     return found
 
 
+#: Bytes of one value of each type that a directory may hold, and the most directories of a file.
+ENTRY_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+MOST_DIRECTORIES = 32
+PIXEL_TAGS = ((273, 279), (324, 325))
+
+
+def _tiff(data: bytes) -> list[Piece]:
+    """Each directory of the chain (depth 0), the tags that a photograph's may have (1), its entries with their values (2), and strips or tiles (3)."""
+    order = {b"II": "little", b"MM": "big"}.get(data[:2])
+
+    def number(at: int, size: int) -> int:
+        return int.from_bytes(data[at : at + size], order)
+
+    if len(data) < 8 or not order or number(2, 2) != 42:
+        raise Broken("header")
+    found: list[Piece] = []
+    seen, at = set(), number(4, 4)
+    while at and len(seen) < MOST_DIRECTORIES:
+        count = number(at, 2)
+        if at in seen or at + 2 > len(data) or at + 2 + 12 * count + 4 > len(data):
+            raise Broken("directory")
+        page, values, reduced = len(seen), {}, False
+        seen.add(at)
+        entries: list[Piece] = []
+        for entry in range(at + 2, at + 2 + 12 * count, 12):
+            tag, kind, n = number(entry, 2), number(entry + 2, 2), number(entry + 4, 4)
+            size = ENTRY_SIZES.get(kind, 0) * n
+            body = entry + 8 if size <= 4 else number(entry + 8, 4)
+            if kind not in ENTRY_SIZES or n > 0x0FFFFFFF or body + size > len(data):
+                continue
+            entries.append((f"entry:{page}:{tag}:{kind}:{n}:{order}", 2, entry, body, body + size))
+            if tag not in values:
+                step = {3: 2, 4: 4}.get(kind, 0)
+                values[tag] = (body, step, n)
+            if tag == 254 and n and kind in (3, 4):
+                reduced = reduced or bool(number(body, ENTRY_SIZES[kind]) & 1)
+        found.append((f"directory:{page}:{'reduced' if reduced else 'page'}:{order}", 0, at, at + 2, at + 2 + 12 * count))
+        found += tags(data, 0, at, order)
+        found += entries
+        pair = next(((a, b) for a, b in PIXEL_TAGS if a in values and b in values), None)
+        if pair and not reduced:
+            (places, step, n), (sizes, other, m) = values[pair[0]], values[pair[1]]
+            for k in range(min(n, m)):
+                start = number(places + k * step, step) if step else 0
+                found.append((f"strip:{page}:{pair[0]}", 3, start, start, start + (number(sizes + k * other, other) if other else 0)))
+        at = number(at + 2 + 12 * count, 4)
+    raw = len(data) >= 11 and data[8:11] == b"CR\2" or any(p[0].split(":")[2] == "50706" for p in found if p[1] == 2)
+    if not found or raw:  # of a camera: its directories can't be written anew
+        raise Broken("raw" if raw else "no directory")
+    return found
+
+
 LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
-    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _riff("webp"), "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp,
+    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _riff("webp"), "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
 }
 
 
