@@ -188,6 +188,46 @@ def _ogg(p: Column) -> Column:
     return F.when(p["kind"] == "spanning", found("containers", "OGG:comments", "Comment header (spans pages)", "Present", "medium")).otherwise(_commented(p, "OGG:", table))
 
 
+def page_checksum(page: Column) -> Column:
+    """CRC-32 with the polynomial 04C11DB7, the highest bit first, from 0 and not inverted: Spark's own counts bits the other way round and from ones.
+
+    So the bits of each byte are turned round (digits swapped and mapped), what the ones contribute is taken out again, and the
+    result is turned round.
+    """
+    turned = F.unhex(F.regexp_replace(F.translate(F.hex(page), "0123456789ABCDEF", "084C2A6E195D3B7F"), "(.)(.)", "$2$1"))
+    plain = F.crc32(turned).bitwiseXOR(F.crc32(zeros(F.length(page))))
+    return F.conv(F.reverse(F.lpad(F.bin(plain), 32, "0")), 2, 10).cast("bigint")
+
+
+def _ogg_page(content: Column, page: Column, packets: Column) -> Column:
+    """The page with an empty comment packet, laced anew; a packet that goes on behind it stays open. Null if it has too many laces."""
+    empty = lambda p: F.concat(F.substring(content, p["start"] + 1, p["body"] - p["start"]), zeros(F.lit(8)), F.when(p["body"] - p["start"] == 7, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit(""))))
+    bodies = F.transform(packets, lambda p: F.struct(F.hex(F.when(p["kind"] == "comments", empty(p)).otherwise(F.substring(content, p["start"] + 1, p["stop"] - p["start"]))).alias("digits"), (p["kind"] == "open packet").alias("open")))
+
+    def lacing(b: Column) -> Column:
+        size = F.length(b["digits"]) / 2
+        return F.concat(F.repeat(F.lit("FF"), F.floor(size / 255).cast("int")), F.when(b["open"], "").otherwise(F.lpad(F.hex((size % 255).cast("int")), 2, "0")))
+
+    def made(laces: Column) -> Column:
+        count = (F.length(laces) / 2).cast("int")
+        before, behind = F.hex(F.substring(content, page["start"] + 1, F.lit(22))), F.concat(F.lpad(F.hex(count), 2, "0"), laces, F.array_join(F.transform(bodies, lambda b: b["digits"]), ""))
+        unsummed = F.unhex(F.concat(before, F.lit("00000000"), behind))
+        return F.when(count <= 255, let(unsummed, lambda u: F.overlay(u, little(page_checksum(u), 4), F.lit(23))))
+
+    return let(F.array_join(F.transform(bodies, lacing), ""), made)
+
+
+def _ogg_copy(content: Column, pieces: Column) -> Column:
+    page = F.try_element_at(F.filter(pieces, lambda p: p["kind"] == "comment page"), F.lit(1))
+    packets = F.filter(pieces, lambda p: p["depth"] == 3)
+
+    def around(p: Column) -> Column:
+        return F.concat(F.substring(content, F.lit(1), p["start"]), _ogg_page(content, p, packets), F.substring(content, p["stop"] + 1, F.length(content) - p["stop"]))
+
+    spans = F.exists(pieces, lambda p: p["kind"] == "spanning")
+    return F.when(page.isNull(), content).when(~spans, let(page, around))
+
+
 def _flac_copy(content: Column, pieces: Column) -> Column:
     """Kept blocks one by one: only the last of them has the last flag."""
     kept = F.filter(pieces, lambda p: (p["depth"] == 0) & p["kind"].isin(*FLAC_KEPT))
@@ -709,7 +749,7 @@ FORMATS = {
     "mp3": Format(_mp3, lambda c, p: cut(c, p, lambda x: x["kind"] == "audio")),
     "psd": Format(_psd, _psd_copy, size=_psd_size, same_size=True, holds=lambda c, p: F.exists(p, lambda x: x["kind"] == "8BIM:1039")),
     "bmp": Format(_bmp, _bmp_copy, size=_bmp_size, sized=True, same_size=True),
-    "ogg": Format(_ogg, lambda c, p: F.lit(None).cast("binary")),  # scanned only: there is no copy
+    "ogg": Format(_ogg, _ogg_copy),
     # the copy is text again: bytes beyond ASCII become UTF-8
     "rtf": Format(None, lambda c, p: F.encode(cp1252(cut(c, p, lambda x: x["kind"] == "text")), "UTF-8"), findings=_rtf_findings),
     "mp4": Format(None, lambda c, p: overwritten(c, p, _mp4_edits), findings=_mp4_findings),

@@ -18,7 +18,7 @@ OFFICE = ("docx", "xlsx", "pptx")
 #: Kinds of image that are told by their content.
 IMAGE_FORMATS = ("png", "jpeg", "webp", "tiff", "gif", "bmp")
 #: Formats of which there are copies.
-CLEANED = tuple(f for f in binary.FORMATS if f != "ogg") + ("svg", "eml")
+CLEANED = (*binary.FORMATS, "svg", "eml")
 OUTCOME = "struct<clean:binary,found:bigint,raw:array<string>,passed:boolean>"
 
 

@@ -152,6 +152,16 @@ def _tiff_image(d: Digits, at: int | str) -> list[str]:
     return [_tiff_entry(d, 256, 3, 1, d.little(1)), _tiff_entry(d, 257, 3, 1, d.little(1)), _tiff_entry(d, 273, 4, 1, d.little(at)), _tiff_entry(d, 278, 3, 1, d.little(1)), _tiff_entry(d, 279, 4, 1, d.little(d.size("html")))]
 
 
+def _checksum(page: bytes) -> str:
+    crc = 0
+    for byte in page:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+    return crc.to_bytes(4, "little").hex().upper()
+
+
+OGG_CHECKSUM = _checksum(b"OggS" + bytes(22) + b"\x01\x10OpusTags" + bytes(8))
 TIFF_START = "'49492A0008000000'"
 
 SAMPLES = {
@@ -215,8 +225,14 @@ SAMPLES = {
         lambda d: [
             d.text("OggS"), "repeat('00', 22)", "'01'", "'13'", d.text("OpusHead"), "repeat('00', 11)",
             d.text("OggS"), "repeat('00', 22)", "'01'", d.big(d.size("url", 8 + 4 + 3 + 4 + 4 + 8), 1), d.text("OpusTags"), d.little(3), d.text("enc"), d.little(1), d.little(d.size("url", 8)), d.text("contact="), d.of("url"),
+            d.text("OggS"), "repeat('00', 22)", "'01'", "'05'", d.text("audio"),
+        ],
+        lambda d: [
+            d.text("OggS"), "repeat('00', 22)", "'01'", "'13'", d.text("OpusHead"), "repeat('00', 11)",
+            # the checksum of the page with an empty comment packet
+            d.text("OggS"), "repeat('00', 18)", f"'{OGG_CHECKSUM}'", "'01'", "'10'", d.text("OpusTags"), "repeat('00', 8)",
+            d.text("OggS"), "repeat('00', 22)", "'01'", "'05'", d.text("audio"),
         ],
-        None,
         (("software", "OGG:vendor", "Encoder vendor", "'enc'", "medium"), ("author", "OGG:CONTACT", "Contact", "url", "high")),
     ),
     "rtf": Sample(

@@ -422,10 +422,20 @@ def _bmp(data: bytes) -> list[Piece]:
     return [*found, ("trailing", 1, end, end, len(data))] if end < len(data) else found
 
 
+def _packets(laces: bytes, at: int) -> Iterator[tuple[int, int, bool]]:
+    """Start, stop and whether it ends there, of the packets of a page."""
+    start = at
+    for k, lace in enumerate(laces):
+        at += lace
+        if lace < 255 or k + 1 == len(laces):
+            yield start, at, lace < 255
+            start = at
+
+
 def _ogg(data: bytes) -> list[Piece]:
-    """Pages, and what the comment packet of the first four pages holds; spanning, if it goes on behind its page."""
+    """Pages, and what the comment packet of the first four pages holds; spanning, if it goes on behind its page. Of its page, the packets too (depth 3)."""
     found: list[Piece] = []
-    at, told = 0, False
+    at, pages, told = 0, 0, False
     while at + 27 <= len(data):
         laces = data[at + 27 : at + 27 + data[at + 26]]
         body = at + 27 + data[at + 26]
@@ -433,17 +443,14 @@ def _ogg(data: bytes) -> list[Piece]:
         if data[at : at + 4] != b"OggS" or stop > len(data):
             raise Broken("page")
         found.append(("page", 0, at, body, stop))
-        if not told and sum(p[0] == "page" for p in found) <= 4:
-            start = body
-            for k, lace in enumerate(laces):
-                body += lace
-                if lace == 255 and k + 1 < len(laces):
-                    continue
-                skip = 8 if data[start : start + 8] == b"OpusTags" else 7 if data[start : start + 7] == b"\x03vorbis" else 0
-                if skip and not told:
-                    told = True
-                    found += [("spanning", 1, start, start, body)] if lace == 255 else _comments(data, start + skip, body)
-                start = body
+        pages += 1
+        packets = [] if told or pages > 4 else [(a, b, whole, 8 if data[a : a + 8] == b"OpusTags" else 7 if data[a : a + 7] == b"\x03vorbis" else 0) for a, b, whole in _packets(laces, body)]
+        for start, end, whole, skip in packets:
+            if skip and not told:
+                told = True
+                found += _comments(data, start + skip, end) if whole else [("spanning", 1, start, start, end)]
+                found.append(("comment page", 2, at, body, stop))
+                found += [("comments" if a == start else "packet" if ends else "open packet", 3, a, a + skip_, b) for a, b, ends, skip_ in packets]
         at = stop
     if not found:
         raise Broken("no page")

@@ -97,3 +97,31 @@ def test_comments_that_span_pages(spark):
     page = b"OggS" + bytes(22) + b"\x01\xff" + b"OpusTags" + bytes(247)
     got = binary.scan(spark.createDataFrame([(1, page), (2, page[:30]), (3, b"")], "file_id int, content binary"), "ogg").collect()
     assert {r.file_id: (r.status, [f.field for f in r.findings]) for r in got} == {1: ("ok", ["OGG:comments"]), 2: ("error", []), 3: ("error", [])}
+
+
+def ogg_page(packets, kind=0, number=0, open_=False):
+    laces = b"".join(b"\xff" * (len(p) // 255) + (b"" if open_ and k == len(packets) - 1 else bytes([len(p) % 255])) for k, p in enumerate(packets))
+    page = bytearray(b"OggS\0" + bytes([kind]) + bytes(8) + b"\1\2\3\4" + number.to_bytes(4, "little") + bytes(4) + bytes([len(laces)]) + laces + b"".join(packets))
+    page[22:26] = bytes.fromhex(samples._checksum(bytes(page)))
+    return bytes(page)
+
+
+def test_comment_packets_are_emptied_and_pages_summed_anew(spark):
+    def comments(magic, vendor, *entries):
+        sized = lambda b: len(b).to_bytes(4, "little") + b
+        return magic + sized(vendor) + len(entries).to_bytes(4, "little") + b"".join(map(sized, entries))
+
+    vorbis = comments(b"\x03vorbis", b"enc", b"ARTIST=Ann", b"long=" + b"x" * 900) + b"\1"
+    empty, setup, part = b"\x03vorbis" + bytes(8) + b"\1", b"\x05vorbis" + b"s" * 600, b"\x05vorbis" + b"s" * 503
+    first, last = ogg_page([b"\x01vorbis" + bytes(23)], 2), ogg_page([b"sound"], 4, 2)
+    cases = [
+        (first + ogg_page([vorbis, setup], 0, 1) + last, first + ogg_page([empty, setup], 0, 1) + last),
+        (first + ogg_page([vorbis, part], 0, 1, True) + last, first + ogg_page([empty, part], 0, 1, True) + last),  # the second packet goes on
+        (first + ogg_page([b"p" * 255, comments(b"OpusTags", b"v")], 0, 1), first + ogg_page([b"p" * 255, b"OpusTags" + bytes(8)], 0, 1)),
+        (first + last, first + last),
+        (first + ogg_page([b"OpusTags" + bytes(247)], 0, 1, True), None),
+    ]
+    rows = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "file_id int, content binary")
+    got = {r.file_id: r for r in binary.clean_and_verify(rows, "ogg").collect()}
+    assert [got[k].clean for k in range(5)] == [b for _, b in cases]
+    assert [got[k].passed for k in range(5)] == [True, True, True, True, False] and got[0].found_before == 3
