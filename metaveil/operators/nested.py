@@ -1,7 +1,7 @@
 """Archives within archives: all levels told, refused, cleaned from the inside out, and verified.
 
 A level is a table of entries, each with its format. Images, sound, films, texts and mail are scanned and cleaned where they
-stand, in one plan for all that occur; documents go through the office operators; archives become the files of the next level,
+stand, in one plan for all that occur; documents go through operators of their own; archives become the files of the next level,
 under the key of their entry, up to LEVELS. What comes back (findings, values, copy, refusal) is joined to the entries of the
 level above and put into its copy. Entries without a format are kept as they are.
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaveil.functions import formats
-from metaveil.operators import archive, contents, documents, leaks
+from metaveil.operators import archive, contents, documents, leaks, pdf
 from metaveil.operators.packages import container_findings, neutral
 from metaveil.sources.archives import rebuilt
 from metaveil.sources.tables import written
@@ -34,8 +34,12 @@ def _inner(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("format") == kind).select(F.col("key").alias("file_id"), "content")
 
 
-def _documents(rows: DataFrame) -> DataFrame:
-    done = documents.clean_and_verify(_inner(rows, "office"), "office")
+#: Entries that are files of objects or parts: they go through operators of their own.
+WITHIN = {"office": lambda files: documents.clean_and_verify(files, "office"), "pdf": pdf.clean_and_verify}
+
+
+def _documents(rows: DataFrame, kind: str) -> DataFrame:
+    done = WITHIN[kind](_inner(rows, kind))
     return done.select("file_id", F.when(F.col("reason").isNotNull(), "nested-clean-failed").alias("reason"), "content", F.col("found_before").alias("found"), "raw", "passed")
 
 
@@ -43,12 +47,10 @@ def _with_outcomes(rows: DataFrame, level: int) -> DataFrame:
     """rows of a level with clean, found, raw, passed and blocked (why the archive is refused because of that entry)."""
     rows = rows.withColumn("key", F.concat_ws("/", F.col("file_id").cast("string"), F.col("entry_pos").cast("string")))
     present = {r[0] for r in rows.select("format").distinct().collect()}
-    done = contents.opened(rows.where(~F.coalesce(F.col("format").isin("office", "zip"), F.lit(False))))
+    done = contents.opened(rows.where(~F.coalesce(F.col("format").isin("zip", *WITHIN), F.lit(False))))
     broken = F.col("format").isNotNull() & F.col("clean").isNull()
     done = done.withColumn("inner_reason", F.when(broken | ~F.col("passed"), F.when(broken, "nested-clean-failed").otherwise("verification-failed")))
-    inner = []
-    if "office" in present:
-        inner.append(_documents(rows))
+    inner = [_documents(rows, kind) for kind in WITHIN if kind in present]
     if "zip" in present and level + 1 < LEVELS:
         inner.append(clean_and_verify(_inner(rows, "zip"), level + 1).select(*OUTCOME))
     if "zip" in present and level + 1 >= LEVELS:

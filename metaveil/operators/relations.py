@@ -31,7 +31,8 @@ def offsets(pieces: DataFrame, first: int = 0) -> DataFrame:
 def joined_bytes(pieces: DataFrame) -> DataFrame:
     """file_id, content: the bytes of each file's pieces (idx, bytes) in their order; a file is bounded by its format's size."""
     parts = pieces.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("idx", "bytes"))).alias("parts"))
-    return parts.select("file_id", F.aggregate("parts", F.unhex(F.lit("")), lambda acc, p: F.concat(acc, p["bytes"])).alias("content"))
+    digits = F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), "")  # bytes can't be joined, and one by one they would be copied again and again
+    return parts.select("file_id", F.unhex(digits).alias("content"))
 
 
 def first_match(rows: DataFrame, condition: Column, value: str, order: str) -> DataFrame:
