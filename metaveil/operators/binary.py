@@ -627,6 +627,151 @@ def _bmp_copy(content: Column, pieces: Column) -> Column:
     return F.when(F.exists(pieces, lambda p: p["kind"] == "linked"), blank).otherwise(sized)
 
 
+# --- WebP
+#: Chunks within the extended header that a copy keeps, and its flags of a profile, of transparency and of motion.
+WEBP_KEPT, WEBP_FLAGS = ("ICCP", "ALPH", "ANIM", "ANMF"), 0x20 | 0x10 | 0x02
+WEBP_CREATOR = r"(?s)<dc:creator>\s*<rdf:Seq>\s*<rdf:li>(.*?)</rdf:li>"
+
+
+def _webp_findings(pieces: Column) -> Column:
+    """Of the first chunk of each kind, whether it stands within the extended header or behind it."""
+
+    def first(kind: str, told: Callable[[Column], Column]) -> Column:
+        return let(F.try_element_at(F.filter(pieces, lambda p: F.trim(p["kind"]) == kind), F.lit(1)), lambda p: F.when(p.isNotNull(), told(p)))
+
+    creator = lambda p: filled(stripped(F.regexp_extract(utf8(F.substring(p["head"], F.lit(1), F.least(p["stop"] - p["body"], F.lit(500)))), WEBP_CREATOR, 1)))
+    told = F.array(
+        first("EXIF", lambda p: found("containers", "WebP:EXIF", "EXIF metadata", size_of(p), "high")), first("XMP", lambda p: found("containers", "WebP:XMP", "XMP metadata", size_of(p), "medium")),
+        first("XMP", lambda p: let(creator(p), lambda c: F.when(c.isNotNull(), found("author", "WebP:XMP:Creator", "Author (XMP)", c, "high")))),
+        first("ICCP", lambda p: found("other", "WebP:ICCP", "ICC profile", "ICC profile (WebP)", "low")),
+    )
+    return F.filter(told, lambda f: f.isNotNull())
+
+
+def _webp_size(content: Column, pieces: Column) -> Column:
+    """From the extended header, or else from the frame."""
+
+    def extended(p: Column) -> Column:
+        return F.when(p["stop"] - p["body"] >= 10, size_struct(number(p["head"], 4, 3, "little") + 1, number(p["head"], 7, 3, "little") + 1))
+
+    def lossy(p: Column) -> Column:
+        side = lambda at: number(p["head"], at, 2, "little").bitwiseAND(F.lit(0x3FFF))
+        return F.when(F.substring(p["head"], 4, 3) == F.unhex(F.lit("9D012A")), size_struct(side(6), side(8)))
+
+    def lossless(p: Column) -> Column:
+        bits = number(p["head"], 1, 4, "little")
+        side = lambda by: F.shiftrightunsigned(bits, by).bitwiseAND(F.lit(0x3FFF)) + 1
+        return F.when(number(p["head"], 0, 1) == 0x2F, size_struct(side(0), side(14)))
+
+    one = lambda kind, make: let(F.try_element_at(F.filter(pieces, lambda p: (p["depth"] == 0) & (F.trim(p["kind"]) == kind)), F.lit(1)), make)
+    return F.coalesce(one("VP8X", extended), one("VP8", lossy), one("VP8L", lossless))
+
+
+def _webp_copy(content: Column, pieces: Column) -> Column:
+    """Without EXIF and XMP, within the extended header and behind it, and with its flags cleared; files without either as they are."""
+    padded = lambda p: F.concat(F.hex(F.substring(content, p["start"] + 1, p["stop"] - p["start"])), F.when((p["stop"] - p["start"]) % 2 == 1, "00").otherwise(""))
+    inner = F.array_join(F.transform(F.filter(pieces, lambda p: (p["depth"] == 1) & F.trim(p["kind"]).isin(*WEBP_KEPT)), padded), "")
+
+    def header(p: Column) -> Column:
+        flags = number(p["head"], 0, 1).bitwiseAND(F.lit(WEBP_FLAGS))
+        data = F.concat(F.lpad(F.hex(flags), 2, "0"), F.hex(F.substring(p["head"], 2, 9)), inner)
+        return let(data, lambda d: F.concat(F.hex(F.lit(b"VP8X")), F.hex(little(F.length(d) / 2, 4)), d))
+
+    chunks = F.transform(F.filter(pieces, lambda p: (p["depth"] == 0) & ~F.trim(p["kind"]).isin("EXIF", "XMP")), lambda p: F.when((p["kind"] == "VP8X") & (p["stop"] - p["body"] >= 10), header(p)).otherwise(padded(p)))
+    dirty = F.exists(pieces, lambda p: F.trim(p["kind"]).isin("EXIF", "XMP"))
+    rebuilt = let(F.array_join(chunks, ""), lambda d: F.unhex(F.concat(F.hex(F.lit(b"RIFF")), F.hex(little(F.length(d) / 2 + 4, 4)), F.hex(F.lit(b"WEBP")), d)))
+    return F.when(dirty, rebuilt).otherwise(content)
+
+
+# --- films of elements
+#: Elements that tell something: id, field, label, category, severity, whether its text is the value; in the order of findings.
+FILM = (
+    ("7ba9", "Title", "Title", "other", "medium", True), ("4461", "DateUTC", "Creation date", "dates", "high", False), ("4d80", "MuxingApp", "Muxing application", "software", "medium", True),
+    ("5741", "WritingApp", "Writing application", "software", "medium", True), ("1254c367", "Tags", "Tags element", "containers", "medium", False), ("1941a469", "Attachments", "Attached files", "containers", "high", False),
+)
+VOIDED, ZEROED = ("7ba9", "4461", "1254c367", "1941a469"), ("4d80", "5741")
+
+
+def _film_text(p: Column) -> Column:
+    return filled(stripped(F.replace(utf8(F.substring(p["head"], F.lit(1), F.least(p["stop"] - p["body"], F.lit(256)))), F.lit("\0"), F.lit(""))))
+
+
+def _film_findings(pieces: Column) -> Column:
+    """Of the last element of each kind its text, or that it is there."""
+
+    def told(rule: tuple) -> Column:
+        kind, field, label, category, severity, shown = rule
+        last = F.try_element_at(F.filter(pieces, lambda p: (p["kind"] == kind) & (p["depth"] > 0)), F.lit(-1))
+        value = lambda p: _film_text(p) if shown else F.when(p.isNotNull(), "Present")
+        return let(let(last, value), lambda v: F.when(v.isNotNull(), found(category, f"MKV:{field}", label, v, severity)))
+
+    return F.filter(F.array(*map(told, FILM)), lambda f: f.isNotNull())
+
+
+def _void(size: Column) -> Column:
+    """An element of nothing, of so many bytes: its size in as few bytes as it takes."""
+    out = zeros(size)
+    for length in reversed(range(1, 9)):
+        content = size - 1 - length
+        head = F.concat(F.lit("EC"), F.lpad(F.hex((content + (1 << 7 * length)).cast("bigint")), 2 * length, "0"))
+        out = F.when((content >= 0) & (content <= (1 << 7 * length) - 2), F.concat(F.unhex(head), zeros(content))).otherwise(out)
+    return out
+
+
+def _film_edits(p: Column) -> Column:
+    void = F.array(edit(p["start"], _void((p["stop"] - p["start"]).cast("bigint"))))
+    blank = F.array(edit(p["body"], zeros(p["stop"] - p["body"])))
+    return F.when(p["depth"] > 0, F.when(p["kind"].isin(*VOIDED), void).when(p["kind"].isin(*ZEROED) & _film_text(p).isNotNull(), blank))
+
+
+# --- icons
+
+
+def _of_chunk(p: Column) -> Column:
+    """A chunk of an icon's image as one of an image of its own."""
+    return F.struct(F.split(p["kind"], ":")[2].alias("kind"), *[p[c].alias(c) for c in ("depth", "start", "body", "stop", "head")])
+
+
+def _icon_findings(pieces: Column) -> Column:
+    """Personal findings of images that are PNG, each with the number of its image; and trailing bytes."""
+
+    def of_image(p: Column) -> Column:
+        n = F.split(p["kind"], ":")[1]
+        named = lambda f: found(f["category"], F.concat(F.lit("ICO:"), n, F.lit(":"), f["field"]), F.concat(f["label"], F.lit(" (icon "), (n.cast("int") + 1).cast("string"), F.lit(")")), f["value"], f["severity"])
+        return let(_png(_of_chunk(p)), lambda f: F.when(f.isNotNull() & ~f["field"].isin(*TECHNICAL), named(f)))
+
+    images = F.transform(F.filter(pieces, lambda p: p["depth"] == 1), of_image)
+    trailing = F.transform(F.filter(pieces, lambda p: p["kind"] == "trailing"), lambda p: found("other", "ICO:TrailingData", "Trailing data after icon payloads", size_of(p), "medium"))
+    return F.filter(F.concat(images, trailing), lambda f: f.isNotNull())
+
+
+def _icon_size(content: Column, pieces: Column) -> Column:
+    """That of the largest image, the first of equal ones."""
+    images = F.filter(pieces, lambda p: p["depth"] == 0)
+    side = lambda p, at: let(F.conv(F.hex(F.substring(content, p["start"] + at, F.lit(1))), 16, 10).cast("bigint"), lambda n: F.when(n == 0, 256).otherwise(n))
+    sized = F.transform(images, lambda p, i: let(F.struct(side(p, 1).alias("width"), side(p, 2).alias("height")), lambda s: F.struct((-s["width"] * s["height"]).alias("area"), i.alias("i"), s.alias("s"))))
+    return F.try_element_at(F.array_sort(sized), F.lit(1))["s"]
+
+
+def _icon_copy(content: Column, pieces: Column) -> Column:
+    """The directory with new sizes and places, and the images, those that are PNG without what their copies lose."""
+    images = F.filter(pieces, lambda p: p["depth"] == 0)
+    part = lambda p: F.hex(F.substring(content, p["start"] + 1, p["stop"] - p["start"]))
+
+    def data(image: Column) -> Column:
+        own = F.filter(pieces, lambda p: (p["depth"] == 1) & (p["start"] >= image["body"]) & (p["stop"] <= image["stop"]) & F.split(p["kind"], ":")[2].isin(*PNG_KEPT))
+        png = F.concat(F.hex(F.substring(content, image["body"] + 1, F.lit(8))), F.array_join(F.transform(own, part), ""))
+        return F.when(F.endswith(image["kind"], F.lit("png")), png).otherwise(F.hex(F.substring(content, image["body"] + 1, image["stop"] - image["body"])))
+
+    def laid_out(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda d: (F.length(d) / 2).cast("bigint"))
+        places = F.aggregate(sizes, F.array((6 + 16 * F.size(images)).cast("bigint")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        entries = F.transform(images, lambda p, i: F.concat(F.hex(F.substring(content, p["start"] + 1, F.lit(8))), F.hex(little(F.get(sizes, i), 4)), F.hex(little(F.get(places, i), 4))))
+        return F.unhex(F.concat(F.hex(F.substring(content, 1, 6)), F.array_join(entries, ""), F.array_join(parts, "")))
+
+    return let(F.transform(images, data), laid_out)
+
+
 # --- copies
 
 
@@ -739,6 +884,9 @@ def _tiff(name: str) -> Callable:
 
 
 FORMATS = {
+    "webp": Format(None, _webp_copy, findings=_webp_findings, size=_webp_size, sized=True),
+    "ico": Format(None, _icon_copy, findings=_icon_findings, size=_icon_size),
+    "mkv": Format(None, lambda c, p: overwritten(c, p, _film_edits), findings=_film_findings),
     "tiff": Format(None, _tiff("copy"), findings=_tiff("findings"), size=_tiff("size"), sized=True, same_size=True, holds=_tiff("has_profile")),
     "png": Format(_png, _png_copy, size=_png_size, sized=True),
     "wav": Format(_wav, _riff_copy(WAV_KEPT)),

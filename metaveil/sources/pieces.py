@@ -509,8 +509,83 @@ def _tiff(data: bytes) -> list[Piece]:
     return found
 
 
+def _webp(data: bytes) -> list[Piece]:
+    """Chunks of the file (depth 0, without their padding), and those that stand within the extended header (depth 1)."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise Broken("header")
+
+    def exact(pieces: list[Piece], depth: int) -> Iterator[Piece]:
+        for kind, _, start, body, stop in pieces:
+            yield kind, depth, start, body, min(stop, body + int.from_bytes(data[start + 4 : start + 8], "little"))
+
+    found: list[Piece] = []
+    for piece in exact(walk(data, LAYOUTS["webp"]), 0):
+        found.append(piece)
+        if piece[0] == "VP8X" and piece[4] - piece[3] > 10:
+            found += exact(walk(data, LAYOUTS["webp"], piece[3] + 10, piece[4]), 1)
+    return found
+
+
+#: Ids of elements of a film, and those that hold others.
+EBML, SEGMENT, FILM_INFO = 0x1A45DFA3, 0x18538067, 0x1549A966
+
+
+def _film(data: bytes) -> list[Piece]:
+    """Elements by the digits of their id: the header, the segment and its elements (depth 1), and what describes it (depth 2)."""
+
+    def element(at: int, end: int) -> Piece | None:
+        """Numbers have as many bytes as the first has zero bits before its first one, and one more."""
+        numbers, place = [], at
+        for keep in (True, False):
+            first = data[place] if place < len(data) else 0
+            length = 9 - first.bit_length()
+            if not first or place + length > len(data):
+                return None
+            raw, ones = int.from_bytes(data[place : place + length], "big"), (1 << 7 * length) - 1
+            numbers.append(raw if keep else raw & ones if raw & ones != ones else None)  # all ones: of unknown size
+            place += length
+        stop = end if numbers[1] is None else place + numbers[1]
+        return (f"{numbers[0]:x}", 0, at, place, stop) if stop <= end else None
+
+    def inside(first: int, end: int, depth: int) -> Iterator[Piece]:
+        at = first
+        while at < end and (found := element(at, end)):
+            yield (found[0], depth, *found[2:])
+            at = found[4]
+
+    header = element(0, len(data))
+    segment = element(header[4], len(data)) if header and header[0] == f"{EBML:x}" else None
+    if not segment or segment[0] != f"{SEGMENT:x}":
+        raise Broken("segment")
+    found = [header, segment]
+    for child in inside(segment[3], segment[4], 1):
+        found.append(child)
+        if child[0] == f"{FILM_INFO:x}":
+            found += inside(child[3], child[4], 2)
+    return found
+
+
+def _icon(data: bytes) -> list[Piece]:
+    """Images of a directory (depth 0: image:number:png or bitmap; the entry as start, the image as body to stop), chunks of those that are PNG (1), and what trails."""
+    count = int.from_bytes(data[4:6], "little")
+    if data[:2] != b"\0\0" or data[2:4] not in (b"\1\0", b"\2\0") or not 1 <= count <= 64 or 6 + 16 * count > len(data):
+        raise Broken("directory")
+    found: list[Piece] = []
+    for k in range(count):
+        at = 6 + 16 * k
+        size, body = (int.from_bytes(data[at + p : at + p + 4], "little") for p in (8, 12))
+        if not size or body + size > len(data):
+            raise Broken("image")
+        is_png = data[body : body + 4] == b"\x89PNG"
+        found.append((f"image:{k}:{'png' if is_png else 'bitmap'}", 0, at, body, body + size))
+        if is_png:
+            found += [(f"chunk:{k}:{kind}", 1, s, b, e) for kind, _, s, b, e in walk(data, LAYOUTS["png"], body + 8, body + size)]
+    end = max(p[4] for p in found if p[1] == 0)
+    return [*found, ("trailing", 2, end, end, len(data))] if end < len(data) else found
+
+
 LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
-    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _riff("webp"), "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
+    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _webp, "mkv": _film, "ico": _icon, "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
 }
 
 

@@ -125,3 +125,62 @@ def test_comment_packets_are_emptied_and_pages_summed_anew(spark):
     got = {r.file_id: r for r in binary.clean_and_verify(rows, "ogg").collect()}
     assert [got[k].clean for k in range(5)] == [b for _, b in cases]
     assert [got[k].passed for k in range(5)] == [True, True, True, True, False] and got[0].found_before == 3
+
+
+def one(spark, kind, *contents):
+    rows = spark.createDataFrame(list(enumerate(contents)), "file_id int, content binary")
+    return [r for r in sorted(binary.clean_and_verify(rows, kind).collect(), key=lambda r: r.file_id)]
+
+
+def chunk(name, body):
+    return name + len(body).to_bytes(4, "little") + body + bytes(len(body) % 2)
+
+
+def riff(*chunks):
+    body = b"WEBP" + b"".join(chunks)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def test_chunks_within_and_behind_the_extended_header(spark):
+    size = bytes([9, 0, 0, 19, 0, 0])
+    within = riff(chunk(b"VP8X", b"\x3e\0\0\0" + size + chunk(b"ICCP", b"icc") + chunk(b"EXIF", b"Ann Boe") + chunk(b"XMP ", b"<x/>") + chunk(b"ANMF", b"frame")))
+    behind = riff(chunk(b"VP8X", b"\x0c\0\0\0" + size), chunk(b"VP8L", b"\x2f" + bytes(5)), chunk(b"EXIF", b"Ann Boe"))
+    lossy = riff(chunk(b"VP8 ", b"\0\0\0\x9d\x01\x2a\x0a\0\x14\0" + b"data"))
+    lossless, bare = riff(chunk(b"VP8L", b"\x2f" + (9 | 19 << 14).to_bytes(4, "little") + b"x")), riff(chunk(b"ALPH", b"x"))
+    rows = one(spark, "webp", within, behind, lossy, lossless, bare, b"RIFF")
+    assert [r.reason for r in rows] == [None, None, None, None, "malformed", "malformed"]
+    assert rows[0].clean == riff(chunk(b"VP8X", b"\x32\0\0\0" + size + chunk(b"ICCP", b"icc") + chunk(b"ANMF", b"frame"))) and rows[0].found_before == 2
+    assert rows[1].clean == riff(chunk(b"VP8X", bytes(4) + size), chunk(b"VP8L", b"\x2f" + bytes(5))) and rows[2].clean == lossy and rows[3].clean == lossless
+    assert [r.passed for r in rows] == [True] * 4 + [False] * 2
+    sizes = binary.scan(spark.createDataFrame([(0, within), (1, lossy), (2, lossless)], "file_id int, content binary"), "webp").select("dimensions.*").collect()
+    assert {tuple(r) for r in sizes} == {(10, 20)}
+
+
+def test_films_of_unknown_size(spark):
+    header, info = bytes.fromhex("1A45DFA3") + b"\x84" + bytes.fromhex("4282") + b"\x81x", bytes.fromhex("1549A966")
+    title, date = bytes.fromhex("7BA9") + b"\x87Ann Boe", bytes.fromhex("4461") + b"\x88" + bytes(8)
+    long_title = bytes.fromhex("7BA9") + b"\x41\x00" + b"x" * 256
+    cluster = bytes.fromhex("1F43B675") + b"\xff" + b"sound " * 5
+    film = header + bytes.fromhex("18538067") + b"\x01" + b"\xff" * 7 + info + bytes([0x80 | len(title + date)]) + title + date + cluster
+    large = header + bytes.fromhex("18538067") + b"\x01" + b"\xff" * 7 + info + (len(long_title) | 0x4000).to_bytes(2, "big") + long_title + cluster
+    rows = one(spark, "mkv", film, large, header, b"", header + bytes.fromhex("18538067") + b"\xff")
+    assert [r.status for r in rows] == ["ok", "ok", "error", "error", "ok"] and [r.found_before for r in rows] == [2, 1, 0, 0, 0]
+    assert rows[0].clean == film.replace(title, b"\xec\x88" + bytes(8)).replace(date, b"\xec\x89" + bytes(9)) and rows[0].passed
+    assert rows[1].clean == large.replace(long_title, b"\xec" + (257 | 0x4000).to_bytes(2, "big") + bytes(257)) and rows[1].passed
+
+
+def test_icons_of_several_images(spark):
+    rows = one(spark, "ico", samples_icon(), samples_icon()[:30], b"\0\0\1\0\0\0" + bytes(30), b"")
+    assert [r.status for r in rows] == ["ok", "error", "error", "error"] and rows[0].passed and rows[0].found_before == 1
+    assert len(rows[0].clean) == len(samples_icon()) - 12 - len(b"Author\0Ann")
+
+
+def samples_icon():
+    text = b"Author\0Ann"
+    png = bytes.fromhex("89504E470D0A1A0A") + len(text).to_bytes(4, "big") + b"tEXt" + text + bytes(4) + bytes(4) + b"IEND" + bytes(4)
+    images = [b"bitmap", png]
+    out, at = b"\0\0\1\0\2\0", 6 + 32
+    for image in images:
+        out += bytes([16, 16]) + bytes(6) + len(image).to_bytes(4, "little") + at.to_bytes(4, "little")
+        at += len(image)
+    return out + b"".join(images)
