@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from metaveil.functions.bytes import cp1252, cstring, little, number, stripped, utf8
 from metaveil.operators.findings import TECHNICAL
 from metaveil.operators.svg import FINDING, let
-from metaveil.sources.pieces import with_pieces
+from metaveil.sources.pieces import LISTERS, with_pieces
 
 Found = Callable[[Column], Column]
 
@@ -683,6 +683,82 @@ def _webp_copy(content: Column, pieces: Column) -> Column:
     return F.when(dirty, rebuilt).otherwise(content)
 
 
+# --- images of items
+
+
+def _named(p: Column, k: int) -> Column:
+    return F.get(F.split(p["kind"], ":"), F.lit(k))
+
+
+def _is_item(p: Column) -> Column:
+    """Whether an item is metadata."""
+    return F.startswith(p["kind"], F.lit("item:")) & ((_named(p, 2) == "Exif") | (_named(p, 2) == "mime") & _named(p, 3).rlike("(?i)xmp"))
+
+
+def _item_findings(pieces: Column) -> Column:
+    told = lambda kind, finding: F.transform(F.filter(pieces, lambda p: _is_item(p) & (_named(p, 2) == kind)), lambda p: finding)
+    return F.concat(
+        told("Exif", found("containers", "AVIF:Exif", "EXIF data", "Present", "medium")), tag_findings(pieces, "AVIF:"), told("mime", found("containers", "AVIF:XMP", "XMP metadata", "Present", "medium"))
+    )
+
+
+def _item_size(content: Column, pieces: Column) -> Column:
+    """The largest size, the first of equal ones."""
+    sizes = F.transform(F.filter(pieces, lambda p: p["kind"] == "size"), lambda p, i: F.struct((-number(p["head"], 0, 4).cast("double") * number(p["head"], 4, 4)).alias("area"), i.alias("i"), number(p["head"], 0, 4).alias("width"), number(p["head"], 4, 4).alias("height")))
+    return let(F.try_element_at(F.array_sort(sizes), F.lit(1)), lambda s: size_struct(s["width"], s["height"]))
+
+
+def _item_copy(content: Column, pieces: Column) -> Column:
+    """In place: bytes of metadata items zeroed, their records taken out of the description, and the room that is left made free.
+
+    Null if such an item isn't stored in the file by offset, lies beyond its end, or leaves room that no box fits.
+    """
+    cut_out = lambda start, stop: F.hex(F.substring(content, start + 1, stop - start))
+
+    def built(gone: Column, meta: Column) -> Column:
+        stays = lambda p: ~F.array_contains(gone, _named(p, 1))
+        records = lambda kind: F.filter(pieces, lambda p: F.startswith(p["kind"], F.lit(f"{kind}:")) & (p["depth"] == 2))
+
+        def box(child: Column, kind: str, count_at: int, wide: Column) -> Column:
+            """The box with the records that stay; its number of them has wide digits, at that place (0: it has none)."""
+
+            def made(own: Column) -> Column:
+                kept = F.filter(own, stays)
+                first = F.coalesce(F.try_element_at(own, F.lit(1))["start"], child["stop"])
+                counted = F.concat(cut_out(child["body"], child["body"] + count_at), F.when(wide == 4, F.lpad(F.hex(F.size(kept)), 4, "0")).otherwise(F.lpad(F.hex(F.size(kept)), 8, "0")))
+                head = cut_out(child["body"], first) if not count_at else counted
+                data = F.concat(head, F.array_join(F.transform(kept, lambda p: cut_out(p["start"], p["stop"])), ""))
+                return F.concat(F.lpad(F.hex((F.length(data) / 2 + 8).cast("bigint")), 8, "0"), F.hex(F.substring(child["kind"], 7, 4).cast("binary")), data)
+
+            return let(records(kind), made)
+
+        def rebuilt(child: Column) -> Column:
+            version = F.hex(F.substring(content, child["body"] + 1, F.lit(1)))
+            return (
+                F.when(child["kind"] == "child:iinf", box(child, "item", 4, F.when(version == "00", 4).otherwise(8)))
+                .when(child["kind"] == "child:iloc", box(child, "place", 6, F.when(version < "02", 4).otherwise(8)))
+                .when(child["kind"] == "child:iref", box(child, "ref", 0, F.lit(0))).otherwise(cut_out(child["start"], child["stop"]))
+            )
+
+        def fitted(digits: Column) -> tuple[Column, Column]:
+            slack = ((meta["stop"] - meta["body"]) - F.length(digits) / 2).cast("bigint")
+            free = F.concat(F.lpad(F.hex(slack), 8, "0"), F.hex(F.lit(b"free")), F.repeat(F.lit("00"), (slack - 8).cast("int")))
+            return F.unhex(F.concat(digits, F.when(slack >= 8, free).otherwise(""))), (slack == 0) | (slack >= 8)
+
+        def placed(digits: Column) -> Column:
+            new, fits = fitted(digits)
+            own = F.filter(pieces, lambda p: F.startswith(p["kind"], F.lit("extent:")) & F.array_contains(gone, _named(p, 1)))
+            sound = F.forall(own, lambda p: p["stop"] <= F.length(content)) & ~F.exists(pieces, lambda p: F.startswith(p["kind"], F.lit("place:")) & F.array_contains(gone, _named(p, 1)) & (_named(p, 2) != "0"))
+            blank = F.aggregate(own, content, lambda acc, p: F.overlay(acc, zeros(p["stop"] - p["start"]), p["start"] + 1))
+            return F.when(fits & sound, F.overlay(blank, new, meta["body"] + 1))
+
+        children = F.filter(pieces, lambda p: F.startswith(p["kind"], F.lit("child:")))
+        return let(F.array_join(F.transform(children, rebuilt), ""), placed)
+
+    gone = F.transform(F.filter(pieces, _is_item), lambda p: _named(p, 1))
+    return let(gone, lambda g: F.when(F.size(g) == 0, content).otherwise(let(F.element_at(F.filter(pieces, lambda p: p["kind"] == "meta"), 1), lambda meta: built(g, meta))))
+
+
 # --- films of elements
 #: Elements that tell something: id, field, label, category, severity, whether its text is the value; in the order of findings.
 FILM = (
@@ -885,6 +961,7 @@ def _tiff(name: str) -> Callable:
 
 FORMATS = {
     "webp": Format(None, _webp_copy, findings=_webp_findings, size=_webp_size, sized=True),
+    "avif": Format(None, _item_copy, findings=_item_findings, size=_item_size, sized=True, holds=lambda c, p: F.exists(p, lambda x: F.startswith(x["kind"], F.lit("primary:")))),
     "ico": Format(None, _icon_copy, findings=_icon_findings, size=_icon_size),
     "mkv": Format(None, lambda c, p: overwritten(c, p, _film_edits), findings=_film_findings),
     "tiff": Format(None, _tiff("copy"), findings=_tiff("findings"), size=_tiff("size"), sized=True, same_size=True, holds=_tiff("has_profile")),
@@ -904,6 +981,13 @@ FORMATS = {
 }
 
 
+def register(format_id: str, lister: Callable[[bytes], list], rules: Format) -> None:
+    """A format of one's own: lister gives the pieces of a file (kind, depth, start, body, stop) and raises Broken for what is none; rules say what they mean."""
+    if format_id in FORMATS:
+        raise ValueError(f"{format_id} is there")
+    LISTERS[format_id], FORMATS[format_id] = lister, rules
+
+
 def of_format(format_id: str | None, make: Callable[[Format], Column]) -> Column:
     """The column that a format makes; without an id, by the column format of each row."""
     if format_id:

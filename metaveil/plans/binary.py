@@ -198,9 +198,40 @@ def _icon(d: Digits, cleaned: bool) -> list[str]:
     return ["'000001000200'", "'1010000001002000'", d.little(size), d.little(38), "'0000000001002000'", d.little(4), d.little(f"38 + {size}"), png, "'28000000'", "''" if cleaned else d.text("tail")]
 
 
+def _photograph(d: Digits) -> tuple[str, str]:
+    """A directory of tags with the author, and how long it is."""
+    return f"'49492A0008000000' || '0100' || {_tiff_entry(d, 315, 2, d.size('url', 1), d.little(26))} || '00000000' || {d.of('url')} || '00'", d.size("url", 27)
+
+
+def _items(d: Digits, cleaned: bool) -> list[str]:
+    """An image, its tags and its XMP as items: 243 bytes of description, then the data, from byte 271 on."""
+    exif, packet, mime = _photograph(d), d.text("<x:xmpmeta/>"), d.text("application/xmp+xml")
+    full = lambda name, body, size: _box(d, name, f"'00000000' || {body}", f"4 + {size}")
+    item = lambda ident, kind: _box(d, "infe", f"'02000000' || {d.big(ident, 2)} || '0000' || {d.text(kind)} || '00'", 13)
+    place = lambda ident, at, size: f"{d.big(ident, 2)} || '0000' || '0001' || {d.big(at)} || {d.big(size)}"
+    described = _box(d, "infe", f"'02000000' || {d.big(3, 2)} || '0000' || {d.text('mime')} || '00' || {mime} || '00'", 33)
+    at = d.size("html", 271)
+    places = [place(1, 271, d.size("html")), place(2, at, f"4 + {exif[1]}"), place(3, f"{at} + 4 + {exif[1]}", 12)]
+    size = _box(d, "iprp", _box(d, "ipco", full("ispe", f"{d.big(64)} || {d.big(48)}", 8), 20), 28)
+    if cleaned:
+        boxes = [full("pitm", d.big(1, 2), 2), full("iinf", f"{d.big(1, 2)} || {item(1, 'av01')}", 23), full("iloc", f"'4400' || {d.big(1, 2)} || {places[0]}", 18), full("iref", "''", 0), size, _box(d, "free", "repeat('00', 96)", 96)]
+    else:
+        refs = _box(d, "cdsc", "'000200010001'", 6)
+        boxes = [
+            full("pitm", d.big(1, 2), 2), full("iinf", f"{d.big(3, 2)} || {item(1, 'av01')} || {item(2, 'Exif')} || {described}", 85), full("iloc", f"'4400' || {d.big(3, 2)} || {' || '.join(places)}", 46),
+            full("iref", refs, 14), size,
+        ]
+    data = f"repeat('00', CAST(4 + {exif[1]} + 12 AS INT))" if cleaned else f"'00000000' || {exif[0]} || {packet}"
+    return [_box(d, "ftyp", f"{d.text('avif')} || '00000000' || {d.text('mif1')}", 12), full("meta", " || ".join(boxes), 231), _box(d, "mdat", f"{d.of('html')} || {data}", f"{d.size('html')} + 4 + {exif[1]} + 12")]
+
+
 TIFF_START = "'49492A0008000000'"
 
 SAMPLES = {
+    "avif": Sample(
+        lambda d: _items(d, False), lambda d: _items(d, True),
+        (("containers", "AVIF:Exif", "EXIF data", "'Present'", "medium"), ("author", "AVIF:Artist", "Artist", "url", "high"), ("containers", "AVIF:XMP", "XMP metadata", "'Present'", "medium")),
+    ),
     "webp": Sample(
         lambda d: _webp(d, False), lambda d: _webp(d, True),
         (

@@ -509,6 +509,81 @@ def _tiff(data: bytes) -> list[Piece]:
     return found
 
 
+def _items(data: bytes) -> list[Piece]:
+    """An image of items: its description (meta, depth 0) and the boxes in it (child:, 1); items (item:id:kind:type), where they are (place:id:method)
+    and what refers to them (ref:id), as records (2); the bytes of an item (extent:id, 3); the primary one, sizes (4), and tags (1)."""
+    boxes = LAYOUTS["mp4"]
+
+    def number(at: int, size: int) -> int:
+        if at + size > len(data):
+            raise Broken("end")
+        return int.from_bytes(data[at : at + size], "big")
+
+    top = walk(data, boxes)
+    meta = next((p for p in top if p[0] == "meta"), None)
+    if meta is None or not any(p[0] == "ftyp" for p in top):
+        raise Broken("meta")
+    children = walk(data, boxes, meta[3] + 4, meta[4])
+    by_kind = {p[0]: p for p in reversed(children)}
+    if not {"iinf", "iloc"} <= by_kind.keys():
+        raise Broken("items")
+    found: list[Piece] = [("meta", 0, meta[2], meta[3] + 4, meta[4]), *((f"child:{k}", 1, s, b, e) for k, _, s, b, e in children)]
+
+    _, _, _, at, end = by_kind["iloc"]
+    version, sizes = data[at], number(at + 4, 2)
+    wide, places = 2 if version < 2 else 4, {}
+    at, count = at + 6 + wide, number(at + 6, wide)
+    for _ in range(count):
+        start, ident, method = at, number(at, wide), 0
+        at += wide
+        if version in (1, 2):
+            method, at = number(at, 2) & 15, at + 2
+        base, at = number(at + 2, sizes >> 4 & 15), at + 2 + (sizes >> 4 & 15)
+        extents, at = number(at, 2), at + 2
+        for _ in range(extents):
+            at += sizes & 15 if version in (1, 2) else 0
+            offset, at = base + number(at, sizes >> 12), at + (sizes >> 12)
+            length, at = number(at, sizes >> 8 & 15), at + (sizes >> 8 & 15)
+            places.setdefault(ident, []).append((offset, offset + length))
+            found.append((f"extent:{ident}:{method}", 3, min(offset, len(data)), min(offset, len(data)), offset + length))
+        if at > end:
+            raise Broken("places")
+        found.append((f"place:{ident}:{method}", 2, start, start, at))
+
+    _, _, _, at, end = by_kind["iinf"]
+    wide = 2 if data[at] == 0 else 4
+    at, count = at + 4 + wide, number(at + 4, wide)
+    for _ in range(count):
+        if at + 8 > end:
+            break
+        item = next(iter(walk(data, boxes, at, end)), None)
+        if item is None or item[0] != "infe" or data[item[3]] < 2:
+            raise Broken("item")
+        wide = 2 if data[item[3]] == 2 else 4
+        ident, kind = number(item[3] + 4, wide), data[item[3] + 6 + wide : item[3] + 10 + wide].decode("latin-1")
+        words = data[item[3] + 10 + wide : item[4]].split(b"\0")
+        mime = words[1].decode("latin-1") if kind == "mime" and len(words) > 1 else ""
+        found.append((f"item:{ident}:{kind}:{mime}", 2, item[2], item[2], item[4]))
+        extent = places.get(ident, [(0, 0)])[0]
+        if kind == "Exif" and extent[1] - extent[0] > 12 and extent[1] <= len(data):
+            tiff = extent[0] + 4 + number(extent[0], 4)
+            if tiff + 8 < len(data):
+                order = "little" if data[tiff : tiff + 2] == b"II" else "big"
+                found += tags(data, tiff, tiff + int.from_bytes(data[tiff + 4 : tiff + 8], order), order)
+        at = item[4]
+
+    if "iref" in by_kind:
+        _, _, _, body, end = by_kind["iref"]
+        found += [(f"ref:{number(b, 2 if data[body] == 0 else 4)}", 2, s, b, e) for _, _, s, b, e in walk(data, boxes, body + 4, end)]
+    if "pitm" in by_kind:
+        body = by_kind["pitm"][3]
+        found.append((f"primary:{number(body + 4, 2 if data[body] == 0 else 4)}", 4, body, body, body))
+    for kind, _, _, body, stop in walk(data, boxes, *by_kind["iprp"][3:5]) if "iprp" in by_kind else ():
+        if kind == "ipco":
+            found += [("size", 4, s, b + 4, e) for k, _, s, b, e in walk(data, boxes, body, stop) if k == "ispe"]
+    return found
+
+
 def _webp(data: bytes) -> list[Piece]:
     """Chunks of the file (depth 0, without their padding), and those that stand within the extended header (depth 1)."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
@@ -585,7 +660,7 @@ def _icon(data: bytes) -> list[Piece]:
 
 
 LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
-    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _webp, "mkv": _film, "ico": _icon, "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
+    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _webp, "avif": _items, "mkv": _film, "ico": _icon, "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
 }
 
 
@@ -600,11 +675,13 @@ def with_pieces(files: DataFrame, format_id: str | None = None) -> DataFrame:
     out = T.StructType([*files.schema.fields, T.StructField("pieces", T.ArrayType(PIECE))])
     at, by = files.columns.index("content"), None if format_id else files.columns.index("format")
 
+    listers = {format_id: LISTERS[format_id]} if format_id else dict(LISTERS)  # with those that were registered here
+
     def listed(data: bytes, kind: str | None) -> list[dict] | None:
-        if kind not in LISTERS:
+        if kind not in listers:
             return None
         try:
-            pieces = LISTERS[kind](data)
+            pieces = listers[kind](data)
         except Broken:
             return None
         return [dict(kind=k, depth=d, start=s, body=b, stop=e, head=data[b : e if k in WHOLE else min(e, b + HEAD)]) for k, d, s, b, e in pieces]

@@ -9,11 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from metaveil.functions import formats
 
 
-def stream(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, format, status of files that come into a folder."""
+def stream(spark: SparkSession, path: str, largest: int = 100 * formats.MIB) -> DataFrame:
+    """path, length, format, status of files that come into a folder; those that are too large are told by their length."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).load(path)
-    detected = found.withColumn("format", formats.detect(F.col("content")))
+    small = found.where(F.col("length") <= largest)
+    large = found.where(F.col("length") > largest).withColumn("content", F.lit(None).cast("binary"))  # their bytes aren't read
+    detected = small.union(large).withColumn("format", formats.detect(F.col("content")))
     return detected.select("path", "modificationTime", "length", "format", formats.gate(F.col("format"), F.col("length")).alias("status"))
 
 
