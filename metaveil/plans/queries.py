@@ -9,6 +9,7 @@ from metaveil.functions import formats
 from metaveil.operators import archive, findings, svg
 from metaveil.plans import archives as archive_queries
 from metaveil.plans import binary as binary_queries
+from metaveil.plans import heic as heic_queries
 from metaveil.plans import mail as mail_queries
 from metaveil.plans import nested as nested_queries
 from metaveil.plans import odd_files as odd_queries
@@ -182,6 +183,6 @@ ORACLE = {
         SELECT file_id, coalesce(arg_min(problem, entry_pos) FILTER (problem IS NOT NULL), CASE WHEN count(*) > 10000 THEN 'too-many-entries' WHEN sum(size) > 262144000 THEN 'too-large' WHEN sum(size) / max(file_length) > 200 THEN 'zip-bomb' END) AS reason FROM k GROUP BY file_id""",
     "content_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, left(sha256(coalesce(text, '')), 16) || '…' AS short_hash FROM documents",
 }
-for _more in (archive_queries, binary_queries, mail_queries, nested_queries, odd_queries, pdf_queries, relation_queries):
+for _more in (archive_queries, binary_queries, heic_queries, mail_queries, nested_queries, odd_queries, pdf_queries, relation_queries):
     QUERIES |= _more.QUERIES
     ORACLE |= _more.ORACLE

@@ -584,6 +584,42 @@ def _items(data: bytes) -> list[Piece]:
     return found
 
 
+#: Boxes of a photograph's container that hold others.
+PHOTO_HOLDERS = {"meta", "iprp", "ipco", "iinf", "iref", "trak", "moov", "mdia", "minf", "stbl"}
+
+
+def _photo(data: bytes) -> list[Piece]:
+    """All boxes, holders before what they hold, and the orientation that the first tags with one state (depth 99: orientation:value)."""
+    found: list[Piece] = []
+
+    def turned(body: int, stop: int) -> int | None:
+        start = re.compile(rb"II\x2a|MM.\x2a", re.S).search(data, body, stop)
+        if not start or start.start() + 12 >= stop:
+            return None
+        tiff, order = start.start(), "little" if start[0][:1] == b"I" else "big"
+        at = tiff + int.from_bytes(data[tiff + 4 : tiff + 8], order)
+        for k in range(int.from_bytes(data[at : at + 2], order) if at + 2 <= stop else 0):
+            entry = at + 2 + 12 * k
+            if entry + 12 > stop:
+                break
+            tag, kind, value = (int.from_bytes(data[entry + p : entry + p + 2], order) for p in (0, 2, 8))
+            if (tag, kind) == (0x0112, 3):
+                return value
+        return None
+
+    def go(first: int, end: int, depth: int) -> None:
+        for piece in walk(data, LAYOUTS["mp4"], first, end, depth):
+            found.append(piece)
+            kind, _, _, body, stop = piece
+            if kind in PHOTO_HOLDERS and depth < 8:
+                go(body + 4 * (kind == "meta"), stop, depth + 1)
+            if kind == "Exif" and not any(p[1] == 99 for p in found) and (value := turned(body, stop)) is not None:
+                found.append((f"orientation:{value}", 99, body, body, body))
+
+    go(0, len(data), 0)
+    return found
+
+
 def _webp(data: bytes) -> list[Piece]:
     """Chunks of the file (depth 0, without their padding), and those that stand within the extended header (depth 1)."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
@@ -660,7 +696,7 @@ def _icon(data: bytes) -> list[Piece]:
 
 
 LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
-    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _webp, "avif": _items, "mkv": _film, "ico": _icon, "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
+    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _webp, "heic": _photo, "avif": _items, "mkv": _film, "ico": _icon, "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
 }
 
 
