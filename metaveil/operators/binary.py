@@ -425,6 +425,27 @@ def _jpeg_kept(p: Column) -> Column:
     return (p["depth"] == 0) & (~removable | (p["kind"] == "e2") & F.startswith(p["head"], F.lit("ICC_PROFILE\0").cast("binary")))
 
 
+#: Fixed value: a segment of tags that states nothing but an orientation, up to that and behind it.
+ORIENTATION = ("FFE1002245786966000049492A000800000001001201030001000000", "00000000000000")
+
+
+def _jpeg_copy(content: Column, pieces: Column) -> Column:
+    return F.when(F.exists(pieces, lambda p: p["kind"] == "unfinished"), content).otherwise(cut(content, pieces, _jpeg_kept))
+
+
+def _oriented_copy(content: Column, pieces: Column) -> Column:
+    """The copy with the orientation that the first tags state, if the image isn't upright."""
+
+    def turned(tag: Column, copy: Column) -> Column:
+        little = F.endswith(tag["kind"], F.lit(":little"))
+        value = F.when(little, number(tag["head"], 0, 2, "little")).otherwise(number(tag["head"], 0, 2))
+        segment = F.unhex(F.concat(F.lit(ORIENTATION[0]), F.lpad(F.hex(value), 2, "0"), F.lit(ORIENTATION[1])))
+        return F.when(value.between(2, 8) & (copy != content), F.concat(F.substring(copy, 1, 2), segment, F.substring(copy, F.lit(3), F.length(copy)))).otherwise(copy)
+
+    tag = F.try_element_at(F.filter(pieces, lambda p: F.startswith(p["kind"], F.lit("tag:IFD0:274:3:"))), F.lit(1))
+    return let(tag, lambda t: let(_jpeg_copy(content, pieces), lambda copy: turned(t, copy)))
+
+
 # --- MP3
 #: Frames of ID3 tags, their short names of version 2.2, and frames whose value isn't shown.
 FRAMES = {
@@ -970,7 +991,9 @@ FORMATS = {
     "avi": Format(_avi, lambda c, p: overwritten(c, p, _avi_edits)),
     "flac": Format(_flac, _flac_copy),
     "gif": Format(_gif, _gif_copy, size=_gif_size, sized=True, same_size=True),
-    "jpeg": Format(None, lambda c, p: F.when(F.exists(p, lambda x: x["kind"] == "unfinished"), c).otherwise(cut(c, p, _jpeg_kept)), findings=_jpeg_findings, size=_jpeg_size, sized=True),
+    "jpeg": Format(None, _jpeg_copy, findings=_jpeg_findings, size=_jpeg_size, sized=True),
+    # an option: the orientation stays
+    "jpeg-oriented": Format(None, _oriented_copy, findings=_jpeg_findings, size=_jpeg_size, sized=True),
     "mp3": Format(_mp3, lambda c, p: cut(c, p, lambda x: x["kind"] == "audio")),
     "psd": Format(_psd, _psd_copy, size=_psd_size, same_size=True, holds=lambda c, p: F.exists(p, lambda x: x["kind"] == "8BIM:1039")),
     "bmp": Format(_bmp, _bmp_copy, size=_bmp_size, sized=True, same_size=True),

@@ -351,17 +351,19 @@ def verified(before: DataFrame, after: DataFrame, entries_after: DataFrame, kind
     return told.join(rest, "file_id", "left").join(checks, "file_id", "left").select("file_id", "found_before", "remaining", "leaked", passed.alias("passed"))
 
 
-def clean_and_verify(files: DataFrame, kind: str) -> DataFrame:
+def clean_and_verify(files: DataFrame, kind: str, remove_custom_xml: bool = False) -> DataFrame:
     """file_id, format, reason, content (the copy, or null), found_before, raw, remaining, leaked, passed of files (file_id, content) of a kind.
 
-    Files that are refused (reason) have no copy. What is read of originals and copies is written once each.
+    Files that are refused (reason) have no copy. What is read of originals and copies is written once each. Parts of one's own
+    XML in office packages stay, or go with remove_custom_xml.
     """
     before = contents.opened(parts(files.select("file_id", "content"), kind))
     gate = limits(before).withColumnRenamed("reason", "gate")
-    route = routed(before).join(gate, "file_id", "left").select("file_id", "format", F.coalesce("reason", "gate").alias("reason"))
+    route = routed(before, custom_xml=True).join(gate, "file_id", "left").select("file_id", "format", F.coalesce("reason", "gate").alias("reason"))
     told = written(FINDINGS[kind](before).join(route, "file_id"), "told")
     allowed = told.where("reason IS NULL").select("file_id", F.col("raw").alias("before"))
-    copies = written(COPIES[kind](before.join(allowed, "file_id")), "copies")
+    options = {"remove_custom_xml": True} if remove_custom_xml and kind == "office" else {}
+    copies = written(COPIES[kind](before.join(allowed, "file_id"), **options), "copies")
     read = parts(copies.where("content IS NOT NULL").select("file_id", "content", F.col("before").alias("raw")), kind)
     after = contents.opened(leaks.search(read).drop("raw"))
     checked = verified(told, FINDINGS[kind](after), after, kind)

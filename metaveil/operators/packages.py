@@ -64,10 +64,11 @@ def odf_kind(mimetype: Column) -> Column:
     return formats.first_match({k: trimmed.isin(ODF + name, f"{ODF}{name}-template") for k, name in ODF_TYPES.items()})
 
 
-def routed(rows: DataFrame) -> DataFrame:
+def routed(rows: DataFrame, custom_xml: bool = False) -> DataFrame:
     """file_id, format, reason of archives given by their entries: what each is by its content, and what refuses it (null: nothing).
 
-    An entry that can't be read refuses an archive of any kind, and so does a file_id that several archives have.
+    An entry that can't be read refuses an archive of any kind, and so does a file_id that several archives have. custom_xml:
+    parts of one's own XML don't refuse a package.
     """
     path = F.col("path")
     has = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
@@ -88,7 +89,7 @@ def routed(rows: DataFrame) -> DataFrame:
     open_document = F.when(F.startswith(stripped(F.col("mimetype")), F.lit(ODF.rstrip("."))), F.coalesce(odf_kind(F.col("mimetype")), F.lit("odf")))
     book = F.when(stripped(F.col("mimetype")) == "application/epub+zip", "epub")
     kind = F.when(F.col("malformed"), "zip").otherwise(F.coalesce(office, open_document, book, F.lit("zip")))
-    by_office = formats.first_match({reason: F.col(f"has_{reason}") for reason, _ in BLOCKED})
+    by_office = formats.first_match({reason: F.col(f"has_{reason}") for reason, _ in BLOCKED if reason != "custom-xml" or not custom_xml})
     by_document = formats.first_match(
         {"unsupported-package": F.col("format") == "odf", "encrypted": F.coalesce(F.col("manifest").rlike("(?i)manifest:encryption-data"), F.lit(False)), "macro": F.col("scripts")}
     )

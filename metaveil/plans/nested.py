@@ -130,7 +130,26 @@ def office_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_id", "path", F.sha2("content", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (nested_archives, nested_copies, nested_tree, office_odd_documents, office_images)}
+def office_custom_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What copies hold once parts of one's own XML are removed, with what refers to them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    parts = F.array(*[F.struct(F.lit(n).alias("entry_pos"), F.lit(path).alias("path"), F.unhex(F.expr(_text(SPARK, sql))).alias("content")) for n, (path, sql, _) in enumerate(CUSTOM)])
+    files = _put_together(pages.select(F.col("page_id").alias("file_id"), F.explode(parts).alias("p")).select("file_id", "p.*"))
+    done = documents.clean_and_verify(files, "office", remove_custom_xml=True)
+    rows = entries(done.where("passed").select("file_id", "content"))
+    return rows.select("file_id", "path", F.sha2("content", 256).alias("sha256"))
+
+
+#: Parts of a document with XML of its own: path, content as SQL, and that of the copy (None: it is gone).
+CUSTOM = (
+    ("[Content_Types].xml", "'<Types><Override PartName=\"/customXml/item1.xml\" ContentType=\"x\"/><Override PartName=\"/word/document.xml\" ContentType=\"y\"/></Types>'", "'<Types><Override PartName=\"/word/document.xml\" ContentType=\"y\"/></Types>'"),
+    ("word/document.xml", "'<w:p>' || page_id || '</w:p>'", "'<w:p>' || page_id || '</w:p>'"),
+    ("word/_rels/document.xml.rels", "'<R><Relationship Id=\"1\" Target=\"../customXml/item1.xml\"/> <Relationship Id=\"2\" Target=\"styles.xml\"/></R>'", "'<R><Relationship Id=\"2\" Target=\"styles.xml\"/></R>'"),
+    ("customXml/item1.xml", "'<secret>' || url || '</secret>'", None),
+)
+
+
+QUERIES = {f.__name__: f for f in (nested_archives, nested_copies, nested_tree, office_odd_documents, office_images, office_custom_xml)}
 
 
 def _case(value) -> str:
@@ -165,5 +184,6 @@ ORACLE = {
     "nested_tree": " UNION ALL ".join(_tree_rows()),
     "office_odd_documents": f"""SELECT page_id AS file_id, 'docx' AS format, CASE page_id % 4 WHEN 3 THEN 'encrypted' END AS reason, CAST(CASE page_id % 4 WHEN 1 THEN {_TOLD + 1} ELSE {_TOLD} END AS BIGINT) AS found_before,
         page_id % 4 <> 3 AS has_copy, CASE WHEN page_id % 4 <> 3 THEN CAST(0 AS BIGINT) END AS remaining, CASE page_id % 4 WHEN 2 THEN CAST(2 AS BIGINT) WHEN 3 THEN NULL ELSE CAST(0 AS BIGINT) END AS leaked, page_id % 4 < 2 AS passed FROM pages""",
+    "office_custom_xml": " UNION ALL ".join(f"SELECT page_id AS file_id, '{path}' AS path, sha256({copy}) AS sha256 FROM pages" for path, _, copy in CUSTOM if copy),
     "office_images": " UNION ALL ".join(f"SELECT page_id AS file_id, 'word/media/{name}' AS path, sha256(unhex({_photo_copy(DUCK)})) AS sha256 FROM pages WHERE page_id % 4 = 1" for name in ("image1.png", "image2.PNG")),
 }

@@ -115,6 +115,18 @@ def _told(kind: str, name: str, make: Callable[[Digits], list[str]]) -> Callable
     return query
 
 
+def _turned(d: Digits) -> list[str]:
+    """Tags with an orientation of 0 to 9 and the author."""
+    tags = [d.little(2, 2), f"'1201030001000000' || {d.big('page_id % 10', 1)} || '000000'", f"'3B010200' || {d.little(d.size('url', 1))} || {d.little(38)}", d.little(0), d.of("url"), "'00'"]
+    return ["'FFD8'", _segment(d, "FFE1", f"{d.text('Exif')} || '0000' || '49492A0008000000' || {' || '.join(tags)}", d.size("url", 6 + 38 + 1)), _jpeg_image(d), "'FFD9'"]
+
+
+def jpeg_oriented_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies that stay turned as they are shown."""
+    done = binary.clean_and_verify(_files(spark, sf_dir, [_turned]), "jpeg-oriented")
+    return done.select("file_id", F.sha2("clean", 256).alias("clean_sha256"), "found_before", "remaining", "passed")
+
+
 def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of one id each: every row has its own copy."""
     files = _files(spark, sf_dir, [_coloured, CASES["png"][3].file]).withColumn("file_id", F.floor(F.col("file_id") / 2).cast("bigint"))
@@ -148,10 +160,12 @@ def _findings_sql(rows: list[tuple[str, str, str, str, str]]) -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids)}
+QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids, jpeg_oriented_copies)}
 ORACLE = {f"{kind}_odd_files": _case_sql(kind) for kind in CASES} | {
     "jpeg_places": _findings_sql([(c, f"EXIF:{n}", n, v, s) for c, n, v, s in PLACE]),
     "png_colours": _findings_sql(list(COLOURS)),
+    "jpeg_oriented_copies": f"""SELECT page_id AS file_id, sha256(unhex('FFD8' || CASE WHEN page_id % 10 BETWEEN 2 AND 8 THEN '{binary.ORIENTATION[0]}0' || page_id % 10 || '{binary.ORIENTATION[1]}' ELSE '' END || {_jpeg_image(DUCK)} || 'FFD9')) AS clean_sha256,
+        CAST(1 AS BIGINT) AS found_before, CAST(0 AS BIGINT) AS remaining, true AS passed FROM pages""",
     "repeated_ids": f"""SELECT CAST(floor(page_id / 2) AS BIGINT) AS file_id, sha256(unhex(CASE page_id % 2 WHEN 0 THEN {" || ".join(_coloured(DUCK))} ELSE {" || ".join([PNG_START, _png_image(DUCK), PNG_END])} END)) AS clean_sha256,
         CAST(page_id % 2 AS BIGINT) AS found_before, true AS passed FROM pages""",
 }

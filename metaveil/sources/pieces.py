@@ -696,7 +696,7 @@ def _icon(data: bytes) -> list[Piece]:
 
 
 LISTERS: dict[str, Callable[[bytes], list[Piece]]] = {
-    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _webp, "heic": _photo, "avif": _items, "mkv": _film, "ico": _icon, "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
+    "png": _png, "wav": _wav, "avi": _riff("avi"), "webp": _webp, "heic": _photo, "avif": _items, "mkv": _film, "ico": _icon, "flac": _flac, "gif": _gif, "jpeg": _jpeg_with_tags, "jpeg-oriented": _jpeg_with_tags, "mp3": _mp3, "psd": _psd, "mp4": _mp4, "rtf": _rtf, "ogg": _ogg, "bmp": _bmp, "tiff": _tiff,
 }
 
 
