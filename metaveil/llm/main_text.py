@@ -8,8 +8,10 @@ contiguous region; nothing outside of it is kept. Of marked elements within the
 
 Marked are the elements of ASIDE, headers outside of articles, hidden ones, and those with a class, id or role of MARKS. A mark
 only lowers scores. It is void where its element holds an article or main element or, if the page has none, more than half of
-its unlinked words; the mark of a class also where the element holds a first heading. Only what is no text at all (scripts, styles and the
-other RAW elements, comments, tags) goes without a score.
+its unlinked words; the mark of a class also where the element holds a first heading. A heading that says nothing but COMMENTS
+marks what follows it in its parent. An article or main element keeps its own: unmarked words and tags in it score nothing
+below zero, so that lists of links there don't part it; where one holds the first heading, unmarked text outside scores as if
+it were marked. Only what is no text at all (scripts, styles and the other RAW elements, comments, tags) goes without a score.
 
 Defined cases: null, empty and text-less pages give an empty text; unclosed and stray tags are allowed, and take linear time; a
 quotation mark that nothing closes is an ordinary character; without any markup the whole text is one block; a null page_id
@@ -55,6 +57,12 @@ MARKS = set(
 #: Parts of names that turn the meaning of the rest: an element "with-sidebar" is none.
 TURNS = {"with", "has", "no", "without", "left", "right", "is", "post", "entry", "article"}
 
+#: Headings of what readers have written, in the languages of the tables, with or without their number.
+COMMENTS = re.compile(
+    r"\(?\d*\)?\s*(?:(?:reader|user|leser|usuario)s?\W?\s*)?(?:comments?|replies|responses|discussion|kommentare?|antworten|commentaires?|réponses|réactions|comentarios?|respuestas)\s*[:(]?\s*\d*\)?\s*:?", re.I
+)
+HEADINGS = ("h2", "h3", "h4", "h5", "h6")
+
 OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
 STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -132,6 +140,7 @@ class Step(NamedTuple):
     block: str
     link: bool
     mark: int  # index of the innermost marked element, -1: none
+    place: str  # in an article or main element, out of the one with the first heading, or nothing
 
 
 class Marked:
@@ -147,7 +156,10 @@ def steps(page: str) -> tuple[list[Step], list[Marked]]:
     found, marked = [], []
     stack: list[tuple[str, int]] = []  # open elements, and the mark outside of each
     opened: Counter[str] = Counter()
-    mark, block, words = -1, "", 0
+    mark, block, words, headed, heading = -1, "", 0, False, -1
+
+    def inside() -> str:
+        return "in" if opened["article"] + opened["main"] > 0 else "out"
 
     def close(depth: int) -> None:
         nonlocal mark
@@ -168,9 +180,19 @@ def steps(page: str) -> tuple[list[Step], list[Marked]]:
                 words += n
                 if mark >= 0:
                     marked[mark].words += n
-            found.append(Step("text", value, n, block, link, mark))
+            found.append(Step("text", value, n, block, link, mark, inside()))
             continue
         if kind == "/tag":
+            if value in HEADINGS and heading >= 0 and stack and stack[-1][0] == value:
+                if COMMENTS.fullmatch(" ".join(s.value for s in found[heading:] if s.kind == "text").strip()):
+                    close(len(stack) - 1)
+                    marked.append(Marked("comments", mark))
+                    mark = len(marked) - 1
+                    found[heading:] = [s._replace(mark=mark) for s in found[heading:]]
+                    found.append(Step(kind, value, 0, value, opened["a"] > 0, mark, inside()))
+                    heading = -1
+                    continue
+                heading = -1
             if opened[value]:
                 close(max(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == value) if stack[-1][0] != value else len(stack) - 1)
         else:
@@ -186,12 +208,16 @@ def steps(page: str) -> tuple[list[Step], list[Marked]]:
             if mark >= 0:
                 marked[mark].article |= value in ("article", "main")
                 marked[mark].heading |= value == "h1"
+            headed |= value == "h1" and inside() == "in"
+            heading = len(found) if value in HEADINGS else heading
             block = block if value in INLINE else value
-        found.append(Step(kind, value, 0, block, opened["a"] > 0, mark))
+        found.append(Step(kind, value, 0, block, opened["a"] > 0, mark, inside()))
     close(0)
+    if not headed:
+        found = [s._replace(place="") if s.place == "out" else s for s in found]
     articles = any(s.kind == "tag" and s.value in ("article", "main") for s in found)
     for m in marked:
-        if m.article or not articles and 2 * m.words > words or m.kind == "class" and m.heading:
+        if m.article or m.kind != "comments" and not articles and 2 * m.words > words or m.kind == "class" and m.heading:
             m.kind = ""
     for m in marked:  # outer elements stand before their inner ones
         if not m.kind and m.outer >= 0:
@@ -220,11 +246,15 @@ class Weights(NamedTuple):
     tag: dict[str, float]
 
     def of(self, step: Step, marked: list[Marked]) -> float:
-        if step.kind != "text":
-            return self.tag.get(step.value if step.kind == "tag" else f"/{step.value}", 0.0)
         kind = marked[step.mark].kind if step.mark >= 0 else ""
+        own = step.place == "in" and not kind
+        if step.kind != "text":
+            score = self.tag.get(step.value if step.kind == "tag" else f"/{step.value}", 0.0)
+            return max(score, 0.0) if own else score
+        kind = {"comments": "class"}.get(kind, kind) or ("name" if step.place == "out" else "")
         words = min(step.words, 1) if kind else step.words  # a long advert parts an article no more than a short one
-        return words * (self.word + self.block.get(step.block, 0.0) + self.link[step.link] + self.mark[kind])
+        score = words * (self.word + self.block.get(step.block, 0.0) + self.link[step.link] + self.mark[kind])
+        return max(score, 0.0) if own else score
 
 
 @cache

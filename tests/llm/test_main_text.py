@@ -82,3 +82,24 @@ def test_empty_table_and_repeated_rows(spark):
 def test_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a b c</p>", 9), (None, None, None, 9)], "page_id long, url string, html string, text int")
     assert sorted(main_text.main_text(rows).collect(), key=str) == [(1, "u", "a b c", 5), (None, None, "", 0)]
+
+
+LINKS = "".join(f"<li><a href='/{k}'>Source number {k}</a></li>" for k in range(12))
+BODY = "".join(f"<p>{w} words of the text that goes on for a while and says {w} again.</p>" for w in ("first", "second", "third"))
+WRITTEN = "".join(f"<p>I think so too, reader {k}, and I write a lot about it, more than the text itself has.</p>" for k in range(9))
+
+
+def test_an_article_keeps_its_title_and_its_links():
+    first = main_text.extract(f"<nav><a href=/>x</a></nav><article><h1>The title</h1><ul>{LINKS}</ul>{BODY}</article><footer>foot</footer>")
+    last = main_text.extract(f"<body><div><a href=/>Home</a></div><main><h1>The title</h1>{BODY}<h2>Sources</h2><ol>{LINKS}</ol></main><footer>foot</footer>")
+    for text in (first, last):
+        assert text.startswith("The title\n") and all(f"Source number {k}" in text for k in range(12)) and "third again." in text and "foot" not in text and "Home" not in text
+
+
+def test_what_readers_write_goes():
+    for heading in ("Comments", "12 Comments", "Reader comments (3)", "Kommentare", "3 Commentaires:", "Comentarios", "Replies"):
+        for page in ("<article><h1>The title</h1>{0}</article><section id='c'><h3>{1}</h3>{2}</section>", "<div><h1>The title</h1>{0}</div><div><h2>{1}</h2>{2}</div>", "<main><h1>The title</h1>{0}<section><h4>{1}</h4>{2}</section></main>"):
+            assert main_text.extract(page.format(BODY, heading, WRITTEN)) == main_text.extract(f"<h1>The title</h1>{BODY}"), (heading, page)
+    assert "reader" not in main_text.extract(f"<article><h1>The title</h1>{BODY}</article><section>{WRITTEN}</section>")  # outside of what has the title
+    kept = main_text.extract(f"<article><h1>The title</h1>{BODY}<h2>Comments on the plan</h2><p>These are part of it.</p></article>")
+    assert kept.endswith("Comments on the plan\nThese are part of it.")
