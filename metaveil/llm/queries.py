@@ -214,6 +214,17 @@ ORACLE: dict[str, str] = {
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR bad_host THEN 'block' ELSE 'allow' END AS verdict
         FROM r JOIN j USING (host)
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+        first AS (SELECT h, min(doc_id) AS owner FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT r, unnest(range(k, k + 50)) AS place FROM win JOIN first USING (h) WHERE doc_id > owner),
+        kept AS (
+            SELECT r, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+            FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d) ANTI JOIN gone USING (r, place) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
     "op11_vector_codes": _lloyd(),
     "op13_hard_negatives": f"""
         WITH e AS (
