@@ -160,7 +160,7 @@ def _reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
         step = written(more, "reached")
         if step.isEmpty():
             return seen
-        seen = written(seen.union(step), "reached")
+        seen = seen.union(step)  # of written tables, one for each step
 
 
 def copies(rows: DataFrame, defined: DataFrame, trailer: DataFrame, authors: DataFrame) -> DataFrame:
