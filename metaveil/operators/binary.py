@@ -956,6 +956,7 @@ class Format:
     sized: bool = False  # a file without width and height is malformed
     same_size: bool = False  # a copy must have those of the original
     holds: Callable[[Column, Column], Column] = field(default=lambda content, pieces: F.lit(0))  # what a copy must hold as the original does
+    needs: Callable[[Column, Column], Column] = field(default=lambda content, pieces: F.lit(True))  # what any copy must hold
 
     def found(self, pieces: Column) -> Column:
         told = self.findings(pieces) if self.findings else F.filter(F.transform(pieces, self.piece), lambda f: f.isNotNull())
@@ -982,7 +983,7 @@ def _tiff(name: str) -> Callable:
 
 FORMATS = {
     "webp": Format(None, _webp_copy, findings=_webp_findings, size=_webp_size, sized=True),
-    "avif": Format(None, _item_copy, findings=_item_findings, size=_item_size, sized=True, holds=lambda c, p: F.exists(p, lambda x: F.startswith(x["kind"], F.lit("primary:")))),
+    "avif": Format(None, _item_copy, findings=_item_findings, size=_item_size, sized=True, needs=lambda c, p: F.exists(p, lambda x: F.startswith(x["kind"], F.lit("primary:")))),
     "ico": Format(None, _icon_copy, findings=_icon_findings, size=_icon_size),
     "mkv": Format(None, lambda c, p: overwritten(c, p, _film_edits), findings=_film_findings),
     "tiff": Format(None, _tiff("copy"), findings=_tiff("findings"), size=_tiff("size"), sized=True, same_size=True, holds=_tiff("has_profile")),
@@ -1011,6 +1012,32 @@ def register(format_id: str, lister: Callable[[bytes], list], rules: Format) ->
     LISTERS[format_id], FORMATS[format_id] = lister, rules
 
 
+#: The pieces that are the sound, film or image itself, and where in them it begins; the chunk of a WAV is as long as its header says.
+MEDIA: dict[str, tuple[Found, Found]] = {
+    "mp3": (lambda p: p["kind"] == "audio", lambda p: p["body"]),
+    "flac": (lambda p: p["kind"] == "audio", lambda p: p["body"]),
+    "wav": (lambda p: (p["kind"] == "data") & (p["depth"] == 0), lambda p: p["body"]),
+    "avi": (lambda p: (p["kind"] == "LIST") & _begins(p, "movi"), lambda p: p["body"] + 4),
+    "mp4": (lambda p: (p["kind"] == "mdat") & (p["depth"] == 0), lambda p: p["body"]),
+    "psd": (lambda p: p["kind"] == "after", lambda p: p["body"]),
+    "tiff": (lambda p: p["depth"] == 3, lambda p: p["body"]),
+}
+
+
+def media(files: DataFrame, format_id: str) -> DataFrame:
+    """files without content, with media_sha256: a digest of what a copy must hold byte for byte; null for files that are broken."""
+    chosen, begins = MEDIA[format_id]
+
+    def part(p: Column) -> Column:
+        stated = number(F.substring(F.col("content"), p["start"] + 5, F.lit(4)), 0, 4, "little")
+        stop = F.least(p["stop"].cast("bigint"), p["body"] + stated) if format_id == "wav" else p["stop"]
+        return F.hex(F.substring(F.col("content"), begins(p) + 1, (stop - begins(p)).cast("int")))
+
+    rows = with_pieces(files, format_id)
+    digits = F.array_join(F.transform(F.filter("pieces", chosen), part), "")
+    return rows.select(*[c for c in files.columns if c != "content"], F.sha2(F.unhex(digits), 256).alias("media_sha256"))
+
+
 def of_format(format_id: str | None, make: Callable[[Format], Column]) -> Column:
     """The column that a format makes; without an id, by the column format of each row."""
     if format_id:
@@ -1064,7 +1091,8 @@ def clean_and_verify(files: DataFrame, format_id: str | None = None, gated: bool
     remaining = F.when(content.isNotNull(), F.size(personal(of_format(format_id, lambda f: f.found(pieces)))).cast("bigint"))
     same = of_format(format_id, lambda f: F.coalesce(f.dimensions(content, pieces) == F.col("dimensions"), F.col("dimensions").isNull()) if f.same_size else F.lit(True))
     held = of_format(format_id, lambda f: f.holds(content, pieces).cast("int")) >= F.col("holds")
-    passed = content.isNotNull() & pieces.isNotNull() & (remaining == 0) & same & held
+    whole = of_format(format_id, lambda f: f.needs(content, pieces))
+    passed = content.isNotNull() & pieces.isNotNull() & (remaining == 0) & same & held & whole
     others = [c for c in files.columns if c not in ("content", "reason")]
     return again.select(
         *others, F.when(content.isNull(), "error").otherwise("ok").alias("status"), "reason", content.alias("clean"), "found_before", "raw", remaining.alias("remaining"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaveil.operators import binary, findings
+from metaveil.plans.binary import files as sample_files
 from metaveil.plans.binary import DUCK, GIF_IMAGE, MP4_START, PNG_END, PNG_START, SPARK, Digits, _box, _chunk, _jpeg_image, _movie, _png_image, _segment
 
 
@@ -127,6 +128,22 @@ def jpeg_oriented_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("file_id", F.sha2("clean", 256).alias("clean_sha256"), "found_before", "remaining", "passed")
 
 
+#: Formats whose samples hold the page as their media, and what stands before it.
+MEDIA = {"mp3": "FFFB9000", "flac": "", "wav": "", "mp4": "", "psd": "", "tiff": ""}
+
+
+def media_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the sound, film or image itself, of files and of their copies."""
+    told = None
+    for kind in MEDIA:
+        files = sample_files(spark, sf_dir, kind)
+        copies = binary.clean(files, kind).select("file_id", "content")
+        both = binary.media(files, kind).withColumn("copy", F.lit(False)).union(binary.media(copies, kind).withColumn("copy", F.lit(True)))
+        both = both.withColumn("format", F.lit(kind))
+        told = both if told is None else told.union(both)
+    return told
+
+
 def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of one id each: every row has its own copy."""
     files = _files(spark, sf_dir, [_coloured, CASES["png"][3].file]).withColumn("file_id", F.floor(F.col("file_id") / 2).cast("bigint"))
@@ -160,12 +177,15 @@ def _findings_sql(rows: list[tuple[str, str, str, str, str]]) -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids, jpeg_oriented_copies)}
+QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids, jpeg_oriented_copies, media_kept)}
 ORACLE = {f"{kind}_odd_files": _case_sql(kind) for kind in CASES} | {
     "jpeg_places": _findings_sql([(c, f"EXIF:{n}", n, v, s) for c, n, v, s in PLACE]),
     "png_colours": _findings_sql(list(COLOURS)),
     "jpeg_oriented_copies": f"""SELECT page_id AS file_id, sha256(unhex('FFD8' || CASE WHEN page_id % 10 BETWEEN 2 AND 8 THEN '{binary.ORIENTATION[0]}0' || page_id % 10 || '{binary.ORIENTATION[1]}' ELSE '' END || {_jpeg_image(DUCK)} || 'FFD9')) AS clean_sha256,
         CAST(1 AS BIGINT) AS found_before, CAST(0 AS BIGINT) AS remaining, true AS passed FROM pages""",
+    "media_kept": " UNION ALL ".join(
+        f"SELECT page_id AS file_id, sha256(unhex('{before}' || {DUCK.of('html')})) AS media_sha256, {copy} AS copy, '{kind}' AS format FROM pages" for kind, before in MEDIA.items() for copy in ("false", "true")
+    ),
     "repeated_ids": f"""SELECT CAST(floor(page_id / 2) AS BIGINT) AS file_id, sha256(unhex(CASE page_id % 2 WHEN 0 THEN {" || ".join(_coloured(DUCK))} ELSE {" || ".join([PNG_START, _png_image(DUCK), PNG_END])} END)) AS clean_sha256,
         CAST(page_id % 2 AS BIGINT) AS found_before, true AS passed FROM pages""",
 }

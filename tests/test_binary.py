@@ -184,3 +184,25 @@ def samples_icon():
         out += bytes([16, 16]) + bytes(6) + len(image).to_bytes(4, "little") + at.to_bytes(4, "little")
         at += len(image)
     return out + b"".join(images)
+
+
+def test_items_that_cannot_be_cleaned_in_place(spark):
+    data = samples.files(spark, SF, "avif").orderBy("file_id").first().content
+    data = bytes(data)
+    at = data.index(b"\0\3\0\0\0\1") + 10  # how long the third item is
+    beyond = data[:at] + b"\0\xff\xff\xff" + data[at + 4 :]
+    plain = data.replace(b"\0Exif\0", b"\0abcd\0").replace(b"application/xmp+xml", b"application/abc+xml")
+    nameless = data.replace(b"pitm", b"xxxx")
+    many = data.replace(b"\x44\0\0\3", b"\x44\0\xff\xff")  # more places than their box holds
+    rows = one(spark, "avif", beyond, plain, nameless, many, data[:100], data)
+    assert [r.status for r in rows] == ["error", "ok", "ok", "error", "error", "ok"]
+    assert rows[1].clean == plain and rows[1].passed and rows[1].found_before == 0
+    assert [r.passed for r in rows] == [False, True, False, False, False, True]
+
+
+@pytest.mark.parametrize("kind", binary.MEDIA)
+def test_media_stay_as_they_are(spark, kind):
+    files = samples.files(spark, SF, kind).where("file_id < 4")
+    copies = binary.clean(files, kind).select("file_id", "content")
+    before, after = (dict(binary.media(rows, kind).collect()) for rows in (files, copies))
+    assert before == after and len(before) == 4 and None not in before.values()
