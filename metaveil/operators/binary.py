@@ -1005,6 +1005,51 @@ FORMATS = {
 }
 
 
+#: Chunks of a PNG that are about colour, and what a profile without a name is called.
+COLOUR_CHUNKS, PROFILE = ("iCCP", "sRGB", "gAMA", "cHRM"), "ICC profile"
+PRESERVED = "struct<has_profile:boolean,profile:string,transparent:boolean,colours:array<string>>"
+
+
+def _preserved(profile: Column, transparent: Column, colours: Column) -> Column:
+    return F.struct(profile.isNotNull().alias("has_profile"), profile.alias("profile"), F.coalesce(transparent, F.lit(False)).alias("transparent"), colours.alias("colours"))
+
+
+def _png_preserved(pieces: Column) -> Column:
+    first = F.try_element_at(F.filter(pieces, lambda p: p["kind"] == "iCCP"), F.lit(1))
+    name = let(first, lambda p: F.when(p.isNotNull(), F.coalesce(filled(F.regexp_extract(F.decode(F.substring(p["head"], 1, 128), "ISO-8859-1"), "(?s)^([^\0]*)\0", 1)), F.lit(PROFILE))))
+    colours = F.transform(F.filter(pieces, lambda p: p["kind"].isin(*COLOUR_CHUNKS)), lambda p: p["kind"])
+    return _preserved(name, F.exists(pieces, lambda p: p["kind"] == "tRNS"), colours)
+
+
+def _jpeg_preserved(pieces: Column) -> Column:
+    first = F.try_element_at(F.filter(pieces, lambda p: (p["kind"] == "e2") & (p["stop"] - p["body"] > 12)), F.lit(1))
+    return let(first, lambda p: let(F.when(_begins(p, "ICC_PROFILE"), PROFILE), lambda name: _preserved(name, F.lit(False), F.when(name.isNotNull(), F.array(F.lit("ICC Profile (APP2)"))).otherwise(F.array().cast("array<string>")))))
+
+
+def _webp_preserved(pieces: Column) -> Column:
+    header = F.try_element_at(F.filter(pieces, lambda p: p["kind"] == "VP8X"), F.lit(1))
+    name = F.when(F.exists(pieces, lambda p: p["kind"] == "ICCP"), "ICC profile (WebP)")
+    return _preserved(name, number(header["head"], 0, 1).bitwiseAND(F.lit(0x10)) > 0, F.when(name.isNotNull(), F.array(F.lit("ICCP"))).otherwise(F.array().cast("array<string>")))
+
+
+def _tiff_preserved(pieces: Column) -> Column:
+    name = F.when(F.exists(pieces, lambda p: F.startswith(p["kind"], F.lit("entry:")) & (F.split(p["kind"], ":")[2] == "34675")), PROFILE)
+    return _preserved(name, F.lit(False), F.when(name.isNotNull(), F.array(F.lit(PROFILE))).otherwise(F.array().cast("array<string>")))
+
+
+KEEPING = {"png": _png_preserved, "jpeg": _jpeg_preserved, "webp": _webp_preserved, "tiff": _tiff_preserved}
+
+
+def preserved(files: DataFrame, format_id: str) -> DataFrame:
+    """files without content, with width, height, has_profile, profile, transparent, colours: what a copy keeps; the same columns for all formats."""
+    rows = with_pieces(files, format_id)
+    pieces = F.col("pieces")
+    nothing = _preserved(F.lit(None).cast("string"), F.lit(format_id == "ico"), F.array().cast("array<string>"))
+    told = F.coalesce(F.when(pieces.isNotNull(), KEEPING[format_id](pieces)) if format_id in KEEPING else F.lit(None).cast(PRESERVED), nothing)
+    rows = rows.withColumn("_size", FORMATS[format_id].dimensions(F.col("content"), pieces)).withColumn("_kept", told)
+    return rows.select(*[c for c in files.columns if c != "content"], F.col("_size.width").alias("width"), F.col("_size.height").alias("height"), "_kept.*")
+
+
 def register(format_id: str, lister: Callable[[bytes], list], rules: Format) -> None:
     """A format of one's own: lister gives the pieces of a file (kind, depth, start, body, stop) and raises Broken for what is none; rules say what they mean."""
     if format_id in FORMATS:

@@ -144,6 +144,25 @@ def media_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told
 
 
+def _profiled(d: Digits) -> list[str]:
+    return ["'FFD8'", _segment(d, "FFE2", f"{d.text('ICC_PROFILE')} || '000101' || {d.of('url')}", d.size("url", 14)), _jpeg_image(d), "'FFD9'"]
+
+
+def _named_profile(d: Digits) -> list[str]:
+    return [PNG_START, _chunk(d, "iCCP", f"{d.text('Wide')} || '0000' || {d.of('url')}", d.size("url", 6)), _chunk(d, "tRNS", "'00'", 1), _png_image(d), PNG_END]
+
+
+def preserved_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What copies of images keep: size, profile, transparency, chunks of colour."""
+    made = {"jpeg": [_profiled, CASES["jpeg"][3].file], "png": [_coloured, _named_profile], "gif": [CASES["gif"][2].file], "tiff": None, "webp": None, "wav": None}
+    told = None
+    for kind, makers in made.items():
+        files = _files(spark, sf_dir, makers) if makers else sample_files(spark, sf_dir, kind)
+        rows = binary.preserved(files, kind).withColumn("colours", F.array_join("colours", ",")).withColumn("format", F.lit(kind))
+        told = rows if told is None else told.union(rows)
+    return told
+
+
 def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of one id each: every row has its own copy."""
     files = _files(spark, sf_dir, [_coloured, CASES["png"][3].file]).withColumn("file_id", F.floor(F.col("file_id") / 2).cast("bigint"))
@@ -177,12 +196,21 @@ def _findings_sql(rows: list[tuple[str, str, str, str, str]]) -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids, jpeg_oriented_copies, media_kept)}
+QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids, jpeg_oriented_copies, media_kept, preserved_info)}
 ORACLE = {f"{kind}_odd_files": _case_sql(kind) for kind in CASES} | {
     "jpeg_places": _findings_sql([(c, f"EXIF:{n}", n, v, s) for c, n, v, s in PLACE]),
     "png_colours": _findings_sql(list(COLOURS)),
     "jpeg_oriented_copies": f"""SELECT page_id AS file_id, sha256(unhex('FFD8' || CASE WHEN page_id % 10 BETWEEN 2 AND 8 THEN '{binary.ORIENTATION[0]}0' || page_id % 10 || '{binary.ORIENTATION[1]}' ELSE '' END || {_jpeg_image(DUCK)} || 'FFD9')) AS clean_sha256,
         CAST(1 AS BIGINT) AS found_before, CAST(0 AS BIGINT) AS remaining, true AS passed FROM pages""",
+    "preserved_info": " UNION ALL ".join(
+        f"SELECT page_id AS file_id, CAST({w} AS BIGINT) AS width, CAST({h} AS BIGINT) AS height, {p} IS NOT NULL AS has_profile, {p} AS profile, {t} AS transparent, {c} AS colours, '{kind}' AS format FROM pages"
+        for kind, w, h, p, t, c in (
+            ("jpeg", "CASE WHEN page_id % 2 = 0 THEN 1 ELSE 8000 END", "CASE WHEN page_id % 2 = 0 THEN 1 ELSE 5000 END", "CASE WHEN page_id % 2 = 0 THEN 'ICC profile' END", "false", "CASE WHEN page_id % 2 = 0 THEN 'ICC Profile (APP2)' ELSE '' END"),
+            ("png", "1", "2", "CASE WHEN page_id % 2 = 1 THEN 'Wide' END", "page_id % 2 = 1", "CASE WHEN page_id % 2 = 0 THEN 'gAMA,cHRM' ELSE 'iCCP' END"),
+            ("gif", "page_id % 5000 + 1", "3", "CAST(NULL AS VARCHAR)", "false", "''"), ("tiff", "1", "1", "CAST(NULL AS VARCHAR)", "false", "''"),
+            ("webp", "100", "200", "'ICC profile (WebP)'", "false", "'ICCP'"), ("wav", "NULL", "NULL", "CAST(NULL AS VARCHAR)", "false", "''"),
+        )
+    ),
     "media_kept": " UNION ALL ".join(
         f"SELECT page_id AS file_id, sha256(unhex('{before}' || {DUCK.of('html')})) AS media_sha256, {copy} AS copy, '{kind}' AS format FROM pages" for kind, before in MEDIA.items() for copy in ("false", "true")
     ),
