@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from metaveil.functions.bytes import cp1252, cstring, little, number, stripped, utf8
 from metaveil.operators.findings import TECHNICAL
 from metaveil.operators.svg import FINDING, let
-from metaveil.sources.pieces import LISTERS, with_pieces
+from metaveil.sources.pieces import BMP_EMBEDDED, LISTERS, with_pieces
 
 Found = Callable[[Column], Column]
 
@@ -996,7 +996,7 @@ FORMATS = {
     # an option: the orientation stays
     "jpeg-oriented": Format(None, _oriented_copy, findings=_jpeg_findings, size=_jpeg_size, sized=True),
     "mp3": Format(_mp3, lambda c, p: cut(c, p, lambda x: x["kind"] == "audio")),
-    "psd": Format(_psd, _psd_copy, size=_psd_size, same_size=True, holds=lambda c, p: F.exists(p, lambda x: x["kind"] == "8BIM:1039")),
+    "psd": Format(_psd, _psd_copy, size=_psd_size, same_size=True, holds=lambda c, p: F.exists(p, lambda x: x["kind"] == PSD_PROFILE)),
     "bmp": Format(_bmp, _bmp_copy, size=_bmp_size, sized=True, same_size=True),
     "ogg": Format(_ogg, _ogg_copy),
     # the copy is text again: bytes beyond ASCII become UTF-8
@@ -1007,6 +1007,8 @@ FORMATS = {
 
 #: Chunks of a PNG that are about colour, and what a profile without a name is called.
 COLOUR_CHUNKS, PROFILE = ("iCCP", "sRGB", "gAMA", "cHRM"), "ICC profile"
+#: Fixed value: the resource of a layered image that is its profile.
+PSD_PROFILE = "8BIM:1039"
 PRESERVED = "struct<has_profile:boolean,profile:string,transparent:boolean,colours:array<string>>"
 
 
@@ -1033,11 +1035,24 @@ def _webp_preserved(pieces: Column) -> Column:
 
 
 def _tiff_preserved(pieces: Column) -> Column:
-    name = F.when(F.exists(pieces, lambda p: F.startswith(p["kind"], F.lit("entry:")) & (F.split(p["kind"], ":")[2] == "34675")), PROFILE)
-    return _preserved(name, F.lit(False), F.when(name.isNotNull(), F.array(F.lit(PROFILE))).otherwise(F.array().cast("array<string>")))
+    return _titled(F.exists(pieces, lambda p: F.startswith(p["kind"], F.lit("entry:")) & (F.split(p["kind"], ":")[2] == "34675")))
 
 
-KEEPING = {"png": _png_preserved, "jpeg": _jpeg_preserved, "webp": _webp_preserved, "tiff": _tiff_preserved}
+def _titled(present: Column) -> Column:
+    """What is kept of a profile without a name of its own."""
+    return let(F.when(present, PROFILE), lambda name: _preserved(name, F.lit(False), F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))))
+
+
+def _psd_preserved(pieces: Column) -> Column:
+    return _titled(F.exists(pieces, lambda p: p["kind"] == PSD_PROFILE))
+
+
+def _bmp_preserved(pieces: Column) -> Column:
+    body = F.element_at(pieces, 1)["head"]
+    return _titled((number(body, 14, 4, "little") >= 108) & (F.substring(body, 71, 4) == F.lit(BMP_EMBEDDED)))
+
+
+KEEPING = {"png": _png_preserved, "jpeg": _jpeg_preserved, "webp": _webp_preserved, "tiff": _tiff_preserved, "psd": _psd_preserved, "bmp": _bmp_preserved}
 
 
 def preserved(files: DataFrame, format_id: str) -> DataFrame:

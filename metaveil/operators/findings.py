@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metaveil.functions.formats import first_match
+
 #: Colour information that is no personal trace.
 TECHNICAL = ("PNG:iCCP", "PNG:sRGB", "PNG:gAMA", "PNG:cHRM", "WebP:ICCP")
 #: Words in a category, in order, and the label or bucket they lead to.
@@ -12,6 +14,31 @@ LABELS = (
     ("geolocation", "gps"), ("author", "author"), ("dates", "dates"), ("software", "app"), ("app", "app"), ("device", "device"), ("title", "title"),
     ("identifier", "identifier"), ("custom", "custom"), ("thumbnail", "thumbnail"), ("container", "containers"), ("xmp", "containers"),
 )
+#: What a finding is said to mean, by its severity, by its field, and by the field before a keyword (%s), or no keyword.
+SEVERITIES = {
+    "high": "Может раскрыть конфиденциальную информацию.",
+    "medium": "Может связать файл с источником или устройством.",
+    "low": "Техническая информация, маловероятно раскрытие личных данных.",
+}
+DESCRIPTIONS = {
+    "PNG:iCCP": "Технические данные для точной цветопередачи. Сохраняются при очистке.",
+    "PNG:sRGB": "Технические данные цветопередачи sRGB. Сохраняются при очистке.",
+    "PNG:gAMA": "Технические данные гамма-коррекции. Сохраняются при очистке.",
+    "PNG:cHRM": "Технические данные цветности. Сохраняются при очистке.",
+    "PNG:eXIf": "EXIF-метаданные, встроенные в PNG. Могут содержать GPS, данные камеры, автора.",
+    "PNG:tIME": "Временная метка последнего изменения PNG-файла.",
+    "WebP:EXIF": "EXIF-метаданные в WebP. Могут содержать GPS, данные камеры, автора, дату съёмки.",
+    "WebP:XMP": "Расширяемая платформа метаданных Adobe. Может содержать автора, описание, историю.",
+    "WebP:XMP:Creator": "Имя автора изображения из XMP-метаданных.",
+    "WebP:ICCP": "Технические данные цветопередачи. Сохраняются при очистке.",
+}
+OTHER_CHUNK = "Служебный блок метаданных PNG. Может содержать дополнительную информацию о файле."
+KEYWORDS = {
+    "PNG:tEXt:": "Текстовые метаданные PNG (%s).",
+    "PNG:zTXt:": "Сжатые текстовые метаданные PNG (%s).",
+    "PNG:iTXt:": "Международные текстовые метаданные PNG (%s).",
+}
+NO_KEYWORD = "без названия"
 BUCKETS = (
     ("author", "author"), ("dates", "dates"), ("software", "app"), ("app", "app"), ("geolocation", "gps"), ("device", "device"),
     ("container", "containers"), ("xmp", "containers"),
@@ -35,6 +62,19 @@ def rank(severity: Column) -> Column:
     return F.when(severity == "high", 2).when(severity == "medium", 1).otherwise(0)
 
 
+def description(field: Column, severity: Column) -> Column:
+    """What a finding means, in words: tags of photographs by their severity, those of other images by their field; empty for other formats."""
+    keyed = F.lit(None).cast("string")
+    for before, text in KEYWORDS.items():
+        keyword = F.substring(field, F.lit(len(before) + 1), F.length(field))
+        keyed = F.when(F.startswith(field, F.lit(before)), F.format_string(text, F.when(keyword == "", NO_KEYWORD).otherwise(keyword))).otherwise(keyed)
+    told = F.when(F.startswith(field, F.lit("EXIF:")), first_match({text: severity == name for name, text in SEVERITIES.items()}))
+    by_field = F.lit(None).cast("string")
+    for name, text in DESCRIPTIONS.items():
+        by_field = F.when(field == name, text).otherwise(by_field)
+    return F.coalesce(told, by_field, keyed, F.when(F.startswith(field, F.lit("PNG:")), OTHER_CHUNK), F.lit(""))
+
+
 def _first(category: Column, rules: tuple, otherwise: Column) -> Column:
     for word, label in reversed(rules):
         otherwise = F.when(F.contains(category, F.lit(word)), F.lit(label)).otherwise(otherwise)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from metaveil.operators import binary, findings
 from metaveil.plans.binary import files as sample_files
-from metaveil.plans.binary import DUCK, GIF_IMAGE, MP4_START, PNG_END, PNG_START, SPARK, Digits, _box, _chunk, _jpeg_image, _movie, _png_image, _segment
+from metaveil.plans.binary import DUCK, GIF_IMAGE, MP4_START, PNG_END, PNG_START, SAMPLES, SPARK, Digits, _bitmap, _box, _chunk, _jpeg_image, _movie, _png_image, _segment
 
 
 @dataclass(frozen=True)
@@ -152,9 +152,14 @@ def _named_profile(d: Digits) -> list[str]:
     return [PNG_START, _chunk(d, "iCCP", f"{d.text('Wide')} || '0000' || {d.of('url')}", d.size("url", 6)), _chunk(d, "tRNS", "'00'", 1), _png_image(d), PNG_END]
 
 
+def _embedded_profile(d: Digits) -> list[str]:
+    """A bitmap with a profile behind its one pixel."""
+    return [d.text("BM"), d.little(0), "'00000000'", d.little(138), d.little(124), *_bitmap(d, "DEBM", 128, d.size("url")), "repeat('11', 4)", d.of("url")]
+
+
 def preserved_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What copies of images keep: size, profile, transparency, chunks of colour."""
-    made = {"jpeg": [_profiled, CASES["jpeg"][3].file], "png": [_coloured, _named_profile], "gif": [CASES["gif"][2].file], "tiff": None, "webp": None, "wav": None}
+    made = {"jpeg": [_profiled, CASES["jpeg"][3].file], "png": [_coloured, _named_profile], "gif": [CASES["gif"][2].file], "tiff": None, "webp": None, "wav": None, "psd": None, "bmp": [_embedded_profile, SAMPLES["bmp"].file]}
     told = None
     for kind, makers in made.items():
         files = _files(spark, sf_dir, makers) if makers else sample_files(spark, sf_dir, kind)
@@ -163,6 +168,22 @@ def preserved_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told
 
 
+def _unnamed(d: Digits) -> list[str]:
+    """Texts with and without a keyword, a time, and a chunk of another kind."""
+    texts = [_chunk(d, "tEXt", f"'00' || {d.of('url')}", d.size("url", 1)), _chunk(d, "zTXt", f"{d.text('Author')} || '0000'", 8), _chunk(d, "iTXt", f"{d.text('Note')} || '0000000000'", 9)]
+    return [PNG_START, *texts, _chunk(d, "tIME", "'07E80102030405'", 7), _chunk(d, "sTER", "'00'", 1), _chunk(d, "gAMA", d.big(45455), 4), _png_image(d), PNG_END]
+
+
+def finding_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of each finding: of photographs with tags and places, of images with texts, of extended headers."""
+    made = {"jpeg": _files(spark, sf_dir, [SAMPLES["jpeg"].file, _located]), "png": _files(spark, sf_dir, [_unnamed]), "webp": sample_files(spark, sf_dir, "webp")}
+    told = None
+    for kind, files in made.items():
+        rows = findings.explode(binary.scan(files, kind)).select("file_id", "pos", "field", findings.description(F.col("field"), F.col("severity")).alias("description"))
+        told = rows if told is None else told.union(rows)
+    return told
+
+
 def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of one id each: every row has its own copy."""
     files = _files(spark, sf_dir, [_coloured, CASES["png"][3].file]).withColumn("file_id", F.floor(F.col("file_id") / 2).cast("bigint"))
@@ -196,7 +217,22 @@ def _findings_sql(rows: list[tuple[str, str, str, str, str]]) -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids, jpeg_oriented_copies, media_kept, preserved_info)}
+_HIGH, _MEDIUM = "Может раскрыть конфиденциальную информацию.", "Может связать файл с источником или устройством."
+#: which pages (SQL), field, description
+DESCRIBED = (
+    *(("page_id % 2 = 0", k, field, text) for k, (field, text) in enumerate((("EXIF:Artist", _HIGH), ("JPEG:Comment", "")))),
+    *(("page_id % 2 = 1", k, f"EXIF:{n}", _HIGH if s == "high" else _MEDIUM) for k, (_, n, _, s) in enumerate(PLACE)),
+    ("true", 0, "PNG:tEXt:", "Текстовые метаданные PNG (без названия)."), ("true", 1, "PNG:zTXt:Author", "Сжатые текстовые метаданные PNG (Author)."),
+    ("true", 2, "PNG:iTXt:Note", "Международные текстовые метаданные PNG (Note)."), ("true", 3, "PNG:tIME", "Временная метка последнего изменения PNG-файла."),
+    ("true", 4, "PNG:sTER", "Служебный блок метаданных PNG. Может содержать дополнительную информацию о файле."),
+    ("true", 5, "PNG:gAMA", "Технические данные гамма-коррекции. Сохраняются при очистке."),
+    ("true", 0, "WebP:EXIF", "EXIF-метаданные в WebP. Могут содержать GPS, данные камеры, автора, дату съёмки."),
+    ("true", 1, "WebP:XMP", "Расширяемая платформа метаданных Adobe. Может содержать автора, описание, историю."),
+    ("true", 2, "WebP:XMP:Creator", "Имя автора изображения из XMP-метаданных."), ("true", 3, "WebP:ICCP", "Технические данные цветопередачи. Сохраняются при очистке."),
+)
+
+
+QUERIES = {f.__name__: f for f in (*map(_verified, CASES), _told("jpeg", "jpeg_places", _located), _told("png", "png_colours", _coloured), repeated_ids, jpeg_oriented_copies, media_kept, preserved_info, finding_descriptions)}
 ORACLE = {f"{kind}_odd_files": _case_sql(kind) for kind in CASES} | {
     "jpeg_places": _findings_sql([(c, f"EXIF:{n}", n, v, s) for c, n, v, s in PLACE]),
     "png_colours": _findings_sql(list(COLOURS)),
@@ -209,8 +245,12 @@ ORACLE = {f"{kind}_odd_files": _case_sql(kind) for kind in CASES} | {
             ("png", "1", "2", "CASE WHEN page_id % 2 = 1 THEN 'Wide' END", "page_id % 2 = 1", "CASE WHEN page_id % 2 = 0 THEN 'gAMA,cHRM' ELSE 'iCCP' END"),
             ("gif", "page_id % 5000 + 1", "3", "CAST(NULL AS VARCHAR)", "false", "''"), ("tiff", "1", "1", "CAST(NULL AS VARCHAR)", "false", "''"),
             ("webp", "100", "200", "'ICC profile (WebP)'", "false", "'ICCP'"), ("wav", "NULL", "NULL", "CAST(NULL AS VARCHAR)", "false", "''"),
+            ("psd", "2", "1", "'ICC profile'", "false", "'ICC profile'"), ("bmp", "1", "1", "CASE WHEN page_id % 2 = 0 THEN 'ICC profile' END", "false", "CASE WHEN page_id % 2 = 0 THEN 'ICC profile' ELSE '' END"),
         )
     ),
+    "finding_descriptions": " UNION ALL ".join(
+        f"SELECT page_id AS file_id, CAST({k} AS INTEGER) AS pos, '{field}' AS field, '{text}' AS description FROM pages WHERE {pages}" for pages, k, field, text in DESCRIBED
+    ),
     "media_kept": " UNION ALL ".join(
         f"SELECT page_id AS file_id, sha256(unhex('{before}' || {DUCK.of('html')})) AS media_sha256, {copy} AS copy, '{kind}' AS format FROM pages" for kind, before in MEDIA.items() for copy in ("false", "true")
     ),

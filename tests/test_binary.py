@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from metaveil.operators import binary, mail, packages, relations
+from metaveil.operators import binary, findings, mail, packages, relations
 from metaveil.plans import binary as samples
 from metaveil.sources.archives import entries, rebuilt
 
@@ -206,3 +206,12 @@ def test_media_stay_as_they_are(spark, kind):
     copies = binary.clean(files, kind).select("file_id", "content")
     before, after = (dict(binary.media(rows, kind).collect()) for rows in (files, copies))
     assert before == after and len(before) == 4 and None not in before.values()
+
+
+def test_descriptions_of_findings(spark):
+    rows = [("EXIF:Artist", "high"), ("EXIF:Flash", "low"), ("PNG:tEXt:a:b", "medium"), ("PNG:iTXt:", "medium"), ("PNG:vpAg", "medium"), ("GIF:Comment", "high"), (None, None)]
+    frame = spark.createDataFrame(rows, "field string, severity string")
+    told = [r[0] for r in frame.select(findings.description(F.col("field"), F.col("severity"))).collect()]
+    assert told[:2] == [findings.SEVERITIES["high"], findings.SEVERITIES["low"]]
+    assert told[2:4] == ["Текстовые метаданные PNG (a:b).", "Международные текстовые метаданные PNG (без названия)."]
+    assert told[4:] == [findings.OTHER_CHUNK, "", ""]
