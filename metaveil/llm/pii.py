@@ -264,6 +264,18 @@ def _apart(spans: str) -> F.Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(_spans_type()), add)
 
 
+def _counted() -> list[F.Column]:
+    return [F.size(F.filter("base", _is_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+
+
+def base(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base for each row of docs: what the fixed patterns find, without any learning."""
+    small_batches(docs.sparkSession)
+    found = with_columns(docs, doc_id="bigint", text="string").mapInArrow(_extract, FOUND)
+    spans = _joined("base")
+    return found.select("doc_id", *_counted(), F.sha2(spans, 256).alias("base_sha256"), spans.alias("base"))
+
+
 def find(docs: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
@@ -274,11 +286,10 @@ def find(docs: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataF
     more = seen.where("kind < 0").drop("kind").join(new, "value")
     more = more.groupBy("row").agg(F.collect_set(F.struct("kind", F.col("start"), (-F.col("end")).alias("back"))).alias("more"))
     more = more.select("row", _apart("more").alias("more"))
-    counts = [F.size(F.filter("base", _is_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     none = F.array().cast(_spans_type())
     return found.join(more, "row", "left").select(
         "doc_id",
-        *counts,
+        *_counted(),
         F.sha2(_joined("base"), 256).alias("base_sha256"),
         _joined(F.concat("base", F.coalesce("more", none))).alias("spans"),
     )

@@ -19,6 +19,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 starts from: the spans of the fixed patterns, which SQL can find too."""
+    return pii.base(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +78,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_pii": op2_pii,
+    "pii_base": pii_base,
     "op3_quality": op3_quality,
     "op4_main_text": op4_main_text,
     "op5_line_dedup": op5_line_dedup,
@@ -136,10 +142,40 @@ def _lloyd(rounds: int = 4) -> str:
     return ",\n        ".join(s for s in steps) + "," + final
 
 
+#: Kind, its pattern (of the contract), and what must hold of a match v with the digits n.
+_DATA = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda p: coalesce(TRY_CAST('0' || ltrim(p, '0') AS BIGINT), 256) > 255)) = 0"),
+    (
+        "card", r"[0-9]([\x20-]?[0-9])+",
+        "length(n) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(n)), lambda i: CAST([[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]][i % 2 + 1][CAST(n[length(n) - i] AS INT) + 1] AS INT))) % 10 = 0",
+    ),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(n) BETWEEN 9 AND 15"),
+)
+
+
+def _data_sql() -> str:
+    """Where matches stand follows from what is left between them."""
+    sized = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    kinds = " UNION ALL ".join(
+        f"""SELECT r, {k} AS k, '{kind}' AS kind, place, place + length(v) AS stop FROM (
+            SELECT r, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS n, CAST({sized.format("g[1:i]")} + {sized.format("m[1:i - 1]")} AS BIGINT) AS place
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM d))
+        ) WHERE {holds}"""
+        for k, (kind, pattern, holds) in enumerate(_DATA)
+    )
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind, _, _) in enumerate(_DATA))
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        s AS ({kinds}),
+        b AS (SELECT r, {counts}, string_agg(kind || ':' || place || ':' || stop, ',' ORDER BY k, place) AS base FROM s GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, _, _ in _DATA)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(base, '') AS base FROM d LEFT JOIN b USING (r)"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE: dict[str, str] = {
+    "pii_base": _data_sql(),
     "op6_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),

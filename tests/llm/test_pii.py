@@ -146,3 +146,16 @@ def test_runs_of_groups():
 def test_odd_rows(spark):
     assert pii.find(documents(spark)).count() == len(odd_texts())
     assert pii.find(frame(spark, [])).count() == 0
+
+
+def test_base_alone(spark):
+    rows = odd_texts() + [(900, "a.b@c.de and 10.0.0.256 or 010.0.0.255, card 4111 1111 1111 1111, tel +49 (30) 123-4567"), (901, None)]
+    base = pii.base(frame(spark, rows)).collect()
+    names = ("email", "ip", "card", "phone")
+    want = []
+    for doc_id, text in rows:
+        spans = slow(text or "")
+        joined = ",".join(f"{names[k]}:{a}:{b}" for k, a, b in spans)
+        want.append((doc_id, *[sum(k == s[0] for s in spans) for k in range(4)], hashlib.sha256(joined.encode()).hexdigest(), joined))
+    assert sorted(map(tuple, base), key=str) == sorted(want, key=str)
+    assert [r["base"] for r in base if r["doc_id"] == 900][0].count(":") == 8
