@@ -10,6 +10,7 @@ from metaveil.functions.bytes import cp1252, stripped, utf8
 from metaveil.operators import archive
 from metaveil.operators.binary import filled, found
 from metaveil.sources.archives import entries, rebuilt
+from metaveil.sources.tables import written
 
 #: Parts that tell an office format, then folders that do; types of open documents.
 OFFICE_PARTS = (("docx", "word/document.xml"), ("xlsx", "xl/workbook.xml"), ("pptx", "ppt/presentation.xml"))
@@ -155,8 +156,11 @@ def compared(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def gated(files: DataFrame) -> DataFrame:
-    """file_id, reason: multi-volume archives first, then those that can't be read, then the gates over entries."""
-    rows = entries(files)
+    """file_id, reason: multi-volume archives first, then those that can't be read, then the gates over entries.
+
+    What is told of entries is written, so that archives are unpacked once; their contents aren't.
+    """
+    rows = written(entries(files).drop("content"), "gated")
     split_ = files.select(F.col("file_id").cast("bigint").alias("file_id"), formats.starts(F.col("content"), "504B0708").alias("split"))
     refused = archive.gates(rows.where("status <> 'malformed'")).withColumnRenamed("reason", "gate")
     bad = rows.where("status = 'malformed'").select("file_id", F.lit("malformed").alias("bad"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metaveil.operators import documents, findings, packages
 from metaveil.sources.archives import entries, rebuilt
+from metaveil.sources.tables import written
 
 #: Ten kinds of package: paths of their entries, and contents other than the page.
 KINDS = (
@@ -67,7 +68,7 @@ def package_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _archives(spark, sf_dir)
     changed = F.when(F.col("file_id") % 7 == 0, F.concat(F.unhex(F.lit("504B0708")), F.expr("substring(content, 5)"))).when(F.col("file_id") % 7 == 1, F.expr("substring(content, 1, 20)"))
-    return packages.gated(files.withColumn("content", F.coalesce(changed, "content")))
+    return packages.gated(written(files.withColumn("content", F.coalesce(changed, "content")), "files"))
 
 
 def entry_formats(spark: SparkSession, sf_dir: str) -> DataFrame:

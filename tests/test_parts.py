@@ -1,6 +1,10 @@
+import io
+import zipfile
+
 import pyarrow as pa
 import pytest
 
+from metaveil.sources.archives import entries, rebuilt
 from metaveil.sources.pieces import PART, with_pieces
 
 SAMPLES = {
@@ -29,3 +33,39 @@ def test_large_batches_are_listed_in_parts(spark, task, kind):
     found = [p for b in made for p in b.column(1).to_pylist()]
     alone = next(run(iter([pa.RecordBatch.from_pydict({"content": pa.array(contents[:1], pa.binary())})]))).column(1).to_pylist()[0]
     assert alone and found == [alone] * 40 + [None]
+
+
+ROW = "file_id long, entry_pos int, path string, is_folder boolean, stored boolean, content binary"
+
+
+def test_archives_that_go_on_in_the_next_batch_are_whole(spark, task):
+    run = task(rebuilt, spark.createDataFrame([], ROW))
+    rows = [dict(file_id=k // 3, entry_pos=k % 3, path=f"{k % 3}.txt", is_folder=False, stored=True, content=b"%d" % k, dropped=False, status="ok", _place=k % 3 + 1) for k in range(3000)]
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 700]) for k in range(0, 3000, 700)]
+    made = list(run(iter(batches)))
+    got = [r for b in made for r in b.to_pylist()]
+    assert len(made) <= 5 and [r["file_id"] for r in got] == list(range(1000))
+    for k, row in enumerate(got):
+        with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
+            assert [z.read(i) for i in z.infolist()] == [b"%d" % (3 * k + n) for n in range(3)]
+
+
+def test_entries_of_many_archives_make_one_batch(spark, task):
+    run = task(entries, spark.createDataFrame([], "file_id long, content binary, mark int"))
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("a", b"x" * 100)
+        z.writestr("b", b"y" * 100)
+    files = {"file_id": list(range(500)), "content": pa.array([made.getvalue(), b"none"] * 250, pa.binary()), "mark": pa.array(range(500), pa.int32())}
+    (batch,) = run(iter([pa.RecordBatch.from_pydict(files)]))
+    got = [(r["file_id"], r["mark"], r["path"], r["status"]) for r in batch.to_pylist()]
+    assert got == [x for k in range(500) for x in ([(k, k, "a", "ok"), (k, k, "b", "ok")] if k % 2 == 0 else [(k, k, None, "malformed")])]
+
+
+def test_unpacked_contents_are_bounded(spark, task):
+    run = task(entries, spark.createDataFrame([], "file_id long, content binary"))
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a", bytes(PART // 2))
+    files = {"file_id": list(range(20)), "content": pa.array([made.getvalue()] * 20, pa.binary())}
+    assert [b.num_rows for b in run(iter([pa.RecordBatch.from_pydict(files)]))] == [2] * 10
