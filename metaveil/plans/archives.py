@@ -55,7 +55,7 @@ def archive_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies lose their properties and get another document; both archives' entries are compared."""
-    before = entries(_archives(spark, sf_dir))
+    before = written(entries(_archives(spark, sf_dir)), "before")
     drop = before.where("path = 'docProps/core.xml'").select("file_id", "path")
     replace = before.where("path LIKE '%/document.xml'").select("file_id", "path", F.lit("<clean/>").cast("binary").alias("new"))
     return packages.compared(before, entries(packages.cleaned(before, drop, replace)))
