@@ -132,7 +132,7 @@ def _checked(kind: str):
 
 def _copied(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = entries(COPIED[kind](entries(_files(spark, sf_dir, kind))))
+        rows = entries(COPIED[kind](written(entries(_files(spark, sf_dir, kind)), "before")))
         return rows.select("file_id", "path", F.sha2("content", 256).alias("sha256"))
 
     query.__name__ = f"{kind}_copies"
