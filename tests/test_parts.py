@@ -7,8 +7,11 @@ import pytest
 from metaveil.sources.archives import entries, rebuilt
 from metaveil.sources.pieces import PART, with_pieces
 
+BODY = bytes(PART // 4)
 SAMPLES = {
-    "tiff": bytes.fromhex("49492A0008000000") + (1).to_bytes(2, "little") + bytes.fromhex("0001030001000000") + (1).to_bytes(4, "little") + bytes(4),
+    "tiff": bytes.fromhex("49492A0008000000") + (1).to_bytes(2, "little") + bytes.fromhex("0001030001000000") + (1).to_bytes(4, "little") + bytes(4) + BODY,
+    "png": bytes.fromhex("89504E470D0A1A0A") + len(BODY).to_bytes(4, "big") + b"IDAT" + BODY + bytes(8) + b"IEND" + bytes(4),
+    "mkv": bytes.fromhex("1A45DFA380") + bytes.fromhex("1853806701") + (12 + len(BODY)).to_bytes(7, "big") + bytes.fromhex("1F43B67501") + len(BODY).to_bytes(7, "big") + BODY,
 }
 
 
@@ -27,7 +30,7 @@ def task(monkeypatch):
 @pytest.mark.parametrize("kind", SAMPLES)
 def test_large_batches_are_listed_in_parts(spark, task, kind):
     run = task(lambda rows: with_pieces(rows, kind), spark.createDataFrame([], "content binary"))
-    contents = [SAMPLES[kind] + bytes(PART // 4)] * 40 + [None]
+    contents = [SAMPLES[kind]] * 40 + [None]
     made = list(run(iter([pa.RecordBatch.from_pydict({"content": pa.array(contents, pa.binary())})])))
     assert max(b.num_rows for b in made) <= 4 and sum(b.num_rows for b in made) == 41
     found = [p for b in made for p in b.column(1).to_pylist()]
