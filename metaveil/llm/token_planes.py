@@ -21,6 +21,7 @@ doc_id are documents of their own in the order of their texts, an empty table gi
 
 from __future__ import annotations
 
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,10 @@ PIECES = struct(shard="int", doc_no="bigint", doc_id="bigint", first="bigint", n
 IDS = struct(start="bigint", ids="array<bigint>")
 
 
+#: Bytes of text whose words are looked up together.
+TOGETHER = 8 << 20
+#: Different runs of punctuation behind words that a worker remembers.
+MOST_MARKS = 4096
 #: Letters from here on are left to the tokenizer, whose tables of letters may be older or younger than Python's.
 PLAIN_END = "\u0250"
 
@@ -79,15 +85,27 @@ class Words(dict):
         self.heads = self
         self.marks = {mark: self.whole(mark) for mark in ".,\n"}
 
+    def mark(self, run: str) -> bytes:
+        """The ids of a run of punctuation behind letters, which is a pre-token of its own."""
+        ids = self.marks.get(run)
+        if ids is None:
+            ids = self.whole(run)
+            if len(self.marks) < MOST_MARKS:
+                self.marks[run] = ids
+        return ids
+
     def whole(self, text: str) -> bytes:
         return array("I", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if not word or len(word) > self.longest or word[0].isspace():
+        if len(word) > self.longest:
             raise _Unsplit
         if not word.isalpha():  # made of words that are remembered, if it is plain
-            if word[-1] in self.marks and word[:-1].isalpha():
-                return self[word[:-1]] + self.marks[word[-1]]
+            if not word or word[0].isspace():
+                raise _Unsplit
+            stem = word.rstrip(string.punctuation)
+            if stem.isalpha():
+                return self[stem] + self.mark(word[len(stem) :])
             line, feed, head = word.partition("\n")
             if feed and self.plain(line) and self.plain(head):
                 return self[line] + self.marks[feed] + self.heads[head]
@@ -101,7 +119,7 @@ class Words(dict):
         return ids
 
     def made(self, word: str) -> bytes:
-        if not word.isalpha() or max(word) >= PLAIN_END:
+        if not word.isalpha() or not word.isascii() and max(word) >= PLAIN_END:
             return self.whole(self.space + word)
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
@@ -109,15 +127,15 @@ class Words(dict):
 
     @staticmethod
     def plain(word: str) -> bool:
-        """Letters, perhaps with a stop or comma."""
-        return word.isalpha() or word[-1:] in (".", ",") and word[:-1].isalpha()
+        """Letters, perhaps with punctuation behind them."""
+        return word.rstrip(string.punctuation).isalpha()
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer; remembers the ids of words, as words don't depend on their neighbours.
 
     A space followed by anything but white space always starts a new pre-token of this kind of tokenizer, so the text
-    between two such spaces can be encoded by itself; so can letters and the stop, comma or single line feed after them.
+    between two such spaces can be encoded by itself; so can letters and the run of punctuation or single line feed after them.
     Words of letters go to the tokenizer's model at once, others to the whole tokenizer. Texts with other runs of spaces, or
     with a very long word, are encoded whole. Words are remembered in two generations of at most cache_words each: when the
     younger is full it becomes the older, and words of the older that come again move to the younger, so that frequent words
@@ -147,6 +165,41 @@ class Encoder:
         except _Unsplit:
             return self.words.whole(text)
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """What encode makes of each text (null: empty). Each different word of all texts is looked up once."""
+        if not len(texts):
+            return
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        at, coded = split.offsets.to_numpy() - split.offsets[0].as_py(), split.flatten().dictionary_encode()
+        which, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        first = [words[k] for k in which[at[:-1]]]
+        known = pa.array(_known(self.words, words) + [b if word else b"" for b, word in zip(_known(self.heads, first), first)], pa.large_binary())
+        which[at[:-1]] = np.arange(len(words), len(known), dtype=which.dtype)  # nothing stands before them
+        whole = np.logical_or.reduceat(known.is_null().to_numpy(zero_copy_only=False)[which], at[:-1])
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        laid = known.take(pa.array(which))
+        _, ends, data = laid.buffers()
+        stops, data = np.frombuffer(ends, np.int64)[at].tolist(), memoryview(data or b"")
+        for k, (start, stop) in enumerate(zip(stops, stops[1:])):
+            yield self.words.whole(texts[k].as_py()) if whole[k] else bytes(data[start:stop])
+
+
+def _known(words: Words, asked: list[str]) -> list[bytes | None]:
+    """The ids of words; null for those whose text has to be encoded whole."""
+
+    def one(word: str) -> bytes | None:
+        try:
+            return words[word]
+        except _Unsplit:
+            return None
+
+    try:
+        return list(map(words.__getitem__, asked))
+    except _Unsplit:
+        return list(map(one, asked))
+
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str, cache_words: int, special: bool) -> Encoder:
@@ -181,8 +234,21 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(octets).view("<u4").reshape(-1)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches (doc_id, text), small ones joined up to TOGETHER bytes of text, so that their words are looked up once."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > TOGETHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int, cache_words: int, special: bool):
-    """Batches of a shard's (doc_id, text), in order, to block rows. Holds one block and one text at a time."""
+    """Batches of a shard's (doc_id, text), in order, to block rows. Holds one block and TOGETHER bytes of texts (or one larger batch) at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer, cache_words, special)
@@ -201,9 +267,9 @@ def _write_shard(tokenizer: str, kind: str, block_ids: int, end_id: int, cache_w
             block, first, pieces = block + 1, first + n, []
             return pa.RecordBatch.from_pylist([out], schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encoder.encode(text.as_py() or "") + end
+        for batch in _together(batches):
+            for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1))):
+                data += end
                 at = 0
                 while at < len(data):
                     take = min(len(data) - at, 4 * block_ids - len(buffer))

@@ -2,6 +2,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,6 +25,18 @@ def test_words_encode_as_whole_texts(spark):
         assert encoder.encode(text) == array("I", whole(text)).tobytes()
 
 
+def test_words_of_a_batch_are_looked_up_once(monkeypatch):
+    """Also if fewer are remembered than there are."""
+    encoder = token_planes.Encoder(token_planes.default_tokenizer(), cache_words=2, special=True)
+    texts = [t for _, t in odd_texts()] + ["", None, " lead", "a  b", "trail ", "AND!! OF!!.\nThe", "x!'s y", "a <|endoftext|> b", "a" * 300 + " b"] + ["one two three, four. five!! one"] * 500
+    want = [encoder.encode(t or "") for t in texts]
+    made, asked = token_planes.Words.made, []
+    monkeypatch.setattr(token_planes.Words, "made", lambda self, word: asked.append(word) or made(self, word))
+    assert list(encoder.encode_all(pa.array(texts, pa.string()).slice(3))) == want[3:]
+    assert len(list(encoder.encode_all(pa.array(texts, pa.string())))) == len(texts) and list(encoder.encode_all(pa.array([], pa.string()))) == []
+    assert len([w for w in asked if w == "five"]) <= 2
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_planes_round_trip(kind):
     for ids in ([], [0], [50256, 0, 1, 255, 256], list(range(3000))):
