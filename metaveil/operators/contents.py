@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metaveil.functions import formats
 from metaveil.functions.bytes import utf8
-from metaveil.operators import archive, binary, mail, svg
+from metaveil.operators import archive, binary, leaks, mail, svg
 from metaveil.operators.svg import let
 from metaveil.sources.archives import entries
 from metaveil.sources.tables import written
@@ -55,9 +55,14 @@ def _mail(content: Column) -> Column:
     return let(mail.parse(content), told)
 
 
-def told(files: DataFrame, format_: Column, name: str = "parts") -> DataFrame:
-    """A written table of the entries of files, with their format (format_ looks at path and content)."""
-    return written(entries(files).withColumn("format", format_), name)
+def told(files: DataFrame, format_: Column, name: str = "parts", searched: bool = False) -> DataFrame:
+    """A written table of the entries of files, with their format (format_ looks at path and content).
+
+    searched: with leaks (those values of the column raw that stand in an entry) in place of raw, told in the same pass.
+    """
+    rows = entries(files)
+    rows = leaks.search(rows).drop("raw") if searched else rows
+    return written(rows.withColumn("format", format_), name)
 
 
 def opened(rows: DataFrame) -> DataFrame:

@@ -66,6 +66,13 @@ def test_images_that_are_none_do_not_pass(spark):
     assert [r.passed for r in documents.clean_and_verify(files, "office").orderBy("file_id").collect()] == [False, True]
 
 
+def test_copies_of_documents_are_searched_once(spark):
+    """What stands in copies is told before they are written: no task of Python is left to whatever asks for the result."""
+    done = documents.clean_and_verify(frame(spark, docx("Zelda Quill", ("word/settings.xml", "<w:x>Zelda Quill</w:x>")), docx("Ann Boe")), "office")
+    assert "InArrow" not in done._jdf.queryExecution().executedPlan().toString()
+    assert [(r.leaked, r.passed) for r in done.orderBy("file_id").collect()] == [(1, False), (0, True)]
+
+
 @pytest.mark.parametrize("kind", ["office", "odf", "book"])
 def test_documents_with_a_locked_entry_have_no_copy(spark, kind):
     data = bytearray(docx("Ann Boe") if kind == "office" else packed([("mimetype", "application/epub+zip" if kind == "book" else "application/vnd.oasis.opendocument.text"), ("content.xml", "<x/>")]))
