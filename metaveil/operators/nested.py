@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from metaveil.functions import formats
 from metaveil.operators import archive, contents, documents, leaks, pdf
 from metaveil.operators.packages import container_findings, neutral
-from metaveil.sources.archives import rebuilt
+from metaveil.sources.archives import entries, rebuilt
 from metaveil.sources.tables import written
 
 #: Levels of archives: one within another.
@@ -83,7 +83,7 @@ def clean_and_verify(files: DataFrame, level: int = 0) -> DataFrame:
 
     file_id, reason, content (the copy, or null), found (findings of the container, nested ones as one), traces (in entries),
     raw (all their values), supported, unsupported, nested (archives), leaked, passed. Both the levels' entries and their copies
-    are written, so nothing is unpacked twice.
+    are written, so nothing is unpacked twice; what is read of copies goes on to be compared.
     """
     rows = contents.told(files.select("file_id", "content"), _kind(F.col("path"), F.col("content")), f"level{level}")
     rows = written(_with_outcomes(rows, level), f"level{level}")
@@ -101,8 +101,8 @@ def clean_and_verify(files: DataFrame, level: int = 0) -> DataFrame:
     allowed = told.where("reason IS NULL").select("file_id", F.col("raw").alias("before"))
     filling = rows.join(allowed, "file_id").withColumn("content", F.coalesce("clean", "content")).withColumn("stored", F.lit(False))
     copies = written(rebuilt(filling, ("before",)), "copies")
-    read = contents.told(copies.where("content IS NOT NULL").select("file_id", "content", F.col("before").alias("raw")), F.lit(None).cast("string"), "after")
-    checked = _compared(rows.join(allowed.select("file_id"), "file_id"), leaks.search(read.where("status <> 'malformed'")))
+    read = entries(copies.where("content IS NOT NULL").select("file_id", "content", F.col("before").alias("raw")))
+    checked = _compared(rows.join(allowed.select("file_id"), "file_id"), leaks.search(read).where("status <> 'malformed'"))
     result = told.join(copies.select("file_id", "content"), "file_id", "left").join(checked, "file_id", "left")
     return result.withColumn("passed", F.coalesce("passed", F.lit(False))).select(
         "file_id", "reason", "content", "found", "traces", "raw", "supported", "unsupported", "nested", "leaked", "passed"

@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from metaveil.operators import documents, leaks, nested, packages
+from metaveil.operators import contents, documents, leaks, nested, packages
 from metaveil.sources.archives import entries, rebuilt
 
 PNG_START = bytes.fromhex("89504E470D0A1A0A0000000D4948445200000001000000020802000000") + bytes(4)
@@ -73,6 +73,13 @@ def test_copies_of_documents_are_searched_once(spark):
     assert [(r.leaked, r.passed) for r in done.orderBy("file_id").collect()] == [(1, False), (0, True)]
 
 
+def test_what_is_read_of_nested_copies_is_not_written(spark, monkeypatch):
+    names, write = [], contents.written
+    monkeypatch.setattr(contents, "written", lambda df, name: names.append(name) or write(df, name))
+    done = nested.clean_and_verify(frame(spark, packed([("a.txt", b"x"), ("p.png", png(b"Author\0PRIVATE_PNG"))]), b"not zip")).collect()
+    assert names == ["level0"] and {r.file_id: (r.leaked, r.passed) for r in done} == {1: (0, True), 2: (None, False)}
+
+
 @pytest.mark.parametrize("kind", ["office", "odf", "book"])
 def test_documents_with_a_locked_entry_have_no_copy(spark, kind):
     data = bytearray(docx("Ann Boe") if kind == "office" else packed([("mimetype", "application/epub+zip" if kind == "book" else "application/vnd.oasis.opendocument.text"), ("content.xml", "<x/>")]))
