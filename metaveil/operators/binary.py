@@ -1084,8 +1084,7 @@ MEDIA: dict[str, tuple[Found, Found]] = {
 }
 
 
-def media(files: DataFrame, format_id: str) -> DataFrame:
-    """files without content, with media_sha256: a digest of what a copy must hold byte for byte; null for files that are broken."""
+def _media(format_id: str) -> Column:
     chosen, begins = MEDIA[format_id]
 
     def part(p: Column) -> Column:
@@ -1093,9 +1092,23 @@ def media(files: DataFrame, format_id: str) -> DataFrame:
         stop = F.least(p["stop"].cast("bigint"), p["body"] + stated) if format_id == "wav" else p["stop"]
         return F.hex(F.substring(F.col("content"), begins(p) + 1, (stop - begins(p)).cast("int")))
 
-    rows = with_pieces(files, format_id)
     digits = F.array_join(F.transform(F.filter("pieces", chosen), part), "")
-    return rows.select(*[c for c in files.columns if c != "content"], F.sha2(F.unhex(digits), 256).alias("media_sha256"))
+    return F.sha2(F.unhex(digits), 256)
+
+
+def media(files: DataFrame, format_id: str) -> DataFrame:
+    """files without content, with media_sha256: a digest of what a copy must hold byte for byte; null for files that are broken."""
+    others = [c for c in files.columns if c != "content"]
+    return with_pieces(files, format_id).select(*others, _media(format_id).alias("media_sha256"))
+
+
+def media_kept(files: DataFrame, format_id: str) -> DataFrame:
+    """files without content, with media_sha256 and copy: a row for the file (copy false) and one for its copy. A file's pieces are listed once for both."""
+    others = [c for c in files.columns if c != "content"]
+    copies = _cleaned(scan(files, format_id), [F.struct(*others, _media(format_id).alias("sha256")).alias("_own")], format_id).select("_own", "content")
+    digest = lambda sha256, copy: F.struct(sha256.alias("media_sha256"), F.lit(copy).alias("copy"))
+    both = F.explode(F.array(digest(F.col("_own.sha256"), False), digest(_media(format_id), True))).alias("_m")
+    return with_pieces(copies, format_id).select("_own", both).select(*[F.col("_own")[c].alias(c) for c in others], "_m.*")
 
 
 def of_format(format_id: str | None, make: Callable[[Format], Column]) -> Column:
@@ -1126,10 +1139,12 @@ def scan(files: DataFrame, format_id: str | None = None, gated: bool = True) ->
 
 def clean(files: DataFrame, format_id: str | None = None, gated: bool = True) -> DataFrame:
     """files with content (the copy, null where there is none), found_before, and dimensions, holds and raw (values) of the original."""
-    scanned = scan(files, format_id, gated)
+    return _cleaned(scan(files, format_id, gated), [c for c in files.columns if c != "content"], format_id)
+
+
+def _cleaned(scanned: DataFrame, others: list, format_id: str | None) -> DataFrame:
     content, pieces = F.col("content"), F.col("pieces")
     copy = F.when(F.col("status") == "ok", of_format(format_id, lambda f: f.copy(content, pieces)))
-    others = [c for c in files.columns if c != "content"]
     told = personal(F.col("findings"))
     return scanned.select(
         *others, copy.alias("content"), F.size(told).cast("bigint").alias("found_before"), "dimensions", "reason",

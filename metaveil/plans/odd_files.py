@@ -136,10 +136,7 @@ def media_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the sound, film or image itself, of files and of their copies."""
     told = None
     for kind in MEDIA:
-        files = sample_files(spark, sf_dir, kind)
-        copies = binary.clean(files, kind).select("file_id", "content")
-        both = binary.media(files, kind).withColumn("copy", F.lit(False)).union(binary.media(copies, kind).withColumn("copy", F.lit(True)))
-        both = both.withColumn("format", F.lit(kind))
+        both = binary.media_kept(sample_files(spark, sf_dir, kind), kind).withColumn("format", F.lit(kind))
         told = both if told is None else told.union(both)
     return told
 

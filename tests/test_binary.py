@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metaveil.operators import binary, findings, mail, packages, relations
 from metaveil.plans import binary as samples
+from metaveil.plans import odd_files
 from metaveil.sources.archives import entries, rebuilt
 
 SF = "/root/testdata/sf0.001"
@@ -208,6 +209,15 @@ def test_media_stay_as_they_are(spark, kind):
     assert before == after and len(before) == 4 and None not in before.values()
 
 
+def test_originals_are_listed_once_for_their_media(spark):
+    plan = odd_files.media_kept(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 * len(odd_files.MEDIA)
+    files = samples.files(spark, SF, "psd").where("file_id < 2").union(spark.createDataFrame([(7, b"none"), (8, None)], "file_id long, content binary"))
+    got = {(r.file_id, r.copy): r.media_sha256 for r in binary.media_kept(files, "psd").collect()}
+    assert len(got) == 8 and all(got[k, False] == got[k, True] for k in (0, 1, 7, 8))
+    assert got[0, True] and got[1, True] != got[0, True] and got[7, True] is None and got[8, True] is None
+
+
 def test_descriptions_of_findings(spark):
     rows = [("EXIF:Artist", "high"), ("EXIF:Flash", "low"), ("PNG:tEXt:a:b", "medium"), ("PNG:iTXt:", "medium"), ("PNG:vpAg", "medium"), ("GIF:Comment", "high"), (None, None)]
     frame = spark.createDataFrame(rows, "field string, severity string")
